@@ -48,11 +48,12 @@ def corpus(seed):
 def test_anchors_own_every_window_once():
     x = np.random.default_rng(1).integers(0, 3, 3000)
     seen = []
-    for h, pos, lo, hi in anchors.anchors(x, 50, 5):
-        for p, a, b in zip(pos, lo, hi):
-            assert a <= p and p + 5 <= a + 50 or a < b
+    where = np.array([0, 0, 700, 740, 3000])
+    for seq, h, pos, lo, hi in anchors.anchors(x, where, 50, 5):
+        for q, p, a, b in zip(seq, pos, lo, hi):
+            assert b <= p and p + 5 <= a + 50 and where[q] <= a and b + 50 <= where[q + 1]
             seen += range(a, b + 1)
-    assert seen == list(range(len(x) - 49))
+    assert seen == [*range(651), *range(740, 2951)]
 
 
 def test_gram_hashes_are_by_content():
@@ -93,9 +94,10 @@ def test_repeated_bytes_against_brute_force(spark, hot):
     assert sum(x[2] for x in want) > 5000
 
 
-def test_repeated_passages_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [256, 1])
+def test_repeated_passages_against_brute_force(spark, hot):
     rows = corpus(6)
-    got = sorted(map(tuple, remove_repeated_passages(spark.createDataFrame(rows, SCHEMA), window=12).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
+    got = sorted(map(tuple, remove_repeated_passages(spark.createDataFrame(rows, SCHEMA), window=12, hot=hot).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
     seqs = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, *_ in rows]
     want = [(i, len(s), int(g.sum()), hashlib.sha256(" ".join(w for w, x in zip(s, g) if not x).encode()).hexdigest()) for (i, *_), s, g in zip(rows, seqs, cover(seqs, 12))]
     assert got == sorted(want, key=str)

@@ -52,15 +52,29 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
-def anchors(symbols: np.ndarray, window: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, place, first window start, last window start) of the anchors of a sequence, in chunks; no window is in two of them."""
+def anchors(symbols: np.ndarray, where: np.ndarray, window: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(sequence, hash, place, first window start, last window start) of all anchors, in chunks; no window is in two of them.
+
+    The sequences stand in a row and begin at `where` (n + 1 places); places and starts count from the row's begin."""
     n = len(symbols) - window + 1
+    size = np.diff(where)
+    stop = np.repeat(where[1:], size)  # where the sequence of each symbol ends
     for begin in range(0, max(n, 0), CHUNK):
         part = symbols[begin : min(begin + CHUNK, n) + window - 1]
         h = gram_hashes(part, k)
         key = (h >> LOW << LOW) | np.arange(len(h), dtype=np.uint64)
         at = (sliding_min(key, window - k + 1) & np.uint64((1 << int(LOW)) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        own = np.flatnonzero(np.arange(begin, begin + len(at)) + window <= stop[begin : begin + len(at)])
+        if not len(own):
+            continue
+        at = at[own]
+        new = np.concatenate([[True], (at[1:] != at[:-1]) | (own[1:] != own[:-1] + 1)])
+        first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(at)]]) - 1
-        place = at[first]
-        yield h[place], place + begin, first + begin, last + begin
+        lo, hi, place = own[first] + begin, own[last] + begin, at[first] + begin
+        yield np.searchsorted(where, lo, "right") - 1, h[at[first]], place, lo, hi
+
+
+def packed(place: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Place and first and last window start of an anchor in one number; both starts are less than 2^16 before the place."""
+    return place << 32 | (place - lo) << 16 | (place - hi)

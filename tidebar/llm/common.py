@@ -35,7 +35,7 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(kid, ktx, text): a row's key is its id and its text's hash, so repeated rows share a key, and so do their results."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("kid"), F.xxhash64(text).alias("ktx"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("kid"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("ktx"), text.alias("text"))
 
 
 def back_to_id(kid: Column) -> Column:
@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def rows_of(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `limit` bytes, so that memory does not follow the number of long texts in a batch."""
     for batch in batches:
         n, size = batch.num_rows, max(1, batch.nbytes)
@@ -55,25 +55,45 @@ def rows_of(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator
             yield batch.slice(at, step)
 
 
-def word_lists(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of each text: word numbers of all texts in a row, the distinct words, and where each text begins (n + 1 places)."""
-    import pyarrow.compute as pc
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0xC2B2AE3D27D4EB4F
+_powers: list[np.ndarray] = []
 
-    texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
-    lists = pc.split_pattern_regex(pc.fill_null(texts, ""), pattern="[\\x20\\x09-\\x0D]+")
-    flat = lists.flatten()
-    offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-    full = np.asarray(pc.not_equal(flat, "").to_numpy(zero_copy_only=False), dtype=bool)
-    coded = pc.dictionary_encode(flat)
-    ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum(full)])[offsets]
-    return ids[full], coded.dictionary.to_pylist(), starts.astype(np.int64)
 
+def _powers_of_base(n: int) -> list[np.ndarray]:
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 1 << 20)
+        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64))]
+    return _powers
 
-def word_hashes(words: list[str], seed: int = 0) -> np.ndarray:
-    import xxhash
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words), np.uint64, len(words))
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in a row, and where each begins (n + 1 places); the array has no nulls."""
+    texts = texts.cast(pa.large_binary())
+    where = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[where[0] : where[-1]] if held is not None and len(held) else np.empty(0, np.uint8)
+    return data, where - where[0]
+
+
+def word_places(data: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+ of each text: their begins and ends among the bytes, and the number of words before each text (n + 1)."""
+    full = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[where] = True
+    after, before = np.concatenate([[False], full[:-1]]), np.concatenate([full[1:], [False]])
+    begin = np.flatnonzero(full & (~after | edge[:-1]))
+    end = np.flatnonzero(full & (~before | edge[1:])) + 1
+    return begin, end, np.searchsorted(begin, where)
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word by its bytes alone: differences of prefix polynomial hashes, moved to one power."""
+    power, inverse = _powers_of_base(len(data) + 1)
+    with np.errstate(over="ignore"):
+        prefix = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)])
+        return mix((prefix[end] - prefix[begin]) * inverse[begin])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

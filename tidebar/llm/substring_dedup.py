@@ -20,17 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
 
 from . import anchors as A
 from . import repeats
-from .common import back_to_id, cut, keyed, mix, rows_of, spans, table, word_hashes, word_lists
+from .common import back_to_id, cut, keyed, mix, rows_of, spans, table, text_bytes, word_hashes, word_places
 
 GRAM = 5
 DEPTH, WIDTH, SLICES = 3, 1 << 24, 64
 _SIZE = DEPTH * WIDTH // SLICES
-_I = pa.int64()
-_OCC = pa.schema([(x, _I) for x in ("h", "c1", "c2", "kid", "ktx", "pos", "lo", "hi")] + [("wins", pa.list_(_I))])
 
 
 def counters(h: np.ndarray) -> np.ndarray:
@@ -39,10 +36,11 @@ def counters(h: np.ndarray) -> np.ndarray:
         return np.stack([(mix(h + np.uint64(d * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(WIDTH)).astype(np.int64) + d * WIDTH for d in range(DEPTH)])
 
 
-def _sequences(batch: pa.RecordBatch):
-    ids, words, starts = word_lists(batch.column("text"))
-    hashed = word_hashes(words)[ids] if len(words) else np.empty(0, np.uint64)
-    return hashed, starts
+def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts in a row, and where each text begins."""
+    data, where = text_bytes(batch.column("text"))
+    begin, end, words = word_places(data, where)
+    return word_hashes(data, begin, end), words
 
 
 def _sketch(window: int, gram: int):
@@ -57,10 +55,7 @@ def _sketch(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[np.ndarray] = []
         for batch in rows_of(batches):
-            hashed, starts = _sequences(batch)
-            for i, j in zip(starts, starts[1:]):
-                if j - i >= window:
-                    seen += [counters(h).ravel() for h, *_ in A.anchors(hashed[i:j], window, gram)]
+            seen += [counters(found[1]).ravel() for found in A.anchors(*_sequences(batch), window, gram)]
             if sum(map(len, seen)) > 6_000_000:
                 yield rows(seen)
                 seen = []
@@ -102,59 +97,71 @@ def count_min(texts: DataFrame, window: int, gram: int = GRAM) -> np.ndarray:
 
 
 def _estimated(bits, window: int, gram: int):
-    """Occurrences of the anchors that the sketch counts twice or more, with the hashes of their windows."""
-    import xxhash
+    """Occurrences of the anchors that the sketch counts twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = bits.value
         for batch in rows_of(batches):
-            hashed, starts = _sequences(batch)
-            kids, ktxs = batch.column("kid").to_pylist(), batch.column("ktx").to_pylist()
-            out: list[tuple] = []
-            for kid, ktx, i, j in zip(kids, ktxs, starts, starts[1:]):
-                if j - i < window:
-                    continue
-                seq = hashed[i:j]
-                raw = seq.tobytes()
-                wins = None
-                for h, pos, lo, hi in A.anchors(seq, window, gram):
-                    at = counters(h)
-                    twice = np.flatnonzero(((sketch[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0))
-                    if len(twice) and wins is None:
-                        wins = A.gram_hashes(seq, window).view(np.int64)
-                    for x in twice.tolist():
-                        p, a, b = int(pos[x]), int(lo[x]), int(hi[x])
-                        c1, c2 = np.frombuffer(xxhash.xxh3_128_digest(raw[8 * a : 8 * (b + window)], seed=p - a), np.int64).tolist()
-                        out.append((int(h[x : x + 1].view(np.int64)[0]), c1, c2, kid, ktx, p, a, b, wins[a : b + 1]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _OCC)], schema=_OCC)
+            hashed, where = _sequences(batch)
+            kids, ktxs = batch.column("kid").to_numpy(), batch.column("ktx").to_numpy()
+            for found in A.anchors(hashed, where, window, gram):
+                at = counters(found[1])
+                twice = ((sketch[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+                yield repeats.occurrences(kids, ktxs, hashed.tobytes(), 8, where, window, tuple(x[twice] for x in found))
 
     return run
 
 
+def _windows(window: int):
+    """The hashes of the windows of the contexts asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            hashed, where = _sequences(batch)
+            wins = A.gram_hashes(hashed, window)
+            out = []
+            for kid, ktx, begin, asked in zip(*(batch.column(x).to_pylist() for x in ("kid", "ktx")), where.tolist(), batch.column("asked").to_pylist()):
+                for x in asked:
+                    at, span = begin + (x["span"] >> 32), x["span"]
+                    out.append((x["h"], kid, ktx, span, x["single"], wins[at - (span >> 16 & 0xFFFF) : at - (span & 0xFFFF) + 1].tobytes()))
+            yield repeats.batch(repeats.ASKED, out)
+
+    return run
+
+
+def _count(rows: list[dict], group: np.ndarray, anchor: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Exact grouping of the windows of a block by anchor group, the anchor's place in them, and hash."""
+    hashed = np.frombuffer(b"".join(r["data"] for r in rows), np.uint64)
+    offset = np.repeat(anchor, windows) - (np.arange(len(hashed)) - np.repeat(np.cumsum(windows) - windows, windows))
+    group = np.repeat(group, windows)
+    order = np.lexsort((hashed, offset, group))
+    same = (hashed[order][1:] == hashed[order][:-1]) & (offset[order][1:] == offset[order][:-1]) & (group[order][1:] == group[order][:-1])
+    flag = np.zeros(len(hashed), bool)
+    flag[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    return flag
+
+
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("kid", _I), ("n_words", _I), ("n_removed", _I), ("kept_sha256", pa.string()), ("kept", pa.string())])
+    i = pa.int64()
+    schema = pa.schema([("kid", i), ("n_words", i), ("n_removed", i), ("kept_sha256", pa.string()), ("kept", pa.string())])
     for batch in rows_of(batches):
-        ids, words, starts = word_lists(batch.column("text"))
+        data, where = text_bytes(batch.column("text"))
+        begin, end, words = word_places(data, where)
         out = []
-        for kid, cover, i, j in zip(batch.column("kid").to_pylist(), batch.column("cover").to_pylist(), starts, starts[1:]):
+        for kid, cover, i, j in zip(batch.column("kid").to_pylist(), batch.column("cover").to_pylist(), words.tolist(), words[1:].tolist()):
             runs = spans([x["a"] for x in cover or ()], [x["b"] for x in cover or ()])
-            own = ids[i:j].tolist()
-            kept = " ".join(words[w] for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(own)]) for w in own[a:b])
-            out.append((kid, len(own), sum(b - a for a, b in runs), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            stay = [(i + a, i + b) for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), j - i]) if a < b]
+            kept = b" ".join(b" ".join(data[begin[a] : end[b - 1]].tobytes().split()) for a, b in stay)
+            out.append((kid, j - i, sum(b - a for a, b in runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+        yield repeats.batch(schema, out)
 
 
-def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = GRAM) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = GRAM, hot: int = repeats.HOT) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256 and the kept words joined by spaces."""
     texts = keyed(docs, id_col, text_col)
     bits = docs.sparkSession.sparkContext.broadcast(count_min(texts, window, gram))
-    occ = cut(texts.mapInArrow(_estimated(bits, window, gram), from_arrow_schema(_OCC)))
-    cls = cut(repeats.classes(occ, "wins"))
-    mixed = cls.where("n_classes > 1").select("h", "one.*", (F.col("n") == 1).alias("single"))
-    win = mixed.select("h", "kid", "ktx", "pos", "lo", "single", F.posexplode("wins").alias("i", "w"))
-    win = win.select("h", (F.col("pos") - F.col("lo") - F.col("i")).alias("o"), "w", "kid", "ktx", (F.col("lo") + F.col("i")).alias("s"), "single")
-    cover = repeats.by_document(repeats.whole(occ, cls, window).unionByName(repeats.repeated_windows(win, window)))
+    occ = cut(texts.mapInArrow(_estimated(bits, window, gram), repeats.OCC_DDL))
+    cover = repeats.removed(texts, occ, window, hot, _windows(window), _windows(window), _count)
     rest = texts.join(cover, ["kid", "ktx"], "left").mapInArrow(_rest, "kid long, n_words long, n_removed long, kept_sha256 string, kept string")
     return rest.select(back_to_id(F.col("kid")).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept")
 

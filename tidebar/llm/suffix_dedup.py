@@ -19,51 +19,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
 
 from . import anchors as A
 from . import repeats
-from .common import back_to_id, cut, keyed, rows_of, spans
+from .common import back_to_id, cut, keyed, rows_of, spans, table, text_bytes
 from .suffix_sort import repeated
 
 GRAM = 32
-#: Anchor groups with more classes than this have their windows counted instead of sorted in one block.
-HOT = 256
-#: Contexts are sorted in blocks of about so many bytes.
-BLOCK = 4 << 20
-
-_I = pa.int64()
-_OCC = pa.schema([(x, _I) for x in ("h", "c1", "c2", "kid", "ktx", "pos", "lo", "hi")])
-_CTX = pa.schema([(x, _I) for x in ("h", "kid", "ktx", "pos", "lo", "hi")] + [("single", pa.bool_()), ("bytes", pa.binary()), ("wins", pa.binary())])
-_CUT = pa.schema([(x, _I) for x in ("kid", "ktx", "a", "b")])
-
-
-def _signed(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x).view(np.int64)
 
 
 def _occurrences(window: int, gram: int):
-    import xxhash
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            out: list[list[np.ndarray]] = []
-            for kid, ktx, text in zip(*(batch.column(x).to_pylist() for x in ("kid", "ktx", "text"))):
-                data = text.encode("utf-8", "surrogatepass")
-                if len(data) < window:
-                    continue
-                for h, pos, lo, hi in A.anchors(np.frombuffer(data, np.uint8), window, gram):
-                    digests = b"".join(xxhash.xxh3_128_digest(data[a : b + window], seed=(p - a) & 0xFFFF) for p, a, b in zip(pos.tolist(), lo.tolist(), hi.tolist()))
-                    c = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                    out.append([_signed(h), c[:, 0], c[:, 1], np.full(len(h), kid), np.full(len(h), ktx), pos, lo, hi])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=_OCC)
+            data, where = text_bytes(batch.column("text"))
+            kids, ktxs = batch.column("kid").to_numpy(), batch.column("ktx").to_numpy()
+            for found in A.anchors(data, where, window, gram):
+                yield repeats.occurrences(kids, ktxs, data.tobytes(), 1, where, window, found)
 
     return run
 
 
-def _contexts(window: int):
-    """The bytes of the classes asked for; in hot groups the hashes of their windows."""
+def _contexts(window: int, hashed: bool):
+    """The bytes of the contexts asked for, or the hashes of their windows."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,62 +49,30 @@ def _contexts(window: int):
             for kid, ktx, text, asked in zip(*(batch.column(x).to_pylist() for x in ("kid", "ktx", "text", "asked"))):
                 data = text.encode("utf-8", "surrogatepass")
                 for x in asked:
-                    part = data[x["lo"] : x["hi"] + window]
-                    wins = None
-                    if x["hot"]:
-                        wins, part = b"".join(xxhash.xxh3_64_digest(part[i : i + window]) for i in range(len(part) - window + 1)), None
-                    out.append((x["h"], kid, ktx, x["pos"], x["lo"], x["hi"], x["single"], part, wins))
-                    if len(out) >= 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CTX)], schema=_CTX)
+                    at, span = x["span"] >> 32, x["span"]
+                    part = data[at - (span >> 16 & 0xFFFF) : at - (span & 0xFFFF) + window]
+                    if hashed:
+                        part = b"".join(xxhash.xxh3_64_digest(part[i : i + window]) for i in range(len(part) - window + 1))
+                    out.append((x["h"], kid, ktx, span, x["single"], part))
+                    if len(out) >= 2048:
+                        yield repeats.batch(repeats.ASKED, out)
                         out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CTX)], schema=_CTX)
+            yield repeats.batch(repeats.ASKED, out)
 
     return run
 
 
-def _sorted_blocks(window: int):
-    """Rows come by anchor; blocks end between groups."""
-
-    def solve(rows: list[dict]) -> pa.RecordBatch:
-        data = b"".join(r["bytes"] for r in rows)
-        size = np.array([len(r["bytes"]) for r in rows])
-        lo, pos = np.array([r["lo"] for r in rows]), np.array([r["pos"] for r in rows])
-        windows = size - window + 1
-        group = np.unique(np.array([r["h"] for r in rows]), return_inverse=True)[1]
-        flag = repeated(data, np.cumsum(size) - size, group, pos - lo, windows, window)
-        flag &= np.repeat(np.array([r["single"] for r in rows]), windows)
-        edge = np.diff(np.concatenate([[0], flag.astype(np.int8), [0]]))
-        begin = np.cumsum(windows) - windows
-        a, b = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
-        out: list[tuple[int, int, int, int]] = []
-        for i, j in zip(a, b):  # a run of flags may go over into the next context
-            k = int(np.searchsorted(begin, i, "right")) - 1
-            while i < j:
-                end = min(j, begin[k] + windows[k])
-                r = rows[k]
-                out.append((r["kid"], r["ktx"], int(r["lo"] + i - begin[k]), int(r["lo"] + end - 1 - begin[k] + window)))
-                i, k = end, k + 1
-        return pa.RecordBatch.from_arrays([pa.array(x, _I) for x in (zip(*out) if out else ([], [], [], []))], schema=_CUT)
+def _sort(window: int):
+    def compare(rows: list[dict], group: np.ndarray, anchor: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        size = np.array([len(r["data"]) for r in rows])
+        return repeated(b"".join(r["data"] for r in rows), np.cumsum(size) - size, group, anchor, windows, window)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        size = 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                if size >= BLOCK and row["h"] != held[-1]["h"]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row["bytes"])
-        if held:
-            yield solve(held)
-
-    return run
+    return compare
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("kid", _I), ("n_bytes", _I), ("n_removed", _I), ("n_spans", _I), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(_I)))])
+    i = pa.int64()
+    schema = pa.schema([("kid", i), ("n_bytes", i), ("n_removed", i), ("n_spans", i), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(i)))])
     for batch in rows_of(batches):
         out = []
         for kid, text, cover in zip(*(batch.column(x).to_pylist() for x in ("kid", "text", "cover"))):
@@ -135,41 +80,19 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = spans([x["a"] for x in cover or ()], [x["b"] for x in cover or ()])
             kept = b"".join(data[a:b] for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(data)]))
             out.append((kid, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept, runs))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        yield repeats.batch(schema, out)
 
 
-def repeated_byte_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(kid, ktx, cover): for each document with repeats, the intervals of bytes that repeated strings of `window` bytes cover."""
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = GRAM, hot: int = repeats.HOT) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, the kept bytes and the removed spans."""
     texts = keyed(docs, id_col, text_col)
-    occ = cut(texts.mapInArrow(_occurrences(window, gram), repeats.OCC))
+    occ = cut(texts.mapInArrow(_occurrences(window, gram), repeats.OCC_DDL))
     several = occ.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     occ = cut(occ.join(several, "h", "left_semi"))
-    cls = cut(repeats.classes(occ))
-    asked = (
-        cls.where("n_classes > 1")
-        .select("one.kid", "one.ktx", F.struct("h", "one.pos", "one.lo", "one.hi", (F.col("n") == 1).alias("single"), (F.col("n_classes") > hot).alias("hot")).alias("x"))
-        .groupBy("kid", "ktx")
-        .agg(F.collect_list("x").alias("asked"))
-    )
-    # a row that repeats brings the same contexts again: one of each is kept below, as its class has one occurrence here
-    ctx = texts.join(asked, ["kid", "ktx"]).mapInArrow(_contexts(window), from_arrow_schema(_CTX))
-    ctx = cut(ctx.withColumn("hot", F.col("wins").isNotNull()))
-    cold = ctx.where("not hot").select("h", "kid", "ktx", "pos", "lo", "hi", "single", "bytes")
-    found = cold.repartition("h").sortWithinPartitions("h", "kid", "ktx", "pos").mapInArrow(_sorted_blocks(window), from_arrow_schema(_CUT))
-    win = ctx.where("hot").select("h", "kid", "ktx", "pos", "lo", "single", F.explode(F.sequence(F.lit(0), (F.octet_length("wins") / 8 - 1).cast("int"))).alias("i"), "wins")
-    win = win.select("h", (F.col("pos") - F.col("lo") - F.col("i")).alias("o"), F.expr("substring(wins, i * 8 + 1, 8)").alias("w"), "kid", "ktx", (F.col("lo") + F.col("i")).alias("s"), "single")
-    return repeats.by_document(repeats.whole(occ, cls, window).unionByName(found).unionByName(repeats.repeated_windows(win, window)))
-
-
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, **options) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, the kept bytes and the removed spans."""
-    cover = repeated_byte_spans(docs, id_col, text_col, window, **options)
-    rest = keyed(docs, id_col, text_col).join(cover, ["kid", "ktx"], "left")
-    out = rest.mapInArrow(_rest, "kid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")
+    cover = repeats.removed(texts, occ, window, hot, _contexts(window, False), _contexts(window, True), _sort(window))
+    out = texts.join(cover, ["kid", "ktx"], "left").mapInArrow(_rest, "kid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")
     return out.select(back_to_id(F.col("kid")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return remove_repeated_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
