@@ -1,7 +1,21 @@
 """Queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
+from .bpe import op5_byte_bpe
+from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .html_blocks import op7_block_labeller
+from .near_dedup import op3_prob_minhash
+from .packing import op8_best_fit_packing
+from .pii import op10_pii_surrogates
+from .quality import op1_compression_bands
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
+from .toxicity import op6_classifier_chain
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op9_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_compression_bands, op2_suffix_dedup, op3_prob_minhash, op4_exact_dedup, op5_byte_bpe,
+        op6_classifier_chain, op7_block_labeller, op8_best_fit_packing, op9_substring_dedup, op10_pii_surrogates,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
