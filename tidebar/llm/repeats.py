@@ -25,9 +25,9 @@ ASKED = pa.schema([("h", _I), ("kid", _I), ("ktx", pa.int32()), ("span", _I), ("
 CUT_DDL = "kid long, ktx int, a int, b int"
 CUT = pa.schema([("kid", _I), ("ktx", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
 #: Anchor groups with more classes than this have their windows counted instead of compared in one block.
-HOT = 256
+HOT = 2048
 #: Anchor groups are taken in blocks of about so many bytes.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 
 def place(span: Column) -> Column:
@@ -63,7 +63,8 @@ def occurrences(kids: np.ndarray, ktxs: np.ndarray, raw: bytes, width: int, wher
 def classes(occ: DataFrame) -> DataFrame:
     """One row per class: its size n, one occurrence of it, and the number of classes of its anchor group (null: it is the only one)."""
     one = cut(occ.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("kid", "ktx", "span")).alias("one")))
-    group = one.groupBy("h").agg(F.count("*").alias("n_classes")).where("n_classes > 1")
+    # aggregates are written before they are joined: Spark splits a hot key only between plain exchanges
+    group = cut(one.groupBy("h").agg(F.count("*").alias("n_classes")).where("n_classes > 1"))
     return one.join(group, "h", "left")
 
 
@@ -85,14 +86,13 @@ def removed(texts: DataFrame, occ: DataFrame, window: int, hot: int, context: Ca
     # all joins with texts take the same exchange of them
     cold = texts.join(asked(cls, hot, False), ["kid", "ktx"]).mapInArrow(context, ASKED_DDL)
     found = cold.repartition("h").sortWithinPartitions("h").mapInArrow(in_blocks(compare, window), CUT_DDL)
-    win = texts.join(asked(cls, hot, True), ["kid", "ktx"]).mapInArrow(hashes, ASKED_DDL)
-    win = win.select("h", "kid", "ktx", "span", "single", F.explode(F.sequence(F.lit(0), (F.octet_length("data") / 8 - 1).cast("int"))).alias("i"), "data")
-    win = win.select("h", (place(span) - first(span) - F.col("i")).alias("o"), F.expr("substring(data, i * 8 + 1, 8)").alias("w"), "kid", "ktx", (first(span) + F.col("i")).cast("int").alias("a"), "single")
-    twice = win.groupBy("h", "o", "w").agg(F.count("*").alias("m")).where("m > 1").select("h", "o", "w")
-    counted = win.where("single").join(twice, ["h", "o", "w"], "left_semi").select("kid", "ktx", "a", (F.col("a") + window).alias("b"))
     cuts = whole.unionByName(found)
     if not cls.where(F.col("n_classes") > hot).isEmpty():
-        cuts = cuts.unionByName(counted)
+        win = texts.join(asked(cls, hot, True), ["kid", "ktx"]).mapInArrow(hashes, ASKED_DDL)
+        win = win.select("h", "kid", "ktx", "span", "single", F.explode(F.sequence(F.lit(0), (F.octet_length("data") / 8 - 1).cast("int"))).alias("i"), "data")
+        win = cut(win.select("h", (place(span) - first(span) - F.col("i")).cast("int").alias("o"), F.expr("substring(data, i * 8 + 1, 8)").alias("w"), "kid", "ktx", (first(span) + F.col("i")).cast("int").alias("a"), "single"))
+        twice = cut(win.groupBy("h", "o", "w").agg(F.count("*").alias("m")).where("m > 1").select("h", "o", "w"))
+        cuts = cuts.unionByName(win.where("single").join(twice, ["h", "o", "w"], "left_semi").select("kid", "ktx", "a", (F.col("a") + window).alias("b")))
     return cuts.groupBy("kid", "ktx").agg(F.collect_list(F.struct("a", "b")).alias("cover"))
 
 

@@ -87,7 +87,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, the kept bytes and the removed spans."""
     texts = keyed(docs, id_col, text_col)
     occ = cut(texts.mapInArrow(_occurrences(window, gram), repeats.OCC_DDL))
-    several = occ.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    several = cut(occ.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"))
     occ = cut(occ.join(several, "h", "left_semi"))
     cover = repeats.removed(texts, occ, window, hot, _contexts(window, False), _contexts(window, True), _sort(window))
     out = texts.join(cover, ["kid", "ktx"], "left").mapInArrow(_rest, "kid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")

@@ -23,6 +23,13 @@ class HashedBlock:
             self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE, np.uint64)]), dtype=np.uint64)
             self.prefix = np.concatenate([[np.uint64(0)], np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * self.power[:n], dtype=np.uint64)])
 
+    def eight(self, p: np.ndarray) -> np.ndarray:
+        """The eight bytes from p on as a number, zeros after the end."""
+        x = np.concatenate([self.data, np.zeros(8, np.uint8)]).astype(np.uint64)
+        for n in (1, 2, 4):
+            x = x[:-n] << np.uint64(8 * n) | x[n:]
+        return x[p]
+
     def equal(self, p: np.ndarray, q: np.ndarray, length) -> np.ndarray:
         with np.errstate(over="ignore"):
             return (self.prefix[p + length] - self.prefix[p]) * self.power[q] == (self.prefix[q + length] - self.prefix[q]) * self.power[p]
@@ -50,9 +57,14 @@ class HashedBlock:
 
 
 def merge_sort(block: HashedBlock, places: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
-    """Order of `places` by group (already ascending) and then by the first `most` bytes of the suffix there."""
+    """Order of `places` by group (ascending as given) and then by the first `most` bytes of the suffix there."""
     n = len(places)
     order = np.arange(n)
+    if most >= 8:  # the first eight bytes are compared as one number; what they leave equal is merged below
+        head = block.eight(places)
+        order = np.lexsort((head, group))
+        group, head = group[order], head[order]
+        group = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (head[1:] != head[:-1])])) if n else group
     begin = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1]) if n else np.empty(0, np.int64)
     size = np.diff(np.concatenate([begin, [n]]))
     start, count = np.repeat(begin, size), np.repeat(size, size)
