@@ -1,0 +1 @@
+"""Bar analytics and strategy replay on Spark DataFrames."""

@@ -6,10 +6,11 @@ weight; its arrivals, drawn from its hash, fall on random registers, a register
 soon as its next arrival is later than every register (early termination). Two signatures agree in a register with the probability
 Jaccard similarity. Bands of registers give candidates, whose texts then decide: every link is verified on the shingles.
 
-Copies (equal word sequences) are one node, its smallest id. In a bucket, all members are compared with the smallest. Then, as long
-as a bucket holds several classes, all its members outside its largest class are compared with the members of other classes, where
-the signatures estimate at least 0.6 (six standard errors below 0.8). So after the last round every pair of a bucket is in one class,
-or was compared, or is estimated far below; no pairs are made within a class.
+Copies (equal word sequences) are one node, its smallest id. In a bucket, all members are compared with the smallest. As long as it
+then holds several classes, a few members outside its largest class (pivots) are compared with the members of other classes, then a
+few more, and at last all that are still outside; only pairs that the signatures estimate at 0.68 or more (3.5 standard errors below
+0.8) are verified. So in the end every pair of a bucket is in one class, or was compared, or is estimated far below; no pairs are
+made within a class.
 
 Documents with fewer than five words have no shingles: they are in a class with their copies only, as are empty and null texts with
 each other. Null ids come last. Rows that repeat with one id are one row each in the result. Extra columns are ignored.
@@ -29,7 +30,9 @@ from .common import cut, mix, rows_of, table, text_bytes, word_hashes, word_plac
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 28, 5
 #: Signatures estimate the similarity of two documents with a standard error of 0.034; below this they are not compared further.
-ESTIMATE = 0.6
+ESTIMATE = 0.68
+#: How many members outside its largest class a bucket compares with all others, round by round; 0: all that are left.
+PIVOTS = (4, 16, 0)
 #: Ids from here on are of rows without an id; real ids are smaller.
 NULLS = 2**62
 _I = pa.int64()
@@ -168,30 +171,35 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     # one text for each node that is in a pair; every later pair is between such nodes
     sample = texts.select(F.col("kid").alias("id"), "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     sample = cut(sample)
-    links = _links(pairs, sample, similar)
-    done = pairs
-    while True:
-        cls = cut(components(nodes, links))
-        sized = cut(member.join(bucket.select("band", "hash"), ["band", "hash"]).join(cls, "id"))
-        parts = sized.groupBy("band", "hash", "class").agg(F.count("*").alias("n"))
-        most = parts.groupBy("band", "hash").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
-        open_ = sized.join(most, ["band", "hash"]).join(same.where("sig is not null").groupBy("id").agg(F.any_value("sig").alias("sig")), "id")
-        open_ = cut(open_)
+    cls, done = cut(components(nodes, _links(pairs, sample, similar))), pairs
+    sigs_of = same.where("sig is not null").groupBy("id").agg(F.any_value("sig").alias("sig"))
+    open_ = member.join(bucket.select("band", "hash"), ["band", "hash"])
+    agree = " + ".join(f"cast(substring(sx, {4 * i + 1}, 4) = substring(sy, {4 * i + 1}, 4) as int)" for i in range(BANDS * ROWS))
+    for pivots in PIVOTS:
+        # what is left: buckets of several classes, all their members
+        open_ = open_.select("band", "hash", "id").join(cls, "id")
+        parts = open_.groupBy("band", "hash", "class").agg(F.count("*").alias("n"))
+        most = cut(parts.groupBy("band", "hash").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1"))
+        open_ = cut(open_.join(most, ["band", "hash"]).join(sigs_of, "id"))
         if open_.isEmpty():
             break
         other = open_.where("class != main").select("band", "hash", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("sig").alias("sx"))
+        if pivots:
+            turn = F.xxhash64("x", F.lit(pivots))
+            other = other.groupBy("band", "hash", F.pmod(turn, F.lit(pivots)).alias("_")).agg(F.min_by(F.struct("x", "cx", "sx"), turn).alias("p")).select("band", "hash", "p.*")
+        other = cut(other)
         rest = open_.select("band", "hash", F.col("id").alias("y"), F.col("class").alias("cy"), F.col("sig").alias("sy"))
-        agree = " + ".join(f"cast(substring(sx, {4 * i + 1}, 4) = substring(sy, {4 * i + 1}, 4) as int)" for i in range(BANDS * ROWS))
-        near = other.join(rest, ["band", "hash"]).where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sx", "sy")
-        near = near.where(F.expr(f"({agree}) >= {int(ESTIMATE * BANDS * ROWS)}")).select("a", "b").distinct()
+        near = other.join(rest, ["band", "hash"]).where(f"cx != cy and ({agree}) >= {int(ESTIMATE * BANDS * ROWS)}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         fresh = cut(near.join(done, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        more = _links(fresh, sample, similar)
-        done = cut(done.unionByName(fresh))
-        if more.isEmpty():
-            break
-        links = cut(links.unionByName(more))
+        done = done.unionByName(fresh)
+        links = _links(fresh, sample, similar)
+        # the new links join classes, and only those are looked at
+        merged = links.join(cls.select(F.col("id").alias("a"), F.col("class").alias("ca")), "a").join(cls.select(F.col("id").alias("b"), F.col("class").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = cut(merged.where("a != b").distinct())
+        if not merged.isEmpty():
+            ids = merged.select(F.col("a").alias("id")).unionByName(merged.select(F.col("b").alias("id"))).distinct()
+            moved = components(ids, merged).select(F.col("id").alias("class"), F.col("class").alias("_to"))
+            cls = cut(cls.join(moved, "class", "left").select("id", F.coalesce("_to", "class").alias("class")))
     per_id = sigs.join(same.select("w1", "w2", "id"), ["w1", "w2"]).groupBy("kid", "id").agg(F.count("*").alias("m")).join(cls, "id")
     size = per_id.groupBy("class").agg(F.sum("m").alias("class_size"), F.min("kid").alias("least"))
     return per_id.join(size, "class").select("kid", "class", "m", "class_size", "least")
