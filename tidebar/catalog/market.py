@@ -120,7 +120,7 @@ def timeframe_map(spark, sf):
     p = prints(spark, sf)
     h = p.select("series_id", (F.floor(F.col("ts_ms") / HOUR) * HOUR + HOUR).alias("ct")).distinct()
     d = p.select("series_id", (F.floor(F.col("ts_ms") / (4 * HOUR)) * 4 * HOUR + 4 * HOUR).alias("ct")).distinct()
-    return resample.timeframe_map(h, d, 240)
+    return resample.timeframe_map(h, d)
 
 
 @query("WITH " + HOURLY.strip() + """ SELECT a.series_id, a.open_ms, b.close AS close_before FROM hourly a LEFT JOIN hourly b ON b.series_id = a.series_id AND b.open_ms = a.open_ms - 10800000""")

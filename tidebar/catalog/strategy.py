@@ -191,7 +191,7 @@ def next_event(spark, sf):
     return next_true(hourly(spark, sf), "close > open * 1.5", "next_ms", ["series_id"], "open_ms").select("series_id", "open_ms", "next_ms")
 
 
-@query("WITH " + HOURLY.strip() + """ SELECT CASE WHEN ((open_ms + 3600000) // 86400000 + 3) % 7 < 5 THEN 0.01 ELSE 0.02 END AS rate, count(*) AS n, round(sum(close * CASE WHEN ((open_ms + 3600000) // 86400000 + 3) % 7 < 5 THEN 0.01 ELSE 0.02 END), 4) AS distance FROM hourly GROUP BY 1""")
+@query("WITH " + HOURLY.strip() + """ SELECT CASE WHEN ((open_ms + 3600000) // 86400000 + 3) % 7 < 5 THEN 0.01::DOUBLE ELSE 0.02::DOUBLE END AS rate, count(*) AS n, round(sum(close * CASE WHEN ((open_ms + 3600000) // 86400000 + 3) % 7 < 5 THEN 0.01::DOUBLE ELSE 0.02::DOUBLE END), 4) AS distance FROM hourly GROUP BY 1""")
 def weekday_rates(spark, sf):
     h = hourly(spark, sf).withColumn("rate", filters.rate_by_day(F.col("open_ms") + HOUR, 0.01, 0.02))
     return h.groupBy("rate").agg(F.count("*").alias("n"), F.round(F.sum(F.col("close") * F.col("rate")), 4).alias("distance"))

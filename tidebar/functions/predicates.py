@@ -52,10 +52,11 @@ class Features:
         return cond if k <= 1 else f"({self.recent('sum', self(f'case when {cond} then 1 else 0 end'), k)} = {k})"
 
     def z(self, x: str, n: int) -> str:
-        return self(f"({x} - {self.prior('avg', x, n)}) / nullif({self.prior('stddev_pop', x, n)}, 0)")
+        # rounded: counts meet a limit exactly, and engines differ in the last digit there
+        return self(f"round(({x} - {self.prior('avg', x, n)}) / nullif({self.prior('stddev_pop', x, n)}, 0), 9)")
 
     def ratio(self, x: str, n: int) -> str:
-        return self(f"{x} / nullif({self.prior('avg', x, n)}, 0)")
+        return self(f"round({x} / nullif({self.prior('avg', x, n)}, 0), 9)")
 
     def corr(self, a: str, b: str, n: int) -> str:
         ab = self.prior("avg", self(f"case when {a} is not null and {b} is not null then {a} * {b} end"), n)

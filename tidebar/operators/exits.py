@@ -147,7 +147,7 @@ def exit_table(entries: DataFrame, bars: DataFrame, plans: list[Plan]) -> DataFr
         out = []
         for p in plans if len(e) and len(b) else ():
             at, price, risk = evaluate(p, cols, i, side)
-            out.append(pd.DataFrame({"series_id": key[0], "i": i, "side": side, "plan_id": p.id, "exit_i": pd.array(np.where(at < len(b), at, -1)).astype("Int64").where(at < len(b)), "exit_px": price, "risk_px": risk}))
+            out.append(pd.DataFrame({"series_id": key[0], "i": i, "side": side, "plan_id": p.id, "exit_i": np.where(at < len(b), at, -1), "exit_px": price, "risk_px": risk}))
         return pd.concat(out) if out else pd.DataFrame({k: [] for k in ("series_id", "i", "side", "plan_id", "exit_i", "exit_px", "risk_px")})
 
     ddl = "series_id string, i long, side int, plan_id int, exit_i long, exit_px double, risk_px double"
@@ -155,7 +155,7 @@ def exit_table(entries: DataFrame, bars: DataFrame, plans: list[Plan]) -> DataFr
     entries, bars = (d.toDF(*d.columns) for d in (entries, bars))
     out = entries.groupBy("series_id").cogroup(bars.groupBy("series_id")).applyInPandas(run, ddl)
     clean = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    return out.select("series_id", "i", "side", "plan_id", "exit_i", clean("exit_px"), clean("risk_px"))
+    return out.select("series_id", "i", "side", "plan_id", F.when(F.col("exit_i") >= 0, F.col("exit_i")).alias("exit_i"), clean("exit_px"), clean("risk_px"))
 
 
 def trailing(bars: dict[str, np.ndarray], i: int, side: int, upto: int, activate: float, give_back: float, mode: str = "retreat") -> tuple[int, float] | None:

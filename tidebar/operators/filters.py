@@ -89,7 +89,7 @@ def higher_filter(code: int, dir_: Column, bars: Column, state: Column, side_: C
 
 
 def holidays(spark: SparkSession, days: dict[int, list[date]]) -> DataFrame:
-    return spark.createDataFrame([(y, d) for y, ds in days.items() for d in ds], "year int, day date")
+    return spark.createDataFrame([(y, d) for y, ds in days.items() for d in (ds or [None])], "year int, day date")
 
 
 def day_kind(df: DataFrame, known: DataFrame, out: str = "off_day") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..core import MINUTE
 from ..sources.bars import ADDITIVE, STATE
+from .asof import asof
 
 
 def resample(bars: DataFrame, minutes: int, base: int = 1, complete: bool = True) -> DataFrame:
@@ -42,9 +43,7 @@ def segments(bars: DataFrame, minutes: int) -> DataFrame:
     return out.withColumn("i", F.row_number().over(W.partitionBy("series_id", "segment").orderBy("ct")) - 1)
 
 
-def timeframe_map(minutes: DataFrame, tf: DataFrame, tf_minutes: int) -> DataFrame:
-    """Each minute with the close time of the latest closed bar of a timeframe (null before the first): an equi join on the grid,
-    carried over where a bar is missing."""
-    grid = (F.floor(F.col("ct") / (tf_minutes * MINUTE)) * tf_minutes * MINUTE).alias("grid")
-    joined = minutes.select("series_id", "ct", grid).join(tf.select("series_id", F.col("ct").alias("grid"), F.col("ct").alias("tf_ct")), ["series_id", "grid"], "left")
-    return joined.select("series_id", "ct", F.last("tf_ct", True).over(W.partitionBy("series_id").orderBy("ct")).alias("tf_ct"))
+def timeframe_map(minutes: DataFrame, tf: DataFrame) -> DataFrame:
+    """Each minute with the close time of the latest closed bar of a timeframe, null before the first."""
+    closes = tf.select("series_id", F.col("ct").alias("ts_ms"), F.col("ct").alias("tf_ct"))
+    return asof(minutes.select("series_id", "ct"), closes, ["tf_ct"]).drop("age_minutes")
