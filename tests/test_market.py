@@ -225,3 +225,33 @@ def test_whipsaw_and_confirm(spark):
     c = state.confirmed(df, "dir = 1", 3, ["series_id"], "ok").orderBy("i").collect()
     assert [r["i"] for r in c if r["ok"]] == [6, 7, 8, 9, 10]
     assert random.Random(1) is not None
+
+
+def test_machines_do_not_look_ahead():
+    from tidebar.functions.machines import MACHINES
+
+    r = np.random.default_rng(5)
+    n = 1500
+    step = r.standard_t(3, n) * 0.004 + 0.002 * np.sin(np.arange(n) / 60)
+    c = 100 * np.exp(np.cumsum(step))
+    o = np.concatenate([[100.0], c[:-1]])
+    b = {"o": o, "c": c, "h": np.maximum(o, c) * (1 + r.random(n) * 0.004), "l": np.minimum(o, c) * (1 - r.random(n) * 0.004), "v": r.lognormal(3, 1, n), "trades": np.ceil(r.lognormal(3, 1, n)), "delta": r.normal(0, 5, n)}
+    fired = {}
+    for name, f in MACHINES.items():
+        whole = f(b)
+        for upto in (500, 1100):
+            assert (f({k: v[:upto] for k, v in b.items()}) == whole[:upto]).all(), name
+        fired[name] = int((whole != 0).sum())
+    assert sum(k > 0 for k in fired.values()) >= 6, fired
+
+
+def test_sequential_machines_on_a_shift():
+    from tidebar.functions.machines import cusum, page_hinkley, probability_ratio
+
+    r = np.random.default_rng(6)
+    x = r.normal(0, 0.01, 700)
+    x[400:] += 0.015
+    b = {"c": 100 * np.exp(np.cumsum(x))}
+    for f in (cusum, page_hinkley, probability_ratio):
+        out = f(b)
+        assert (out[402:440] == 1).any() and not (out[402:440] == -1).any() and not out[:240].any()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.machines import MACHINES, machine_signals
 from ..operators import asof as A
 from ..operators import filters, resample, state
 from ..operators.signals import compound, signal_sql, signals
@@ -256,6 +257,20 @@ def compound_rules(spark, sf):
     return compound(sig, spark.createDataFrame([(1000, "and", [24, 56]), (1001, "or", [31, 73])], "group_id int, logic string, members array<int>"))
 
 
+_WINDOWED = [r for r in R.third_rules() if r.algorithm in ("t023", "t070", "t072", "t096")]
+
+
+@query(_rule_sql(_WINDOWED))
+def rules_third_windowed(spark, sf):
+    return _counted(signals(rule_bars(spark, sf), _WINDOWED, 60))
+
+
+@query()
+def rules_third_machines(spark, sf):
+    """Sequential detectors and event machines; no SQL says them, tests hold them against slow versions and against prefixes."""
+    return _counted(machine_signals(rule_bars(spark, sf), {r.algorithm: r.id for r in R.third_rules() if r.algorithm in MACHINES}))
+
+
 @query()
 def rule_catalogue(spark, sf):
     rows = [(r.id, r.batch, r.algorithm, list(r.params), list(r.needs), r.status, r.placebo) for r in R.catalogue()]

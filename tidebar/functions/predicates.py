@@ -278,10 +278,10 @@ def predicate(f: Features, algorithm: str, params: tuple[float, ...], minutes: i
     }
     if algorithm in placebo:
         return _both(placebo[algorithm])
-    return _family(f, algorithm, params, minutes, ret, true_range)
+    return _family(f, algorithm, params, ret) if params else _third(f, algorithm)
 
 
-def _family(f: Features, algorithm: str, params: tuple[float, ...], minutes: int, ret: str, true_range: str) -> tuple[str, str]:
+def _family(f: Features, algorithm: str, params: tuple[float, ...], ret: str) -> tuple[str, str]:
     lag = f.lag
     n, b = int(params[0]), params[-1]
     change = f(f"c - {lag('c')}")
@@ -411,3 +411,51 @@ def _family(f: Features, algorithm: str, params: tuple[float, ...], minutes: int
         up, dn = _level(f, r, -b, b)
         return f"{up} and {x} > 0", f"{dn} and {x} < 0"
     raise ValueError(f"no such algorithm: {algorithm}")
+
+
+#: What a trade is taken to cost, as a share.
+COST = 0.0001
+
+
+def _edge(f: Features, cond: str) -> str:
+    """Where a condition begins to hold."""
+    x = f(f"case when {cond} then 1 else 0 end")
+    return f"({x} = 1 and coalesce({f.lag(x)}, 0) = 0)"
+
+
+def _third(f: Features, algorithm: str) -> tuple[str, str]:
+    """Algorithms of the third catalogue that need only windows. They have a direction of their own."""
+    lag = f.lag
+    r, d = f(f"ln(c) - ln({lag('c')})"), f(f"delta / {_div('v')}")
+    change = f(f"c - {lag('c')}")
+    if algorithm == "t023":  # the drift of 30 bars, with its bound from the spread of the 240 before, beyond the cost
+        sigma = f.prior("stddev_pop", r, 240)
+        m, bound = f(f"{f.recent('sum', r, 30)} / 60"), f(f"1.6448536269514722 * {sigma} / sqrt(60.0)")
+        return _edge(f, f"{sigma} > 0 and {m} - {bound} > {COST / 10!r} and {r} > 0"), _edge(f, f"{sigma} > 0 and {m} + {bound} < -{COST / 10!r} and {r} < 0")
+    if algorithm == "t070":  # the price moves less for the same flow than it did
+        def slope(n: int) -> str:
+            cov = f"{f.prior('avg', f(f'{d} * {r}'), n)} - {f.prior('avg', d, n)} * {f.prior('avg', r, n)}"
+            sd = f.prior("stddev_pop", f(f"case when {r} is not null then {d} end"), n)
+            return f(f"({cov}) / {_div(f'({sd} * {sd})')}")
+
+        short, long = slope(30), lag(slope(120), 30)
+        collapse = f"{long} > 0 and {short} < 0.3 * {long}"
+        return f"{collapse} and {f.all_run('delta < 0', 3)} and {change} > 0 and c > {lag('h')}", f"{collapse} and {f.all_run('delta > 0', 3)} and {change} < 0 and c < {lag('l')}"
+    if algorithm == "t072":  # flow gathers on one side after it was spread
+        total = _div(f.recent("sum", "v", 60))
+        p, q = (f(f"{f.recent('sum', f(f'case when {d} {side} then v else 0 end'), 60)} / {total}") for side in ("> 0.1", "< -0.1"))
+        part = lambda x: f"case when {x} > 0 then -({x}) * ln({x}) else 0 end"
+        e = f(f"({part(p)} + {part(q)} + {part(f'(1 - {p} - {q})')}) / ln(3.0)")
+        cross = f"{p} is not null and {e} < 0.7 and {lag(e)} > 0.9"
+        return f"{cross} and {p} > 0.7", f"{cross} and {q} > 0.7"
+    if algorithm == "t096":  # records come faster than they did, none on the other side; the first of each such stretch
+        out = []
+        hit = {s: f(f"case when c {op} {f.prior(agg, 'c', 60)} then 1 else 0 end") for s, op, agg in ((1, ">", "max"), (-1, "<", "min"))}
+        for s in (1, -1):
+            recent, older, other = f.recent("sum", hit[s], 20), lag(f.recent("sum", hit[s], 60), 20), f.recent("sum", hit[-s], 20)
+            on = f(f"case when i >= 139 and {recent} / 20.0 > 3 * ({older} + 1) / 60.0 and {recent} >= 3 and {other} = 0 then 1 else 0 end")
+            stretch = f(f"sum(case when {on} = 0 then 1 else 0 end) over ({PART})")
+            nth = f(f"sum({on} * {hit[s]}) over (partition by series_id, segment, {stretch} order by ct)")
+            out.append(f"({on} = 1 and {hit[s]} = 1 and {nth} = 1)")
+        return out[0], out[1]
+    raise ValueError(f"no such algorithm: {algorithm}")

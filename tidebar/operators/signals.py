@@ -24,6 +24,10 @@ def signal_sql(rules: list[Rule], minutes: int, source: str, spark: bool = True)
     fired = []
     for r in rules:
         long, short = predicate(f, r.algorithm, r.params, minutes)
+        if r.batch == "third":  # these have a direction of their own; bars on which both sides fire are left out
+            long, short = f"coalesce({long}, false)", f"coalesce({short}, false)"
+            fired.append(f"case when {long} and not {short} then {r.id} when {short} and not {long} then {-r.id} end")
+            continue
         # a side is +1 or -1; both at once cannot be, as the direction is one
         fired.append(f"case when dir = 1 and ({long}) then {r.id} when dir = -1 and ({short}) then {-r.id} end")
     lines, at = [f"with l_ as (select *, {', '.join(f'{v} as {k}' for k, v in LABELS.items())} from {source} where {valid})"], "l_"
