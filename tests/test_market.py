@@ -255,3 +255,48 @@ def test_sequential_machines_on_a_shift():
     for f in (cusum, page_hinkley, probability_ratio):
         out = f(b)
         assert (out[402:440] == 1).any() and not (out[402:440] == -1).any() and not out[:240].any()
+
+
+def resting(c, h, low, signals, **kw):
+    from tidebar.operators.two_sided import Settings, simulate
+
+    c = np.array(c, float)
+    b = {"c": c, "o": np.concatenate([c[:1], c[:-1]]), "h": np.array(h, float), "l": np.array(low, float)}
+    s = np.zeros((len(c), 2), bool)
+    for i, k in signals:
+        s[i, k] = True
+    fills, summary = simulate(b, s, np.arange(len(c)), Settings(fee=0.0, **kw))
+    return [(i, side, kind, round(p, 4)) for i, side, kind, p in fills[["i", "side", "kind", "price"]].itertuples(index=False)], summary
+
+
+def test_resting_orders_need_a_trade_through():
+    flat = [100.0] * 6
+    assert resting(flat, flat, flat, [(1, 0)])[0] == []  # a touch does not fill
+    fills, _ = resting(flat, flat, [100, 100, 99.9, 100, 100, 100], [(1, 0)])
+    assert fills == [(2, 1, "first", 100.0)]
+    fills, _ = resting(flat, flat, [100, 100, 100, 99.9, 99.9, 99.9], [(1, 0)])
+    assert fills == [(3, 1, "first", 100.0)]
+    assert resting(flat, flat, [100, 100, 100, 100, 99.9, 99.9], [(1, 0)])[0] == []  # the order has gone
+
+
+def test_resting_target_scale_in_and_timeout():
+    c = [100, 100, 99.9, 100, 100, 100.0]
+    fills, r = resting(c, [100, 100, 100, 102, 100, 100], [100, 100, 99.9, 99.9, 100, 100], [(1, 0)], target=0.01)
+    assert fills == [(2, 1, "first", 100.0), (3, 1, "target", 101.0)] and abs(r["pnl"] - 10) < 1e-6
+    fills, _ = resting(c, [100] * 6, [100, 100, 97, 97, 97, 97], [(1, 0)], add_drop=0.02, target=0.5)
+    assert fills[:2] == [(2, 1, "first", 100.0), (2, 1, "add", 98.0)]
+    fills, _ = resting([100, 100, 99.9, 99.9, 99.9, 99.9], [100, 100, 100, 99.9, 99.95, 99.95], [100, 100, 99.8, 99.9, 99.9, 99.9], [(1, 0)], timeout_bars=1, target=0.5, add_drop=0.5)
+    assert (4, 1, "timeout", 99.9) in fills
+
+
+def test_grid_and_ids(spark):
+    from itertools import combinations
+
+    from tidebar.plans import grid as G
+
+    for n in (2, 3, 17, 84):
+        got = [(r["a"], r["b"]) for r in G.pairs(spark, n).orderBy("pair_id").collect()]
+        assert got == list(combinations(range(n), 2))
+    assert len(G.stop_components()) == 84
+    assert G.compound_id("entry", "and", ["b", "a"]) == G.compound_id("entry", "and", ["a", "b", "a"]) < 0
+    assert G.rate_code(" 1.250% ") == "1.25" and G.rate_code("100") == "100"

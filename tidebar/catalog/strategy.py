@@ -10,6 +10,10 @@ from ..operators import selection as S
 from ..operators.asof import next_true
 from ..operators.exits import Plan, exit_table
 from ..operators.replay import Account, replay_grid
+from ..operators.two_sided import Settings, simulate_seeds
+from ..plans.grid import grid as lazy_grid
+from ..plans.grid import stop_components
+from ..plans.grid import stop_dictionary as all_stops
 from .base import HOUR, HOURLY, RULE_BARS, hourly, rule_bars, table
 from .market import ORACLE, QUERIES, query
 
@@ -247,3 +251,25 @@ def grid_resume(spark, sf):
     return S.not_done(g, table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("config_id")))
 
 
+
+
+_NAMES = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(stop_components())) + ") t(i, code)"
+
+
+@query(f"""WITH n AS (SELECT * FROM {_NAMES}) SELECT CAST(i AS BIGINT) AS stop_id, code FROM n
+UNION ALL SELECT {len(stop_components())} + row_number() OVER (ORDER BY a.i, b.i) - 1, a.code || '+' || b.code FROM n a JOIN n b ON a.i < b.i""")
+def stop_dictionary(spark, sf):
+    return all_stops(spark)
+
+
+@query("""SELECT id AS config_id, CAST(id // 180 % 4 AS INT) AS field, CAST(id // 36 % 5 AS INT) AS session, CAST(id // 6 % 6 AS INT) AS stop, CAST(id % 6 AS INT) AS target FROM (SELECT unnest(range(0, 720)) AS id)""")
+def lazy_configurations(spark, sf):
+    return lazy_grid(spark, field=4, session=5, stop=6, target=6)
+
+
+@query()
+def two_sided_seeds(spark, sf):
+    """Resting orders on both sides, long after red and short after green candles, both after flat ones: quantiles over seeds."""
+    b = rule_bars(spark, sf).where("series_id <> 'all'")
+    b = b.select("series_id", "i", "o", "h", "l", "c", (F.col("c") <= F.col("o")).alias("long"), (F.col("c") >= F.col("o")).alias("short"), F.col("i").alias("run"))
+    return S.seed_quantiles(simulate_seeds(b, Settings(target=0.1, add_drop=0.2, timeout_bars=24), 8), ["series_id"], "pnl")
