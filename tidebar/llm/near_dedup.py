@@ -6,8 +6,9 @@ weight; its arrivals, drawn from its hash, fall on random registers, a register
 soon as its next arrival is later than every register (early termination). Two signatures agree in a register with the probability
 Jaccard similarity. Bands of registers give candidates, whose texts then decide: every link is verified on the shingles.
 
-Copies (equal word sequences) are one node, its smallest id. In a bucket, all members are compared with the smallest. As long as it
-then holds several classes, a few members outside its largest class (pivots) are compared with the members of other classes, then a
+Copies (equal word sequences) are one node, its smallest id. In a bucket, all members are compared with the one that meets most
+others over all bands, the middle of its group. As long as it then holds several classes, a few such members outside its largest
+class (pivots) are compared with the members of other classes, then a
 few more, and at last all that are still outside; only pairs that the signatures estimate at 0.68 or more (3.5 standard errors below
 0.8) are verified. So in the end every pair of a bucket is in one class, or was compared, or is estimated far below; no pairs are
 made within a class.
@@ -29,10 +30,10 @@ from .common import cut, mix, rows_of, table, text_bytes, word_hashes, word_plac
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 28, 5
-#: Signatures estimate the similarity of two documents with a standard error of 0.034; below this they are not compared further.
-ESTIMATE = 0.68
-#: How many members outside its largest class a bucket compares with all others, round by round; 0: all that are left.
-PIVOTS = (4, 16, 0)
+#: Rounds of comparing members outside a bucket's largest class with the other classes: how many of them (0: all that are left), and
+#: the least similarity that signatures must estimate, with a standard error of 0.034. What is alike is joined first, so that little
+#: is left for the last round, which leaves nothing out above 0.68.
+ROUNDS = ((4, 0.68), (0, 0.78), (0, 0.68))
 #: Ids from here on are of rows without an id; real ids are smaller.
 NULLS = 2**62
 _I = pa.int64()
@@ -128,20 +129,20 @@ def _verify(similar: float):
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, class) of all nodes: the smallest id reachable over links (a, b), by alternating large and small stars until nothing moves."""
-    edges = cut(links.select("a", "b").where("a != b").distinct())
-    while True:
+    pair = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    edges = cut(pair(links))
+    before = state(edges)
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(large.distinct())
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
+        down = cut(pair(both.where("b > a").join(least, "a").select("b", "m").toDF("a", "b")))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").where("b != m").select("b", "m").toDF("a", "b").unionByName(least.select("a", F.col("m").alias("b")))
-        new = cut(small.where("a != b").distinct())
-        moved = new.exceptAll(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()).isEmpty()
-        edges = new
-        if moved:
+        edges = cut(pair(down.join(least, "a").where("b != m").select("b", "m").toDF("a", "b").unionByName(least.toDF("a", "b"))))
+        now = state(edges)
+        if now == before:
             break
+        before = now
     return nodes.join(edges.select(F.col("a").alias("id"), F.col("b").alias("_to")), "id", "left").select("id", F.coalesce("_to", "id").alias("class"))
 
 
@@ -165,31 +166,37 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     nodes = same.groupBy("id").agg(F.any_value("sig").alias("_"), F.count("*").alias("n")).select("id")
     bands = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> struct(i as band, xxhash64(i, substring(sig, i * {4 * ROWS} + 1, {4 * ROWS})) as hash))")
     member = same.where("sig is not null").select("id", F.explode(bands).alias("x")).select("id", "x.band", "x.hash")
-    bucket = member.groupBy("band", "hash").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = cut(member.join(bucket, ["band", "hash"]).where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    bucket = cut(member.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"))
+    member = cut(member.join(bucket, ["band", "hash"]))
+    # the member that meets most others over all bands stands nearest to the middle of its group
+    member = cut(member.join(cut(member.groupBy("id").agg(F.sum("n").alias("met"))), "id").select("band", "hash", "id", "met"))
+    head = cut(member.groupBy("band", "hash").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("head")))
+    pairs = cut(member.join(head, ["band", "hash"]).where("id != head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    # the same plan at every size: texts and wanted ids meet by hash
+    wanted = wanted.hint("merge")
     # one text for each node that is in a pair; every later pair is between such nodes
     sample = texts.select(F.col("kid").alias("id"), "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     sample = cut(sample)
     cls, done = cut(components(nodes, _links(pairs, sample, similar))), pairs
-    sigs_of = same.where("sig is not null").groupBy("id").agg(F.any_value("sig").alias("sig"))
-    open_ = member.join(bucket.select("band", "hash"), ["band", "hash"])
+    sigs_of = cut(same.where("sig is not null").join(sample.select("id"), "id", "left_semi").groupBy("id").agg(F.any_value("sig").alias("sig")))
+    open_ = member
+    first = "case " + " ".join(f"when substring(sx, {4 * ROWS * i + 1}, {4 * ROWS}) = substring(sy, {4 * ROWS * i + 1}, {4 * ROWS}) then {i}" for i in range(BANDS)) + " end"
     agree = " + ".join(f"cast(substring(sx, {4 * i + 1}, 4) = substring(sy, {4 * i + 1}, 4) as int)" for i in range(BANDS * ROWS))
-    for pivots in PIVOTS:
+    for pivots, least in ROUNDS:
         # what is left: buckets of several classes, all their members
-        open_ = open_.select("band", "hash", "id").join(cls, "id")
+        open_ = open_.select("band", "hash", "id", "met").join(cls, "id")
         parts = open_.groupBy("band", "hash", "class").agg(F.count("*").alias("n"))
         most = cut(parts.groupBy("band", "hash").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1"))
         open_ = cut(open_.join(most, ["band", "hash"]).join(sigs_of, "id"))
         if open_.isEmpty():
             break
-        other = open_.where("class != main").select("band", "hash", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("sig").alias("sx"))
+        other = open_.where("class != main").select("band", "hash", "met", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("sig").alias("sx"))
         if pivots:
-            turn = F.xxhash64("x", F.lit(pivots))
-            other = other.groupBy("band", "hash", F.pmod(turn, F.lit(pivots)).alias("_")).agg(F.min_by(F.struct("x", "cx", "sx"), turn).alias("p")).select("band", "hash", "p.*")
+            other = other.groupBy("band", "hash", F.pmod(F.xxhash64("x"), F.lit(pivots)).alias("_")).agg(F.max_by(F.struct("x", "cx", "sx"), F.struct("met", -F.col("x"))).alias("p")).select("band", "hash", "p.*")
         other = cut(other)
         rest = open_.select("band", "hash", F.col("id").alias("y"), F.col("class").alias("cy"), F.col("sig").alias("sy"))
-        near = other.join(rest, ["band", "hash"]).where(f"cx != cy and ({agree}) >= {int(ESTIMATE * BANDS * ROWS)}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        near = other.join(rest, ["band", "hash"]).where(f"cx != cy and {first} = band and ({agree}) >= {int(least * BANDS * ROWS)}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         fresh = cut(near.join(done, ["a", "b"], "left_anti"))
         done = done.unionByName(fresh)
         links = _links(fresh, sample, similar)
