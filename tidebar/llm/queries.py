@@ -1,5 +1,6 @@
 """Queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
+from . import sql
 from .bpe import op5_byte_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .html_blocks import op7_block_labeller
@@ -18,4 +19,4 @@ QUERIES = {
         op6_classifier_chain, op7_block_labeller, op8_best_fit_packing, op9_substring_dedup, op10_pii_surrogates,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_prob_minhash": sql.OP3, "op4_exact_dedup": OP4_SQL, "op9_substring_dedup": sql.OP9}
