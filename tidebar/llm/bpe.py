@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import rows_of, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Encodings of pieces that a task remembers at a time.
-REMEMBERED = 300_000
+#: Encodings of pieces in one of the two generations that a task remembers.
+REMEMBERED = 250_000
 
 
 class PrefixBpe:
@@ -32,39 +32,42 @@ class PrefixBpe:
         self.ranks = ranks
         self.token = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.joined: dict[tuple[int, int], int] = {}
-        self._valid: dict[tuple[int, int], bool] = {}
+        top = max(ranks.values(), default=0) + 1
+        # each token's halves by its own merge, -1 for single bytes; the token that a pair of tokens merges into, by one number
+        self.first, self.second = [-1] * top, [-1] * top
+        self.joined: dict[int, int] = {}
+        self._valid: dict[int, bool] = {}
         for b, r in sorted(ranks.items(), key=lambda x: x[1]):
             for i in range(1, len(b)):
                 left, right = ranks.get(b[:i]), ranks.get(b[i:])
                 if left is not None and right is not None and left < r and right < r and self._stays(left, right):
-                    self.halves[r] = left, right
-                    self.joined[left, right] = r
+                    self.first[r], self.second[r] = left, right
+                    self.joined[left << 32 | right] = r
                     break
 
     def _stays(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves the boundary between the two tokens alone: undo their merges, the latest first, and see that no merge across the boundary comes before the next one inside."""
+        across, first, second = self.joined.get, self.first, self.second
         before = 1 << 62  # the rank of the merge that was undone last
         while True:
-            across = self.joined.get((left, right))
-            if across is not None and across < before:
+            if across(left << 32 | right, before) < before:
                 return False
-            if left > right and left in self.halves:
-                before, left = left, self.halves[left][1]
-            elif right in self.halves:
-                before, right = right + 1, self.halves[right][0]  # at equal rank the left one merges first
-            elif left in self.halves:
-                before, left = left, self.halves[left][1]
+            if left > right and second[left] >= 0:
+                before, left = left, second[left]
+            elif first[right] >= 0:
+                before, right = right + 1, first[right]  # at equal rank the left one merges first
+            elif second[left] >= 0:
+                before, left = left, second[left]
             else:
                 return True
 
     def valid(self, left: int, right: int) -> bool:
-        known = self._valid.get((left, right))
+        pair = left << 32 | right
+        known = self._valid.get(pair)
         if known is None:
-            if len(self._valid) > 1_000_000:
+            if len(self._valid) > 2_000_000:
                 self._valid.clear()
-            known = self._valid[left, right] = self._stays(left, right)
+            known = self._valid[pair] = self._stays(left, right)
         return known
 
     def extend(self, data: bytes, last: list[int], upto: int | None = None) -> list[int]:
@@ -87,9 +90,36 @@ class PrefixBpe:
             at -= len(self.token[out[-1]])
         return out[::-1]
 
+    @cached_property
+    def ends(self):
+        """All tokens that end at each byte, from one pass over the bytes; bytes stand as characters."""
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for b, r in self.ranks.items():
+            a.add_word(b.decode("latin-1"), (r, len(b)))
+        a.make_automaton()
+        return a
+
+    def last_tokens(self, data: bytes) -> list[int]:
+        """The table of last tokens of a whole piece."""
+        last, known, valid = [-1] * len(data), self._valid.get, self.valid
+        for end, (t, n) in self.ends.iter(data.decode("latin-1")):
+            if last[end] < 0:
+                if n > end:
+                    last[end] = t
+                else:
+                    before = last[end - n]
+                    ok = known(before << 32 | t)
+                    if ok or ok is None and valid(before, t):
+                        last[end] = t
+        if -1 in last:
+            raise ValueError("the vocabulary lacks a byte")
+        return last
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else self.walk_back(self.extend(piece, []))
+        return [whole] if whole is not None else self.walk_back(self.last_tokens(piece))
 
     def edit(self, data: bytes, last: list[int], at: int, removed: int, added: bytes) -> tuple[bytes, list[int]]:
         """The data and table after an edit: entries before it stay, and those after it are taken over once a token's length of them agrees."""
@@ -123,16 +153,20 @@ def _encoded(vocabulary: str | None, with_ids: bool):
 
         bpe = load(vocabulary or public_tokenizers.path(VOCABULARY))
         pieces = regex.compile(public_tokenizers.PATTERN).findall
-        token = bpe.token
 
         class Known(dict):
-            """Pieces met: their ids, as numbers and as text."""
+            """Pieces met: their ids as text, the bytes that these decode to, and the ids."""
+
+            older: dict = {}
 
-            def __missing__(self, piece: str) -> tuple[list[int], str]:
-                ids = bpe.encode(piece.encode("utf-8", "surrogatepass"))
-                if len(self) >= REMEMBERED:
+            def __missing__(self, piece: str) -> tuple[str, bytes, list[int]]:
+                found = self.older.pop(piece, None)
+                if found is None:
+                    ids = bpe.encode(piece.encode("utf-8", "surrogatepass"))
+                    found = " ".join(map(str, ids)), bpe.decode(ids), ids
+                if len(self) >= REMEMBERED:  # two generations, so that what is frequent is never forgotten
+                    self.older = dict(self)
                     self.clear()
-                found = ids, " ".join(map(str, ids))
                 if len(piece) <= 64:
                     self[piece] = found
                 return found
@@ -141,11 +175,9 @@ def _encoded(vocabulary: str | None, with_ids: bool):
         for batch in rows_of(batches):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = [known[p] for p in pieces(text or "")]
-                ids = [i for x, _ in found for i in x]
-                decoded = b"".join([token[i] for i in ids])
-                row = doc_id, len(ids), hashlib.sha256(" ".join([s for _, s in found]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
-                out.append((*row, ids) if with_ids else row)
+                said, decoded, ids = zip(*map(known.__getitem__, pieces(text))) if text else ((), (), ())
+                row = doc_id, sum(map(len, ids)), hashlib.sha256(" ".join(said).encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
+                out.append((*row, [i for x in ids for i in x]) if with_ids else row)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return run
