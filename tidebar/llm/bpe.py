@@ -24,7 +24,7 @@ from .common import rows_of, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Encodings of pieces in one of the two generations that a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 
 
 class PrefixBpe:
@@ -163,7 +163,7 @@ def _encoded(vocabulary: str | None, with_ids: bool):
                 found = self.older.pop(piece, None)
                 if found is None:
                     ids = bpe.encode(piece.encode("utf-8", "surrogatepass"))
-                    found = " ".join(map(str, ids)), bpe.decode(ids), ids
+                    found = " ".join([names[i] for i in ids]), bpe.decode(ids), ids
                 if len(self) >= REMEMBERED:  # two generations, so that what is frequent is never forgotten
                     self.older = dict(self)
                     self.clear()
@@ -171,6 +171,7 @@ def _encoded(vocabulary: str | None, with_ids: bool):
                     self[piece] = found
                 return found
 
+        names = [str(i) for i in range(len(bpe.first))]
         known = Known()
         for batch in rows_of(batches):
             out = []
