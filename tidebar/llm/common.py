@@ -15,8 +15,18 @@ from pyspark.sql import functions as F
 NO_ID = -(2**63)
 
 
+#: Rows in an Arrow batch. Texts may have a hundred thousand characters; a task holds a few batches at a time on both sides.
+BATCH_ROWS = "500"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows to an Arrow batch than Spark's default, which is meant for narrow rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor share; a local one only where the session names none (tests)."""
+    small_batches(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="tidebar-")
@@ -43,6 +53,7 @@ def back_to_id(kid: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -40,7 +40,7 @@ REJECT = 0.1
 BEGINNINGS = (3, 4, 5, 6)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=60_000)
 def _word_features(word: bytes) -> tuple[int, ...]:
     import xxhash
 
@@ -77,7 +77,7 @@ class Linear:
     """Logistic regression on chosen features and some dense columns, by accelerated gradient steps."""
 
     def __init__(self, rows: Rows, dense: np.ndarray, y: np.ndarray, fit: np.ndarray, l2: float = 1e-4, steps: int = 150):
-        self.w, self.d, self.b = np.zeros(1 << BITS), np.zeros(dense.shape[1]), 0.0
+        self.w, self.d, self.b = np.zeros(1 << BITS, np.float32), np.zeros(dense.shape[1]), 0.0
         pos, neg = int((y & fit).sum()), int((~y & fit).sum())
         if not pos or not neg:
             self.b = -30.0 if not pos else 30.0
@@ -106,6 +106,7 @@ class Linear:
             w = wy - 2.0 * scale * (np.bincount(col, g[row], k) + l2 * wy * np.bincount(col, weight[row], k))
             d, b = dy - 0.5 * (x.T @ g), by - 2.0 * g.sum()
         self.w[np.flatnonzero(new >= 0)] = w[new[new >= 0]]
+        self.w = self.w.astype(np.float32)
         self.d, self.b = d, b
 
     def predict(self, rows: Rows, dense: np.ndarray) -> np.ndarray:
