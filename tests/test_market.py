@@ -300,3 +300,74 @@ def test_grid_and_ids(spark):
     assert len(G.stop_components()) == 84
     assert G.compound_id("entry", "and", ["b", "a"]) == G.compound_id("entry", "and", ["a", "b", "a"]) < 0
     assert G.rate_code(" 1.250% ") == "1.25" and G.rate_code("100") == "100"
+
+
+@pytest.fixture(scope="module")
+def candles(spark):
+    from tidebar.catalog.base import rule_bars
+
+    rows = rule_bars(spark, SF).select("series_id", "i", "ct", "o", "h", "l", "c", "atr14", "dir").orderBy("series_id", "i").toPandas()
+    return {k: g.reset_index(drop=True) for k, g in rows.groupby("series_id")}
+
+
+def brute_exits(b, i, side):
+    """plan_id: (exit_i, exit_px) of one entry, bar after bar."""
+    n, px, atr = len(b["c"]), b["c"][i], b["atr14"][i]
+    inside = {1: px * (1 - side * 0.2), 2: px * (1 + side * 0.3), 5: px - side * 0.5 * atr, 10: px + side * 0.5 * atr}
+    ma = [sum(b["c"][j - 9 : j + 1]) / 10 if j >= 9 else math.nan for j in range(n)]
+    wrong = lambda x, y: x < y if side == 1 else x > y
+    hits = {
+        **{p: (lambda j, v=v: b["l"][j] <= v if side == 1 else b["h"][j] >= v) for p, v in inside.items() if p in (1, 5)},
+        **{p: (lambda j, v=v: b["h"][j] >= v if side == 1 else b["l"][j] <= v) for p, v in inside.items() if p in (2, 10)},
+        3: lambda j: j == i + 5, 4: lambda j: j >= i + 3 and all(wrong(x, px) for x in b["c"][j - 2 : j + 1]),
+        6: lambda j: j >= i + 2 and wrong(b["c"][j], ma[j]) and wrong(b["c"][j - 1], ma[j - 1]), 7: lambda j: j == i + 4 and (b["c"][j] - px) * side > 0,
+        8: lambda j: b["dir"][j] == -side, 9: lambda j: b["dir"][j] == -side and (b["c"][j] - px) * side > 0,
+    }
+    first = {p: next((j for j in range(i + 1, n) if f(j)), None) for p, f in hits.items()}
+    return {p: (j, None if j is None else inside.get(p, b["c"][j])) for p, j in first.items()}
+
+
+def test_exit_plans_of_every_entry(spark, candles):
+    want = {}
+    for name, g in candles.items():
+        b = {k: g[k].tolist() for k in g.columns}
+        for i in range(len(g)):
+            if b["c"][i] != b["o"][i]:
+                side = 1 if b["c"][i] > b["o"][i] else -1
+                want |= {(name, i, side, p): x for p, x in brute_exits(b, i, side).items()}
+    assert len(candles) == 6 and "all" in candles
+    rows = market.QUERIES["exit_plans_all"](spark, SF).collect()
+    got = {(r["series_id"], r["i"], r["side"], r["plan_id"]): (r["exit_i"], r["exit_px"]) for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    for k, (j, px) in want.items():
+        assert got[k][0] == j and (px is None and got[k][1] is None or abs(got[k][1] - px) < 1e-5), k
+
+
+def test_replay_of_every_series(spark, candles):
+    got = {r["series_id"]: r for r in market.QUERIES["replay_all_accounts"](spark, SF).collect()}
+    assert got.keys() == candles.keys()
+    for name, g in candles.items():
+        o, h, lo, c = (g[k].tolist() for k in "ohlc")
+        equity, ready, trades, wins, hold, total = 1000.0, -1, 0, 0, 0, 0.0
+        for i in range(len(c) - 1):
+            if c[i] == o[i] or i < ready:
+                continue
+            side = 1 if c[i] > o[i] else -1
+            end, raw = len(c) - 1, side * (c[-1] / c[i] - 1)
+            for j in range(i + 1, len(c)):
+                if (lo[j] <= c[i] * 0.8) if side == 1 else (h[j] >= c[i] * 1.2):
+                    end, raw = j, -0.2
+                    break
+                if (h[j] >= c[i] * 1.2) if side == 1 else (lo[j] <= c[i] * 0.8):
+                    end, raw = j, 0.2
+                    break
+            trades, wins, hold, total, equity, ready = trades + 1, wins + (raw > 0), hold + end - i, total + raw, equity * (1 + raw), end + 1
+        r = got[name]
+        assert (r["trades"], r["wins"], r["hold_bars"]) == (trades, wins, hold), name
+        assert r["sum_ret"] == pytest.approx(total, abs=1e-5) and r["final_equity"] == pytest.approx(equity, rel=1e-6, abs=1e-3)
+
+
+def test_replays_take_every_series(spark, candles):
+    grid = market.QUERIES["replay_configurations"](spark, SF).select("series_id", "config_id").distinct().collect()
+    assert {r["series_id"] for r in grid} == candles.keys() and len(grid) == 6 * 12
+    assert {r["series_id"] for r in market.QUERIES["two_sided_seeds"](spark, SF).collect()} == candles.keys()

@@ -151,12 +151,13 @@ def seed_quantiles(spark, sf):
 _PLANS = [Plan(1, "fixed", 0.2), Plan(2, "target", 0.3), Plan(3, "time", 5), Plan(4, "bad", 3), Plan(5, "atr", 0.5), Plan(6, "ma", 10, 2), Plan(7, "target_time", 4), Plan(8, "event"), Plan(9, "reversal"), Plan(10, "target_atr", 0.5)]
 
 
-def _exit_inputs(spark, sf):
-    b = rule_bars(spark, sf).where("series_id <> 'all'").withColumn("event", F.col("dir"))
+def _exit_inputs(spark, sf, sample=None):
+    """Entries, each bar with a candle for its side, and the bars of all series; sample: only what its SQL says."""
+    b = rule_bars(spark, sf).withColumn("event", F.col("dir"))
     b = b.select("series_id", "i", "ct", "o", "h", "l", "c", "atr14", "event")
-    # every seventh bar is an entry, for the side of its candle
-    e = b.where("i % 7 = 3 and c <> o").select("series_id", "i", F.when(F.col("c") > F.col("o"), 1).otherwise(-1).alias("side"))
-    return e, b
+    b = b.where("series_id <> 'all'") if sample else b
+    e = b.where("c <> o").select("series_id", "i", F.when(F.col("c") > F.col("o"), 1).otherwise(-1).alias("side"))
+    return e.where(sample) if sample else e, b
 
 
 _EXITS = RULE_BARS + """, bb AS (SELECT series_id, CAST(i AS BIGINT) AS i, o, h, l, c, atr14, dir, avg(c) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS ma10 FROM rb WHERE series_id <> 'all'),
@@ -186,6 +187,14 @@ FROM long l LEFT JOIN bb b ON b.series_id = l.series_id AND b.i = l.exit_i"""
 
 @query(_EXITS)
 def exit_plans(spark, sf):
+    """A sample for its SQL, whose join is quadratic: every seventh bar, without the longest series. exit_plans_all has them all."""
+    e, b = _exit_inputs(spark, sf, "i % 7 = 3")
+    return exit_table(e, b, _PLANS).select("series_id", "i", "side", "plan_id", "exit_i", F.round("exit_px", 6).alias("exit_px"))
+
+
+@query()
+def exit_plans_all(spark, sf):
+    """Every plan for every entry of every series."""
     e, b = _exit_inputs(spark, sf)
     return exit_table(e, b, _PLANS).select("series_id", "i", "side", "plan_id", "exit_i", F.round("exit_px", 6).alias("exit_px"))
 
@@ -215,12 +224,12 @@ def grid(spark, series: list[str]) -> DataFrame:
 @query()
 def replay_configurations(spark, sf):
     """Configurations replayed over the bars, all leverages sharing one exit plan, with their metrics."""
-    b = rule_bars(spark, sf).where("series_id <> 'all'").withColumn("event", F.col("dir")).select("series_id", "i", "ct", "o", "h", "l", "c", "atr14", "event")
+    b = rule_bars(spark, sf).withColumn("event", F.col("dir")).select("series_id", "i", "ct", "o", "h", "l", "c", "atr14", "event")
     e = b.where("c <> o").select("series_id", F.lit(24).alias("rule_id"), "i", F.when(F.col("c") > F.col("o"), 1).otherwise(-1).alias("side"), F.col("i").alias("run"))
     stops = {0: [Plan(0, "fixed", 0.5)], 1: [Plan(1, "fixed", 0.2), Plan(2, "bad", 3, intrabar=False)], 2: [Plan(3, "atr", 1)], 3: [Plan(4, "time", 10, intrabar=False)]}
     targets = {0: [Plan(0, "target", 0.3)], 1: [Plan(1, "target_atr", 1)], 2: [Plan(2, "reversal", intrabar=False), Plan(3, "target", 0.5)]}
     base = Account(slippage=0.0005, fee=0.0004, protection=0.9, cooldown=2, bar_minutes=60)
-    found = replay_grid(grid(spark, ["click", "error", "purchase", "signup", "view"]), b, e, stops, targets, base, ("ct", "o", "h", "l", "c", "atr14", "event"))
+    found = replay_grid(grid(spark, ["click", "error", "purchase", "signup", "view", "all"]), b, e, stops, targets, base, ("ct", "o", "h", "l", "c", "atr14", "event"))
     rows = S.account_rows(found).withColumn("initial", F.lit(base.initial))
     return S.finalised(rows, F.lit(30.0))
 
@@ -236,11 +245,21 @@ path AS (SELECT 0 AS k, i, x, raw, 1000.0::DOUBLE * (1 + raw) AS equity FROM x W
 SELECT count(*) AS trades, count_if(raw > 0) AS wins, CAST(sum(x - i) AS BIGINT) AS hold_bars, round(sum(raw), 6) AS sum_ret, round(arg_max(equity, k), 4) AS final_equity FROM path""")
 def replay_one_account(spark, sf):
     """One account without costs, against a recursive query: every entry after the last exit, stop and target at 20 %."""
-    b = rule_bars(spark, sf).where("series_id = 'click'").select("series_id", "i", "ct", "o", "h", "l", "c", "atr14")
+    return _accounts_of(rule_bars(spark, sf).where("series_id = 'click'")).drop("series_id")
+
+
+@query()
+def replay_all_accounts(spark, sf):
+    """The same account on every series."""
+    return _accounts_of(rule_bars(spark, sf))
+
+
+def _accounts_of(bars: DataFrame) -> DataFrame:
+    b = bars.select("series_id", "i", "ct", "o", "h", "l", "c", "atr14")
     e = b.where("c <> o").select("series_id", F.lit(1).alias("rule_id"), "i", F.when(F.col("c") > F.col("o"), 1).otherwise(-1).alias("side"), F.col("i").alias("run"))
-    cfg = spark.createDataFrame([(0, "click", 1, 0, 0, [1.0])], "config_id long, series_id string, rule_id int, stop_id int, target_id int, leverages array<double>")
+    cfg = b.select("series_id").distinct().select(F.xxhash64("series_id").alias("config_id"), "series_id", F.lit(1).alias("rule_id"), F.lit(0).alias("stop_id"), F.lit(0).alias("target_id"), F.array(F.lit(1.0)).alias("leverages"))
     a = S.account_rows(replay_grid(cfg, b, e, {0: [Plan(0, "fixed", 0.2)]}, {0: [Plan(1, "target", 0.2)]}, Account(protection=float("inf"))))
-    return a.select(F.col("trades").cast("long").alias("trades"), F.col("wins").cast("long").alias("wins"), F.col("hold_minutes").alias("hold_bars"), F.round("sum_ret", 6).alias("sum_ret"), F.round("final_equity", 4).alias("final_equity"))
+    return a.select("series_id", F.col("trades").cast("long").alias("trades"), F.col("wins").cast("long").alias("wins"), F.col("hold_minutes").alias("hold_bars"), F.round("sum_ret", 6).alias("sum_ret"), F.round("final_equity", 4).alias("final_equity"))
 
 
 @query("""SELECT CAST(id AS BIGINT) AS config_id, CAST(id // 1320 % 6 AS INT) AS session, CAST(id // 22 % 60 AS INT) AS stop, CAST(id % 22 AS INT) AS leverage FROM (SELECT unnest(range(0, 7920)) AS id)
@@ -270,6 +289,6 @@ def lazy_configurations(spark, sf):
 @query()
 def two_sided_seeds(spark, sf):
     """Resting orders on both sides, long after red and short after green candles, both after flat ones: quantiles over seeds."""
-    b = rule_bars(spark, sf).where("series_id <> 'all'")
+    b = rule_bars(spark, sf)
     b = b.select("series_id", "i", "o", "h", "l", "c", (F.col("c") <= F.col("o")).alias("long"), (F.col("c") >= F.col("o")).alias("short"), F.col("i").alias("run"))
     return S.seed_quantiles(simulate_seeds(b, Settings(target=0.1, add_drop=0.2, timeout_bars=24), 8), ["series_id"], "pnl")
