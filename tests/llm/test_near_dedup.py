@@ -55,6 +55,21 @@ def test_classes_against_brute_force(spark):
     assert {i: (x["class_id"], x["class_size"], x["kept"]) for i, x in got.items()} == {i: (c, sizes[c], c == i) for i, c in want.items()}
 
 
+def test_repetition_in_one_copy_only(spark):
+    """Links are decided on sets: how often one copy repeats a passage must not keep its pair from being compared."""
+    r = random.Random(23)
+    rows = []
+    for k in range(80):
+        base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        new = list(base)
+        for i in range(7):
+            new[200 + 25 * i] = f"v{r.randrange(10**6)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(new[:120] * 19 + new))]
+        assert 0.8 <= jaccard(rows[-2][1], rows[-1][1]) < 0.84
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c d e f", "x"), (None, "q r s t u v", "x"), (4, "a b c d e f", "x"), (4, "a b c d e f", "x"), (9, None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kid string")

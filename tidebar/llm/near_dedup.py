@@ -1,10 +1,11 @@
 """Near duplicates by ProbMinHash, banding and verification.
 
 Two documents are linked when the Jaccard similarity of their sets of five-word shingles is 0.8 or more; classes are the connected
-components of the links. Shingles weigh 1 + ln(occurrences). ProbMinHash: each shingle is a Poisson process whose rate is its
-weight; its arrivals, drawn from its hash, fall on random registers, a register keeps the earliest, and a shingle's process ends as
-soon as its next arrival is later than every register (early termination). Two signatures agree in a register with the probability
-Jaccard similarity. Bands of registers give candidates, whose texts then decide: every link is verified on the shingles.
+components of the links. ProbMinHash: each shingle is a Poisson process whose rate is its weight; its arrivals, drawn from its hash,
+fall on random registers, a register keeps the earliest, and a shingle's process ends as soon as its next arrival is later than every
+register (early termination). Two signatures agree in a register with the probability Jaccard similarity. Here all shingles weigh the
+same, whatever their occurrences: then that is the Jaccard similarity of the sets, by which links are decided. Bands of registers
+give candidates, whose texts then decide: every link is verified on the shingles.
 
 Copies (equal word sequences) are one node, its smallest id. In a bucket, all members are compared with the one that meets most
 others over all bands, the middle of its group. As long as it then holds several classes, a few such members outside its largest
@@ -93,8 +94,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, where = text_bytes(batch.column("text"))
         begin, end, words = word_places(data, where)
         hashed = word_hashes(data, begin, end)
-        text, h, n = shingles(hashed, words)
-        sig = (prob_min_hash(text, h, 1 + np.log(n), batch.num_rows) & np.uint64(0xFFFFFFFF)).astype("<u4")
+        text, h, _ = shingles(hashed, words)
+        sig = (prob_min_hash(text, h, np.ones(len(h)), batch.num_rows) & np.uint64(0xFFFFFFFF)).astype("<u4")
         full = np.zeros(batch.num_rows, bool)
         full[text] = True
         out = []
