@@ -43,6 +43,18 @@ def test_types_and_formats(spark):
     assert out[7:] == texts[7:]
 
 
+def test_account_numbers_of_all_lengths(spark):
+    numbers = ["NO9386011117947", "BE68539007547034", "NL91ABNA0417164300", "SI56263300012039086", "AT611904300234573201", "CH9300762011623852957", "DE89370400440532013000", "GB29NWBK60161331926819", "AE070331234567890123456", "ES9121000418450200051332", "PT50000201231234567890154", "FR1420041010050500013M02606", "PL61109010140000071219812874", "MU17BOMM0101101030300200000MUR", "MT84MALT011000012345MTLCAST001S", "ZZ12345678901234567", "ZZ123456789012345678901234567890123"]
+    spaced = [" ".join(n[i : i + 4] for i in range(0, len(n), 4)) for n in numbers]
+    out = replaced(spark, [f"to {x}{end}" for n, s in zip(numbers, spaced) for x, end in ((n, "."), (s, ""), (s, " EUR, please"))])
+    for k, (n, s) in enumerate(zip(numbers, spaced)):
+        one, two, three = out[3 * k : 3 * k + 3]
+        new = one[3:-1]
+        assert new[:2] == n[:2] and len(new) == len(n) and all(a.isdigit() == b.isdigit() for a, b in zip(new, n)) and new[-6:] != n[-6:], n
+        assert re.sub(" ", "", two[3:]) == new and [len(x) for x in two.split()] == [2, *map(len, s.split())], n
+        assert three == two + " EUR, please", n
+
+
 def test_key_and_coreference(spark):
     texts = ["x ann@a.org y", "z ann@a.org", "bob@a.org"]
     one, two = replaced(spark, texts, "one"), replaced(spark, texts, "two")

@@ -32,6 +32,17 @@ MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Don", "господин", "г
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Doña", "госпожа", "г-жа")
 NEUTRAL = ("Dr", "Prof")
 
+# fixed values: account numbers' lengths by country
+IBANS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban() -> str:
+    """Account numbers in groups of four or none: of a known country's length, else of 16 to 35 characters."""
+    known = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBANS.items())
+    # a last group of its own has a digit, so that a word in capitals that follows is none
+    return rf"(?<![\p{{L}}\p{{N}}])(?=[A-Z]{{2}}\d{{2}})(?:(?:{known})|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?:[A-Z0-9]{{1,3}}| (?=[A-Z]{{0,2}}\d)[A-Z0-9]{{1,3}})?)(?![\p{{L}}\p{{N}}])"
+
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _SECRET = r"(?i:password|passwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
 _TITLE = rf"(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.?"
@@ -42,7 +53,7 @@ PATTERN = "|".join(
         rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
         r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])",
         rf"(?<![\p{{L}}\p{{N}}]){_SECRET}[A-Za-z0-9+/_.-]{{8,200}}+",
-        r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?![\p{L}\p{N}])",
+        _iban(),
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
         r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)",
         r"(?<![\d)])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
