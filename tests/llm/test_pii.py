@@ -55,6 +55,22 @@ def test_account_numbers_of_all_lengths(spark):
         assert three == two + " EUR, please", n
 
 
+def test_secrets_of_all_lengths(spark):
+    long = "".join(f"Ab{i:03}x" for i in range(60))
+    texts = [f"token={long}", f"token={long[:-1]}y", f"secret: {long * 300}.", "password=abc123", "PASSWORD: 'p@ss!w0rd'", "passwd=7 left", "password=abc123, yes", "password: token=abcdefgh12", "password: ann@a.org", "api_key=short", "token=password=abc123"]
+    out = replaced(spark, texts)
+    assert len(out[0]) == len(texts[0]) and not any(long[i : i + 6] in out[0] for i in range(0, 355, 6)) and out[0] != out[1]
+    assert len(out[2]) == len(texts[2]) and long[-30:] not in out[2]
+    new = re.fullmatch(r"password=([0-9a-f]{12})", out[3])[1]
+    assert out[6] == f"password={new}, yes"
+    assert re.fullmatch(r"PASSWORD: '([0-9a-f]{12})'", out[4]) and re.fullmatch("passwd=[0-9a-f]{12} left", out[5])
+    assert re.fullmatch("password: token=[a-z0-9]{10}", out[7]) and "abcdefgh" not in out[7]
+    assert re.fullmatch(r"password: [0-9a-f]{12}", out[8]) and out[9] == texts[9]
+    assert re.fullmatch("token=password=[0-9a-f]{12}", out[10])
+    many = replaced(spark, [f"password={i}" for i in range(10)])
+    assert len(set(many)) == 10
+
+
 def test_key_and_coreference(spark):
     texts = ["x ann@a.org y", "z ann@a.org", "bob@a.org"]
     one, two = replaced(spark, texts, "one"), replaced(spark, texts, "two")

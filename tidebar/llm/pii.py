@@ -5,7 +5,8 @@ keys, values of passwords and tokens, and names after a title. An entity's surro
 canonical form (digits of numbers, lower case of addresses), so the same entity gets the same surrogate in every document and every
 spelling, in the format of that spelling: digits for digits, the letters of the same script and case, separators as they were,
 country codes, card networks with valid check digits, top-level domains, valid octets, names with the title's gender. Domains are
-replaced consistently on their own, and so are surnames.
+replaced consistently on their own, and so are surnames. Passwords are replaced at any length, other secrets from eight characters on;
+those with fewer than eight letters and digits get twelve hexadecimal digits, as there are too few of their own format.
 
 Collision checks keep entities apart: where two of one type would get one surrogate, or a surrogate is itself an entity of the
 corpus, all but the smallest take their next surrogate, until none collide. Entities that took another attempt are few and are
@@ -45,6 +46,8 @@ def _iban() -> str:
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _SECRET = r"(?i:password|passwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
+# values of passwords have any length and signs; a value is no keyword with a value of its own
+_PASSWORD = rf"(?i:password|passwd)\s{{0,3}}[=:]\s{{0,3}}[\"']?(?!{_SECRET})[^\s\"'<>&,;]{{0,}}[\p{{L}}\p{{N}}]"
 _TITLE = rf"(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.?"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
 PATTERN = "|".join(
@@ -52,7 +55,7 @@ PATTERN = "|".join(
         r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}[\p{L}\p{N}-]{2,24}",
         rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
         r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])",
-        rf"(?<![\p{{L}}\p{{N}}]){_SECRET}[A-Za-z0-9+/_.-]{{8,200}}+",
+        rf"(?<![\p{{L}}\p{{N}}])(?:{_PASSWORD}|{_SECRET}(?!{_SECRET})[A-Za-z0-9+/_.-]{{8,}}+)",
         _iban(),
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
         r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)",
@@ -163,7 +166,7 @@ def surrogate(key: str, k: str, c: str, n: str) -> str:
     name = f"concat_ws(' ', case when size({words}) > 1 then {_spoken('s', 1, f'element_at({words}, 1)', gender, False)} end, {surname})"
     body = f"""case {k} when 'email' then {email} when 'ip' then {ip} when 'phone' then {phone} when 'card' then {_card('s', c)} when 'ssn' then {_shape(c, 's')}
         when 'iban' then concat(substring({c}, 1, 2), {_shape(f'substring({c}, 3)', 's')}) when 'key' then concat(substring({c}, 1, 4), {_shape(f'substring({c}, 5)', 's')})
-        when 'secret' then case when {c} rlike '^[0-9a-f]+$' then {hexed} else {_shape(c, 's')} end else {name} end"""
+        when 'secret' then case when length(regexp_replace({c}, {_lit(r'[^\p{L}\p{N}]')}, '')) < 8 then substring(s, 1, 12) when {c} rlike '^[0-9a-f]+$' then {hexed} else {_shape(c, 's')} end else {name} end"""
     return _let("s", own, body)
 
 
