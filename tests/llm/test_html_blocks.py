@@ -81,3 +81,18 @@ def test_query(spark, model):
     text = H.main_texts(model, [PAGE])[0]
     assert got == sorted([(1, "u", text, len(text))] * 2 + [(None, None, "", 0), (3, "v", "", 0)], key=str)
     assert H.extract(df.limit(0), model=model).count() == 0
+
+
+def test_only_scripts_and_styles_are_cut():
+    texts = lambda page: [b.text for b in H.blocks(page)]
+    for tag in ('<svg class="i"/>', "<svg>", "<video-player a='1'></video-player>", "<style-guide>", "<noscript>", "<canvas>"):
+        assert texts(f"<p>a</p>{tag}<p>rest of article</p>") == ["a", "rest of article"], tag
+    assert texts("<p>if <math><mi>x</mi></math> is <object>seen</object> <noscript>now</noscript></p>") == ["if x is seen now"]
+    assert texts("<p>a</p><script>b</script><style >c</style><p>d</p><script>e<p>f</p>") == ["a", "d"]
+
+
+def test_deep_pages_keep_their_containers():
+    page = '<article class="story">' + "<div>" * 400 + "<p>deep</p>" + "</article><p>after</p>"
+    deep, after = H.blocks(page)
+    assert set(H._path_ids("article", ' class="story"')) <= set(deep.path)
+    assert after.path == sorted(H._path_ids("p", ""))

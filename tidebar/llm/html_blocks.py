@@ -7,7 +7,8 @@ article. The labeller is trained here, on pages made by `training_page`: article
 adverts, forms and reader comments, with varied element names; training takes seconds and is the same each time.
 
 Null, empty and tag-less html have no main text, or their one block if it reads as one. Broken markup never fails: unclosed elements
-end with their parents, a `<` that begins no tag is text, an unfinished tag or comment at the end is dropped. Pages are read whole.
+end with their parents, a `<` that begins no tag is text, an unfinished tag or comment at the end is dropped. Only the content of
+scripts and styles is no text; one that never ends goes on to the page's end. Pages are read whole.
 Repeated rows get equal results. Extra columns are ignored.
 """
 
@@ -17,6 +18,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,14 +32,13 @@ from .common import rows_of, table
 # fixed values: elements that begin and end a block of their own, elements without content, elements whose content is not text
 BLOCKS = frozenset("address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|template|noscript|iframe|svg|math|object|canvas|audio|video"
+RAW = "script|style"
 #: Elements that a new one of the same name ends.
 ENDS_ITSELF = frozenset("p li dt dd option tr td th".split())
-_TOKEN = re.compile(rf"<!--(?:.*?-->|.*\Z)|<({RAW})\b(?>[^<>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S | re.I)
+_TOKEN = re.compile(rf"<!--(?:.*?-->|.*\Z)|<({RAW})(?=[\s/>])(?>[^<>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S | re.I)
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 PATHS, WORDS, WIDTH, HIDDEN, MEASURES = 1 << 12, 1 << 13, 16, 24, 8
-DEPTH = 16
 
 
 @lru_cache(maxsize=50_000)
@@ -63,13 +64,24 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[int, ...]]] = []
     parts: list[str] = []
     links, anchor, at = 0, False, 0
+    # how often each id and name is on the stack, so that deep pages take no longer
+    held: Counter[int] = Counter()
+    opened: Counter[str] = Counter()
+
+    def pop() -> str:
+        name, ids = stack.pop()
+        opened[name] -= 1
+        for i in ids:
+            held[i] -= 1
+            if not held[i]:
+                del held[i]
+        return name
 
     def flush() -> None:
         nonlocal links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = sorted({i for _, ids in stack[-DEPTH:] for i in ids})
-            out.append(Block(text, path, min(links, len(text)), stack[-1][0] if stack else ""))
+            out.append(Block(text, sorted(held), min(links, len(text)), stack[-1][0] if stack else ""))
         parts.clear()
         links = 0
 
@@ -96,13 +108,15 @@ def blocks(page: str | None) -> list[Block]:
             continue
         flush()
         if end:
-            if any(n == name for n, _ in stack[-256:]):
-                while stack.pop()[0] != name:
+            if opened[name]:
+                while pop() != name:
                     pass
         elif name not in VOID:
             if name in ENDS_ITSELF and stack and stack[-1][0] == name:
-                stack.pop()
+                pop()
             stack.append((name, _path_ids(name, attributes or "")))
+            opened[name] += 1
+            held.update(stack[-1][1])
         anchor = False
     if at < len(page):
         take(page[at:])
