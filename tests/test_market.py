@@ -371,3 +371,14 @@ def test_replays_take_every_series(spark, candles):
     grid = market.QUERIES["replay_configurations"](spark, SF).select("series_id", "config_id").distinct().collect()
     assert {r["series_id"] for r in grid} == candles.keys() and len(grid) == 6 * 12
     assert {r["series_id"] for r in market.QUERIES["two_sided_seeds"](spark, SF).collect()} == candles.keys()
+
+
+def test_all_stop_definitions():
+    from tidebar.plans import grid as G
+
+    assert "stop_dictionary_all" in market.QUERIES
+    codes = G.all_stop_codes()
+    assert len(codes) == len(set(codes)) == 6666
+    assert codes[:4] == ["S1", "S3_1m", "S1+S3_1m", "S4_1m"] and codes[151] == "OFF" and codes[152] == "S1+S9_1m" and codes[911] == "OFF+S9_4h"
+    assert codes[912] == "ATR50_1m" and codes[995] == "BAD30_1m" and codes[996] == "S1+ATR50_1m" and codes[3179] == "S9_4h+BAD30_1m" and codes[-1] == "BAD15_1m+BAD30_1m"
+    assert {"S3_15m+S5_15m+S9_5m", "S1+S3_1m+S9_4h", "S1+S3_15m+S4_15m+S5_15m+S6_15m"} <= set(codes)

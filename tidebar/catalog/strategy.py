@@ -11,6 +11,7 @@ from ..operators.asof import next_true
 from ..operators.exits import Plan, exit_table
 from ..operators.replay import Account, replay_grid
 from ..operators.two_sided import Settings, simulate_seeds
+from ..plans.grid import all_stop_codes
 from ..plans.grid import grid as lazy_grid
 from ..plans.grid import stop_components
 from ..plans.grid import stop_dictionary as all_stops
@@ -281,6 +282,12 @@ def stop_dictionary(spark, sf):
     return all_stops(spark)
 
 
+@query()
+def stop_dictionary_all(spark, sf):
+    """All stop definitions with their frozen numbers; stop_dictionary has single stops and pairs of the newer ones only."""
+    return spark.createDataFrame(list(enumerate(all_stop_codes())), "stop_id long, code string")
+
+
 @query("""SELECT id AS config_id, CAST(id // 180 % 4 AS INT) AS field, CAST(id // 36 % 5 AS INT) AS session, CAST(id // 6 % 6 AS INT) AS stop, CAST(id % 6 AS INT) AS target FROM (SELECT unnest(range(0, 720)) AS id)""")
 def lazy_configurations(spark, sf):
     return lazy_grid(spark, field=4, session=5, stop=6, target=6)

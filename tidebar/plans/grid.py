@@ -57,6 +57,26 @@ def stop_dictionary(spark: SparkSession) -> DataFrame:
     return single.unionByName(two)
 
 
+def all_stop_codes() -> list[str]:
+    """The codes of all stop definitions, each at its frozen number: 912 older ones, 84 single, 84 x 26 and C(84, 2) pairs."""
+    from itertools import combinations
+
+    times = TIMEFRAMES[::-1]
+    base = ["S1"]
+    for t in times:
+        for n in range(1, 5):
+            for some in combinations([f"S{k}_{t}" for k in (3, 4, 5, 6)], n):
+                base += ["+".join(some), "+".join(("S1", *some))]
+    base.append("OFF")
+    codes = base + [f"{b}+S9_{t}" for t in times for b in base]
+    old = ["S1"] + [f"S{k}_{t}" for t in times for k in (3, 4, 5, 6, 9)]
+    new = []
+    for t in times:
+        new += [f"ATR{int(k * 100)}_{t}" for k in ATR_MULTIPLES] + [f"MA{n}C{k}_{t}" for n in AVERAGES for k in CONFIRMS]
+    new += [f"BAD{n}_1m" for n in BAD_CLOSES]
+    return codes + new + [f"{o}+{x}" for x in new for o in old] + [f"{a}+{b}" for a, b in combinations(new, 2)]
+
+
 def compound_id(kind: str, logic: str, members: list[str]) -> int:
     """A negative id that follows from what a compound rule is, in whatever order its members are given."""
     import hashlib
