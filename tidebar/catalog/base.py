@@ -152,8 +152,8 @@ def _fold_sql() -> str:
 RB0 = """, rb0 AS (
   SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ct) - 1 AS i FROM (
     SELECT b.*, CASE WHEN b.ct - f.ts_ms <= 3600000 THEN f.oi END AS oi, CASE WHEN b.ct - f.ts_ms <= 3600000 THEN f.oiv END AS oiv, CASE WHEN b.ct - f.ts_ms <= 86400000 THEN f.funding END AS funding
-    FROM (SELECT series_id, open_ms, open_ms + 3600000 AS ct, open AS o, high AS h, low AS l, close AS c, volume AS v, quote_volume AS qv, CAST(trades AS DOUBLE) AS trades, taker_buy_base / volume AS ratio,
-                 2 * taker_buy_base - volume AS delta, volume / trades AS avg_size, taker_buy_quote / quote_volume AS tq_ratio, 2 * taker_buy_quote - quote_volume AS delta_quote FROM hourly) b
+    FROM (SELECT series_id, open_ms, open_ms + 3600000 AS ct, open AS o, high AS h, low AS l, close AS c, volume AS v, quote_volume AS qv, CAST(trades AS DOUBLE) AS trades, taker_buy_base / nullif(volume, 0) AS ratio,
+                 2 * taker_buy_base - volume AS delta, volume / nullif(trades, 0) AS avg_size, taker_buy_quote / nullif(quote_volume, 0) AS tq_ratio, 2 * taker_buy_quote - quote_volume AS delta_quote FROM hourly) b
     ASOF LEFT JOIN (SELECT series_id, ts_ms, arg_max(oi, trade_id) AS oi, arg_max(oiv, trade_id) AS oiv, arg_max(funding, trade_id) AS funding FROM feed GROUP BY ALL) f ON f.series_id = b.series_id AND b.ct >= f.ts_ms)
 ), day1 AS (
   SELECT series_id, open_ms // 86400000 AS day, CASE WHEN count(*) = 24 THEN (max(h) + min(l) + arg_max(c, ct)) / 3 END AS pivot_,

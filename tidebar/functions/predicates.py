@@ -98,7 +98,7 @@ def predicate(f: Features, algorithm: str, params: tuple[float, ...], minutes: i
     safe = "nullif(h - l, 0)"
     green, red = "(c > o)", "(c < o)"
     sides = lambda x, p, q, y=None: (f"{x} {p}", f"{y or x} {q}")
-    ret = f"(c / {lag('c')} - 1)"
+    ret = f"(c / nullif({lag('c')}, 0) - 1)"
     if algorithm == "zero":
         return sides("x", "> 0", "< 0")
     if algorithm == "wick":
@@ -109,7 +109,7 @@ def predicate(f: Features, algorithm: str, params: tuple[float, ...], minutes: i
         ma = f.recent("avg", "c", 20)
         return sides(ma, f"> {lag(ma, n)}", f"< {lag(ma, n)}")
     if algorithm in ("distance", "distance_min"):
-        d = f(f"c / {f.recent('avg', 'c', 20)} - 1")
+        d = f(f"c / nullif({f.recent('avg', 'c', 20)}, 0) - 1")
         return (f"{d} >= 0 and {d} <= {a}", f"{d} <= 0 and {d} >= -{a}") if algorithm == "distance" else sides(d, f">= {a}", f"<= -{a}")
     d1 = f(f"x - {lag('x')}") if algorithm.startswith("macd_") else ""
     d2 = f(f"{d1} - {lag(d1)}") if algorithm in ("macd_accel", "macd_accel2", "macd_decel") else ""
@@ -171,7 +171,7 @@ def predicate(f: Features, algorithm: str, params: tuple[float, ...], minutes: i
         return _both(f"{er} {'>=' if algorithm.endswith('min') else '<='} {a}")
     if algorithm in ("vwap_side", "vwap_distance"):
         w = 20 if algorithm == "vwap_distance" else n
-        d = f(f"c / ({f.recent('sum', f('(h + l + c) / 3 * v'), w)} / nullif({f.recent('sum', 'v', w)}, 0)) - 1")
+        d = f(f"c / nullif({f.recent('sum', f('(h + l + c) / 3 * v'), w)} / nullif({f.recent('sum', 'v', w)}, 0), 0) - 1")
         return sides(d, ">= 0", "<= 0") if algorithm == "vwap_side" else (f"{d} >= 0 and {d} <= {a}", f"{d} <= 0 and {d} >= -{a}")
     if algorithm == "close_break":
         return f"c > {f.prior('max', 'c', n)}", f"c < {f.prior('min', 'c', n)}"
@@ -198,7 +198,7 @@ def predicate(f: Features, algorithm: str, params: tuple[float, ...], minutes: i
         s = f(span)
         return _both(f"{s} <= {f.prior('min', s, n - 1)}" if algorithm == "nr_n" else f"{s} >= {f.prior('max', s, n - 1)}")
     if algorithm in ("return2_min", "return5_min", "return5_contra"):
-        r = f"(c / {lag('c', int(algorithm[6]))} - 1)"
+        r = f"(c / nullif({lag('c', int(algorithm[6]))}, 0) - 1)"
         return sides(r, f"<= -{a}", f">= {a}") if algorithm.endswith("contra") else sides(r, f">= {a}", f"<= -{a}")
     if algorithm == "two_bar_reversal":
         mid = f"({ph} + {pl}) / 2"
@@ -213,9 +213,9 @@ def predicate(f: Features, algorithm: str, params: tuple[float, ...], minutes: i
         if algorithm[0] == "a":
             y = "atr14"
         elif algorithm[0] == "r":
-            y = f.recent("stddev_pop", f(f"ln(c / {pc})"), 10)
+            y = f.recent("stddev_pop", f(f"case when c > 0 and {pc} > 0 then ln(c / {pc}) end"), 10)
         else:
-            y = f(f"4.0 * {f.recent('stddev_pop', 'c', 20)} / {f.recent('avg', 'c', 20)}")
+            y = f(f"4.0 * {f.recent('stddev_pop', 'c', 20)} / nullif({f.recent('avg', 'c', 20)}, 0)")
         return _both(f"{f.ratio(y, 60)} {'<=' if algorithm.endswith('low') else '>='} {a}")
     true_range = f"case when {pc} is not null then greatest(h - l, abs(h - {pc}), abs(l - {pc})) end"
     if algorithm == "tr_z_high":
@@ -302,7 +302,7 @@ def _family(f: Features, algorithm: str, params: tuple[float, ...], ret: str) ->
         z = f.wma(f(f"2 * {f.wma('c', n // 2)} - {f.wma('c', n)}"), int(n**0.5))
         return f"{z} > {lag(z)} and c > {z}", f"{z} < {lag(z)} and c < {z}"
     if algorithm in ("reg_reentry", "reg_t"):
-        y = "c" if algorithm == "reg_reentry" else f("ln(c)")
+        y = "c" if algorithm == "reg_reentry" else f("case when c > 0 then ln(c) end")
         sx, xx = n * (n - 1) / 2, n * (n - 1) * (2 * n - 1) / 6 - (n * (n - 1) / 2) ** 2 / n
         sy, sxy = f.prior("sum", y, n), f(f"{f.prior('sum', f(f'i * {y}'), n)} - (i - {n}) * {f.prior('sum', y, n)}")
         slope = f(f"({sxy} - {sx} * {sy} / {n}) / {xx}")
@@ -366,7 +366,8 @@ def _family(f: Features, algorithm: str, params: tuple[float, ...], ret: str) ->
         s = f(f"case when {var} > 1e-14 then {(n * (n - 1)) ** 0.5 / (n - 2)} * ({m3} - 3 * {m} * {m2} + 2 * {m} * {m} * {m}) / ({var} * sqrt({var})) end")
         return f"{s} < -{b} and {ret} > 0", f"{s} > {b} and {ret} < 0"
     if algorithm == "park_release":
-        q = f.recent("avg", f("ln(h / l) * ln(h / l) / (4 * ln(2.0))"), n)
+        spread = f("case when l > 0 and h > 0 then ln(h / l) end")  # a bar without a price has no spread
+        q = f.recent("avg", f(f"{spread} * {spread} / (4 * ln(2.0))"), n)
         r = f(f"{q} / {_div(f.prior('avg', q, 60))}")
         good = f"{r} > {b} and {lag(r)} <= {b}"
         return f"{good} and c > o", f"{good} and c < o"
@@ -394,7 +395,7 @@ def _family(f: Features, algorithm: str, params: tuple[float, ...], ret: str) ->
         short, long = f(f"c - {lag('c', n)}"), f(f"c - {lag('c', int(b))}")
         return f"{long} > 0 and {short} > 0 and {lag(short)} <= 0", f"{long} < 0 and {short} < 0 and {lag(short)} >= 0"
     if algorithm == "trade_intensity":
-        y = f("trades / case when abs((h - l) / c) > 1e-20 then (h - l) / c end")
+        y = f("trades / case when abs((h - l) / nullif(c, 0)) > 1e-20 then (h - l) / c end")
         good = f"{y} >= {b} * {f.prior('avg', y, n)}"
         return f"{good} and c >= l + 0.75 * (h - l) and c > o", f"{good} and c <= l + 0.25 * (h - l) and c < o"
     if algorithm == "flow_accel":
@@ -426,7 +427,7 @@ def _edge(f: Features, cond: str) -> str:
 def _third(f: Features, algorithm: str) -> tuple[str, str]:
     """Algorithms of the third catalogue that need only windows. They have a direction of their own."""
     lag = f.lag
-    r, d = f(f"ln(c) - ln({lag('c')})"), f(f"delta / {_div('v')}")
+    r, d = f(f"case when c > 0 and {lag('c')} > 0 then ln(c) - ln({lag('c')}) end"), f(f"delta / {_div('v')}")
     change = f(f"c - {lag('c')}")
     if algorithm == "t023":  # the drift of 30 bars, with its bound from the spread of the 240 before, beyond the cost
         sigma = f.prior("stddev_pop", r, 240)
