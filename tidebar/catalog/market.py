@@ -169,7 +169,7 @@ def strict_reversal_states(spark, sf):
     return _states(spark, sf).select("series_id", "open_ms", "turn", "sufficient", "state", "breaks")
 
 
-@query("WITH " + _STATES.strip() + " SELECT series_id, open_ms, run_id, row_number() OVER (PARTITION BY series_id, run_id ORDER BY open_ms) - 1 AS run_bars, trough, peak FROM s4")
+@query("WITH " + _STATES.strip() + " SELECT series_id, open_ms, run_id, row_number() OVER (PARTITION BY series_id, run_id ORDER BY open_ms) AS run_bars, trough, peak FROM s4")
 def runs_and_pivots(spark, sf):
     return _states(spark, sf).select("series_id", "open_ms", "run_id", "run_bars", "trough", "peak")
 
@@ -188,13 +188,108 @@ _HR = "(open_ms + 3600000) % 86400000 // 3600000"
 
 
 @query("WITH " + HOURLY.strip() + f""" SELECT name, count(*) AS n FROM hourly, (VALUES ('ALL'), ('WEEKDAY'), ('WEEKEND'), ('ASIA'), ('EU'), ('US'), ('EX_THIN')) t(name)
-WHERE CASE name WHEN 'ALL' THEN true WHEN 'WEEKDAY' THEN {_WEEK} < 5 WHEN 'WEEKEND' THEN {_WEEK} >= 5 WHEN 'ASIA' THEN {_HR} < 8 WHEN 'EU' THEN {_HR} >= 7 AND {_HR} < 16 WHEN 'US' THEN {_HR} >= 13 AND {_HR} < 22 ELSE {_HR} < 22 END GROUP BY name""")
+WHERE CASE name WHEN 'ALL' THEN true WHEN 'WEEKDAY' THEN {_WEEK} < 5 WHEN 'WEEKEND' THEN {_WEEK} >= 5 WHEN 'ASIA' THEN {_HR} < 8 WHEN 'EU' THEN {_HR} >= 7 AND {_HR} < 16 WHEN 'US' THEN {_HR} >= 13 AND {_HR} < 22 ELSE NOT ({_HR} >= 22 OR {_HR} < 2) END GROUP BY name""")
 def session_filter(spark, sf):
     h = hourly(spark, sf).select((F.col("open_ms") + HOUR).alias("ct"))
     names = ["ALL", "WEEKDAY", "WEEKEND", "ASIA", "EU", "US", "EX_THIN"]
     return h.select(F.explode(F.array_compact(F.array(*(F.when(filters.session(n), F.lit(n)) for n in names)))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
+# the state machine itself, run by run: short runs in a row, the end of the pause
+_PAUSE = _STATES + """, rr AS (SELECT series_id, run_id, count(*) AS len, min(open_ms) + 3600000 AS begin FROM s4 GROUP BY ALL),
+  machine(series_id, run_id, bad, cur) AS (
+    SELECT series_id, run_id, 0, 0::BIGINT FROM rr WHERE run_id = 1
+    UNION ALL
+    SELECT n.series_id, n.run_id, CASE WHEN p.len < 3 AND m.bad + 1 < 2 THEN m.bad + 1 ELSE 0 END, CASE WHEN p.len < 3 AND m.bad + 1 >= 2 THEN greatest(m.cur, n.begin + 300 * 60000) ELSE m.cur END
+    FROM machine m JOIN rr p ON p.series_id = m.series_id AND p.run_id = m.run_id JOIN rr n ON n.series_id = m.series_id AND n.run_id = m.run_id + 1
+  )"""
+
+
+@query("WITH RECURSIVE " + _PAUSE.strip() + " SELECT s4.series_id, open_ms, open_ms + 3600000 < cur AS paused FROM s4 JOIN machine USING (series_id, run_id)")
+def whipsaw_pause(spark, sf):
+    """Pauses of five hours after two short runs (under three bars) in a row."""
+    return state.whipsaw_pause(_states(spark, sf), ["series_id"], 3, 300).select("series_id", "open_ms", "paused")
+
+
+_FOUR = """, q0 AS (
+  SELECT series_id, open_ms // 14400000 * 14400000 AS open_ms, arg_min(open, open_ms) AS open, max(high) AS high, min(low) AS low, arg_max(close, open_ms) AS close, sum(volume) AS volume FROM hourly GROUP BY 1, 2
+), q1 AS (
+  SELECT *, row_number() OVER w - 1 AS k, lag(close) OVER w AS p1, lag(close, 2) OVER w AS p2, lag(volume) OVER w AS pv FROM q0 WINDOW w AS (PARTITION BY series_id ORDER BY open_ms)
+), q2 AS (
+  SELECT *, coalesce(CAST(last_value(nullif(sign(close - p1), 0) IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS INT), 0) AS d,
+    coalesce(last_value(CASE WHEN close > p1 AND p1 < p2 THEN CASE WHEN volume > pv THEN 1 ELSE 2 END WHEN close < p1 AND p1 > p2 THEN CASE WHEN volume > pv THEN -1 ELSE -2 END END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY k ROWS UNBOUNDED PRECEDING), 0) AS st FROM q1
+), q3 AS (SELECT *, max(CASE WHEN d IS DISTINCT FROM pd OR k = 0 THEN k END) OVER (PARTITION BY series_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS begin FROM (SELECT *, lag(d) OVER (PARTITION BY series_id ORDER BY k) AS pd FROM q2)),
+  rr AS (SELECT series_id, begin, count(*) AS len, min(open_ms) + 14400000 AS turn, row_number() OVER (PARTITION BY series_id ORDER BY begin) AS run_no FROM q3 GROUP BY series_id, begin),
+  machine(series_id, run_no, bad, cur) AS (
+    SELECT series_id, run_no, 0, 0::BIGINT FROM rr WHERE run_no = 1
+    UNION ALL
+    SELECT n.series_id, n.run_no, CASE WHEN p.len < 3 AND m.bad = 0 THEN 1 ELSE 0 END, CASE WHEN p.len < 3 AND m.bad = 1 THEN greatest(m.cur, n.turn + 1200 * 60000) ELSE m.cur END
+    FROM machine m JOIN rr p ON p.series_id = m.series_id AND p.run_no = m.run_no JOIN rr n ON n.series_id = m.series_id AND n.run_no = m.run_no + 1
+  ),
+  native AS (SELECT q3.series_id, q3.open_ms + 14400000 AS tf_ct, k, d, k - q3.begin + 1 AS cnt, st, cur FROM q3 JOIN rr ON rr.series_id = q3.series_id AND rr.begin = q3.begin JOIN machine m ON m.series_id = rr.series_id AND m.run_no = rr.run_no),
+  base AS (SELECT series_id, open_ms + 3600000 AS ct, row_number() OVER (PARTITION BY series_id ORDER BY open_ms) - 1 AS i FROM hourly),
+  mapped AS (SELECT b.*, k, d, cnt, st, cur FROM base b ASOF LEFT JOIN native n ON n.series_id = b.series_id AND b.ct >= n.tf_ct)"""
+
+
+@query("WITH RECURSIVE " + HOURLY.strip() + _FOUR + """, cases AS (SELECT f.frame, c.code, s.side FROM (VALUES ('long'), ('short')) f(frame), (SELECT unnest(range(0, 5)) AS code) c, (VALUES (1), (-1)) s(side)),
+hit AS (SELECT frame, code, side, series_id, CASE code
+    WHEN 0 THEN i >= 20
+    WHEN 1 THEN i >= 20 AND k >= 5 AND CASE frame WHEN 'long' THEN NOT (cnt <= 3 AND k >= 1 AND d = -side) ELSE d = side AND NOT ct < cur END
+    WHEN 2 THEN i >= 20 AND k >= 5 AND CASE frame WHEN 'long' THEN cnt <= 3 AND k >= 1 AND d = side ELSE d = side END
+    WHEN 3 THEN i >= 20 AND k >= 5 AND st = side
+    ELSE i >= 20 AND k >= 5 AND (st = side OR st = -2 * side) END AS ok FROM mapped, cases)
+SELECT frame, CAST(code AS INT) AS code, side, series_id, count_if(ok) AS n FROM hit GROUP BY ALL""")
+def higher_filters(spark, sf):
+    """How many hourly bars each filter of a four-hour frame admits, in the meaning of the long frames and in that of the short one."""
+    by = ["series_id"]
+    h = hourly(spark, sf).select("series_id", "open_ms", "open", "high", "low", "close", "volume")
+    q = resample.resample(h, 240, 60, complete=False).withColumn("ct", F.col("open_ms") + 4 * HOUR)
+    q = state.latched_case(state.reversals(state.with_direction(q, "close", by), "close", "volume", by), by)
+    q = state.pause_until(state.runs(q, "dir", by), by, 3, 1200).withColumn("native", F.row_number().over(W.partitionBy(*by).orderBy("ct")) - 1)
+    b = h.select("series_id", (F.col("open_ms") + HOUR).alias("ct")).withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy("ct")) - 1)
+    b = A.asof(b, q.withColumnRenamed("ct", "ts_ms"), ["native", "dir", "run_bars", "state", "pause_until"])
+    paused = F.coalesce(F.col("ct") < F.col("pause_until"), F.lit(False))
+    c = F.col
+    # all cases in one pass: counts of conditions, not rows for each case
+    cases = [(frame, code, side) for frame in ("long", "short") for code in range(5) for side in (1, -1)]
+    ok = lambda frame, code, side: filters.higher_filter(code, frame == "short", F.lit(side), c("native"), c("dir"), c("run_bars"), c("state"), paused, c("i"), (5, 20))
+    wide = b.groupBy("series_id").agg(*(F.count_if(ok(*x)).alias(f"n{k}") for k, x in enumerate(cases)))
+    rows = F.explode(F.array(*(F.struct(F.lit(f).alias("frame"), F.lit(x).alias("code"), F.lit(s).alias("side"), c(f"n{k}").alias("n")) for k, (f, x, s) in enumerate(cases))))
+    return wide.select("series_id", rows.alias("r")).select("r.frame", "r.code", "r.side", "series_id", "r.n")
+
+
+# (code, EMA limit, bars of the range, edge, chase limit), written out from the definitions
+_PLACES = """(VALUES ('OFF', NULL, NULL, NULL, NULL), ('EMA5_ATR075', 0.75, NULL, NULL, NULL), ('EMA5_ATR100', 1.0, NULL, NULL, NULL), ('EMA5_ATR150', 1.5, NULL, NULL, NULL), ('EMA5_ATR200', 2.0, NULL, NULL, NULL),
+  ('RANGE30_EDGE10', NULL, 30, 0.1, NULL), ('RANGE30_EDGE20', NULL, 30, 0.2, NULL), ('RANGE60_EDGE10', NULL, 60, 0.1, NULL), ('RANGE60_EDGE20', NULL, 60, 0.2, NULL),
+  ('EMA5_ATR100_R60_E10', 1.0, 60, 0.1, NULL), ('EMA5_ATR100_R60_E20', 1.0, 60, 0.2, NULL), ('EMA5_ATR150_R60_E10', 1.5, 60, 0.1, NULL), ('EMA5_ATR150_R60_E20', 1.5, 60, 0.2, NULL),
+  ('RESEARCH_CHASE5_SMAATR100', NULL, NULL, NULL, 1.0), ('RESEARCH_CHASE5_SMAATR150', NULL, NULL, NULL, 1.5), ('RESEARCH_CHASE5_SMAATR200', NULL, NULL, NULL, 2.0)) p(code, ema_limit, bars, edge, chase_limit)"""
+
+
+@query(RULE_BARS + f""", u0 AS (SELECT series_id, ct, h, l, c, ema20_1, atr14, lag(c) OVER w AS pc, lag(c, 5) OVER w AS c5, ct - lag(ct, 19) OVER w AS d19, ct - lag(ct, 23) OVER w AS d23, ct - lag(ct, 30) OVER w AS d30, ct - lag(ct, 60) OVER w AS d60 FROM rb WINDOW w AS (PARTITION BY series_id ORDER BY ct)),
+u1 AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(h - l, abs(h - pc), abs(l - pc)) END AS tr, CASE WHEN h >= c AND c >= l AND l > 0 THEN 1 ELSE 0 END AS good FROM u0),
+u AS (SELECT *, CASE WHEN d30 = 30 * 3600000 THEN max(h) OVER (PARTITION BY series_id ORDER BY ct ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) END AS hi30, CASE WHEN d30 = 30 * 3600000 THEN min(l) OVER (PARTITION BY series_id ORDER BY ct ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) END AS lo30,
+  CASE WHEN d60 = 60 * 3600000 THEN max(h) OVER (PARTITION BY series_id ORDER BY ct ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) END AS hi60, CASE WHEN d60 = 60 * 3600000 THEN min(l) OVER (PARTITION BY series_id ORDER BY ct ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) END AS lo60,
+  d23 = 23 * 3600000 AND sum(good) OVER (PARTITION BY series_id ORDER BY ct ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) = 24 AS usable, avg(tr) OVER (PARTITION BY series_id ORDER BY ct ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS sma FROM u1),
+x AS (SELECT p.code, s.side, u.series_id, p.ema_limit, p.bars, p.chase_limit, u.c, p.edge, CASE p.bars WHEN 30 THEN hi30 WHEN 60 THEN hi60 END AS hi, CASE p.bars WHEN 30 THEN lo30 WHEN 60 THEN lo60 END AS lo,
+  CASE WHEN d19 = 19 * 3600000 THEN ema20_1 END AS ema, atr14, usable, sma, c - c5 AS move FROM u, {_PLACES}, (VALUES (1), (-1)) s(side)),
+y AS (SELECT code, side, series_id,
+  (ema_limit IS NULL OR coalesce(atr14 > 0 AND CASE side WHEN 1 THEN c <= ema + ema_limit * atr14 ELSE c >= ema - ema_limit * atr14 END, false))
+  AND (bars IS NULL OR coalesce(hi > lo AND CASE side WHEN 1 THEN c <= hi - edge * (hi - lo) ELSE c >= lo + edge * (hi - lo) END, false))
+  AND (chase_limit IS NULL OR coalesce(usable AND sma > 0 AND side * move < chase_limit * sma, false)) AS ok FROM x)
+SELECT code, side, series_id, count_if(ok) AS n FROM y GROUP BY ALL""")
+def position_filters(spark, sf):
+    """How many hourly bars each position filter admits on each side; the averages are those of the same bars."""
+    by = ["series_id"]
+    rb = rule_bars(spark, sf)
+    b = filters.position_inputs(rb.select("series_id", "ct", F.col("h").alias("high"), F.col("l").alias("low"), F.col("c").alias("close")), by, HOUR)
+    native = filters.mapped_average(rb.select("series_id", "ct", F.col("ema20_1").alias("ema20"), "atr14"), by, HOUR)
+    b = b.join(native, ["series_id", "ct"])
+    cases = [(code, side) for code in filters.POSITION for side in (1, -1)]
+    wide = b.groupBy("series_id").agg(*(F.count_if(filters.position(code, F.lit(side))).alias(f"n{k}") for k, (code, side) in enumerate(cases)))
+    rows = F.explode(F.array(*(F.struct(F.lit(code).alias("code"), F.lit(side).alias("side"), F.col(f"n{k}").alias("n")) for k, (code, side) in enumerate(cases))))
+    return wide.select("series_id", rows.alias("r")).select("r.code", "r.side", "series_id", "r.n")
+
+
 @query(RULE_BARS + f""", z AS (SELECT series_id, ct, hist, last_value(nullif(sign(hist), 0) IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ct ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sd FROM rb),
 y AS (SELECT *, lag(sd) OVER (PARTITION BY series_id ORDER BY ct) AS psd FROM z)
 SELECT series_id, ct, CAST(sum(CASE WHEN sd IS NOT NULL AND sd <> coalesce(psd, 0) THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY ct) AS BIGINT) AS cycle_id,

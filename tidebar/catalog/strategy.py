@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import filters
 from ..operators import selection as S
 from ..operators.asof import next_true
+from ..operators.calendar import allowed_direction
 from ..operators.exits import Plan, exit_table
 from ..operators.replay import Account, replay_grid
 from ..operators.two_sided import Settings, simulate_seeds
 from ..plans.grid import all_stop_codes
 from ..plans.grid import grid as lazy_grid
-from ..plans.grid import stop_components
-from ..plans.grid import stop_dictionary as all_stops
-from .base import HOUR, HOURLY, RULE_BARS, hourly, rule_bars, table
+from ..plans.targets import target_catalogue as all_targets
+from .base import HOUR, HOURLY, MS, RULE_BARS, hourly, rule_bars, table
 from .market import ORACLE, QUERIES, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -24,35 +25,49 @@ __all__ = ["ORACLE", "QUERIES"]
 
 
 def accounts(spark, sf) -> DataFrame:
+    """Result rows: a configuration for each supplier and line number, its trades the lines, one year's after the other."""
     ret = F.round(F.col("l_discount") - 0.05, 2)
-    return table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("config_id"), (F.col("l_suppkey") % 5).alias("category")).agg(
-        F.count("*").alias("trades"), F.count_if(ret > 0).alias("wins"), F.round(F.sum(ret), 6).alias("sum_ret"), F.round(F.sum(ret * ret), 6).alias("sum_sq"),
-        F.round(F.sum(F.when(ret > 0, ret).otherwise(0.0)), 6).alias("profit"), F.round(F.sum(F.when(ret < 0, -ret).otherwise(0.0)), 6).alias("loss"),
-        F.sum(F.col("l_quantity")).alias("hold_minutes"), F.round(F.avg("l_tax") * 8, 6).alias("max_drawdown"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 50)).alias("protections"),
-        F.max((F.col("l_quantity") == 50) & (F.col("l_tax") == 0.08)).alias("stopped"),
-    ).withColumns({"initial": F.lit(1000.0), "final_equity": F.round(1000 * (1 + F.col("sum_ret")), 4)})
-
-
-ACCOUNTS = """accounts AS (
+    years = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("config_id"), (F.col("l_suppkey") % 5).alias("category"), F.year("l_shipdate").alias("year")).agg(
+        F.count("*").alias("trades"), F.count_if(ret > 0).alias("wins"), F.sum(ret).alias("sum_ret"), F.sum(ret * ret).alias("sum_sq"), F.sum(F.when(ret > 0, ret).otherwise(0.0)).alias("profit"), F.sum(F.when(ret < 0, -ret).otherwise(0.0)).alias("loss"),
+        F.sum(F.col("l_quantity")).alias("hold_minutes"), F.sum("l_tax").alias("tax"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 50)).alias("protections"), F.count_if((F.col("l_returnflag") == "A") & (F.col("l_quantity") >= 50) & (F.col("l_tax") == 0)).alias("forced"),
+        F.count_if(F.col("l_linestatus") == "O").alias("longs"), F.max((F.col("l_quantity") == 50) & (F.col("l_tax") == 0.08)).alias("stopped"),
+    )
+    total = lambda c: F.sum(c).alias(c)
+    r6 = lambda c: F.round(F.sum(c), 6).alias(c)
+    in_year = lambda y: F.round(F.sum(F.when(F.col("year") == y, F.col("sum_ret")).otherwise(0.0)), 6)
+    out = years.groupBy("config_id", "category").agg(
+        total("trades"), total("wins"), r6("sum_ret"), r6("sum_sq"), r6("profit"), r6("loss"), total("hold_minutes"), F.round(F.sum("tax") / F.sum("trades") * 8, 6).alias("max_drawdown"), total("protections"), total("forced"),
+        F.round(F.sum("longs") / F.sum("trades"), 6).alias("long_share"), F.max("stopped").alias("stopped"), F.min(F.round("sum_ret", 6)).alias("worst_year"), in_year(1996).alias("first_year"), in_year(1997).alias("last_year"),
+    )
+    return out.withColumns({"initial": F.lit(1000.0), "final_equity": F.round(1000 * (1 + F.col("sum_ret")), 4)})
+
+
+ACCOUNTS = """years AS (
+  SELECT l_suppkey * 10 + l_linenumber AS config_id, l_suppkey % 5 AS category, year(l_shipdate) AS year, count(*) AS trades, count_if(ret > 0) AS wins, sum(ret) AS sum_ret, sum(ret * ret) AS sum_sq, sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) AS profit, sum(CASE WHEN ret < 0 THEN -ret ELSE 0 END) AS loss,
+         sum(l_quantity) AS hold_minutes, sum(l_tax) AS tax, count_if(l_returnflag = 'R' AND l_quantity >= 50) AS protections, count_if(l_returnflag = 'A' AND l_quantity >= 50 AND l_tax = 0) AS forced, count_if(l_linestatus = 'O') AS longs, bool_or(l_quantity = 50 AND l_tax = 0.08::DOUBLE) AS stopped
+  FROM (SELECT *, round(l_discount - 0.05::DOUBLE, 2) AS ret FROM lineitem) GROUP BY ALL
+), accounts AS (
   SELECT *, 1000.0::DOUBLE AS initial, round(1000 * (1 + sum_ret), 4) AS final_equity FROM (
-    SELECT l_suppkey * 10 + l_linenumber AS config_id, l_suppkey % 5 AS category, count(*) AS trades, count_if(ret > 0) AS wins, round(sum(ret), 6) AS sum_ret, round(sum(ret * ret), 6) AS sum_sq,
-           round(sum(CASE WHEN ret > 0 THEN ret ELSE 0 END), 6) AS profit, round(sum(CASE WHEN ret < 0 THEN -ret ELSE 0 END), 6) AS loss, sum(l_quantity) AS hold_minutes, round(avg(l_tax) * 8, 6) AS max_drawdown,
-           count_if(l_returnflag = 'R' AND l_quantity >= 50) AS protections, bool_or(l_quantity = 50 AND l_tax = 0.08::DOUBLE) AS stopped
-    FROM (SELECT *, round(l_discount - 0.05::DOUBLE, 2) AS ret FROM lineitem) GROUP BY ALL)
-), metrics AS (
+    SELECT config_id, category, CAST(sum(trades) AS BIGINT) AS trades, CAST(sum(wins) AS BIGINT) AS wins, round(sum(sum_ret), 6) AS sum_ret, round(sum(sum_sq), 6) AS sum_sq, round(sum(profit), 6) AS profit, round(sum(loss), 6) AS loss, sum(hold_minutes) AS hold_minutes,
+           round(sum(tax) / sum(trades) * 8, 6) AS max_drawdown, CAST(sum(protections) AS BIGINT) AS protections, CAST(sum(forced) AS BIGINT) AS forced, round(sum(longs) / sum(trades), 6) AS long_share, bool_or(stopped) AS stopped, min(round(sum_ret, 6)) AS worst_year,
+           round(sum(CASE WHEN year = 1996 THEN sum_ret ELSE 0 END), 6) AS first_year, round(sum(CASE WHEN year = 1997 THEN sum_ret ELSE 0 END), 6) AS last_year FROM years GROUP BY ALL)
+), metrics0 AS (
   SELECT *, CASE WHEN loss > 0 THEN round(profit / loss, 6) ELSE 0 END AS profit_factor, round(wins / trades, 6) AS win_rate, round(sum_ret / trades, 6) AS mean_ret,
-         CASE WHEN trades > 1 THEN round(sqrt(greatest((sum_sq - trades * (sum_ret / trades) * (sum_ret / trades)) / (trades - 1), 0)), 5) END AS std_ret, round(trades / 2500.0, 6) AS trades_per_day, round(least(1.0, hold_minutes / (2500.0 * 1440)), 6) AS capacity FROM accounts
+         CASE WHEN trades > 1 THEN round(sqrt(greatest((sum_sq - trades * (sum_ret / trades) * (sum_ret / trades)) / (trades - 1), 0)), 5) END AS std_ret, round(trades / 2500.0, 6) AS trades_per_day, round(hold_minutes / (2500.0 * 1440), 6) AS capacity FROM accounts
+), metrics AS (
+  SELECT *, round(mean_ret + 0.001::DOUBLE, 6) AS gross_before_cost, round(mean_ret + 0.001::DOUBLE - 0.003::DOUBLE, 6) AS p95_net, round((mean_ret + 0.001::DOUBLE) / 0.001::DOUBLE, 6) AS cost_ratio FROM metrics0
 )"""
 
 
 def metrics(spark, sf) -> DataFrame:
     m = S.finalised(accounts(spark, sf), F.lit(2500.0)).drop("t_stat")
-    return m.withColumns({c: F.round(c, 6) for c in ("profit_factor", "win_rate", "mean_ret", "trades_per_day", "capacity")} | {"std_ret": F.round("std_ret", 5)})
+    m = m.withColumns({c: F.round(c, 6) for c in ("profit_factor", "win_rate", "mean_ret", "trades_per_day", "capacity")} | {"std_ret": F.round("std_ret", 5)})
+    return S.cost_metrics(m, 0.001, 0.003, 0.01).withColumns({c: F.round(c, 6) for c in ("gross_before_cost", "p95_net", "cost_ratio")})
 
 
-@query("WITH " + ACCOUNTS + " SELECT config_id, trades, mean_ret, std_ret, profit_factor, win_rate, trades_per_day, capacity FROM metrics")
+@query("WITH " + ACCOUNTS + " SELECT config_id, trades, mean_ret, std_ret, profit_factor, win_rate, trades_per_day, capacity, p95_net, cost_ratio FROM metrics")
 def trade_metrics(spark, sf):
-    return metrics(spark, sf).select("config_id", "trades", "mean_ret", "std_ret", "profit_factor", "win_rate", "trades_per_day", "capacity")
+    return metrics(spark, sf).select("config_id", "trades", "mean_ret", "std_ret", "profit_factor", "win_rate", "trades_per_day", "capacity", "p95_net", "cost_ratio")
 
 
 _GATED = ACCOUNTS + """, gated AS (
@@ -75,18 +90,75 @@ def rejection_counts(spark, sf):
     return S.reason_counts(gated(spark, sf))
 
 
-_METRICS = (("final_equity", True), ("profit_factor", True), ("max_drawdown", False), ("trades_per_day", True), ("win_rate", True))
-_RANKS = ", ".join(f"CASE WHEN count(*) OVER (PARTITION BY category) = 1 THEN 0.5 ELSE percent_rank() OVER (PARTITION BY category ORDER BY {m} {'ASC' if up else 'DESC'}) END AS r{k}" for k, (m, up) in enumerate(_METRICS))
-_SCORED = ACCOUNTS + f", ranked AS (SELECT *, {_RANKS} FROM metrics), scored AS (SELECT *, " + " + ".join(f"{w} * least(greatest(r{k}, 0.025), 0.975)" for k, w in enumerate(S.WEIGHTS)) + " AS score FROM ranked)"
+@query("WITH " + ACCOUNTS + """, g AS (SELECT config_id, list_filter([
+  CASE WHEN protections > 0 THEN 'protected' END, CASE WHEN forced <> 0 THEN 'liquidated' END, CASE WHEN stopped THEN 'out_of_capital' END, CASE WHEN max_drawdown > 0.4 THEN 'drawdown' END, CASE WHEN first_year <= 0 THEN 'first_year_lost' END, CASE WHEN last_year <= 0 THEN 'last_year_lost' END,
+  CASE WHEN profit_factor < 1.05 THEN 'profit_factor' END, CASE WHEN p95_net <= 0 THEN 'p95_net' END, CASE WHEN cost_ratio < 2 THEN 'cost_ratio' END, CASE WHEN gross_before_cost <= 0 THEN 'gross' END, CASE WHEN capacity > 0.0003 THEN 'capacity' END,
+  CASE WHEN long_share NOT BETWEEN 0.3 AND 0.7 THEN 'long_share' END, CASE WHEN trades < 20 THEN 'few_trades' END], lambda e: e IS NOT NULL) AS reasons FROM metrics)
+SELECT reason, count(*) AS n, min(config_id) AS first_id FROM (SELECT config_id, unnest(CASE WHEN len(reasons) = 0 THEN ['passed'] ELSE reasons END) AS reason FROM g) GROUP BY reason""")
+def stress_gates(spark, sf):
+    """The thirteen hard gates of the stress scheme: how many configurations fail at each."""
+    gates = S.stress_gates(0, 0.4, 1.05, 0.0003, (0.3, 0.7), 20, ("first_year", "last_year"))
+    g = metrics(spark, sf).withColumn("reasons", S.gate_reasons(**gates))
+    g = g.withColumn("reason", F.explode(F.when(F.size("reasons") == 0, F.array(F.lit("passed"))).otherwise(F.col("reasons"))))
+    return g.groupBy("reason").agg(F.count("*").alias("n"), F.min("config_id").alias("first_id"))
+
+
+def _rank_sql(metric: str, order: str) -> str:
+    return f"CASE WHEN count(*) OVER (PARTITION BY category) = 1 THEN 0.5 ELSE percent_rank() OVER (PARTITION BY category ORDER BY {metric}{order}) END"
+
+
+_SCORED = ACCOUNTS + f""", ranked AS (SELECT *, {_rank_sql('max_drawdown', ' DESC')} AS r_dd, {_rank_sql('p95_net', '')} AS r_net, {_rank_sql('worst_year', '')} AS r_year, {_rank_sql('capacity', ' DESC')} AS r_cap, {_rank_sql('profit_factor', '')} AS r_pf FROM metrics),
+scored AS (SELECT *, round(100.0 * (0.35 * ((least(0.975, greatest(0.025, r_dd)) - 0.025) / 0.95) + 0.25 * ((least(0.975, greatest(0.025, r_net)) - 0.025) / 0.95) + 0.20 * ((least(0.975, greatest(0.025, r_year)) - 0.025) / 0.95)
+  + 0.10 * ((least(0.975, greatest(0.025, r_cap)) - 0.025) / 0.95) + 0.10 * ((least(0.975, greatest(0.025, r_pf)) - 0.025) / 0.95)), 6) AS score FROM ranked)"""
 
 
 def scored(spark, sf):
-    return S.percentile_score(metrics(spark, sf), _METRICS, "category")
+    return S.percentile_score(metrics(spark, sf), "category").withColumn("score", F.round("score", 6))
 
 
-@query("WITH " + _SCORED + " SELECT config_id, category, round(score, 6) AS score FROM scored")
+@query("WITH " + _SCORED + " SELECT config_id, category, round(score, 4) AS score FROM scored")
 def percentile_score(spark, sf):
-    return scored(spark, sf).select("config_id", "category", F.round("score", 6).alias("score"))
+    return scored(spark, sf).select("config_id", "category", F.round("score", 4).alias("score"))
+
+
+@query("WITH " + _SCORED + """, s AS (SELECT *, round(score, 4) AS sc, config_id // 30 AS cluster FROM scored),
+top AS (SELECT config_id, why FROM (
+  SELECT config_id, 'score' AS why, row_number() OVER (PARTITION BY category ORDER BY sc DESC, max_drawdown, p95_net DESC, config_id) AS n, 20 AS k FROM s
+  UNION ALL SELECT config_id, 'drawdown', row_number() OVER (PARTITION BY category ORDER BY max_drawdown, sc DESC, config_id), 10 FROM s
+  UNION ALL SELECT config_id, 'p95_net', row_number() OVER (PARTITION BY category ORDER BY p95_net DESC, sc DESC, config_id), 10 FROM s) WHERE n <= k),
+t AS (SELECT config_id, string_agg(why, ';' ORDER BY why) AS reasons FROM top GROUP BY 1),
+c AS (SELECT s.*, t.reasons FROM s JOIN t USING (config_id)),
+b AS (SELECT category, cluster, arg_min(config_id, row(-sc, max_drawdown, -p95_net, config_id)) AS best FROM c GROUP BY ALL),
+l AS (SELECT c.category, c.cluster, arg_min(c.config_id, row(max_drawdown, -p95_net, -sc, c.config_id)) AS low FROM c JOIN b USING (category, cluster) WHERE c.config_id <> b.best GROUP BY ALL),
+kept AS (SELECT * FROM c WHERE config_id IN (SELECT best FROM b UNION ALL SELECT low FROM l))
+SELECT config_id, category, cluster, reasons, place FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY sc DESC, max_drawdown, p95_net DESC, config_id) AS place FROM kept) WHERE place <= 12""")
+def research_candidates(spark, sf):
+    """The preselection of 20, 10 and 10 of each category, two of each cluster, twelve a category."""
+    rows = scored(spark, sf).withColumns({"score": F.round("score", 4), "cluster": F.floor(F.col("config_id") / 30)}).select("config_id", "category", "cluster", "score", "max_drawdown", "p95_net")
+    out = S.research_candidates(rows, "category", "cluster", "config_id", 12)
+    return out.select("config_id", "category", "cluster", F.array_join("reasons", ";").alias("reasons"), "place")
+
+
+_RANKING_SQL = {"total_return": "sum_ret", "t_stat": "CASE WHEN std_ret > 0 THEN round(mean_ret / (std_ret / sqrt(trades)), 4) END", "orders_per_day": "2 * trades_per_day", "executed": "trades", "open_quantity": "round(final_equity / 100, 6)", "mean_hold": "round(hold_minutes / trades, 6)", "stopped": "CAST(stopped AS INT)"}
+
+
+@query("WITH " + ACCOUNTS + ", x AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, config_id, CAST({_RANKING_SQL.get(m, m)} AS DOUBLE) AS value, row_number() OVER (ORDER BY {_RANKING_SQL.get(m, m)} {'DESC' if up else 'ASC'} NULLS LAST, max_drawdown, config_id) AS place FROM metrics" for m, up in (
+    ("final_equity", 1), ("total_return", 1), ("profit_factor", 1), ("t_stat", 1), ("win_rate", 1), ("trades_per_day", 1), ("orders_per_day", 1), ("trades", 1), ("mean_ret", 1), ("sum_ret", 1), ("first_year", 1), ("last_year", 1), ("long_share", 1), ("executed", 1), ("open_quantity", 1),
+    ("max_drawdown", 0), ("protections", 0), ("forced", 0), ("mean_hold", 0), ("stopped", 0))) + ") SELECT metric, config_id, value, CAST(place AS INT) AS place FROM x WHERE place <= 5")
+def ranking_metrics(spark, sf):
+    """The first five configurations by each of the twenty metrics."""
+    n = F.col("trades")
+    m = metrics(spark, sf).withColumns({
+        "total_return": F.col("sum_ret"), "t_stat": F.when(F.col("std_ret") > 0, F.round(F.col("mean_ret") / (F.col("std_ret") / F.sqrt(n)), 4)), "orders_per_day": 2 * F.col("trades_per_day"), "executed": n,
+        "open_quantity": F.round(F.col("final_equity") / 100, 6), "mean_hold": F.round(F.col("hold_minutes") / n, 6), "stopped": F.col("stopped").cast("int"),
+    })
+    out = None
+    for metric in S.RANKINGS:  # five rows each, taken with partial orders in every task
+        top = m.orderBy(*S.ranking_order(metric, "config_id")).limit(5).select(F.lit(metric).alias("metric"), "config_id", F.col(metric).cast("double").alias("value"), "max_drawdown")
+        place = F.row_number().over(W.partitionBy("metric").orderBy(F.desc_nulls_last("value") if S.RANKINGS[metric] else F.asc_nulls_last("value"), "max_drawdown", "config_id"))
+        top = top.select("metric", "config_id", "value", place.alias("place"))
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 @query("WITH " + ACCOUNTS + " SELECT * FROM (SELECT config_id, category, final_equity, row_number() OVER (PARTITION BY category ORDER BY final_equity DESC, max_drawdown, config_id) AS rank FROM metrics) WHERE rank <= 10")
@@ -121,13 +193,23 @@ def config_fingerprint(spark, sf):
     return S.first_of_each(li, "config_fp", "id").select("id", "config_fp")
 
 
-@query("""WITH r AS (SELECT l_suppkey, l_returnflag, round(avg(round(l_discount - 0.05::DOUBLE, 2)), 8) AS m, count(*) AS n FROM lineitem GROUP BY ALL),
-a AS (SELECT l_suppkey, round(avg(m), 8) AS mean_m, min(m) AS min_m, max(m) AS max_m, sum(n) AS n_trades, count(DISTINCT l_returnflag) AS n_regimes FROM r GROUP BY 1)
-SELECT l_suppkey, min_m, max_m, CAST(n_trades AS BIGINT) AS n_trades, n_regimes, round((0.6 * (rank() OVER (ORDER BY mean_m) + (count(*) OVER (PARTITION BY mean_m) - 1) / 2.0) / count(*) OVER () + 0.4 * (rank() OVER (ORDER BY min_m) + (count(*) OVER (PARTITION BY min_m) - 1) / 2.0) / count(*) OVER ()) * least(1.0, sqrt(n_trades / 20.0)), 6) AS stress FROM a""")
+_REGIMES = """r AS (SELECT l_suppkey, l_linenumber, l_returnflag, round(sum(round(l_discount - 0.05::DOUBLE, 2)), 6) + 0.0::DOUBLE AS final_return, round(avg(l_tax), 6) AS max_drawdown, round(sum(l_discount) / greatest(sum(l_tax), 0.01::DOUBLE), 6) AS profit_factor, round(avg(l_quantity), 6) AS t_stat, count(*) AS trades FROM lineitem GROUP BY ALL)"""
+
+
+@query("WITH " + _REGIMES + """, a AS (SELECT l_suppkey, l_linenumber, round(avg(final_return), 6) AS mean_ret, min(final_return) AS worst_ret, max(final_return) AS best_ret, count_if(final_return > 0) AS profitable, round(avg(max_drawdown), 6) AS mean_dd, round(avg(profit_factor), 6) AS mean_pf, round(avg(t_stat), 6) AS mean_t, min(trades) AS least_trades FROM r GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM a),
+q AS (SELECT a.*, (rank() OVER (ORDER BY worst_ret) + (count(*) OVER (PARTITION BY worst_ret) - 1) / 2.0) / n AS p1, (rank() OVER (ORDER BY mean_ret) + (count(*) OVER (PARTITION BY mean_ret) - 1) / 2.0) / n AS p2, (rank() OVER (ORDER BY mean_dd DESC) + (count(*) OVER (PARTITION BY mean_dd) - 1) / 2.0) / n AS p3,
+  (rank() OVER (ORDER BY mean_pf) + (count(*) OVER (PARTITION BY mean_pf) - 1) / 2.0) / n AS p4, (rank() OVER (ORDER BY mean_t) + (count(*) OVER (PARTITION BY mean_t) - 1) / 2.0) / n AS p5 FROM a, n)
+SELECT l_suppkey, l_linenumber, worst_ret, best_ret, profitable, least_trades, round((0.60 * p1 + 0.20 * p2 + 0.10 * p3 + 0.05 * p4 + 0.05 * p5) * least(1.0, sqrt(least_trades / 20.0)) * 100, 4) AS stress FROM q""")
 def stress_score(spark, sf):
-    r = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.round(F.avg(F.round(F.col("l_discount") - 0.05, 2)), 8).alias("m"), F.count("*").alias("n"))
-    s = S.stress_score(r, "l_suppkey", "l_returnflag", "m", "n")
-    return s.select("l_suppkey", "min_m", "max_m", "n_trades", "n_regimes", F.round("stress", 6).alias("stress"))
+    c = F.col
+    r = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber", "l_returnflag").agg(
+        (F.round(F.sum(F.round(c("l_discount") - 0.05, 2)), 6) + 0.0).alias("final_return"), F.round(F.avg("l_tax"), 6).alias("max_drawdown"), F.round(F.sum("l_discount") / F.greatest(F.sum("l_tax"), F.lit(0.01)), 6).alias("profit_factor"),
+        F.round(F.avg("l_quantity"), 6).alias("t_stat"), F.count("*").alias("trades"),
+    )
+    agg = S.regimes(r, ["l_suppkey", "l_linenumber"]).withColumns({m: F.round(m, 6) for m in ("mean_ret", "mean_dd", "mean_pf", "mean_t")})
+    s = S.scored_by_ranks(agg)
+    return s.select("l_suppkey", "l_linenumber", "worst_ret", "best_ret", "profitable", "least_trades", F.round("stress", 4).alias("stress"))
 
 
 @query("""WITH c AS (SELECT l_suppkey AS config_id, l_linestatus AS win, l_returnflag AS cost, count(*) AS trades, round(sum(l_discount) / greatest(max(l_tax), 0.02), 6) AS ret_over_dd FROM lineitem GROUP BY ALL),
@@ -152,17 +234,15 @@ def seed_quantiles(spark, sf):
 _PLANS = [Plan(1, "fixed", 0.2), Plan(2, "target", 0.3), Plan(3, "time", 5), Plan(4, "bad", 3), Plan(5, "atr", 0.5), Plan(6, "ma", 10, 2), Plan(7, "target_time", 4), Plan(8, "event"), Plan(9, "reversal"), Plan(10, "target_atr", 0.5)]
 
 
-def _exit_inputs(spark, sf, sample=None):
-    """Entries, each bar with a candle for its side, and the bars of all series; sample: only what its SQL says."""
+def _exit_inputs(spark, sf):
+    """Entries, each bar with a candle for its side, and the bars of all series."""
     b = rule_bars(spark, sf).withColumn("event", F.col("dir"))
-    b = b.select("series_id", "i", "ct", "o", "h", "l", "c", "atr14", "event")
-    b = b.where("series_id <> 'all'") if sample else b
-    e = b.where("c <> o").select("series_id", "i", F.when(F.col("c") > F.col("o"), 1).otherwise(-1).alias("side"))
-    return e.where(sample) if sample else e, b
+    b = b.select("series_id", "i", "ct", "o", "h", "l", "c", "v", "atr14", "event")
+    return b.where("c <> o").select("series_id", "i", F.when(F.col("c") > F.col("o"), 1).otherwise(-1).alias("side")), b
 
 
-_EXITS = RULE_BARS + """, bb AS (SELECT series_id, CAST(i AS BIGINT) AS i, o, h, l, c, atr14, dir, avg(c) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS ma10 FROM rb WHERE series_id <> 'all'),
-ee AS (SELECT series_id, i, CASE WHEN c > o THEN 1 ELSE -1 END AS side, c AS px, atr14 FROM bb WHERE i % 7 = 3 AND c <> o),
+_EXITS = RULE_BARS + """, bb AS (SELECT series_id, CAST(i AS BIGINT) AS i, o, h, l, c, atr14, dir, avg(c) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS ma10 FROM rb),
+ee AS (SELECT series_id, i, CASE WHEN c > o THEN 1 ELSE -1 END AS side, c AS px, atr14 FROM bb WHERE c <> o),
 b3 AS (SELECT *, CASE WHEN i >= 2 THEN max(c) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS mx3, CASE WHEN i >= 2 THEN min(c) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS mn3,
   CASE WHEN i >= 10 THEN c < ma10 AND lag(c) OVER w < lag(ma10) OVER w END AS below2, CASE WHEN i >= 10 THEN c > ma10 AND lag(c) OVER w > lag(ma10) OVER w END AS above2 FROM bb WINDOW w AS (PARTITION BY series_id ORDER BY i)),
 x AS (
@@ -188,16 +268,31 @@ FROM long l LEFT JOIN bb b ON b.series_id = l.series_id AND b.i = l.exit_i"""
 
 @query(_EXITS)
 def exit_plans(spark, sf):
-    """A sample for its SQL, whose join is quadratic: every seventh bar, without the longest series. exit_plans_all has them all."""
-    e, b = _exit_inputs(spark, sf, "i % 7 = 3")
+    """Every plan for every entry of every series."""
+    e, b = _exit_inputs(spark, sf)
     return exit_table(e, b, _PLANS).select("series_id", "i", "side", "plan_id", "exit_i", F.round("exit_px", 6).alias("exit_px"))
 
 
-@query()
-def exit_plans_all(spark, sf):
-    """Every plan for every entry of every series."""
+_MOVING = [Plan(1, "trail_share", 0.1, 0.3), Plan(2, "trail_price", 0.1, 0.05), Plan(3, "lock", 0.1, 0.02), Plan(4, "ma_cross", 10, 2), Plan(5, "fade", 0.7, 2)]
+
+
+@query(RULE_BARS + """, bb AS (SELECT series_id, CAST(i AS BIGINT) AS i, o, h, l, c, v FROM rb),
+m AS (SELECT *, CASE WHEN i >= 9 THEN avg(c) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END AS ma, CASE WHEN i >= 20 THEN avg(v) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS mv FROM bb),
+ev AS (SELECT *, c < ma AND lag(c) OVER w < lag(ma) OVER w AND lag(c, 2) OVER w >= lag(ma, 2) OVER w AS dn, c > ma AND lag(c) OVER w > lag(ma) OVER w AND lag(c, 2) OVER w <= lag(ma, 2) OVER w AS up, mv > 0 AND v <= 0.7::DOUBLE * mv AND lag(mv) OVER w > 0 AND lag(v) OVER w <= 0.7::DOUBLE * lag(mv) OVER w AS fade FROM m WINDOW w AS (PARTITION BY series_id ORDER BY i)),
+e AS (SELECT series_id, i, CASE WHEN c > o THEN 1 ELSE -1 END AS side, c AS px FROM bb WHERE c <> o),
+-- the whole path of every entry; prices of shorts are turned over, so that up is in the entry's favour
+q0 AS (SELECT e.series_id, e.i, e.side, e.px, b.i AS j, CASE e.side WHEN 1 THEN b.h ELSE -b.l END AS good, CASE e.side WHEN 1 THEN b.l ELSE -b.h END AS bad, e.side * b.c AS close, e.side * e.px AS entry, (b.c - e.px) * e.side > 0 AS gain, CASE e.side WHEN 1 THEN b.dn ELSE b.up END AS crossed, b.fade FROM e JOIN ev b ON b.series_id = e.series_id AND b.i > e.i),
+q1 AS (SELECT *, greatest(entry, max(good) OVER w) AS best, greatest(entry, coalesce(max(good) OVER (PARTITION BY series_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), entry)) AS known, max(CASE WHEN close >= side * (px * (1 + side * 0.1::DOUBLE)) THEN 1 ELSE 0 END) OVER (PARTITION BY series_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS locked FROM q0 WINDOW w AS (PARTITION BY series_id, i ORDER BY j ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT *, known >= side * (px * (1 + side * 0.1::DOUBLE)) AS armed, entry + (known - entry) * (1 - 0.3::DOUBLE) AS share_line, side * (abs(known) * (1 - side * 0.05::DOUBLE)) AS price_line, side * (px * (1 + side * 0.02::DOUBLE)) AS lock_line FROM q1),
+x AS (SELECT series_id, i, side, plan_id, j, line FROM (
+    SELECT series_id, i, side, 1 AS plan_id, j, share_line AS line FROM q WHERE armed AND bad <= share_line UNION ALL SELECT series_id, i, side, 2, j, price_line FROM q WHERE armed AND bad <= price_line
+    UNION ALL SELECT series_id, i, side, 3, j, lock_line FROM q WHERE locked = 1 AND bad <= lock_line UNION ALL SELECT series_id, i, side, 4, j, close FROM q WHERE crossed AND gain UNION ALL SELECT series_id, i, side, 5, j, close FROM q WHERE fade AND gain)),
+f AS (SELECT series_id, i, side, plan_id, min(j) AS exit_i, arg_min(line, j) AS line FROM x GROUP BY ALL)
+SELECT e.series_id, e.i, e.side, CAST(p.plan_id AS INT) AS plan_id, f.exit_i, round(e.side * f.line, 5) AS exit_px FROM e CROSS JOIN (SELECT unnest(range(1, 6)) AS plan_id) p LEFT JOIN f ON f.series_id = e.series_id AND f.i = e.i AND f.plan_id = p.plan_id""")
+def moving_exits(spark, sf):
+    """Trailing and locked targets, crossings of an average and fading volume, for every entry of every series."""
     e, b = _exit_inputs(spark, sf)
-    return exit_table(e, b, _PLANS).select("series_id", "i", "side", "plan_id", "exit_i", F.round("exit_px", 6).alias("exit_px"))
+    return exit_table(e, b, _MOVING).select("series_id", "i", "side", "plan_id", "exit_i", F.round("exit_px", 5).alias("exit_px"))
 
 
 @query("WITH " + HOURLY.strip() + """ SELECT series_id, open_ms, min(CASE WHEN close > open * 1.5 THEN open_ms END) OVER (PARTITION BY series_id ORDER BY open_ms ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_ms FROM hourly""")
@@ -235,57 +330,124 @@ def replay_configurations(spark, sf):
     return S.finalised(rows, F.lit(30.0))
 
 
-_PCT = "0.2::DOUBLE"
-
-
-@query(RULE_BARS + f""", bb AS (SELECT CAST(i AS BIGINT) AS i, o, h, l, c FROM rb WHERE series_id = 'click'), n AS (SELECT max(i) AS last FROM bb),
-e AS (SELECT a.i, CASE WHEN a.c > a.o THEN 1 ELSE -1 END AS side, a.c AS px, (SELECT min(b.i) FROM bb b WHERE b.i > a.i AND CASE WHEN a.c > a.o THEN b.l <= a.c * (1 - {_PCT}) ELSE b.h >= a.c * (1 + {_PCT}) END) AS s, (SELECT min(b.i) FROM bb b WHERE b.i > a.i AND CASE WHEN a.c > a.o THEN b.h >= a.c * (1 + {_PCT}) ELSE b.l <= a.c * (1 - {_PCT}) END) AS t FROM bb a WHERE a.c <> a.o),
-x AS (SELECT i, side, px, coalesce(least(s, t), last) AS x, CASE WHEN s IS NULL AND t IS NULL THEN side * ((SELECT c FROM bb WHERE bb.i = last) / px - 1) WHEN t IS NOT NULL AND (s IS NULL OR t < s) THEN {_PCT} ELSE -{_PCT} END AS raw FROM e, n),
-path AS (SELECT 0 AS k, i, x, raw, 1000.0::DOUBLE * (1 + raw) AS equity FROM x WHERE i = (SELECT min(i) FROM x WHERE x > i) UNION ALL
-  SELECT p.k + 1, y.i, y.x, y.raw, p.equity * (1 + y.raw) FROM path p, x y WHERE y.i = (SELECT min(z.i) FROM x z WHERE z.i > p.x AND z.x > z.i))
-SELECT count(*) AS trades, count_if(raw > 0) AS wins, CAST(sum(x - i) AS BIGINT) AS hold_bars, round(sum(raw), 6) AS sum_ret, round(arg_max(equity, k), 4) AS final_equity FROM path""")
-def replay_one_account(spark, sf):
-    """One account without costs, against a recursive query: every entry after the last exit, stop and target at 20 %."""
-    return _accounts_of(rule_bars(spark, sf).where("series_id = 'click'")).drop("series_id")
-
-
-@query()
-def replay_all_accounts(spark, sf):
-    """The same account on every series."""
-    return _accounts_of(rule_bars(spark, sf))
-
-
-def _accounts_of(bars: DataFrame) -> DataFrame:
-    b = bars.select("series_id", "i", "ct", "o", "h", "l", "c", "atr14")
+_COSTS = dict(slippage=0.0005, fee=0.0004, protection=0.5)
+
+
+@query(RULE_BARS + """, bb AS (SELECT series_id, CAST(i AS BIGINT) AS i, ct, o, h, l, c FROM rb), n AS (SELECT series_id, max(i) AS last FROM bb GROUP BY 1),
+e AS (SELECT series_id, i, CASE WHEN c > o THEN 1 ELSE -1 END AS side, c AS px FROM bb WHERE c <> o),
+-- the first touch of the stop, of the target, and of the level at which half of the equity is gone after the opening fee, at three times leverage
+lim AS (SELECT *, px * (1 - side * 0.12::DOUBLE) AS stop_px, px * (1 + side * 0.2::DOUBLE) AS target_px, CASE WHEN lev = 1 THEN 'one' ELSE 'five' END AS who FROM e, (VALUES (1.0::DOUBLE), (5.0::DOUBLE)) v(lev)),
+x AS (SELECT q.series_id, q.lev, q.i, q.side, q.px,
+    min(CASE WHEN CASE q.side WHEN 1 THEN b.l <= stop_px ELSE b.h >= stop_px END THEN b.i END) AS s, min(CASE WHEN CASE q.side WHEN 1 THEN b.h >= target_px ELSE b.l <= target_px END THEN b.i END) AS t,
+    min(CASE WHEN lev * (0.0004::DOUBLE - q.side * (CASE q.side WHEN 1 THEN b.l ELSE b.h END / px - 1)) >= 0.5::DOUBLE THEN b.i END) AS p
+  FROM lim q LEFT JOIN bb b ON b.series_id = q.series_id AND b.i > q.i GROUP BY ALL),
+y AS (SELECT x.series_id, lev, x.i, side, px, CASE WHEN t IS NOT NULL AND (s IS NULL OR t < s) THEN t WHEN s IS NOT NULL THEN s ELSE last END AS planned, t IS NOT NULL AND (s IS NULL OR t < s) AS took, s, t, p, last FROM x JOIN n USING (series_id)),
+z AS (SELECT y.series_id, lev, y.i, y.side, y.px, CASE WHEN p <= planned THEN p ELSE planned END AS x, coalesce(p <= planned, false) AS saved, took AND NOT coalesce(p <= planned, false) AS took,
+    CASE WHEN p <= planned THEN -0.5::DOUBLE / lev + 0.0004::DOUBLE WHEN took THEN side * ((px * (1 + side * 0.2::DOUBLE)) / px - 1) WHEN s IS NOT NULL THEN side * ((px * (1 - side * 0.12::DOUBLE)) / px - 1) ELSE side * (b.c / px - 1) END AS raw
+  FROM y JOIN bb b ON b.series_id = y.series_id AND b.i = last WHERE planned > y.i),
+f AS (SELECT *, raw - 0.0005::DOUBLE - 0.0004::DOUBLE - 0.0004::DOUBLE * (1 + side * raw) AS net, greatest(x + CASE WHEN took THEN 2 ELSE 0 END + 1, x + 1) AS ready FROM z),
+nxt AS (SELECT a.series_id, a.lev, a.i, min(b.i) AS j FROM f a JOIN f b ON b.series_id = a.series_id AND b.lev = a.lev AND b.i >= a.ready GROUP BY ALL),
+path(series_id, lev, k, i, equity, after) AS (
+  SELECT f.series_id, f.lev, 0, f.i, 1000.0::DOUBLE, 1000.0::DOUBLE * greatest(0, 1 + f.lev * f.net) FROM f WHERE f.i = (SELECT min(g.i) FROM f g WHERE g.series_id = f.series_id AND g.lev = f.lev)
+  UNION ALL
+  SELECT p.series_id, p.lev, p.k + 1, g.i, p.after, p.after * greatest(0, 1 + p.lev * g.net) FROM path p JOIN nxt USING (series_id, lev, i) JOIN f g ON g.series_id = p.series_id AND g.lev = p.lev AND g.i = nxt.j WHERE p.after > 0),
+trade AS (SELECT p.*, f.side, f.px, f.x, f.saved, f.took, f.net FROM path p JOIN f USING (series_id, lev, i)),
+-- equity as it was seen: after the opening fee, at each bar's adverse extreme, at its close, after the trade; only the last two raise the peak
+ev AS (
+  SELECT series_id, lev, k, i AS j, 0 AS part, greatest(0, equity * (1 - lev * 0.0004::DOUBLE)) AS v, false AS raises FROM trade
+  UNION ALL SELECT t.series_id, lev, k, b.i, 1, greatest(0, equity * (1 + lev * (side * (CASE side WHEN 1 THEN b.l ELSE b.h END / px - 1) - 0.0004::DOUBLE))), false FROM trade t JOIN bb b ON b.series_id = t.series_id AND b.i > t.i AND (b.i < t.x OR b.i = t.x AND NOT saved)
+  UNION ALL SELECT t.series_id, lev, k, b.i, 2, greatest(0, equity * (1 + lev * (side * (b.c / px - 1) - 0.0004::DOUBLE))), true FROM trade t JOIN bb b ON b.series_id = t.series_id AND b.i > t.i AND b.i < t.x
+  UNION ALL SELECT series_id, lev, k, x, 3, after, true FROM trade),
+dd AS (SELECT series_id, lev, max(1 - v / greatest(1000.0::DOUBLE, coalesce(peak, 0))) AS max_drawdown FROM (SELECT *, max(CASE WHEN raises THEN v END) OVER (PARTITION BY series_id, lev ORDER BY k, j, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak FROM ev) GROUP BY ALL)
+SELECT t.series_id, t.lev AS leverage, count(*) AS trades, count_if(net > 0) AS wins, CAST(sum(x - t.i) AS BIGINT) AS hold_bars, CAST(sum(CASE WHEN took THEN least(2, last - x) ELSE 0 END) AS BIGINT) AS wait_bars, count_if(saved) AS protections,
+  round(sum(net), 6) AS sum_ret, round(sum(greatest(net, 0)), 6) AS profit, round(sum(greatest(-net, 0)), 6) AS loss, round(arg_max(after, k), 4) AS final_equity, round(greatest(0, any_value(max_drawdown)), 6) AS max_drawdown
+FROM trade t JOIN n USING (series_id) JOIN dd USING (series_id, lev) GROUP BY ALL""")
+def replay_with_costs(spark, sf):
+    """Accounts of every series at one and five times leverage with fees, slippage, protection at half of the equity and a cooldown."""
+    b = rule_bars(spark, sf).select("series_id", "i", "ct", "o", "h", "l", "c", "atr14")
     e = b.where("c <> o").select("series_id", F.lit(1).alias("rule_id"), "i", F.when(F.col("c") > F.col("o"), 1).otherwise(-1).alias("side"), F.col("i").alias("run"))
-    cfg = b.select("series_id").distinct().select(F.xxhash64("series_id").alias("config_id"), "series_id", F.lit(1).alias("rule_id"), F.lit(0).alias("stop_id"), F.lit(0).alias("target_id"), F.array(F.lit(1.0)).alias("leverages"))
-    a = S.account_rows(replay_grid(cfg, b, e, {0: [Plan(0, "fixed", 0.2)]}, {0: [Plan(1, "target", 0.2)]}, Account(protection=float("inf"))))
-    return a.select("series_id", F.col("trades").cast("long").alias("trades"), F.col("wins").cast("long").alias("wins"), F.col("hold_minutes").alias("hold_bars"), F.round("sum_ret", 6).alias("sum_ret"), F.round("final_equity", 4).alias("final_equity"))
+    cfg = b.select("series_id").distinct().select(F.xxhash64("series_id").alias("config_id"), "series_id", F.lit(1).alias("rule_id"), F.lit(0).alias("stop_id"), F.lit(0).alias("target_id"), F.array(F.lit(1.0), F.lit(5.0)).alias("leverages"))
+    a = S.account_rows(replay_grid(cfg, b, e, {0: [Plan(0, "fixed", 0.12)]}, {0: [Plan(1, "target", 0.2)]}, Account(cooldown=2, **_COSTS)))
+    long = lambda c, n=None: F.col(c).cast("long").alias(n or c)
+    six = lambda c, n=6: F.round(c, n).alias(c)
+    return a.select("series_id", "leverage", long("trades"), long("wins"), long("hold_minutes", "hold_bars"), long("wait_minutes", "wait_bars"), long("protections"), six("sum_ret"), six("profit"), six("loss"), six("final_equity", 4), six("max_drawdown"))
 
 
 @query("""SELECT CAST(id AS BIGINT) AS config_id, CAST(id // 1320 % 6 AS INT) AS session, CAST(id // 22 % 60 AS INT) AS stop, CAST(id % 22 AS INT) AS leverage FROM (SELECT unnest(range(0, 7920)) AS id)
-EXCEPT SELECT l_orderkey, CAST(l_orderkey // 1320 % 6 AS INT), CAST(l_orderkey // 22 % 60 AS INT), CAST(l_orderkey % 22 AS INT) FROM lineitem WHERE l_orderkey < 7920""")
+EXCEPT SELECT l_orderkey, CAST(l_orderkey // 1320 % 6 AS INT), CAST(l_orderkey // 22 % 60 AS INT), CAST(l_orderkey % 22 AS INT) FROM lineitem""")
 def grid_resume(spark, sf):
     """A lazily decoded grid without the configurations that are done."""
     g = spark.range(6 * 60 * 22).select(F.col("id").alias("config_id"), (F.floor(F.col("id") / 1320) % 6).cast("int").alias("session"), (F.floor(F.col("id") / 22) % 60).cast("int").alias("stop"), (F.col("id") % 22).cast("int").alias("leverage"))
     return S.not_done(g, table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("config_id")))
 
 
-
-
-_NAMES = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(stop_components())) + ") t(i, code)"
-
-
-@query(f"""WITH n AS (SELECT * FROM {_NAMES}) SELECT CAST(i AS BIGINT) AS stop_id, code FROM n
-UNION ALL SELECT {len(stop_components())} + row_number() OVER (ORDER BY a.i, b.i) - 1, a.code || '+' || b.code FROM n a JOIN n b ON a.i < b.i""")
+# the definitions in their frozen order, as SQL says them: old combinations with and without S1, the bar of the ninth stop, newer ones
+@query("""WITH fr(f, o) AS (VALUES ('1m', 1), ('5m', 2), ('15m', 3), ('1h', 4), ('4h', 5)),
+masks AS (SELECT m, list_filter([CASE WHEN m & 1 = 1 THEN 3 END, CASE WHEN m & 2 = 2 THEN 4 END, CASE WHEN m & 4 = 4 THEN 5 END, CASE WHEN m & 8 = 8 THEN 6 END], lambda x: x IS NOT NULL) AS ks FROM (SELECT unnest(range(1, 16)) AS m)),
+sets AS (SELECT array_to_string(list_transform(ks, lambda k: 'S' || k || '_' || f), '+') AS code, o, len(ks) AS n, ks FROM masks, fr),
+base AS (SELECT code, row_number() OVER (ORDER BY part, o, n, ks, s1) AS b FROM (SELECT 'S1' AS code, 0 AS part, 0 AS o, 0 AS n, [0] AS ks, 0 AS s1 UNION ALL SELECT code, 1, o, n, ks, 0 FROM sets UNION ALL SELECT 'S1+' || code, 1, o, n, ks, 1 FROM sets UNION ALL SELECT 'OFF', 2, 0, 0, [0], 0)),
+frozen AS (SELECT code, 0 AS o, b FROM base UNION ALL SELECT code || '+S9_' || f, o, b FROM base, fr),
+neu AS (SELECT code, row_number() OVER (ORDER BY o, kind, x, y) AS e FROM (
+  SELECT 'ATR' || CAST(k AS INT) || '_' || f AS code, o, 0 AS kind, k AS x, 0 AS y FROM fr, (SELECT unnest([50, 75, 100, 150, 200, 250, 300]) AS k) UNION ALL SELECT 'MA' || ma || 'C' || n || '_' || f, o, 1, ma, n FROM fr, (SELECT unnest([20, 60, 120]) AS ma), (SELECT unnest([1, 2, 3]) AS n)
+  UNION ALL SELECT 'BAD' || n || '_1m', 9, 2, n, 0 FROM (SELECT unnest([5, 10, 15, 30]) AS n))),
+atoms AS (SELECT 'S1' AS code, 0 AS a UNION ALL SELECT 'S' || k || '_' || f, o * 10 + k FROM fr, (SELECT unnest([3, 4, 5, 6, 9]) AS k)),
+every AS (SELECT code, 0 AS part, o AS x, b AS y FROM frozen UNION ALL SELECT code, 1, e, 0 FROM neu UNION ALL SELECT atoms.code || '+' || neu.code, 2, e, a FROM neu, atoms UNION ALL SELECT p.code || '+' || q.code, 3, p.e, q.e FROM neu p JOIN neu q ON p.e < q.e)
+SELECT row_number() OVER (ORDER BY part, x, y) - 1 AS stop_id, code FROM every""")
 def stop_dictionary(spark, sf):
-    return all_stops(spark)
+    """All 6,666 stop definitions with their frozen numbers."""
+    return spark.createDataFrame(list(enumerate(all_stop_codes())), "stop_id long, code string")
 
 
-@query()
-def stop_dictionary_all(spark, sf):
-    """All stop definitions with their frozen numbers; stop_dictionary has single stops and pairs of the newer ones only."""
-    return spark.createDataFrame(list(enumerate(all_stop_codes())), "stop_id long, code string")
+@query("""WITH fr(f, o) AS (VALUES ('1m', 1), ('5m', 2), ('15m', 3), ('1h', 4), ('4h', 5)),
+masks AS (SELECT m, list_filter([CASE WHEN m & 1 = 1 THEN 1 END, CASE WHEN m & 2 = 2 THEN 2 END, CASE WHEN m & 4 = 4 THEN 3 END, CASE WHEN m & 8 = 8 THEN 4 END, CASE WHEN m & 16 = 16 THEN 5 END], lambda x: x IS NOT NULL) AS os FROM (SELECT unnest(range(1, 32)) AS m)),
+sub AS (SELECT array_to_string(list_transform(os, lambda x: ['1m', '5m', '15m', '1h', '4h'][x]), '+') AS frames, row_number() OVER (ORDER BY len(os), os) AS s FROM masks),
+n10 AS (SELECT unnest(range(1, 11)) AS k), n20 AS (SELECT unnest(range(1, 21)) AS k), n3 AS (SELECT unnest([1, 2, 3]) AS k), f5 AS (SELECT unnest(range(1, 6)) AS k), macd(ind, w) AS (VALUES ('hist', 1), ('dif', 2)), mas(ind, w) AS (VALUES ('ma20', 1), ('ma120', 2)),
+one AS (SELECT row_number() OVER (ORDER BY blk, a, b, c, d) AS id, kind, frames, indicator, p1, p2, 0.0::DOUBLE AS p3 FROM (
+  SELECT 1 AS blk, 0 AS a, 0 AS b, 0 AS c, 0 AS d, 'none' AS kind, '' AS frames, '' AS indicator, 0.0::DOUBLE AS p1, 0.0::DOUBLE AS p2
+  UNION ALL SELECT 2, k, 0, 0, 0, 'fixed', '', '', k::DOUBLE / 1000, 0 FROM n10
+  UNION ALL SELECT 3, x.k, y.k, 0, 0, 'fixed_by_day', '', '', x.k::DOUBLE / 1000, y.k::DOUBLE / 1000 FROM n10 x, n10 y
+  UNION ALL SELECT 4, s, w, k, 0, 'reversal', frames, ind, k, 0 FROM sub, macd, n3
+  UNION ALL SELECT 5, s, w, n3.k, f5.k, 'deviation', frames, ind, n3.k, f5.k::DOUBLE * 2 / 1000 FROM sub, mas, n3, f5
+  UNION ALL SELECT 6, s, x.w, 0, 0, 'structure', frames, 'pivots', x.r, 0 FROM sub, (VALUES (0.0::DOUBLE, 1), (0.0005::DOUBLE, 2), (0.001::DOUBLE, 3), (0.002::DOUBLE, 4)) x(r, w)
+  UNION ALL SELECT 7, CAST(r * 10 AS INT), 0, 0, 0, 'risk', '', 'r', r, 0 FROM (SELECT unnest([0.5::DOUBLE, 1, 1.5, 2, 3, 4]) AS r)
+  UNION ALL SELECT 8, a.k, b.k, 0, 0, 'trail', '', 'share', a.k::DOUBLE / 1000, b.k::DOUBLE * 5 / 100 FROM n20 a, n10 b
+  UNION ALL SELECT 9, a.k, b.k, 0, 0, 'trail', '', 'price', a.k::DOUBLE / 1000, b.k::DOUBLE * 5 / 10000 FROM n20 a, n10 b
+  UNION ALL SELECT 10, a.k, b.w, 0, 0, 'lock', '', 'close', a.k::DOUBLE / 1000, b.r FROM n20 a, (VALUES (0.0::DOUBLE, 1), (0.0005::DOUBLE, 2), (0.001::DOUBLE, 3), (0.0015::DOUBLE, 4), (0.002::DOUBLE, 5)) b(r, w)
+  UNION ALL SELECT 11, m, 0, 0, 0, 'time', '', 'minutes', m, 0 FROM (SELECT unnest([15, 30, 60, 120, 240]) AS m)
+  UNION ALL SELECT 12, s, w, l, k, 'divergence', frames, ind, l, k FROM sub, macd, (SELECT unnest([5, 10, 20]) AS l), n3)),
+parts AS (SELECT 2420 + row_number() OVER (ORDER BY k, CASE one.kind WHEN 'reversal' THEN 0 ELSE 1 END, one.id) AS id, 'parts' AS kind, frames, indicator, k::DOUBLE / 1000 AS p1, 0.5::DOUBLE AS p2, one.id::DOUBLE AS p3 FROM n10, one WHERE one.kind IN ('reversal', 'trail')),
+early AS (SELECT 8280 + row_number() OVER (ORDER BY x, y) AS id, 'trail' AS kind, '' AS frames, 'share' AS indicator, x AS p1, y AS p2, 0.0::DOUBLE AS p3 FROM (SELECT unnest([0.0005::DOUBLE, 0.00075, 0.001, 0.00125, 0.0015, 0.00175, 0.002, 0.0025]) AS x), (SELECT unnest([0.01::DOUBLE, 0.02, 0.03, 0.05, 0.075, 0.1, 0.125, 0.15, 0.2]) AS y)
+  WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.kind = 'trail' AND one.indicator = 'share' AND one.p1 = x AND one.p2 = y)),
+had AS (SELECT p1, p2 FROM one WHERE kind = 'trail' AND indicator = 'share' UNION ALL SELECT p1, p2 FROM early),
+steps AS (SELECT k::DOUBLE / 10000 AS r, true AS fine FROM (SELECT unnest(range(1, 10)) AS k) UNION ALL SELECT k::DOUBLE / 1000, false FROM n10),
+later AS (SELECT 8344 + row_number() OVER (ORDER BY blk, a, b, c, d) AS id, kind, frames, indicator, p1, p2, 0.0::DOUBLE AS p3 FROM (
+  SELECT 1 AS blk, o::DOUBLE AS a, 1::DOUBLE AS b, w::DOUBLE AS c, k::DOUBLE AS d, 'ma_cross' AS kind, f AS frames, ind AS indicator, k::DOUBLE AS p1, 0.0::DOUBLE AS p2 FROM fr, mas, n3
+  UNION ALL SELECT 1, o, 2, r, k, 'fade', f, 'volume20', r, k FROM fr, (SELECT unnest([0.3::DOUBLE, 0.5, 0.7]) AS r), n3
+  UNION ALL SELECT 2, m, 0, 0, 0, 'time', '', 'minutes', m, 0 FROM (SELECT unnest([1, 3, 5, 10, 45, 90]) AS m)
+  UNION ALL SELECT 3, x.p1, k, 0, 0, 'trail', '', 'share', x.p1, k::DOUBLE / 200 FROM (SELECT DISTINCT p1 FROM had) x, (SELECT unnest(range(2, 21)) AS k) WHERE NOT EXISTS (SELECT 1 FROM had WHERE had.p1 = x.p1 AND had.p2 = k::DOUBLE / 200)
+  UNION ALL SELECT 4, o, r, 0, 0, 'atr', f, 'atr14', r, 0 FROM fr, (SELECT unnest([0.5::DOUBLE, 1, 1.5, 2, 3, 4]) AS r)
+  UNION ALL SELECT 5, k, 0, 0, 0, 'fixed', '', '', k::DOUBLE / 10000, 0 FROM (SELECT unnest(range(1, 10)) AS k)
+  UNION ALL SELECT 6, x.r, y.r, 0, 0, 'fixed_by_day', '', '', x.r, y.r FROM steps x, steps y WHERE x.fine OR y.fine
+  UNION ALL SELECT 7, m, 0, 0, 0, 'time', '', 'minutes', m, 0 FROM (SELECT unnest([2, 20, 180, 360, 480, 720, 1440]) AS m)))
+SELECT CAST(id AS INT) AS target_id, kind, frames, indicator, p1, p2, p3 FROM (SELECT * FROM one UNION ALL SELECT * FROM parts UNION ALL SELECT * FROM early UNION ALL SELECT * FROM later)""")
+def target_catalogue(spark, sf):
+    """All 9,142 take-profit plans with their frozen numbers."""
+    rows = [(t.id, t.kind, t.frames, t.indicator, t.p1, t.p2, t.p3) for t in all_targets()]
+    return spark.createDataFrame(rows, "target_id int, kind string, frames string, indicator string, p1 double, p2 double, p3 double")
+
+
+@query("""WITH days AS (SELECT d, CAST(d AS DATE) AS day, year(d) AS y, month(d) * 100 + day(d) AS md FROM (SELECT unnest(generate_series(TIMESTAMP '1990-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY)) AS d)),
+x AS (SELECT *, CASE WHEN md < 204 OR md >= 1207 THEN 11 WHEN md < 306 THEN 0 WHEN md < 405 THEN 1 WHEN md < 506 THEN 2 WHEN md < 606 THEN 3 WHEN md < 707 THEN 4 WHEN md < 807 THEN 5 WHEN md < 908 THEN 6 WHEN md < 1008 THEN 7 WHEN md < 1107 THEN 8 ELSE 9 END AS idx FROM days),
+k AS (SELECT *, CASE WHEN (2 * ((y - 4) % 5) + 2 + idx) % 10 <= 5 THEN -1 WHEN (2 * ((y - 4) % 5) + 2 + idx) % 10 >= 8 THEN 1 ELSE 0 END AS colour FROM x),
+g AS (SELECT *, sum(CASE WHEN colour IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (ORDER BY d) AS band FROM (SELECT *, lag(colour) OVER (ORDER BY d) AS p FROM k)),
+b AS (SELECT band, any_value(colour) AS colour, epoch_ms(min(d)) - 28800000 AS begin, count(*) AS n FROM g GROUP BY band),
+s AS (SELECT CAST(ceil((begin + n * 43200000) / 7200000.0) AS BIGINT) * 7200000 + 7200000 AS at, colour FROM b WHERE colour <> 0 AND band > 1 AND band < (SELECT max(band) FROM b)),
+o AS (SELECT DISTINCT epoch_us(o_orderdate) // 1000 AS at FROM orders)
+SELECT o.at, s.colour AS direction FROM o ASOF LEFT JOIN s ON o.at >= s.at""")
+def calendar_direction(spark, sf):
+    """The direction that the calendar allows on each day of an order."""
+    o = table(spark, sf, "orders").select(F.expr(MS.format("o_orderdate")).alias("at")).distinct()
+    return o.select("at", allowed_direction(F.col("at"), 1992, 1999).alias("direction"))
 
 
 @query("""SELECT id AS config_id, CAST(id // 180 % 4 AS INT) AS field, CAST(id // 36 % 5 AS INT) AS session, CAST(id // 6 % 6 AS INT) AS stop, CAST(id % 6 AS INT) AS target FROM (SELECT unnest(range(0, 720)) AS id)""")
@@ -298,4 +460,4 @@ def two_sided_seeds(spark, sf):
     """Resting orders on both sides, long after red and short after green candles, both after flat ones: quantiles over seeds."""
     b = rule_bars(spark, sf)
     b = b.select("series_id", "i", "o", "h", "l", "c", (F.col("c") <= F.col("o")).alias("long"), (F.col("c") >= F.col("o")).alias("short"), F.col("i").alias("run"))
-    return S.seed_quantiles(simulate_seeds(b, Settings(target=0.1, add_drop=0.2, timeout_bars=24), 8), ["series_id"], "pnl")
+    return S.seed_quantiles(simulate_seeds(b, Settings(target=0.1, add_drop=0.2, add_multiple=1.0, timeout_minutes=1440, bar_ms=HOUR), 8), ["series_id"], "pnl")

@@ -18,13 +18,19 @@ from ..functions import paths as P
 
 @dataclass(frozen=True)
 class Plan:
-    """kind: fixed, atr, pivot, bad, ma, event, time, sequence (stops); target, target_atr, structure, risk, reversal, target_time (targets)."""
+    """kind: fixed, atr, pivot, bad, ma, event, time, sequence (stops); target, target_atr, structure, risk, reversal, target_time,
+    ma_cross, fade, deviation (targets); trail_share, trail_price, lock (targets that move with the price).
+
+    a and b: rate; multiple of ATR; share given back (b) after an activation (a); locked rate (b) after an activation (a); risk: multiple
+    of the distance to the stop's risk level; ma_cross: average and confirming closes; fade: ratio of the volume and confirming bars;
+    deviation: average, activation (b) and c confirming bars that come nearer."""
 
     id: int
     kind: str
     a: float = 0.0
     b: float = 0.0
     intrabar: bool = True
+    c: int = 1
 
 
 def _never(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,9 +119,83 @@ def evaluate(plan: Plan, bars: dict[str, np.ndarray], i: np.ndarray, side: np.nd
             later = c[np.minimum(found, len(c) - 1)]
             found = np.where((later - price) * side > 0, found, len(c))
         return *_at(bars, found), none
+    if plan.kind in ("ma_cross", "fade", "deviation"):
+        marks = _marks(plan, bars)
+        out = np.full(len(i), len(c), np.int64)
+        for s in (1, -1):
+            own = side == s
+            out[own] = P.first_profitable(c, marks[s], i[own] + 1, price[own], side[own])
+        return *_at(bars, out), none
+    if plan.kind in MOVING:
+        found = [moving(plan, bars, int(k), int(s)) for k, s in zip(i, side)]
+        at = np.array([len(c) if f is None else f[0] for f in found], np.int64)
+        return np.where(at < len(c), at, np.iinfo(np.int64).max), np.array([np.nan if f is None else f[1] for f in found]), none
     raise ValueError(f"no such plan: {plan.kind}")
 
 
+MOVING = ("trail_share", "trail_price", "lock")
+
+
+def _run(mask: np.ndarray, k: int) -> np.ndarray:
+    """The condition on a bar and on the k - 1 before it."""
+    return pd.Series(mask.astype(float)).rolling(k).sum().to_numpy() == k
+
+
+def _before(x: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros(len(x), bool)
+    out[k:] = x[:-k] if k else x
+    return out
+
+
+def _marks(plan: Plan, bars: dict[str, np.ndarray]) -> dict[int, np.ndarray]:
+    """Bars that end a long (1) and a short (-1) in profit."""
+    c = bars["c"]
+    if plan.kind == "fade":  # so many bars on a volume of at most a share of the 20 before
+        v = pd.Series(bars["v"])
+        mean = v.shift(1).rolling(20).mean().to_numpy()
+        quiet = _run((mean > 0) & (bars["v"] <= plan.a * mean), int(plan.b))
+        return {1: quiet, -1: quiet}
+    ma = pd.Series(c).rolling(int(plan.a)).mean().to_numpy()
+    if plan.kind == "ma_cross":  # the close went through the average and stayed beyond it for so many bars
+        k = int(plan.b)
+        return {1: _run(c < ma, k) & _before(c >= ma, k), -1: _run(c > ma, k) & _before(c <= ma, k)}
+    # a deviation of at least the activation since the average was last touched, then so many bars that come nearer
+    out = {}
+    for s in (1, -1):
+        away = s * (c / ma - 1)
+        touched = ~(away > 0)
+        since = pd.Series(np.where(touched, 0.0, away)).groupby(np.cumsum(touched)).cummax().to_numpy()
+        out[s] = _run(np.append(False, away[1:] < away[:-1]), plan.c) & (since >= plan.b) & ~touched
+    return out
+
+
+def moving(plan: Plan, bars: dict[str, np.ndarray], i: int, side: int, start: int | None = None) -> tuple[int, float] | None:
+    """Where a moving target ends an entry: armed by the path, effective from the next bar on; the line that a bar is held against is
+    the one known when it began. `start`: the last bar before the search (the entry, or a first part's exit)."""
+    price, n = bars["c"][i], len(bars["c"])
+    begin, length = (i if start is None else start) + 1, 64
+    while begin < n:
+        stop = min(begin + length, n)
+        good, bad, close = ((bars["h"], bars["l"]) if side == 1 else (bars["l"], bars["h"])) + (bars["c"],)
+        good, bad, close = good[begin:stop], bad[begin:stop], close[begin:stop]
+        if plan.kind == "lock":
+            armed = (close - price * (1 + side * plan.a)) * side >= 0
+            line = np.full(len(close), price * (1 + side * plan.b))
+        else:
+            best = side * np.maximum.accumulate(np.maximum(side * good, side * price))
+            armed = (best - price * (1 + side * plan.a)) * side >= 0
+            known = np.append(price, best[:-1])
+            line = price + (known - price) * (1 - plan.b) if plan.kind == "trail_share" else known * (1 - side * plan.b)
+        live = np.append(False, np.logical_or.accumulate(armed)[:-1])
+        hit_ = np.flatnonzero(live & ((bad - line) * side <= 0))
+        if len(hit_):
+            return begin + int(hit_[0]), float(line[hit_[0]])
+        if stop == n:
+            return None
+        length *= 4
+    return None
+
+
 def merge_stops(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], side: np.ndarray, intrabar: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The earliest stop; on a tie the one within the bar goes before one at its close, and of two the adverse price counts."""
     at, price, risk = (x.copy() for x in parts[0])
@@ -137,12 +217,16 @@ def combine_targets(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], side
     return at, price, none
 
 
-def exit_table(entries: DataFrame, bars: DataFrame, plans: list[Plan]) -> DataFrame:
+#: Entries of a series that one task takes; a longer list is dealt to several, each with the bars.
+ENTRIES = 100_000
+
+
+def exit_table(entries: DataFrame, bars: DataFrame, plans: list[Plan], each: int = ENTRIES) -> DataFrame:
     """(series_id, i, side, plan_id, exit_i, exit_px, risk_px) of every entry under every plan."""
 
     def run(key, e: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("i")
-        cols = {k: b[k].to_numpy(float) for k in b.columns if k not in ("series_id", "i")}
+        cols = {k: b[k].to_numpy(float) for k in b.columns if k not in ("series_id", "i", "deal")}
         i, side = e["i"].to_numpy(np.int64), e["side"].to_numpy(np.int64)
         out = []
         for p in plans if len(e) and len(b) else ():
@@ -152,36 +236,14 @@ def exit_table(entries: DataFrame, bars: DataFrame, plans: list[Plan]) -> DataFr
 
     ddl = "series_id string, i long, side int, plan_id int, exit_i long, exit_px double, risk_px double"
     # both sides may come from one table: columns get names of their own
-    entries, bars = (d.toDF(*d.columns) for d in (entries, bars))
-    out = entries.groupBy("series_id").cogroup(bars.groupBy("series_id")).applyInPandas(run, ddl)
+    entries, bars = dealt(entries.toDF(*entries.columns), bars.toDF(*bars.columns), "i", each)
+    out = entries.groupBy("series_id", "deal").cogroup(bars.groupBy("series_id", "deal")).applyInPandas(run, ddl)
     clean = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return out.select("series_id", "i", "side", "plan_id", F.when(F.col("exit_i") >= 0, F.col("exit_i")).alias("exit_i"), clean("exit_px"), clean("risk_px"))
 
 
-def trailing(bars: dict[str, np.ndarray], i: int, side: int, upto: int, activate: float, give_back: float, mode: str = "retreat") -> tuple[int, float] | None:
-    """A trailing target: armed within a bar, effective from the next; the trail is checked before a bar's new extreme.
-
-    mode share: gives back a share of the best profit; retreat: a share of the best price."""
-    price = bars["c"][i]
-    best, armed = price, False
-    for j in range(i + 1, min(upto, len(bars["c"]) - 1) + 1):
-        if armed:
-            stop = best - side * ((best - price) * side * give_back if mode == "share" else best * give_back)
-            if (bars["l"][j] <= stop) if side == 1 else (bars["h"][j] >= stop):
-                return j, stop
-        extreme = bars["h"][j] if side == 1 else bars["l"][j]
-        if (extreme - best) * side > 0:
-            best = extreme
-        armed = armed or (best - price) * side >= activate * price
-    return None
-
-
-def break_even(bars: dict[str, np.ndarray], i: int, side: int, upto: int, activate: float, lock: float) -> tuple[int, float] | None:
-    """After a close beyond the activation, from the next bar on an exit at the entry price plus the lock."""
-    price, armed = bars["c"][i], False
-    stop = price * (1 + side * lock)
-    for j in range(i + 1, min(upto, len(bars["c"]) - 1) + 1):
-        if armed and ((bars["l"][j] <= stop) if side == 1 else (bars["h"][j] >= stop)):
-            return j, stop
-        armed = armed or (bars["c"][j] - price) * side >= activate * price
-    return None
+def dealt(work: DataFrame, bars: DataFrame, by: str, each: int) -> tuple[DataFrame, DataFrame]:
+    """Work of a series in deals of about `each` rows, and the bars once for every deal."""
+    n = work.groupBy("series_id").agg(F.ceil(F.count("*") / each).cast("int").alias("deals"))
+    rows = work.join(n, "series_id").withColumn("deal", F.pmod(F.xxhash64(by), F.col("deals")).cast("int")).drop("deals")
+    return rows, bars.join(n, "series_id").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")

@@ -23,7 +23,8 @@ def finalised(rows: DataFrame, days: Column) -> DataFrame:
         {
             "mean_ret": mean, "std_ret": F.sqrt(var), "t_stat": F.when(var > 0, mean / F.sqrt(var / n)),
             "profit_factor": F.when(F.col("loss") > 0, F.col("profit") / F.col("loss")).otherwise(0.0),
-            "win_rate": F.col("wins") / F.nullif(n, F.lit(0)), "trades_per_day": n / days, "capacity": F.least(F.lit(1.0), F.col("hold_minutes") / (days * 1440)),
+            "win_rate": F.col("wins") / F.nullif(n, F.lit(0)), "trades_per_day": n / days,
+            "capacity": (F.col("hold_minutes") + (F.col("wait_minutes") if "wait_minutes" in rows.columns else F.lit(0))) / (days * 1440),
         }
     )
 
@@ -56,18 +57,72 @@ def first_of_each(rows: DataFrame, key: str, id_col: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), id_col).alias("_r")).select("_r.*")
 
 
-# fixed values: weights of the percentile score
-WEIGHTS = (0.35, 0.25, 0.20, 0.10, 0.10)
+def stress_gates(most_protections: Column | int = 0, most_drawdown: float = 0.5, least_factor: float = 1.05, most_capacity: float = 1.0, longs: tuple[float, float] = (0.0, 1.0), least_trades: int = 20, years: Sequence[str] = ()) -> dict[str, Column]:
+    """Hard gates of the stress scheme, thirteen with the two years that must have earned; a ratio without a cost is not asked."""
+    c = F.col
+    return {
+        "protected": c("protections") <= most_protections, "liquidated": c("forced") == 0, "out_of_capital": ~c("stopped").cast("boolean"), "drawdown": c("max_drawdown") <= most_drawdown,
+        **{f"{y}_lost": c(y) > 0 for y in years},
+        "profit_factor": c("profit_factor") >= least_factor, "p95_net": c("p95_net") > 0, "cost_ratio": c("cost_ratio").isNull() | (c("cost_ratio") >= 2), "gross": c("gross_before_cost") > 0,
+        "capacity": c("capacity") <= most_capacity, "long_share": (c("long_share") >= longs[0]) & (c("long_share") <= longs[1]), "few_trades": c("trades") >= least_trades,
+    }
+
+
+def cost_metrics(rows: DataFrame, applied: float, p95: float, extreme: float) -> DataFrame:
+    """What a trade earned before slippage, and after the slippage of a bad and of an extreme day; the ratio is null without a cost."""
+    gross = F.col("mean_ret") + applied
+    return rows.withColumns({"gross_before_cost": gross, "p95_net": gross - p95, "extreme_net": gross - extreme, "cost_ratio": gross / applied if applied > 0 else F.lit(None).cast("double")})
+
 
+# fixed values: metrics of the percentile score, whether larger is better, and their weights
+SCORED = (("max_drawdown", False, 0.35), ("p95_net", True, 0.25), ("worst_year", True, 0.20), ("capacity", False, 0.10), ("profit_factor", True, 0.10))
 
-def percentile_score(rows: DataFrame, metrics: Sequence[tuple[str, bool]], category: str, weights: Sequence[float] = WEIGHTS, clip: float = 0.025) -> DataFrame:
-    """score: weighted percentile ranks within the category, clipped; a category of one row ranks 0.5. metrics: (column, larger is better)."""
+
+def percentile_score(rows: DataFrame, category: str, metrics: Sequence[tuple[str, bool, float]] = SCORED, clip: float = 0.025) -> DataFrame:
+    """score, 0 to 100: weighted percentile ranks within the category, clipped and stretched again; a category of one row ranks 0.5."""
     alone = F.count("*").over(W.partitionBy(category)) == 1
     parts = []
-    for (m, larger), w in zip(metrics, weights):
+    for m, larger, w in metrics:
         rank = F.percent_rank().over(W.partitionBy(category).orderBy(F.asc(m) if larger else F.desc(m)))
-        parts.append(F.lit(w) * F.least(F.greatest(F.when(alone, 0.5).otherwise(rank), F.lit(clip)), F.lit(1 - clip)))
-    return rows.withColumn("score", sum(parts[1:], parts[0]))
+        parts.append(F.lit(w) * ((F.least(F.greatest(F.when(alone, 0.5).otherwise(rank), F.lit(clip)), F.lit(1 - clip)) - clip) / (1 - 2 * clip)))
+    return rows.withColumn("score", 100 * sum(parts[1:], parts[0]))
+
+
+def research_candidates(rows: DataFrame, category: str, cluster: str, id_col: str, most: int = 50) -> DataFrame:
+    """Of each category the first 20 by score, 10 by drawdown and 10 by net return at the bad cost; of these, in each cluster the best
+    score and of the rest the lowest drawdown; at most `most` a category, best score first. All orders end with the id."""
+    c = W.partitionBy(category)
+    orders = {"score": [F.desc("score"), F.asc("max_drawdown"), F.desc("p95_net")], "drawdown": [F.asc("max_drawdown"), F.desc("score")], "p95_net": [F.desc("p95_net"), F.desc("score")]}
+    # the first forty ranks stop early: each order is a limit within the category
+    picked = None
+    for (name, order), k in zip(orders.items(), (20, 10, 10)):
+        part = rows.withColumn("_n", F.row_number().over(c.orderBy(*order, F.asc(id_col)))).where(F.col("_n") <= k).drop("_n").withColumn("_why", F.lit(name))
+        picked = part if picked is None else picked.unionByName(part)
+    cols = [x for x in rows.columns if x != id_col]
+    picked = picked.groupBy(id_col).agg(*(F.first(x).alias(x) for x in cols), F.array_sort(F.collect_set("_why")).alias("reasons"))
+    k = W.partitionBy(category, cluster)
+    picked = picked.withColumn("_best", F.row_number().over(k.orderBy(F.desc("score"), F.asc("max_drawdown"), F.desc("p95_net"), F.asc(id_col))))
+    picked = picked.withColumn("_low", F.row_number().over(W.partitionBy(category, cluster, F.col("_best") == 1).orderBy(F.asc("max_drawdown"), F.desc("p95_net"), F.desc("score"), F.asc(id_col))))
+    kept = picked.where((F.col("_best") == 1) | (F.col("_low") == 1)).drop("_best", "_low")
+    place = F.row_number().over(c.orderBy(F.desc("score"), F.asc("max_drawdown"), F.desc("p95_net"), F.asc(id_col)))
+    return kept.withColumn("place", place).where(F.col("place") <= most)
+
+
+# fixed values: metrics that a ranking may follow: column, and whether larger is better
+RANKINGS = {
+    "final_equity": True, "total_return": True, "profit_factor": True, "t_stat": True, "win_rate": True, "trades_per_day": True, "orders_per_day": True, "trades": True, "mean_ret": True, "sum_ret": True,
+    "first_year": True, "last_year": True, "long_share": True, "executed": True, "open_quantity": True, "max_drawdown": False, "protections": False, "forced": False, "mean_hold": False, "stopped": False,
+}
+
+
+def ranking_order(metric: str, id_col: str) -> list[Column]:
+    """The metric, then the lower drawdown, then the id."""
+    return [F.desc_nulls_last(metric) if RANKINGS[metric] else F.asc_nulls_last(metric), F.asc("max_drawdown"), F.asc(id_col)]
+
+
+def evenly_spaced(n: int, k: int) -> list[int]:
+    """k places of n that lie evenly, the first and the last among them."""
+    return list(range(n)) if k >= n else sorted({round(i * (n - 1) / max(1, k - 1)) for i in range(k)})
 
 
 def top_k(rows: DataFrame, k: int, order: Sequence[Column], category: str | None = None, rank: str = "rank") -> DataFrame:
@@ -97,16 +152,40 @@ def diverse(rows: DataFrame, cluster: str, id_col: str) -> DataFrame:
     return b.where("_n = 1 or _m = 1").drop("_n", "_m")
 
 
-def stress_score(rows: DataFrame, key: str, regime: str, metric: str, trades: str) -> DataFrame:
-    """Per configuration over exit regimes: mean, min, max; average-rank percentiles of mean and min, less for few trades."""
-    agg = rows.groupBy(key).agg(F.avg(metric).alias("mean_m"), F.min(metric).alias("min_m"), F.max(metric).alias("max_m"), F.sum(trades).alias("n_trades"), F.countDistinct(regime).alias("n_regimes"))
+def average_rank(rows: DataFrame, column: str, out: str, larger: bool = True, parts: int = 64) -> DataFrame:
+    """The average rank of ties as a share of all rows. Values are counted first; counts are summed in ranges of values between
+    approximate quantiles, so no task sorts them all and only `parts` sums meet in one."""
+    c = F.col(column) if larger else -F.col(column)
+    counts = rows.groupBy(c.alias("_v")).agg(F.count("*").alias("_n"))
+    edges = sorted(set(rows.select(c.cast("double").alias("_v")).approxQuantile("_v", [k / parts for k in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
+    bucket = sum(((F.col("_v") > e).cast("int") for e in edges), F.lit(0))
+    counts = counts.withColumn("_b", bucket)
+    sums = counts.groupBy("_b").agg(F.sum("_n").alias("_s"))  # at most `parts` rows
+    w = W.orderBy("_b")
+    sums = sums.select("_b", (F.sum("_s").over(w) - F.col("_s")).alias("_before"), F.sum("_s").over(W.partitionBy()).alias("_all"))
+    ranked = counts.join(F.broadcast(sums), "_b").select("_v", ((F.col("_before") + F.sum("_n").over(W.partitionBy("_b").orderBy("_v")) - (F.col("_n") - 1) / 2) / F.col("_all")).alias(out))
+    return rows.withColumn("_v", c).join(ranked, "_v").drop("_v")
+
+
+# fixed values: what the stress score is made of: column, whether larger is better, weight
+STRESS = (("worst_ret", True, 0.60), ("mean_ret", True, 0.20), ("mean_dd", False, 0.10), ("mean_pf", True, 0.05), ("mean_t", True, 0.05))
+
+
+def regimes(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Per configuration over exit regimes (final_return, max_drawdown, profit_factor, t_stat, trades): means, worst and best."""
+    return rows.groupBy(*key).agg(
+        F.avg("final_return").alias("mean_ret"), F.min("final_return").alias("worst_ret"), F.max("final_return").alias("best_ret"), F.count_if(F.col("final_return") > 0).alias("profitable"),
+        F.avg("max_drawdown").alias("mean_dd"), F.max("max_drawdown").alias("worst_dd"), F.avg("profit_factor").alias("mean_pf"), F.avg("t_stat").alias("mean_t"), F.min("trades").alias("least_trades"),
+    )
 
-    def rank(c: str) -> Column:
-        # average rank of ties, as a share of all
-        w = W.orderBy(c)
-        return (F.rank().over(w) + (F.count("*").over(W.partitionBy(c)) - 1) / 2) / F.count("*").over(W.partitionBy())
 
-    return agg.withColumn("stress", (0.6 * rank("mean_m") + 0.4 * rank("min_m")) * F.least(F.lit(1.0), F.sqrt(F.col("n_trades") / 20)))
+def scored_by_ranks(agg: DataFrame) -> DataFrame:
+    """stress, 0 to 100: weighted average-rank percentiles of regimes(), less where the regime with the fewest trades has under 20."""
+    for m, larger, _ in STRESS:
+        agg = average_rank(agg, m, f"_p_{m}", larger)
+    score = sum((w * F.col(f"_p_{m}") for m, _, w in STRESS), F.lit(0.0))
+    penalty = F.least(F.lit(1.0), F.sqrt(F.greatest(F.col("least_trades"), F.lit(0)) / 20))
+    return agg.withColumn("stress", 100 * score * penalty).drop(*(f"_p_{m}" for m, *_ in STRESS))
 
 
 def in_all_cells(rows: DataFrame, key: str, cells: Sequence[str], needed: int, ok: Column) -> DataFrame:
@@ -121,7 +200,7 @@ def family_medians(candidates: DataFrame, family: str, score: str = "campaign_sc
 def frozen_for_validation(candidates: DataFrame, families: DataFrame, family: str, id_col: str, k_families: int, per_family: int = 2) -> DataFrame:
     """Up to two candidates of each winning family; what validation finds never comes back here."""
     won = families.orderBy(F.desc("family_score"), F.asc(family)).limit(k_families)
-    return top_k(candidates.join(F.broadcast(won), family), per_family, [F.desc("campaign_score"), F.asc(id_col)], family)
+    return top_k(candidates.join(won, family), per_family, [F.desc("campaign_score"), F.asc(id_col)], family)
 
 
 def seed_quantiles(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -45,11 +45,11 @@ def reversal_break(df: DataFrame, volume: str, by: list[str]) -> DataFrame:
 
 
 def runs(df: DataFrame, of: str, by: list[str]) -> DataFrame:
-    """run_id: number of the run of equal values; run_bars: bars since it began."""
+    """run_id: number of the run of equal values; run_bars: bars of it so far, this one included."""
     w = _w(by)
     df = df.withColumn("_new", F.coalesce(F.col(of) != F.lag(of).over(w), F.lit(True)).cast("int"))
     df = df.withColumn("run_id", F.sum("_new").over(w)).drop("_new")
-    return df.withColumn("run_bars", F.row_number().over(_w([*by, "run_id"])) - 1)
+    return df.withColumn("run_bars", F.row_number().over(_w([*by, "run_id"])))
 
 
 def pivots(df: DataFrame, by: list[str]) -> DataFrame:
@@ -102,11 +102,20 @@ def confirmed(df: DataFrame, cond: str, k: int, by: list[str], out: str) -> Data
     return df.withColumn(out, F.coalesce((F.min(F.expr(cond).cast("int")).over(f) == 1) & (F.count("*").over(f) == k), F.lit(False)))
 
 
-def whipsaw_pause(df: DataFrame, by: list[str], short: int = 5, minutes: int = 60) -> DataFrame:
-    """paused: within `minutes` after the end of the second of two successive runs shorter than `short` bars."""
-    w = _w(by)
-    ends = df.groupBy(*by, "run_id").agg(F.count("*").alias("_len"), F.max("ct").alias("_end"))
+def pause_until(df: DataFrame, by: list[str], short: int = 5, minutes: int = 60) -> DataFrame:
+    """pause_until: the end of the longest pause so far. A pause of `minutes` begins with the bar that turns out of the second short run
+    in a row (one of fewer than `short` bars); then, and after a longer run, counting starts anew. Needs run_id (runs())."""
+    ends = df.groupBy(*by, "run_id").agg(F.count("*").alias("_len"), F.min("ct").alias("_begin"))
     order = W.partitionBy(*by).orderBy("run_id")
-    ends = ends.withColumn("_pause", F.when((F.col("_len") < short) & (F.lag("_len").over(order) < short), F.col("_end")))
-    ends = ends.withColumn("_from", F.last("_pause", True).over(order.rowsBetween(W.unboundedPreceding, -1))).select(*by, "run_id", "_from")
-    return df.join(ends, [*by, "run_id"]).withColumn("paused", F.coalesce(F.col("ct") - F.col("_from") <= minutes * 60000, F.lit(False))).drop("_from")
+    ends = ends.withColumns({"_short": F.col("_len") < short, "_turn": F.lead("_begin").over(order)})
+    # stretches of short runs: every second one of a stretch pauses
+    ends = ends.withColumn("_stretch", F.sum((~F.col("_short")).cast("int")).over(order))
+    nth = F.sum(F.col("_short").cast("int")).over(W.partitionBy(*by, "_stretch").orderBy("run_id"))
+    ends = ends.withColumn("_pause", F.when(F.col("_short") & (nth % 2 == 0), F.col("_turn") + minutes * 60000))
+    ends = ends.withColumn("pause_until", F.max("_pause").over(order.rowsBetween(W.unboundedPreceding, -1))).select(*by, "run_id", "pause_until")
+    return df.join(ends, [*by, "run_id"])
+
+
+def whipsaw_pause(df: DataFrame, by: list[str], short: int = 5, minutes: int = 60) -> DataFrame:
+    """paused: whether a bar closes within a pause."""
+    return pause_until(df, by, short, minutes).withColumn("paused", F.coalesce(F.col("ct") < F.col("pause_until"), F.lit(False))).drop("pause_until")

@@ -14,13 +14,6 @@ AVERAGES, CONFIRMS = (20, 60, 120), (1, 2, 3)
 BAD_CLOSES = (5, 10, 15, 30)
 
 
-def stop_components() -> list[str]:
-    """The single stops that combinations are made of."""
-    atr = [f"ATR{k:g}@{t}" for k in ATR_MULTIPLES for t in TIMEFRAMES]
-    ma = [f"MA{n}x{k}@{t}" for n in AVERAGES for k in CONFIRMS for t in TIMEFRAMES]
-    return atr + ma + [f"BAD{n}" for n in BAD_CLOSES]
-
-
 def decode(id_: Column, **sizes: int) -> dict[str, Column]:
     """Digits of a number in a mixed radix; the last name counts fastest."""
     out, radix = {}, 1
@@ -48,15 +41,6 @@ def pairs(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(total).select(F.col("id").alias("pair_id"), a.cast("int").alias("a"), b.cast("int").alias("b"))
 
 
-def stop_dictionary(spark: SparkSession) -> DataFrame:
-    """All single stops and all pairs of two."""
-    names = F.lit(stop_components())
-    n = len(stop_components())
-    single = spark.range(n).select(F.col("id").alias("stop_id"), F.element_at(names, (F.col("id") + 1).cast("int")).alias("code"))
-    two = pairs(spark, n).select((F.col("pair_id") + n).alias("stop_id"), F.concat_ws("+", F.element_at(names, F.col("a") + 1), F.element_at(names, F.col("b") + 1)).alias("code"))
-    return single.unionByName(two)
-
-
 def all_stop_codes() -> list[str]:
     """The codes of all stop definitions, each at its frozen number: 912 older ones, 84 single, 84 x 26 and C(84, 2) pairs."""
     from itertools import combinations
