@@ -235,8 +235,7 @@ def exit_table(entries: DataFrame, bars: DataFrame, plans: list[Plan], each: int
         return pd.concat(out) if out else pd.DataFrame({k: [] for k in ("series_id", "i", "side", "plan_id", "exit_i", "exit_px", "risk_px")})
 
     ddl = "series_id string, i long, side int, plan_id int, exit_i long, exit_px double, risk_px double"
-    # both sides may come from one table: columns get names of their own
-    entries, bars = dealt(entries.toDF(*entries.columns), bars.toDF(*bars.columns), "i", each)
+    entries, bars = dealt(entries, bars, "i", each)
     out = entries.groupBy("series_id", "deal").cogroup(bars.groupBy("series_id", "deal")).applyInPandas(run, ddl)
     clean = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return out.select("series_id", "i", "side", "plan_id", F.when(F.col("exit_i") >= 0, F.col("exit_i")).alias("exit_i"), clean("exit_px"), clean("risk_px"))
@@ -246,4 +245,6 @@ def dealt(work: DataFrame, bars: DataFrame, by: str, each: int) -> tuple[DataFra
     """Work of a series in deals of about `each` rows, and the bars once for every deal."""
     n = work.groupBy("series_id").agg(F.ceil(F.count("*") / each).cast("int").alias("deals"))
     rows = work.join(n, "series_id").withColumn("deal", F.pmod(F.xxhash64(by), F.col("deals")).cast("int")).drop("deals")
-    return rows, bars.join(n, "series_id").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+    copies = bars.join(n, "series_id").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+    # both may come from one table: columns get names of their own
+    return rows.toDF(*rows.columns), copies.toDF(*copies.columns)
