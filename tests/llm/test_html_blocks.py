@@ -96,3 +96,63 @@ def test_deep_pages_keep_their_containers():
     deep, after = H.blocks(page)
     assert set(H._path_ids("article", ' class="story"')) <= set(deep.path)
     assert after.path == sorted(H._path_ids("p", ""))
+
+
+def test_every_page_of_a_table(model):
+    """The small table's pages mark their article: the text of every page is its blocks, all of them and no other."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    mark = H._path_ids("article", "")[0]
+    want = ["\n".join(b.text for b in H.blocks(p) if mark in b.path) for p in pages]
+    assert H.main_texts(model, pages) == want and len(pages) == 250 and all(want)
+
+
+def foreign_page(r):
+    """Markup of other making than the training pages: framework classes, tables, headings in side matter, links in the text."""
+    word = lambda: "".join(r.choice("aeioulnrstdmk") for _ in range(r.randint(2, 10)))
+    line = lambda a, b: " ".join(word() for _ in range(r.randint(a, b))).capitalize()
+    main, side = r.choice([("<div class='td-post-content'>", "<div class='td-ss-main-sidebar'>"), ("<section id='story-content'>", "<aside class='widget-area'>"), ("<div itemprop='articleBody' class='entry'>", "<div class='sidebar-right'>"), ("<main class='page-content'>", "<div class='related-posts'>")])
+    out, labels = [f"<html><head><title>{line(2, 8)}</title></head><body><div class='site-wrapper'>"], [0]
+
+    def put(text, label):
+        out.append(text)
+        labels.append(label)
+
+    out.append("<nav class='navbar-nav main-menu'><ul>")
+    for _ in range(r.randint(3, 8)):
+        put(f"<li class='menu-item'><a href='/{word()}'>{line(1, 2)}</a></li>", 0)
+    out.append("</ul></nav>")
+    if r.random() < 0.5:
+        put(f"<div class='cookie-notice'>{line(4, 12)}.</div>", 0)
+    out.append(main)
+    put(f"<h1 class='headline'>{line(3, 9)}</h1>", 1)
+    for _ in range(r.randint(2, 12)):
+        put(f"<p>{line(8, 50)}. <a href='/q'>{line(1, 3)}</a> {line(5, 20)}.</p>", 1)
+        if r.random() < 0.2:
+            put(f"<h2>{line(2, 6)}</h2>", 1)
+    out.append("</div></section></main>")
+    out.append(side)
+    put(f"<h3 class='widget-title'>{line(1, 3)}</h3>", 0)
+    for _ in range(r.randint(1, 5)):
+        put(f"<li><a href='/{word()}'>{line(2, 7)}</a></li>", 0)
+    out.append("</aside></div>")
+    out.append("<div class='comments-area'><ol>")
+    for _ in range(r.randint(0, 4)):
+        put(f"<li class='comment-body'>{line(5, 30)}.</li>", 0)
+    out.append("</ol></div><footer class='site-info'>")
+    put(f"&copy; {line(2, 8)}.", 0)
+    return "".join(out) + "</footer></body></html>", labels
+
+
+def test_markup_of_other_making(model):
+    r = random.Random(41)
+    right = total = 0
+    for _ in range(120):
+        page, labels = foreign_page(r)
+        found = H.blocks(page)
+        assert len(found) == len(labels)
+        p = model.predict([H.inputs(found)])[0]
+        right += sum((x >= 0.5) == bool(y) for x, y in zip(p, labels))
+        total += len(labels)
+    assert right / total > 0.95, right / total

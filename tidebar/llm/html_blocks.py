@@ -4,12 +4,13 @@ A page is split into blocks, the texts between the tags of block elements. A bid
 each as the mean vector of its hashed tag path (elements with class, id and role), the mean vector of its hashed words and some
 measures (length, share of links, punctuation, place), and says of every block, knowing the whole page, whether it belongs to the
 article. The labeller is trained here, on pages made by `training_page`: articles among menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments, with varied element names; training takes seconds and is the same each time.
+adverts, forms and reader comments, with varied element names and mostly the same words as the articles, so that markup, place and
+neighbours decide; training takes half a minute and is the same each time.
 
 Null, empty and tag-less html have no main text, or their one block if it reads as one. Broken markup never fails: unclosed elements
 end with their parents, a `<` that begins no tag is text, an unfinished tag or comment at the end is dropped. Only the content of
-scripts and styles is no text; one that never ends goes on to the page's end. Pages are read whole.
-Repeated rows get equal results. Extra columns are ignored.
+scripts and styles is no text; one that never ends goes on to the page's end. Pages of any length and depth are read whole.
+Repeated rows get equal results; ties do not arise. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -267,10 +268,13 @@ def training_page(r: random.Random) -> tuple[str, list[int]]:
     out: list[str] = ["<!DOCTYPE html><html><head>"]
     labels: list[int] = []
     letters = "abcdefghijklmnopqrstuvwxyzéüñ"
-    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(1, 9)))
+    # on most pages side matter uses any words: its markup and place tell, and one list has as many forms as the article's
+    telling = r.choice([0.0, 0.0, 0.0, 0.1, 0.5])
+    common = ["".join(r.choice(letters) for _ in range(r.randint(1, 12))) for _ in range(60)]
+    word = lambda: r.choice(common) if r.random() < 0.5 else "".join(r.choice(letters) for _ in range(r.randint(1, 12)))
 
     def sentence(n: int, own: str = "") -> str:
-        w = [r.choice(own.split()) if own and r.random() < 0.5 else word() for _ in range(n)]
+        w = [r.choice(own.split()) if own and r.random() < telling else word() for _ in range(n)]
         noise = r.choice(["", "", "", "!!", "&amp;", "%%%", "***"])
         text = " ".join(x + ("," if r.random() < 0.1 else "") + noise for x in w) + r.choice(["", ".", "."])
         return text.upper() if r.random() < 0.1 else text.capitalize()
@@ -283,13 +287,16 @@ def training_page(r: random.Random) -> tuple[str, list[int]]:
         return "".join(f"</{n}>" for n in reversed(re.findall(r"<(\w+)", markup)))
 
     def side(kind: str) -> None:
-        holder = r.choice(_HOLDERS[kind])
+        # a container may have any name
+        holder = r.choice(_HOLDERS[kind]) if r.random() < 0.85 else f'<div class="{word()} {word()}">'
         out.append(holder)
         form = r.random()
         if kind == "menu" or form < 0.3 and kind != "comment":
             out.append("<ul>" if "<ul" not in holder else "")
-            for _ in range(r.randint(1, 7)):
-                put(f'<li><a href="/x">{sentence(r.randint(1, 3), _SIDE[kind])}</a>' + r.choice(["</li>", "</li>", ""]), 0)
+            linked = r.random() < 0.8
+            for _ in range(r.randint(1, 9)):
+                text = sentence(r.choice([1, 1, 1, 2, 3]), _SIDE[kind])
+                put((f'<li><a href="/x">{text}</a>' if linked else f"<li>{text}") + r.choice(["</li>", "</li>", ""]), 0)
             out.append("</ul>" if "<ul" not in holder else "")
         elif form < 0.6:
             put(sentence(r.randint(1, 20), _SIDE[kind]) + (r.choice(["", "\n"]) + sentence(r.randint(1, 15), _SIDE[kind]) if r.random() < 0.4 else ""), 0)
@@ -302,23 +309,30 @@ def training_page(r: random.Random) -> tuple[str, list[int]]:
     out.append("<style>p{margin:0}</style><script>var a='</p>';</script></head><body>")
     for kind in r.sample(["header", "menu", "notice", "advert", "menu", "form", "side"], r.randint(0, 5)):
         side(kind)
-    main = r.choice(_MAIN)
+    main = r.choice(_MAIN) if r.random() < 0.8 else f'<div class="{word()}-{word()}">'
     out.append(main)
     if r.random() < 0.85:
         put(f"<{(t := r.choice(['h1', 'h1', 'h2']))}>{sentence(r.randint(1, 12))}</{t}>", 1)
-    for _ in range(r.randint(1, 14)):
+    if r.random() < 0.12:  # one short line over and over
+        text = sentence(r.choice([1, 2, 3, 6]))
+        for _ in range(r.randint(3, 25)):
+            put(f"<p>{text}</p>", 1)
+    for _ in range(r.choice([r.randint(1, 14), r.randint(1, 14), r.randint(10, 30)])):
         if r.random() < 0.06:
             side(r.choice(["advert", "side", "notice", "form"]))
         kind = r.random()
         text = sentence(r.choice([1, 1, 2, r.randint(3, 90), r.randint(10, 60), r.randint(10, 60)]))
         if kind < 0.55:
+            if r.random() < 0.35:  # links within the text
+                text += f' <a href="/w">{sentence(r.randint(1, 4))}</a> {sentence(r.randint(1, 30))}'
             put(f"<p>{text}" + r.choice(["</p>", "</p>", ""]), 1)
         elif kind < 0.7:
             put(f"<p><b>{text}<br>", 1)
         elif kind < 0.8:
             out.append("<ul>")
-            for _ in range(r.randint(1, 5)):
-                put(f"<li>{sentence(r.randint(1, 20))}</li>", 1)
+            for _ in range(r.randint(1, 6)):
+                text = sentence(r.choice([1, 2, r.randint(1, 20)]))
+                put(f"<li><a href='/z'>{text}</a></li>" if r.random() < 0.2 else f"<li>{text}</li>", 1)
             out.append("</ul>")
         elif kind < 0.88:
             put(f"<{(t := r.choice(['h2', 'h3', 'blockquote', 'pre', 'figcaption', 'td']))}>{text}</{t}>", 1)
@@ -332,7 +346,7 @@ def training_page(r: random.Random) -> tuple[str, list[int]]:
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 500, seed: int = 12) -> Labeller:
+def trained(pages: int = 800, seed: int = 12) -> Labeller:
     r = random.Random(seed)
     made = [training_page(r) for _ in range(pages)]
     return Labeller().fit([inputs(blocks(p)) for p, _ in made], [y for _, y in made])
