@@ -90,6 +90,37 @@ def test_distinct_entities_stay_distinct(spark):
     assert len(set(out)) == len(texts) and not set(out) & set(texts)
 
 
+def test_domains_stay_distinct_though_their_space_is_full(spark):
+    """All one-letter domains of an ending: no free surrogate of one letter is left, so they grow."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"ann@{a}.org" for a in letters] + [f"bob@{a}.org" for a in letters]
+    out = replaced(spark, texts)
+    domains = [t.split("@")[1] for t in out]
+    assert domains[:26] == domains[26:] and len(set(domains)) == 26 and not set(domains) & {f"{a}.org" for a in letters}
+
+
+def test_phones_with_and_without_their_country(spark):
+    out = replaced(spark, ["+1 (702) 555-0742", "(702) 555-0742", "702-555-0742", "+44 702 555 0742", "+1 (702) 555-0743"])
+    digits = [re.sub(r"\D", "", t) for t in out]
+    assert digits[0][0] == "1" and digits[0][1:] == digits[1] == digits[2] == digits[3][2:] != "7025550742" and digits[3][:2] == "44"
+    assert digits[4][1:] != digits[1] and re.fullmatch(r"\(\d{3}\) \d{3}-\d{4}", out[1])
+
+
+def test_account_numbers_have_right_check_digits(spark):
+    out = replaced(spark, ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "MT84MALT011000012345MTLCAST001S", "NO9386011117947"])
+    for t in out:
+        n = t.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in n[4:] + n[:4])) % 97 == 1, t
+
+
+def test_names_are_nobody_else(spark):
+    """A surrogate that is a name of the corpus, under whatever title, gives way to the next."""
+    first = replaced(spark, ["Herr Otto Weber"])[0]
+    taken = "Frau " + first.split(" ", 1)[1]
+    out = replaced(spark, ["Herr Otto Weber", taken])
+    assert out[0] != first and out[0].split(" ", 1)[1] != taken.split(" ", 1)[1]
+
+
 def test_many_moved_entities_are_joined(spark, monkeypatch):
     texts = [f"{a}{b}@x.org and {b}@x.org" for a in "abcdefghij" for b in "abcdefghij"]
     want = replaced(spark, texts)

@@ -4,16 +4,19 @@ One pattern finds e-mail and IPv4 addresses, telephone numbers, card numbers, so
 keys, values of passwords and tokens, and names after a title. An entity's surrogate follows from the secret key, its type and its
 canonical form (digits of numbers, lower case of addresses), so the same entity gets the same surrogate in every document and every
 spelling, in the format of that spelling: digits for digits, the letters of the same script and case, separators as they were,
-country codes, card networks with valid check digits, top-level domains, valid octets, names with the title's gender. Domains are
-replaced consistently on their own, and so are surnames. Passwords are replaced at any length, other secrets from eight characters on;
+country codes, card networks and account numbers with valid check digits, top-level domains, valid octets, names with the title's
+gender. Domains are replaced consistently on their own, and so are surnames; a telephone number is the same entity with and without
+its country code. Passwords are replaced at any length, other secrets from eight characters on;
 those with fewer than eight letters and digits get twelve hexadecimal digits, as there are too few of their own format.
 
 Collision checks keep entities apart: where two of one type would get one surrogate, or a surrogate is itself an entity of the
-corpus, all but the smallest take their next surrogate, until none collide. Entities that took another attempt are few and are
-looked up; all others are computed in place, so texts are not shuffled.
+corpus (of a name, whatever the title), all but the smallest take their next surrogate, until none collide; the domains of addresses
+are settled so before the addresses. Entities that took another attempt are few and are looked up; all others are computed in place,
+so texts are not shuffled. The key is a parameter; the query takes it from the session's spark.tidebar.surrogate.key.
 
-Null and empty texts stay as they are. Texts are read whole, in time linear in their length. Repeated rows get equal results. Other
-columns are kept, also where their names clash with those used inside.
+Null and empty texts stay as they are. Texts are read whole, in time linear in their length. Repeated rows get equal results, and of
+colliding entities the one that sorts first keeps its surrogate. An empty table gives an empty result. Other columns are kept, also
+where their names clash with those used inside.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from .common import cut, table
 KEY = "change me"
 #: Up to so many entities with another attempt are sent to every task (about 100 bytes each); more are joined by shuffling.
 BROADCAST = 20_000
+#: Digits of a telephone number after the country code.
+NATIONAL = 10
 TYPES = ("email", "ip", "phone", "card", "ssn", "iban", "key", "secret", "name")
 
 # fixed values: titles by gender
@@ -89,7 +94,7 @@ def _gender(e: str) -> str:
 
 def canonical(e: str, k: str) -> str:
     return f"""case {k} when 'email' then lower({e}) when 'secret' then regexp_replace({e}, {_lit(f'^{_SECRET}')}, '')
-        when 'phone' then regexp_replace({e}, '[^0-9]', '') when 'card' then regexp_replace({e}, '[^0-9]', '') when 'iban' then replace({e}, ' ', '')
+        when 'phone' then right(regexp_replace({e}, '[^0-9]', ''), {NATIONAL}) when 'card' then regexp_replace({e}, '[^0-9]', '') when 'iban' then replace({e}, ' ', '')
         when 'name' then concat({_gender(e)}, ' ', lower(regexp_replace({e}, {_lit(f'^{_TITLE} ')}, ''))) else {e} end"""
 
 
@@ -139,6 +144,32 @@ def _card(s: str, c: str) -> str:
     return _let("d", new, f"case when pmod({_luhn(c, f'length({c})', f'length({c})')}, 10) = 0 then {fixed} else d end")
 
 
+def _mod97(x: str) -> str:
+    """The remainder by 97 of a string of digits and capitals, capitals counting 10 to 35."""
+    c = f"substring({x}, i, 1)"
+    return f"aggregate(sequence(1, length({x})), 0, (sum, i) -> case when {c} between '0' and '9' then pmod(sum * 10 + cast({c} as int), 97) else pmod(sum * 100 + ascii({c}) - 55, 97) end)"
+
+
+def _iban_of(s: str, c: str) -> str:
+    """Country, check digits that are right, and letters and digits for letters and digits."""
+    body = _shape(f"substring({c}, 5)", s)
+    return _let("d", body, f"concat(substring({c}, 1, 2), lpad(cast(98 - {_mod97(f'concat(d, substring({c}, 1, 2), {_lit("00")})')} as string), 2, '0'), d)")
+
+
+#: From this attempt on addresses, domains and surnames grow by a letter every so many attempts: short forms run out of surrogates.
+GROW = 8
+
+
+def _more(s: str, n: str) -> str:
+    return f"case when {n} >= {GROW} then {_shape(f'repeat({_lit("a")}, cast({n} div {GROW} as int))', s)} else '' end"
+
+
+def _domain(key: str, domain: str, n: str) -> str:
+    """The n-th surrogate of a domain; what follows the last dot stays."""
+    labels = f"substring({domain}, 1, length({domain}) - length(substring_index({domain}, '.', -1)) - 1)"
+    return f"concat({_let('t', _seed(key, _lit('domain'), domain, f'cast({n} as string)'), f"concat({_shape(labels, 't')}, {_more('t', n)})")}, '.', substring_index({domain}, '.', -1))"
+
+
 def _spoken(s: str, at: int, name: str, gender: str, surname: bool) -> str:
     """A name of two or three syllables in the script of the old one, with an ending of the gender."""
     syllables = lambda text, one: f"concat({', '.join(f'substring({_lit(text)}, 1 + {one} * pmod({_byte(s, str(at + j))}, {len(text) // one}), {one})' for j in range(3))})"
@@ -150,30 +181,31 @@ def _spoken(s: str, at: int, name: str, gender: str, surname: bool) -> str:
     return f"initcap(case when {name} rlike {_lit(r'\p{IsCyrillic}')} then concat({cyrillic}, {cyrillic_end}) else concat({latin}, {latin_end}) end)"
 
 
-def surrogate(key: str, k: str, c: str, n: str) -> str:
-    """SQL: the n-th canonical surrogate of canonical form c of type k."""
+def surrogate(key: str, k: str, c: str, n: str, dn: str) -> str:
+    """SQL: the n-th canonical surrogate of canonical form c of type k; dn: the attempt of an address's domain."""
     own = _seed(key, k, c, f"cast({n} as string)")
     domain = f"substring_index({c}, '@', -1)"
-    labels = f"substring({domain}, 1, length({domain}) - length(substring_index({domain}, '.', -1)) - 1)"
-    email = f"concat({_shape(f'substring_index({c}, {_lit("@")}, 1)', 's')}, '@', {_let('t', _seed(key, _lit('domain'), domain), _shape(labels, 't'))}, '.', substring_index({domain}, '.', -1))"
+    email = f"concat({_shape(f'substring_index({c}, {_lit("@")}, 1)', 's')}, {_more('s', n)}, '@', {_domain(key, domain, dn)})"
     ip = "concat_ws('.', " + ", ".join(f"cast(1 + pmod({_byte('s', str(i))}, 254) as string)" for i in range(1, 5)) + ")"
     hexed = f"array_join(transform(sequence(1, length({c})), i -> lower(hex(pmod({_byte('s', 'i')}, 16)))), '')"
-    phone = f"concat(substring({c}, 1, greatest(length({c}) - 10, 0)), {_let('o', f'substring({c}, greatest(length({c}) - 10, 0) + 1)', _digits('s', 'o'))})"
+    phone = _digits("s", c)
     words = f"split(substring({c}, 3), ' ')"
     gender = f"substring({c}, 1, 1)"
     surname_seed = _seed(key, _lit("surname"), f"element_at({words}, -1)", f"cast({n} as string)")
-    surname = _let("t", surname_seed, _spoken("t", 1, f"element_at({words}, -1)", gender, True))
+    surname = _let("t", surname_seed, f"concat({_spoken('t', 1, f'element_at({words}, -1)', gender, True)}, {_more('t', n)})")
     name = f"concat_ws(' ', case when size({words}) > 1 then {_spoken('s', 1, f'element_at({words}, 1)', gender, False)} end, {surname})"
     body = f"""case {k} when 'email' then {email} when 'ip' then {ip} when 'phone' then {phone} when 'card' then {_card('s', c)} when 'ssn' then {_shape(c, 's')}
-        when 'iban' then concat(substring({c}, 1, 2), {_shape(f'substring({c}, 3)', 's')}) when 'key' then concat(substring({c}, 1, 4), {_shape(f'substring({c}, 5)', 's')})
+        when 'iban' then {_iban_of('s', c)} when 'domain' then {_domain(key, c, n)} when 'key' then concat(substring({c}, 1, 4), {_shape(f'substring({c}, 5)', 's')})
         when 'secret' then case when length(regexp_replace({c}, {_lit(r'[^\p{L}\p{N}]')}, '')) < 8 then substring(s, 1, 12) when {c} rlike '^[0-9a-f]+$' then {hexed} else {_shape(c, 's')} end else {name} end"""
     return _let("s", own, body)
 
 
 def as_written(e: str, k: str, c: str, new: str) -> str:
     """SQL: the canonical surrogate in the spelling of entity e."""
-    placed = f"array_join(transform(sequence(1, length({e})), i -> case when substring({e}, i, 1) rlike '[0-9A-Za-z]' then substring({new}, length(regexp_replace(substring({e}, 1, i), '[^0-9A-Za-z]', '')), 1) else substring({e}, i, 1) end), '')"
-    return f"""case when {k} in ('phone', 'card', 'iban') then {placed} when {k} = 'secret' then concat(substring({e}, 1, length({e}) - length({c})), {new})
+    # a number written with its country code keeps it
+    whole = f"concat(substring(regexp_replace({e}, '[^0-9]', ''), 1, case {k} when 'phone' then greatest(length(regexp_replace({e}, '[^0-9]', '')) - {NATIONAL}, 0) else 0 end), {new})"
+    placed = f"array_join(transform(sequence(1, length({e})), i -> case when substring({e}, i, 1) rlike '[0-9A-Za-z]' then substring(w2, length(regexp_replace(substring({e}, 1, i), '[^0-9A-Za-z]', '')), 1) else substring({e}, i, 1) end), '')"
+    return f"""case when {k} in ('phone', 'card', 'iban') then {_let('w2', whole, placed)} when {k} = 'secret' then concat(substring({e}, 1, length({e}) - length({c})), {new})
         when {k} = 'name' then concat(regexp_extract({e}, {_lit(f'^{_TITLE} ')}, 0), {new}) else {new} end"""
 
 
@@ -183,23 +215,40 @@ def entities(text: str) -> str:
     return f"transform({found}, e -> {_let('k', kind('e'), f'named_struct({_lit("e")}, e, {_lit("k")}, k, {_lit("c")}, {canonical("e", "k")})')})"
 
 
-def _attempts(found: DataFrame, key: str) -> DataFrame:
-    """(k, c, n) of the entities that take another attempt than the first."""
-    all_ = cut(found.select("k", "c").distinct().withColumn("n", F.lit(0)).withColumn("new", F.expr(surrogate(key, "k", "c", "0"))))
+def _settled(all_: DataFrame, key: str) -> DataFrame | None:
+    """(k, c, n) of the entities of all_ (k, c, dn, n, new) that take another attempt than the first."""
+    said = lambda k, c: F.when(F.col(k) == "name", F.substring(c, 3, 10_000)).otherwise(F.col(c))  # noqa: E731  a name without its gender
+    taken = all_.select("k", said("k", "c").alias("own")).distinct()
     moved = None
     while True:
         now = all_ if moved is None else all_.join(moved, ["k", "c"], "left_anti").unionByName(moved)
         # of those with one surrogate the smallest keeps it; nobody gets what somebody has
         shared = now.groupBy("k", "new").agg(F.count("*").alias("m"), F.min("c").alias("first")).where("m > 1").select("k", "new", "first")
-        same = now.join(shared, ["k", "new"]).where("c != first").select("k", "c", "n")
-        own = now.join(all_.select("k", F.col("c").alias("new")).where("k != 'name'"), ["k", "new"], "left_semi").select("k", "c", "n")
+        same = now.join(shared, ["k", "new"]).where("c != first").select("k", "c", "dn", "n")
+        own = now.withColumn("own", F.when(F.col("k") == "name", F.lower("new")).otherwise(F.col("new"))).join(taken, ["k", "own"], "left_semi").select("k", "c", "dn", "n")
         clash = cut(same.unionByName(own).distinct())
         if clash.isEmpty():
             return moved
-        again = clash.withColumn("n", F.col("n") + 1).withColumn("new", F.expr(surrogate(key, "k", "c", "n")))
+        again = clash.withColumn("n", F.col("n") + 1).withColumn("new", F.expr(surrogate(key, "k", "c", "n", "dn")))
         moved = cut(again if moved is None else moved.join(again, ["k", "c"], "left_anti").unionByName(again))
 
 
+def _attempts(found: DataFrame, key: str) -> DataFrame | None:
+    """(k, c, n) of the entities, domains among them, that take another attempt than the first."""
+    first = lambda df: cut(df.withColumn("n", F.lit(0)).withColumn("new", F.expr(surrogate(key, "k", "c", "0", "dn"))).select("k", "c", "dn", "n", "new"))
+    each = cut(found.select("k", "c").distinct())
+    domain = F.when(F.col("k") == "email", F.substring_index("c", "@", -1))
+    domains = _settled(first(each.where("k = 'email'").select(F.lit("domain").alias("k"), domain.alias("c"), F.lit(0).alias("dn")).distinct()), key)
+    if domains is None:
+        each = each.withColumn("dn", F.lit(0))
+    else:
+        of = domains.select(F.col("c").alias("_domain"), F.col("n").alias("_n"))
+        each = each.withColumn("_domain", domain).join(of, "_domain", "left").select("k", "c", F.coalesce("_n", F.lit(0)).alias("dn"))
+    rest = _settled(first(each), key)
+    parts = [d.select("k", "c", "n") for d in (domains, rest) if d is not None]
+    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else None
+
+
 def replace_personal_data(docs: DataFrame, text_col: str = "text", key: str = KEY, counts: bool = False) -> DataFrame:
     """docs with surrogates in the text; with counts, also n_entities and one count for each type."""
     names = docs.columns
@@ -215,11 +264,13 @@ def replace_personal_data(docs: DataFrame, text_col: str = "text", key: str = KE
         rows = rows.crossJoin(F.broadcast(whole))  # one row, of checked size
     else:
         rows = rows.withColumn("_id", F.struct(F.xxhash64("_text"), F.hash("_text"), F.octet_length("_text")))
-        mine = rows.select("_id", F.explode("_found").alias("x")).select("_id", "x.k", "x.c").distinct().join(moved, ["k", "c"])
+        mine = rows.select("_id", F.explode("_found").alias("x")).select("_id", "x.k", "x.c")
+        mine = mine.unionByName(mine.where("k = 'email'").select("_id", F.lit("domain").alias("k"), F.substring_index("c", "@", -1).alias("c"))).distinct().join(moved, ["k", "c"])
         mine = mine.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "k", "c"), "n"))).alias("_again"))
         rows = rows.join(mine, "_id", "left")
     attempt = "coalesce(element_at(_again, concat_ws('|', x.k, x.c)), 0)"
-    new = f"transform(_found, x -> {_let('w', surrogate(key, 'x.k', 'x.c', attempt), as_written('x.e', 'x.k', 'x.c', 'w'))})"
+    of_domain = "coalesce(element_at(_again, concat('domain|', substring_index(x.c, '@', -1))), 0)"
+    new = f"transform(_found, x -> {_let('w', surrogate(key, 'x.k', 'x.c', attempt, of_domain), as_written('x.e', 'x.k', 'x.c', 'w'))})"
     text = f"""case when size(_found) > 0 then {_let('parts', f"named_struct('gap', split(_text, {_lit(PATTERN)}, -1), 'new', {new})",
         "array_join(transform(parts.gap, (g, i) -> concat(g, coalesce(get(parts.new, i), ''))), '')")} else _text end"""
     rows = rows.withColumn("_new", F.expr(text))
@@ -230,4 +281,5 @@ def replace_personal_data(docs: DataFrame, text_col: str = "text", key: str = KE
 
 
 def op10_pii_surrogates(spark, sf_dir: str) -> DataFrame:
-    return replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    key = spark.conf.get("spark.tidebar.surrogate.key", KEY)
+    return replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), key=key, counts=True)
