@@ -1,7 +1,7 @@
 """All queries of the library itself, by name."""
 
-from . import market, strategy
+from . import market, more, strategy
 
 QUERIES, ORACLE_SQL = strategy.QUERIES, strategy.ORACLE
 
-__all__ = ["ORACLE_SQL", "QUERIES", "market"]
+__all__ = ["ORACLE_SQL", "QUERIES", "market", "more"]

@@ -333,7 +333,7 @@ def replay_configurations(spark, sf):
 _COSTS = dict(slippage=0.0005, fee=0.0004, protection=0.5)
 
 
-@query(RULE_BARS + """, bb AS (SELECT series_id, CAST(i AS BIGINT) AS i, ct, o, h, l, c FROM rb), n AS (SELECT series_id, max(i) AS last FROM bb GROUP BY 1),
+_COSTS_SQL = RULE_BARS + """, bb AS (SELECT series_id, CAST(i AS BIGINT) AS i, ct, o, h, l, c FROM rb), n AS (SELECT series_id, max(i) AS last FROM bb GROUP BY 1),
 e AS (SELECT series_id, i, CASE WHEN c > o THEN 1 ELSE -1 END AS side, c AS px FROM bb WHERE c <> o),
 -- the first touch of the stop, of the target, and of the level at which half of the equity is gone after the opening fee, at three times leverage
 lim AS (SELECT *, px * (1 - side * 0.12::DOUBLE) AS stop_px, px * (1 + side * 0.2::DOUBLE) AS target_px, CASE WHEN lev = 1 THEN 'one' ELSE 'five' END AS who FROM e, (VALUES (1.0::DOUBLE), (5.0::DOUBLE)) v(lev)),
@@ -361,18 +361,32 @@ ev AS (
 dd AS (SELECT series_id, lev, max(1 - v / greatest(1000.0::DOUBLE, coalesce(peak, 0))) AS max_drawdown FROM (SELECT *, max(CASE WHEN raises THEN v END) OVER (PARTITION BY series_id, lev ORDER BY k, j, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak FROM ev) GROUP BY ALL)
 SELECT t.series_id, t.lev AS leverage, count(*) AS trades, count_if(net > 0) AS wins, CAST(sum(x - t.i) AS BIGINT) AS hold_bars, CAST(sum(CASE WHEN took THEN least(2, last - x) ELSE 0 END) AS BIGINT) AS wait_bars, count_if(saved) AS protections,
   round(sum(net), 6) AS sum_ret, round(sum(greatest(net, 0)), 6) AS profit, round(sum(greatest(-net, 0)), 6) AS loss, round(arg_max(after, k), 4) AS final_equity, round(greatest(0, any_value(max_drawdown)), 6) AS max_drawdown
-FROM trade t JOIN n USING (series_id) JOIN dd USING (series_id, lev) GROUP BY ALL""")
-def replay_with_costs(spark, sf):
-    """Accounts of every series at one and five times leverage with fees, slippage, protection at half of the equity and a cooldown."""
+FROM trade t JOIN n USING (series_id) JOIN dd USING (series_id, lev) GROUP BY ALL"""
+_TOUCHED = "WHEN took THEN side * ((px * (1 + side * 0.2::DOUBLE)) / px - 1) WHEN s IS NOT NULL THEN side * ((px * (1 - side * 0.12::DOUBLE)) / px - 1) ELSE side * (b.c / px - 1) END AS raw"
+
+
+def _with_costs(spark, sf, **more) -> DataFrame:
     b = rule_bars(spark, sf).select("series_id", "i", "ct", "o", "h", "l", "c", "atr14")
     e = b.where("c <> o").select("series_id", F.lit(1).alias("rule_id"), "i", F.when(F.col("c") > F.col("o"), 1).otherwise(-1).alias("side"), F.col("i").alias("run"))
     cfg = b.select("series_id").distinct().select(F.xxhash64("series_id").alias("config_id"), "series_id", F.lit(1).alias("rule_id"), F.lit(0).alias("stop_id"), F.lit(0).alias("target_id"), F.array(F.lit(1.0), F.lit(5.0)).alias("leverages"))
-    a = S.account_rows(replay_grid(cfg, b, e, {0: [Plan(0, "fixed", 0.12)]}, {0: [Plan(1, "target", 0.2)]}, Account(cooldown=2, **_COSTS)))
+    a = S.account_rows(replay_grid(cfg, b, e, {0: [Plan(0, "fixed", 0.12)]}, {0: [Plan(1, "target", 0.2)]}, Account(cooldown=2, **_COSTS, **more)))
     long = lambda c, n=None: F.col(c).cast("long").alias(n or c)
     six = lambda c, n=6: F.round(c, n).alias(c)
     return a.select("series_id", "leverage", long("trades"), long("wins"), long("hold_minutes", "hold_bars"), long("wait_minutes", "wait_bars"), long("protections"), six("sum_ret"), six("profit"), six("loss"), six("final_equity", 4), six("max_drawdown"))
 
 
+@query(_COSTS_SQL)
+def replay_with_costs(spark, sf):
+    """Accounts of every series at one and five times leverage with fees, slippage, protection at half of the equity and a cooldown."""
+    return _with_costs(spark, sf)
+
+
+@query(_COSTS_SQL.replace(_TOUCHED, "ELSE side * (d.c / px - 1) END AS raw").replace("FROM y JOIN bb b ON b.series_id = y.series_id AND b.i = last", "FROM y JOIN bb d ON d.series_id = y.series_id AND d.i = planned"))
+def replay_confirmed_closes(spark, sf):
+    """The same, filled at the close of the bar on which an exit was touched."""
+    return _with_costs(spark, sf, close_confirmed=True)
+
+
 @query("""SELECT CAST(id AS BIGINT) AS config_id, CAST(id // 1320 % 6 AS INT) AS session, CAST(id // 22 % 60 AS INT) AS stop, CAST(id % 22 AS INT) AS leverage FROM (SELECT unnest(range(0, 7920)) AS id)
 EXCEPT SELECT l_orderkey, CAST(l_orderkey // 1320 % 6 AS INT), CAST(l_orderkey // 22 % 60 AS INT), CAST(l_orderkey % 22 AS INT) FROM lineitem""")
 def grid_resume(spark, sf):

@@ -6,6 +6,7 @@ fire on what is missing. Time is UTC and, inside tables, a BIGINT of millisecond
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,11 +47,27 @@ def finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, deleted when it ends. Without that setting a local folder serves a local
+    master (tests); on a cluster that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="tidebar-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    path = f"{where.rstrip('/')}/tidebar-core-{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return path
+
+
 def store(df: DataFrame, *partition_by: str) -> DataFrame:
     """df as a table in the shared checkpoint folder, read back; lineage ends there."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidebar-")
-    path = f"{where.rstrip('/')}/tidebar-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     writer = df.write
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

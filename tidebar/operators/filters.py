@@ -126,6 +126,17 @@ def higher_filter(code: int, short_frame: bool, side_: Column, native: Column, d
     return F.coalesce(rule & known, F.lit(False))
 
 
+def trigger(code: int, flip: bool, side_: Column, dir_: Column, turned: Column, close: Column, average: Column, turn: Column, sufficient: Column) -> Column:
+    """Codes of the base timeframe: 0 none, 1 the direction, 2 also on the average's side, 3 a turn on sufficient volume, 4 also a turn
+    the other way on insufficient volume. flip: codes 1 and 2 only on the bar that changed the direction."""
+    with_it = (dir_ == side_) & (turned if flip else F.lit(True))
+    rule = {
+        0: F.lit(True), 1: with_it, 2: with_it & ((close - average) * side_ > 0),
+        3: (turn == side_) & sufficient, 4: ((turn == side_) & sufficient) | ((turn == -side_) & ~sufficient),
+    }[code]
+    return F.coalesce(rule, F.lit(False))
+
+
 def holidays(spark: SparkSession, days: dict[int, list[date]]) -> DataFrame:
     return spark.createDataFrame([(y, d) for y, ds in days.items() for d in (ds or [None])], "year int, day date")
 

@@ -119,3 +119,27 @@ def pause_until(df: DataFrame, by: list[str], short: int = 5, minutes: int = 60)
 def whipsaw_pause(df: DataFrame, by: list[str], short: int = 5, minutes: int = 60) -> DataFrame:
     """paused: whether a bar closes within a pause."""
     return pause_until(df, by, short, minutes).withColumn("paused", F.coalesce(F.col("ct") < F.col("pause_until"), F.lit(False))).drop("pause_until")
+
+
+# fixed values: when entries are allowed, and what is used up by a trade
+ENTRY_MODES = ("LIVE_01", "TF_EVENT", "F5_EVENT", "MACD_CYCLE", "MACD_FULL_RED", "MACD_FULL_GREEN")
+
+
+def entry_runs(df: DataFrame, mode: str, frame_minutes: int = 1, by: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """entry_run: the run that a trade on this bar would use up, null where the mode admits none. From columns ct, i, run_id and hist.
+
+    LIVE_01: the run of one direction; TF_EVENT: any bar at which the lowest enabled frame closes, F5_EVENT: any bar with an event, both
+    without a limit; MACD_CYCLE: the histogram's run on one side of zero; MACD_FULL_RED, MACD_FULL_GREEN: both sides of it from one seen
+    edge to the next. What lies before the first cycle admits nothing."""
+    keys = list(by)
+    if mode == "LIVE_01":
+        return df.withColumn("entry_run", F.col("run_id").cast("long"))
+    if mode == "TF_EVENT":
+        return df.withColumn("entry_run", F.when(F.col("ct") % (frame_minutes * 60_000) == 0, F.col("i")).cast("long"))
+    if mode == "F5_EVENT":
+        return df.withColumn("entry_run", F.col("i").cast("long"))
+    if mode == "MACD_CYCLE":
+        out, run = zero_runs(df, "hist", keys), "cycle_id"
+    else:
+        out, run = full_cycles(df, "hist", keys, {"MACD_FULL_RED": 1, "MACD_FULL_GREEN": -1}[mode]), "full_id"
+    return out.withColumn("entry_run", F.when(F.col(run) > 0, F.col(run)).cast("long")).drop(run)
