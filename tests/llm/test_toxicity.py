@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidebar.llm import toxicity as T
 
@@ -53,13 +54,40 @@ def test_later_models_see_earlier_predictions(fitted):
     assert chain.out_of_fold.shape[1] == 3
 
 
-def test_out_of_fold_predictions_come_from_models_without_the_row():
-    rows = T.Rows([np.array([i % 7], np.int32) for i in range(100)])
-    y = np.arange(100) % 7 < 3
-    fold = np.arange(100) % 5
-    chain = T.Chain(rows, {"a": y}, fold, ("a",))
-    for k in range(5):
-        assert np.allclose(chain.out_of_fold[fold == k, 0], T.Linear(rows, np.zeros((100, 0)), y, fold != k).predict(rows, np.zeros((100, 0)))[fold == k])
+def test_chain_against_a_plain_one_in_the_driver(spark):
+    """Brute force: the same fits one after the other, on rows held here."""
+    r = random.Random(8)
+    found = [np.unique([i % 7, 20 + i % 3, *(r.randrange(30, 40) for _ in range(4))]).astype(np.int32) for i in range(100)]
+    flags = {"a": np.arange(100) % 7 < 3, "b": np.arange(100) % 3 == 0}
+    sample = spark.createDataFrame([(i, bytes(found[i].tobytes()), int(flags["a"][i]), int(flags["b"][i])) for i in range(100)], "id long, found binary, is_a int, is_b int")
+    chain = T.fit_chain(sample, ("a", "b"))
+    fold, rows, dense = T.fold_of(np.arange(100)), T.Rows(found), np.zeros((100, 0))
+    assert set(fold) == set(range(T.FOLDS)) and chain.ids.tolist() == list(range(100))
+    for k, name in enumerate(("a", "b")):
+        out = np.zeros(100)
+        for f in range(T.FOLDS):
+            out[fold == f] = T.Linear(rows, dense, flags[name], fold != f).predict(rows, dense)[fold == f]
+        whole = T.Linear(rows, dense, flags[name], np.ones(100, bool))
+        assert np.allclose(chain.out_of_fold[:, k], out) and np.allclose(chain.models[k].w, whole.w) and chain.models[k].at.tolist() == whole.at.tolist()
+        dense = np.column_stack([dense, out])
+
+
+def test_words_of_any_length_and_script(spark, fitted):
+    assert len(T.features("あ" * 5000)) and len(T.features("x" * 100_000))
+    joined = T.features("\u00a0".join(["quite", "idiot", "words"] * 20))
+    assert set(T.features("idiot").tolist()) <= set(joined.tolist())
+    assert set(T.features("idiot").tolist()) <= set(T.features("_".join(["quite", "idiot", "words"] * 20)).tolist())
+    d, _, chain = fitted
+    text = "\u00a0".join(["idiot", "moron", "scum", "tea", "sun"] * 9)
+    assert T.classify(spark.createDataFrame([(1, text)], "doc_id long, text string"), chain).first()["toxic"]
+
+
+def test_ids_repeated_with_different_texts(spark):
+    docs, labels = corpus(200, 5)
+    d = spark.createDataFrame(docs + [(i, "sun tea " + t, x) for i, t, x in docs[:100]], "doc_id long, text string, toxic string")
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    a, b = T.train(d, y), T.train(d.orderBy(F.desc("text")).repartition(3), y)
+    assert a.ids.tolist() == b.ids.tolist() and np.allclose(a.out_of_fold, b.out_of_fold)
 
 
 def test_bound_and_odd_rows(spark, fitted):

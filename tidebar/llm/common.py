@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,27 +26,41 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor share; a local one only where the session names none (tests)."""
+    """This application's folder among those that the driver and every executor share; it goes when the application ends.
+
+    Where the session names none, a local folder serves a local master (tests); on a cluster that is an error."""
     small_batches(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tidebar-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    path = f"{path.rstrip('/')}/tidebar-{spark.sparkContext.applicationId}"
+    if path not in _announced:
+        _announced.add(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+    return path
+
+
+_announced: set[str] = set()
 
 
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/tidebar-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(kid, ktx, text): a row's key is its id and its text's hash, so repeated rows share a key, and so do their results."""
+    """(kid, ktx, text): a row's key is its id and its text's 64-bit hash, so repeated rows share a key, and so do their results."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("kid"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("ktx"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("kid"), F.xxhash64(text).alias("ktx"), text.alias("text"))
 
 
 def back_to_id(kid: Column) -> Column:
