@@ -315,7 +315,7 @@ def test_machines_do_not_look_ahead():
     step = r.standard_t(3, n) * 0.004 + 0.002 * np.sin(np.arange(n) / 60)
     c = 100 * np.exp(np.cumsum(step))
     o = np.concatenate([[100.0], c[:-1]])
-    b = {"o": o, "c": c, "h": np.maximum(o, c) * (1 + r.random(n) * 0.004), "l": np.minimum(o, c) * (1 - r.random(n) * 0.004), "v": r.lognormal(3, 1, n), "trades": np.ceil(r.lognormal(3, 1, n)), "delta": r.normal(0, 5, n)}
+    b = {"o": o, "c": c, "h": np.maximum(o, c) * (1 + r.random(n) * 0.004), "l": np.minimum(o, c) * (1 - r.random(n) * 0.004), "v": r.lognormal(3, 1, n), "trades": np.ceil(r.lognormal(3, 1, n)), "delta": r.normal(0, 5, n), "atr14": np.full(n, 0.5)}
     fired = {}
     for name, f in MACHINES.items():
         whole = f(b)
@@ -337,6 +337,80 @@ def test_sequential_machines_on_a_shift():
         assert (out[402:440] == 1).any() and not (out[402:440] == -1).any() and not out[:240].any()
 
 
+def test_model_machines_against_slow_versions():
+    """Each bar's window cut out and fitted on its own."""
+    from tidebar.functions import machines as M
+
+    r = np.random.default_rng(12)
+    n = 1900
+    noise = r.normal(0, 0.004, n)
+    x = np.zeros(n)
+    for t in range(1, n):  # drawn back to zero, with a wave
+        x[t] = 0.93 * x[t - 1] + noise[t] + 0.002 * np.sin(t / 5)
+    c = 100 * np.exp(x)
+    b = {"c": c, "v": r.lognormal(1, 0.2, n), "delta": np.append(np.diff(x)[1:], [0, 0]) * 200 + r.normal(0, 0.05, n), "atr14": np.full(n, 20.0)}
+    x, ret = np.log(c), np.diff(np.log(c), prepend=np.nan)
+    # the wave: regression by hand
+    want = np.zeros(n, int)
+    j = np.arange(120)
+    for t in range(120, n):
+        design = np.column_stack([np.ones(120), j, np.sin(2 * np.pi * j / 30), np.cos(2 * np.pi * j / 30)])
+        _, drift, s, k = np.linalg.lstsq(design, x[t - 120 : t], rcond=None)[0]
+        wave = [s * np.sin(2 * np.pi * q / 30) + k * np.cos(2 * np.pi * q / 30) for q in (119, 120, 121)]
+        d0, d1 = wave[1] - wave[0], wave[2] - wave[1]
+        want[t] = int(d0 <= 0 and d1 > 0 and drift + d1 > 0.0002) - int(d0 >= 0 and d1 < 0 and drift + d1 < -0.0002)
+    assert (M.harmonic_turn(b) == want).all() and (want != 0).sum() > 10
+    # five lags, refitted every sixty bars
+    said = np.full(n, np.nan)
+    for t in range(1445, n):
+        if (t - 1445) % 60 == 0:
+            rows = range(t - 1440, t)
+            design = np.array([[1, *(ret[q - m] for m in range(5))] for q in rows])
+            fit = np.linalg.lstsq(design, np.array([x[q + 1] - x[q] for q in rows]), rcond=None)[0]
+        said[t] = fit @ [1, *(ret[t - m] for m in range(5))]
+    up, down = said > 0.0002, said < -0.0002
+    want = (up & ~np.append(False, up[:-1])).astype(int) - (down & ~np.append(False, down[:-1]))
+    assert (M.autoregression(b) == want).all() and (want != 0).sum() > 10
+    # the level that prices are drawn to
+    up, down = np.zeros(n, bool), np.zeros(n, bool)
+    for t in range(720, n):
+        at = 720 + (t - 720) // 30 * 30
+        w = x[at - 720 : at]
+        slope, inter = np.polyfit(w[:-1], np.diff(w), 1)
+        phi = 1 + slope
+        if not (slope < 0 < phi and 3 <= -np.log(2) / np.log(phi) <= 120):
+            continue
+        level, spread = -inter / slope, np.std(np.diff(w) - inter - slope * w[:-1]) / np.sqrt(1 - phi * phi)
+        back = (level - x[t]) * (1 - phi**10)
+        up[t], down[t] = x[t] < level - 2 * spread and ret[t] > 0 and back > 0.0002, x[t] > level + 2 * spread and ret[t] < 0 and back < -0.0002
+    want = (up & ~np.append(False, up[:-1])).astype(int) - (down & ~np.append(False, down[:-1]))
+    assert (M.reversion(b) == want).all() and (want != 0).any()
+    # persistence at one place
+    h = [np.log(np.std(x[1300 - 1023 + k : 1301] - x[1300 - 1023 : 1301 - k])) for k in (4, 8, 16, 32)]
+    assert np.polyfit(np.log([4, 8, 16, 32]), h, 1)[0] < 0.6  # drawn back: nothing fires
+    assert not M.persistence(b).any()
+    assert M.persistence({"c": 100 * np.exp(0.05 * np.sin(np.arange(n) / 60))}).any()
+    # flow that leads the price is seen
+    share = r.uniform(-1, 1, 3400)
+    leads = {"c": 100 * np.exp(np.cumsum(np.append(0, 0.004 * share[:-1]) + r.normal(0, 0.0005, 3400))), "v": np.ones(3400), "delta": share, "atr14": np.full(3400, 20.0)}
+    out = M.flow_ridge(leads)
+    assert (out != 0).sum() > 50 and (np.sign(share[out != 0]) == out[out != 0]).mean() > 0.9 and not out[:2884].any()
+
+
+def test_trend_filter_and_change_points_on_a_shift():
+    from tidebar.functions import machines as M
+
+    r = np.random.default_rng(8)
+    x = r.normal(0, 0.001, 2600)
+    x[1900:] += 0.0008
+    out = M.trend_filter({"c": 100 * np.exp(np.cumsum(x))})
+    assert (out[1900:2300] == 1).any() and not out[:1441].any()
+    y = r.normal(0, 0.001, 900)
+    y[600:603] += 0.008
+    out = M.change_point({"c": 100 * np.exp(np.cumsum(y))})
+    assert (out[600:606] == 1).any() and not out[:241].any()
+
+
 def resting(c, h, low, signals, directions=None, **kw):
     from tidebar.operators.two_sided import Settings, simulate
 
