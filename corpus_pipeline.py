@@ -4,7 +4,8 @@ A stage is a function of (spark, docs, sf_dir). Each works on all that the stage
 documents. run() writes every stage's result to the shared folder and reads it again as the next one's input.
 
 Odd rows: null ids and texts pass through every stage (a null text is an empty one for both kinds of copies, so one of them stays);
-an empty table gives an empty result; extra columns stay until the last stage.
+texts of any length are read whole; of copies and near copies the smallest id stays, of rows that repeat it one; an empty table gives
+an empty result; extra columns stay until the last stage.
 """
 
 from __future__ import annotations
