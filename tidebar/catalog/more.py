@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..core import shared_folder
 from ..operators import filters, state
+from ..operators import profiles as P
 from ..operators import selection as S
 from ..operators.signals import unambiguous
 from ..sources import bars as B
@@ -193,3 +194,65 @@ def global_top(spark, sf):
     best = S.top_k(p, 20, [F.desc("score"), F.asc("id")], "category")
     return S.top_k(S.first_of_each(best.select("id", "fp", "score"), "fp", "id"), 30, [F.desc("score"), F.asc("id")]).select("id", "fp", "score")
 
+
+
+# ---- days, volume, states
+
+
+_OHLC = HOURLY + ", b AS (SELECT series_id, open_ms + 3600000 AS ct, open AS o, high AS h, low AS l, close AS c, volume AS v FROM hourly)"
+
+
+def _ohlc(spark, sf) -> DataFrame:
+    return hourly(spark, sf).select("series_id", (F.col("open_ms") + HOUR).alias("ct"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"))
+
+
+@query("WITH RECURSIVE " + _OHLC.strip() + """, x AS (SELECT series_id, (ct - 1) // 86400000 AS day, CAST(floor(c / 7) AS BIGINT) AS box, sum(v) AS volume FROM b GROUP BY ALL),
+g AS (SELECT series_id, day, min(box) AS lo, max(box) AS hi, sum(volume) AS total FROM x GROUP BY ALL),
+f AS (SELECT g.series_id, g.day, s.box, coalesce(x.volume, 0) AS volume FROM g, LATERAL (SELECT unnest(range(lo, hi + 1)) AS box) s LEFT JOIN x ON x.series_id = g.series_id AND x.day = g.day AND x.box = s.box),
+p AS (SELECT series_id, day, min(box) AS poc FROM (SELECT *, max(volume) OVER (PARTITION BY series_id, day) AS most FROM f) WHERE volume = most GROUP BY ALL),
+area(series_id, day, a, b, kept, k) AS (
+  SELECT p.series_id, p.day, p.poc, p.poc, f.volume, 0 FROM p JOIN f ON f.series_id = p.series_id AND f.day = p.day AND f.box = p.poc
+  UNION ALL
+  SELECT t.series_id, t.day, CASE WHEN coalesce(l.volume, -1) >= coalesce(r.volume, -1) THEN t.a - 1 ELSE t.a END, CASE WHEN coalesce(l.volume, -1) >= coalesce(r.volume, -1) THEN t.b ELSE t.b + 1 END,
+    t.kept + CASE WHEN coalesce(l.volume, -1) >= coalesce(r.volume, -1) THEN l.volume ELSE r.volume END, t.k + 1
+  FROM area t JOIN g ON g.series_id = t.series_id AND g.day = t.day LEFT JOIN f l ON l.series_id = t.series_id AND l.day = t.day AND l.box = t.a - 1 LEFT JOIN f r ON r.series_id = t.series_id AND r.day = t.day AND r.box = t.b + 1
+  WHERE t.kept < 0.7::DOUBLE * g.total AND (t.a > g.lo OR t.b < g.hi)),
+e AS (SELECT series_id, day, arg_max(a, k) AS a, arg_max(b, k) AS b FROM area GROUP BY ALL)
+SELECT e.series_id, e.day, (p.poc + 0.5::DOUBLE) * 7 AS poc, e.a * 7.0::DOUBLE AS value_low, (e.b + 1) * 7.0::DOUBLE AS value_high, g.total FROM e JOIN p USING (series_id, day) JOIN g USING (series_id, day)""")
+def volume_profile(spark, sf):
+    """The busiest price box of each day and the area that holds 70 % of its volume."""
+    return P.day_profile(_ohlc(spark, sf), F.lit(7.0)).select("series_id", "day", "poc", "value_low", "value_high", "total")
+
+
+@query("WITH RECURSIVE " + _OHLC.strip() + """, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ct) AS n FROM b),
+walk(series_id, n, held, bucket, ends) AS (
+  SELECT series_id, n, v, 0, v >= 900 FROM r WHERE n = 1
+  UNION ALL SELECT r.series_id, r.n, CASE WHEN w.ends THEN r.v ELSE w.held + r.v END, w.bucket + CASE WHEN w.ends THEN 1 ELSE 0 END, CASE WHEN w.ends THEN r.v ELSE w.held + r.v END >= 900 FROM walk w JOIN r ON r.series_id = w.series_id AND r.n = w.n + 1)
+SELECT series_id, CAST(bucket AS INT) AS bucket, max(r.ct) AS ct, arg_min(o, r.ct) AS o, max(h) AS h, min(l) AS l, arg_max(c, r.ct) AS c, sum(v) AS v, CAST(count(*) AS INT) AS n_bars FROM walk JOIN r USING (series_id, n) GROUP BY series_id, bucket HAVING bool_or(ends)""")
+def volume_clock(spark, sf):
+    """Buckets of whole bars with a volume of 900 at least."""
+    return P.volume_buckets(_ohlc(spark, sf), 900.0)
+
+
+@query("WITH " + _OHLC.strip() + """, s AS (SELECT series_id, ct, CASE WHEN c > o * 1.1::DOUBLE THEN 2 WHEN c < o * 0.9::DOUBLE THEN 0 ELSE 1 END AS st, row_number() OVER (PARTITION BY series_id ORDER BY ct) AS n FROM b),
+t AS (SELECT a.series_id, a.ct, a.n, p.st AS was, a.st AS now FROM s a JOIN s p ON p.series_id = a.series_id AND p.n = a.n - 1),
+k AS (SELECT t.series_id, t.ct, count(u.n) FILTER (WHERE u.was = t.was AND u.now = t.now) AS same, count(u.n) FILTER (WHERE u.was = t.was) AS from_it FROM t LEFT JOIN t u ON u.series_id = t.series_id AND u.n BETWEEN t.n - 100 AND t.n - 1 GROUP BY ALL)
+SELECT s.series_id, s.ct, round((k.same + 1) / (k.from_it + 3.0), 9) AS share FROM s LEFT JOIN k USING (series_id, ct)""")
+def state_transitions(spark, sf):
+    """How usual each bar's change of state was among the hundred before."""
+    b = _ohlc(spark, sf)
+    b = b.withColumn("st", F.when(F.col("c") > F.col("o") * 1.1, 2).when(F.col("c") < F.col("o") * 0.9, 0).otherwise(1))
+    return P.transition_counts(b, "st", (0, 1, 2), 100).select("series_id", "ct", F.round("share", 9).alias("share"))
+
+
+@query("WITH " + _OHLC.strip() + """, x AS (SELECT series_id, (ct - 1) // 86400000 AS day, CAST((ct - 1) % 86400000 // 14400000 AS INT) AS slot, round(sum(c - o), 6) AS move FROM b GROUP BY ALL),
+d AS (SELECT series_id, day FROM x GROUP BY ALL HAVING count(*) = 6), f AS (SELECT x.* FROM x JOIN d USING (series_id, day)),
+m AS (SELECT a.series_id, a.day, a.slot, count(*) AS n_days, avg(p.move) AS slot_mean, stddev_pop(p.move) AS sd FROM x a JOIN f p ON p.series_id = a.series_id AND p.slot = a.slot AND p.day BETWEEN a.day - 14 AND a.day - 1 GROUP BY ALL HAVING count(*) >= 5),
+g AS (SELECT a.series_id, a.day, a.slot, avg(p.move) AS all_mean FROM m a JOIN f p ON p.series_id = a.series_id AND p.day BETWEEN a.day - 14 AND a.day - 1 GROUP BY ALL)
+SELECT m.series_id, m.day, m.slot, m.n_days, round((n_days * slot_mean + 30 * all_mean) / (n_days + 30), 8) AS mean, round(sd / sqrt(n_days), 4) AS error FROM m JOIN g USING (series_id, day, slot)""")
+def seasonal_slots(spark, sf):
+    """Mean moves of the six four-hour slots over the fourteen days before, drawn to the mean of all."""
+    b = _ohlc(spark, sf)
+    x = b.groupBy("series_id", F.floor((F.col("ct") - 1) / 86_400_000).alias("day"), F.floor(F.pmod(F.col("ct") - 1, F.lit(86_400_000)) / 14_400_000).cast("int").alias("slot")).agg(F.round(F.sum(F.col("c") - F.col("o")), 6).alias("move"))
+    s = P.seasonal_slots(x, "move", "slot", "day", 14, 5)
+    return s.select("series_id", "day", "slot", "n_days", F.round("mean", 8).alias("mean"), F.round("error", 4).alias("error"))
