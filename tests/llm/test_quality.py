@@ -48,3 +48,13 @@ def test_verdicts(spark):
     got = {(x["doc_id"], x["kept"]) for x in quality_rules(df).collect()}
     assert got == {(1, True), (2, False), (3, False), (4, False), (5, False), (6, False), (None, True)}
     assert quality_rules(df).count() == len(rows) and quality_rules(df.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Two megabytes of ordinary prose, and the same with one half said over and over."""
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(5000)]
+    clean = " ".join(r.choice(vocabulary) for _ in range(300_000))
+    rows = [(1, clean), (2, clean[:300_000] + " " + "again and again " * 100_000)]
+    got = {x["doc_id"]: x for x in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(clean) > 1.8e6 and got[1]["kept"] and got[1]["n_words"] == 300_000 and not got[2]["kept"]

@@ -6,7 +6,9 @@ would not change across the boundary. The table of last tokens gives the encodin
 bytes without looking at the old ones again, and after an edit only entries from the edit on change, until the table is the old one
 again for as long as a token can be.
 
-Null texts are empty: no ids. Encoding is by piece of the pattern, as the reference tokenizer library does it; no special tokens.
+Null and empty texts have no ids. Encoding is by piece of the pattern, as the tokenizer's library does it; no special tokens. Texts of
+any length are encoded whole. Repeated rows get equal results, and the encoding of a piece is unique, so ties do not arise. An empty
+table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

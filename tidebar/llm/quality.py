@@ -6,7 +6,8 @@ repetitive, above it is incompressible. How far text compresses depends on how m
 length (BANDS: from so many bytes on, low, high). A text is rejected if its own ratio is outside its band or more than CHUNK_SHARE of
 its chunks are outside theirs; texts shorter than the first band are judged by the base rules alone.
 
-Null and empty texts have no words and fail the base rules. Repeated rows get equal results. Extra columns are ignored.
+Null and empty texts have no words and fail the base rules. Texts of any length are read whole. Repeated rows get equal results; each
+row is judged by itself, so ties do not arise. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
