@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidebar.llm import anchors, suffix_sort
 from tidebar.llm.substring_dedup import remove_repeated_passages
@@ -103,6 +104,71 @@ def test_repeated_passages_against_brute_force(spark, hot):
     assert got == sorted(want, key=str)
 
 
+def test_word_hash_collisions_are_caught(monkeypatch):
+    from tidebar.llm import substring_dedup as S
+
+    monkeypatch.setattr(S.A, "gram_hashes", lambda h, k: np.zeros(max(0, len(h) - k + 1), np.uint64))
+    rows = [{"data": x.encode()} for x in ("a b c d e", "x b c d e", "a b c d f", "a b c q e")]
+    flag = S._count(3)(rows, np.zeros(4, int), np.full(4, 2), np.full(4, 3))
+    assert flag.tolist() == [True, True, True, False, True, True, True, True, False, True, False, False]
+
+
+def test_a_small_sketch_loses_nothing(spark, monkeypatch):
+    from tidebar.llm import substring_dedup as S
+
+    monkeypatch.setattr(S, "width_for", lambda n: S.LEAST)
+    rows = corpus(7)
+    d = spark.createDataFrame(rows, SCHEMA)
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "n_removed", "kept_sha256").collect()), key=str)
+    got = key(remove_repeated_passages(d, window=12))
+    monkeypatch.setattr(S, "count_min", lambda *a: np.full(S.DEPTH * S.LEAST // 8, 255, np.uint8))
+    assert got == key(remove_repeated_passages(d, window=12))
+    assert [S.width_for(n) for n in (0,)] == [S.LEAST]
+
+
+def test_width_of_the_sketch_is_bounded():
+    from tidebar.llm import substring_dedup as S
+
+    assert S.width_for(0) == S.LEAST and S.width_for(10**15) == S.WIDEST
+    assert 2 * 840_000_000 // S.PER_ANCHOR <= S.width_for(840_000_000) < 4 * 840_000_000 // S.PER_ANCHOR + 2
+
+
+def test_long_texts_cross_chunks(spark, monkeypatch):
+    """Texts over the chunk of window starts (made small here) and one over a megabyte."""
+    monkeypatch.setattr(anchors, "CHUNK", 256)
+    r = random.Random(4)
+    words = ["".join(r.choice("abcde") for _ in range(r.randint(1, 7))) for _ in range(300)]
+    passage = " ".join(r.choice(words) for _ in range(150))
+    make = lambda n: " ".join(r.choice(words) for _ in range(n))
+    texts = [make(300) + " " + passage + " " + make(250), passage + " " + make(700), make(40) + " " + passage]
+    data = [t.encode() for t in texts]
+    for d, gone in zip(data, cover(data, 60)):  # anchors of all chunks together own every window once
+        seen = [x for *_, lo, hi in anchors.anchors(np.frombuffer(d, np.uint8), np.array([0, len(d)]), 60, 8) for a, b in zip(lo, hi) for x in range(a, b + 1)]
+        assert seen == list(range(len(d) - 59)) and gone.any()
+
+
+def test_a_text_over_a_megabyte(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(5000)]
+    body = [r.choice(words) for _ in range(230_000)]
+    text = " ".join(body)
+    passage = " ".join(body[190_000:190_200])  # beyond the first 2^20 window starts
+    assert len(text) > 1.2e6 and text.index(passage) > 2**20
+    d = spark.createDataFrame([(1, text), (2, "other words first " + passage)], "doc_id long, text string")
+    got = {x["doc_id"]: x["n_removed"] for x in remove_repeated_bytes(d).collect()}
+    assert got[1] == got[2] and len(passage) <= got[1] <= len(passage) + 2
+    got = {x["doc_id"]: x["n_removed"] for x in remove_repeated_passages(d).collect()}
+    assert got == {1: 200, 2: 200}
+
+
+def test_many_rows_without_an_id(spark):
+    """Null ids are told apart by a 64-bit hash of their text: on 70,000 different texts no one gets another's cuts."""
+    d = spark.range(70_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", *(F.hex(F.xxhash64("id", F.lit(k))) for k in range(4))).alias("text"))
+    twice = d.limit(1).select("doc_id", F.concat_ws(" ", F.col("text"), F.col("text")).alias("text")).select("doc_id", F.repeat(F.concat(F.col("text"), F.lit(" ")), 8).alias("text"))
+    got = remove_repeated_passages(d.unionByName(twice), window=12).groupBy((F.col("n_removed") > 0).alias("cut")).count().collect()
+    assert {x["cut"]: x["count"] for x in got} == {False: 70_000, True: 1}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert remove_repeated_bytes(empty).count() == 0

@@ -1,13 +1,15 @@
 """Repeated byte strings across documents, found by a hash-compared suffix sort.
 
 A byte goes when a string of `window` bytes that covers it also starts anywhere else, in the same document or another, judged on the
-input. Windows meet through their anchors (anchors.py); whole classes of equal contexts need no bytes at all, the contexts of mixed
-anchor groups are cut out of the texts, dealt by anchor, and suffix-sorted block by block (suffix_sort.py). Anchor groups of more
-than HOT classes, which one passage with many different surroundings makes, are not brought together: their windows are counted by
-128-bit hash with partial sums on the map side.
-
-Null texts are empty; empty texts and texts under `window` bytes keep everything. Repeated rows count as documents of their own, so
-rows that repeat (same id, same text) remove all their windows. Extra columns are ignored by the result and may have any name.
+input. Windows meet through their anchors (anchors.py); whole classes of equal contexts are told by cryptographic digest, the
+contexts of mixed anchor groups are cut out of the texts, dealt by anchor, and suffix-sorted block by block (suffix_sort.py). Anchor
+groups of more than HOT classes, which one passage with many different surroundings makes, are not brought together: their windows
+are counted by cryptographic digest with partial sums on the map side.
+
+Null texts are empty; empty texts and texts under `window` bytes keep everything. Texts of any length are read whole, in chunks of
+window starts. Repeated rows count as documents of their own, so rows that repeat (same id, same text) remove all their windows; of
+equal strings none is kept, so ties do not arise. An empty table gives an empty result. Extra columns are ignored by the result and
+may have any name.
 """
 
 from __future__ import annotations
@@ -33,15 +35,16 @@ def _occurrences(window: int, gram: int):
         for batch in rows_of(batches):
             data, where = text_bytes(batch.column("text"))
             kids, ktxs = batch.column("kid").to_numpy(), batch.column("ktx").to_numpy()
+            raw, place = data.tobytes(), np.arange(len(data))
             for found in A.anchors(data, where, window, gram):
-                yield repeats.occurrences(kids, ktxs, data.tobytes(), 1, where, window, found)
+                yield repeats.occurrences(kids, ktxs, raw, place, place + 1, where, window, found)
 
     return run
 
 
 def _contexts(window: int, hashed: bool):
-    """The bytes of the contexts asked for, or the hashes of their windows."""
-    import xxhash
+    """The bytes of the contexts asked for, or the digests of their windows."""
+    from hashlib import blake2b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
@@ -52,7 +55,7 @@ def _contexts(window: int, hashed: bool):
                     at, span = x["span"] >> 32, x["span"]
                     part = data[at - (span >> 16 & 0xFFFF) : at - (span & 0xFFFF) + window]
                     if hashed:
-                        part = b"".join(xxhash.xxh3_64_digest(part[i : i + window]) for i in range(len(part) - window + 1))
+                        part = b"".join(blake2b(part[i : i + window], digest_size=16).digest() for i in range(len(part) - window + 1))
                     out.append((x["h"], kid, ktx, span, x["single"], part))
                     if len(out) >= 2048:
                         yield repeats.batch(repeats.ASKED, out)
@@ -86,9 +89,7 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = GRAM, hot: int = repeats.HOT) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, the kept bytes and the removed spans."""
     texts = keyed(docs, id_col, text_col)
-    occ = cut(texts.mapInArrow(_occurrences(window, gram), repeats.OCC_DDL))
-    several = cut(occ.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"))
-    occ = cut(occ.join(several, "h", "left_semi"))
+    occ = repeats.meeting(cut(texts.mapInArrow(_occurrences(window, gram), repeats.OCC_DDL)))
     cover = repeats.removed(texts, occ, window, hot, _contexts(window, False), _contexts(window, True), _sort(window))
     out = texts.join(cover, ["kid", "ktx"], "left").mapInArrow(_rest, "kid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")
     return out.select(back_to_id(F.col("kid")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")
