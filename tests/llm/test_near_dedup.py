@@ -110,3 +110,36 @@ def test_components(spark):
         parent[y] = x
     got = N.components(spark.createDataFrame([(n,) for n in nodes], "id long"), spark.createDataFrame(edges, "a long, b long"))
     assert {x["id"]: x["class"] for x in got.collect()} == {n: root(n) for n in nodes}
+
+
+def test_very_long_texts_and_ids_with_several_texts(spark):
+    """Texts of 200,000 words, one with a few words changed; and one id with two texts, each near to another document."""
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(20_000)]
+    long = [r.choice(words) for _ in range(200_000)]
+    near = list(long)
+    for _ in range(500):
+        near[r.randrange(len(near))] = "x"
+    a, b = ([r.choice(words) for _ in range(120)] for _ in range(2))
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (5, " ".join(a)), (5, " ".join(b)), (7, " ".join(a + ["end"])), (8, " ".join(["start"] + b)), (9, "some thing else with other words")]
+    for part in (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)):
+        got = sorted((x["doc_id"], x["class_id"], x["class_size"], x["kept"]) for x in N.near_duplicates(part).collect())
+        assert got == [(1, 1, 2, True), (2, 1, 2, False), (5, 5, 4, False), (5, 5, 4, True), (7, 5, 4, False), (8, 5, 4, False), (9, 9, 1, True)]
+        assert N.drop_near_copies(part).count() == 3
+
+
+def test_second_signature_estimates():
+    """One-bit registers differ by half of what the sets do."""
+    import pyarrow as pa
+
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    base = [r.choice(words) for _ in range(3000)]
+    other = base[:2600] + [r.choice(words) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([" ".join(base), " ".join(other)])], names=["id", "text"])
+    (out,) = N._bits(iter([batch]))
+    x, y = (np.array(v, np.int64).astype(np.uint64) for v in out.column("bits").to_pylist())
+    differ = sum(bin(int(p ^ q)).count("1") for p, q in zip(x, y))
+    j = jaccard(" ".join(base), " ".join(other))
+    assert abs((1 - 2 * differ / (64 * N.LONGS)) - j) < 4 * 2 * ((1 + j) * (1 - j) / 4 / (64 * N.LONGS)) ** 0.5
+    assert N.DIFFER == int((1 - 0.7469) / 2 * 2048)

@@ -11,11 +11,14 @@ Copies (equal word sequences) are one node, its smallest id. In a bucket, all me
 others over all bands, the middle of its group. As long as it then holds several classes, a few such members outside its largest
 class (pivots) are compared with the members of other classes, then a
 few more, and at last all that are still outside; only pairs that the signatures estimate at 0.68 or more (3.5 standard errors below
-0.8) are verified. So in the end every pair of a bucket is in one class, or was compared, or is estimated far below; no pairs are
-made within a class.
+0.8) are verified, and documents of buckets with several classes get a second signature of 2,048 one-bit registers, whose estimate
+must be 0.747 or more (4 standard errors below). So in the end every pair of a bucket is in one class, or was compared, or is
+estimated far below; no pairs are made within a class.
 
 Documents with fewer than five words have no shingles: they are in a class with their copies only, as are empty and null texts with
-each other. Null ids come last. Rows that repeat with one id are one row each in the result. Extra columns are ignored.
+each other. Texts of any length are read whole. Null ids come last; of a class the row with the smallest id stays, the first of
+equal ones. Rows that repeat an id are one row each in the result; texts that share an id are in one class. An empty table gives an
+empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +38,9 @@ BANDS, ROWS = 28, 5
 #: the least similarity that signatures must estimate, with a standard error of 0.034. What is alike is joined first, so that little
 #: is left for the last round, which leaves nothing out above 0.68.
 ROUNDS = ((4, 0.68), (0, 0.78), (0, 0.68))
+#: The second signature: longs of 64 one-bit registers, and the most that may differ. Registers differ by (1 - similarity) / 2.
+LONGS = 32
+DIFFER = int((1 - (SIMILAR - 4 * 2 * (0.9 * 0.1 / (64 * LONGS)) ** 0.5)) / 2 * 64 * LONGS)
 #: Ids from here on are of rows without an id; real ids are smaller.
 NULLS = 2**62
 _I = pa.int64()
@@ -86,10 +92,22 @@ def prob_min_hash(text: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: in
     return out
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The second signature of each text: the lowest bit of each of its registers."""
+    for batch in rows_of(batches):
+        data, where = text_bytes(batch.column("text"))
+        begin, end, words = word_places(data, where)
+        text, h, _ = shingles(word_hashes(data, begin, end), words)
+        who = prob_min_hash(text, mix(h), np.ones(len(h)), batch.num_rows, 64 * LONGS)
+        bits = np.packbits((mix(who) & np.uint64(1)).astype(np.uint8), axis=1).view("<i8").reshape(-1, LONGS)
+        flat = pa.array(bits.ravel(), _I)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, LONGS), pa.int32()), flat)], names=["id", "bits"])
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    schema = pa.schema([("kid", _I), ("w1", _I), ("w2", _I), ("sig", pa.binary())])
+    schema = pa.schema([("kid", _I), ("h", _I), ("w1", _I), ("w2", _I), ("sig", pa.binary())])
     for batch in rows_of(batches):
         data, where = text_bytes(batch.column("text"))
         begin, end, words = word_places(data, where)
@@ -99,11 +117,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.zeros(batch.num_rows, bool)
         full[text] = True
         out = []
-        for i, kid in enumerate(batch.column("kid").to_pylist()):
+        for i, (kid, th) in enumerate(zip(batch.column("kid").to_pylist(), batch.column("h").to_pylist())):
             # equal words: the words themselves, joined by one space
             same = xxhash.xxh3_128_digest(b" ".join(data[where[i] : where[i + 1]].tobytes().split()))
             w1, w2 = np.frombuffer(same, np.int64).tolist()
-            out.append((kid, w1, w2, sig[i].tobytes() if full[i] else None))
+            out.append((kid, th, w1, w2, sig[i].tobytes() if full[i] else None))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
@@ -159,12 +177,13 @@ def _node_id(id_col: str, text_col: str) -> Column:
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """(kid, class, m, class_size, least): each node id's class, its rows, the rows of the class and its smallest id."""
+    """(kid, h, rid, class, class_size, least): for each row its id, its text's hash, its number, its class with the number of rows
+    there, and id and number of the row that stays."""
     texts = docs.select(_node_id(id_col, text_col).alias("kid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sigs = cut(texts.select("kid", "text").mapInArrow(_signatures, "kid long, w1 long, w2 long, sig binary"))
+    sigs = cut(texts.select("kid", F.xxhash64("text").alias("h"), "text").mapInArrow(_signatures, "kid long, h long, w1 long, w2 long, sig binary").withColumn("rid", F.monotonically_increasing_id()))
     same = cut(sigs.groupBy("w1", "w2").agg(F.min("kid").alias("id"), F.any_value("sig").alias("sig")))
     # several texts may share an id (rows that repeat it): their classes are one
-    nodes = same.groupBy("id").agg(F.any_value("sig").alias("_"), F.count("*").alias("n")).select("id")
+    nodes = same.select("id").distinct()
     bands = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> struct(i as band, xxhash64(i, substring(sig, i * {4 * ROWS} + 1, {4 * ROWS})) as hash))")
     member = same.where("sig is not null").select("id", F.explode(bands).alias("x")).select("id", "x.band", "x.hash")
     bucket = cut(member.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"))
@@ -176,28 +195,33 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     # the same plan at every size: texts and wanted ids meet by hash
     wanted = wanted.hint("merge")
-    # one text for each node that is in a pair; every later pair is between such nodes
-    sample = texts.select(F.col("kid").alias("id"), "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    # the texts of each node that is in a pair (several, where they share an id); every later pair is between such nodes
+    sample = texts.select(F.col("kid").alias("id"), "text").join(wanted, "id", "left_semi").groupBy("id", F.xxhash64("text").alias("_h")).agg(F.min("text").alias("text")).drop("_h")
     sample = cut(sample)
     cls, done = cut(components(nodes, _links(pairs, sample, similar))), pairs
-    sigs_of = cut(same.where("sig is not null").join(sample.select("id"), "id", "left_semi").groupBy("id").agg(F.any_value("sig").alias("sig")))
-    open_ = member
+    sigs_of = cut(same.where("sig is not null").select("id", "sig").join(sample.select("id"), "id", "left_semi").distinct())
+    open_, bits = member, None
     first = "case " + " ".join(f"when substring(sx, {4 * ROWS * i + 1}, {4 * ROWS}) = substring(sy, {4 * ROWS * i + 1}, {4 * ROWS}) then {i}" for i in range(BANDS)) + " end"
     agree = " + ".join(f"cast(substring(sx, {4 * i + 1}, 4) = substring(sy, {4 * i + 1}, 4) as int)" for i in range(BANDS * ROWS))
+    differ = " + ".join(f"bit_count(bx[{i}] ^ by[{i}])" for i in range(LONGS))
+    most_differ = DIFFER if similar == SIMILAR else int((1 - (similar - 4 * 2 * ((1 + similar) * (1 - similar) / 4 / (64 * LONGS)) ** 0.5)) / 2 * 64 * LONGS)
     for pivots, least in ROUNDS:
         # what is left: buckets of several classes, all their members
         open_ = open_.select("band", "hash", "id", "met").join(cls, "id")
         parts = open_.groupBy("band", "hash", "class").agg(F.count("*").alias("n"))
         most = cut(parts.groupBy("band", "hash").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1"))
-        open_ = cut(open_.join(most, ["band", "hash"]).join(sigs_of, "id"))
+        open_ = cut(open_.join(most, ["band", "hash"]))
         if open_.isEmpty():
             break
-        other = open_.where("class != main").select("band", "hash", "met", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("sig").alias("sx"))
+        if bits is None:  # later rounds have no other documents than the first
+            bits = cut(sample.join(open_.select("id").distinct(), "id", "left_semi").mapInArrow(_bits, "id long, bits array<long>"))
+        open_ = cut(open_.join(sigs_of, "id").join(bits, "id"))
+        other = open_.where("class != main").select("band", "hash", "met", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("sig").alias("sx"), F.col("bits").alias("bx"))
         if pivots:
-            other = other.groupBy("band", "hash", F.pmod(F.xxhash64("x"), F.lit(pivots)).alias("_")).agg(F.max_by(F.struct("x", "cx", "sx"), F.struct("met", -F.col("x"))).alias("p")).select("band", "hash", "p.*")
+            other = other.groupBy("band", "hash", F.pmod(F.xxhash64("x"), F.lit(pivots)).alias("_")).agg(F.max_by(F.struct("x", "cx", "sx", "bx"), F.struct("met", -F.col("x"))).alias("p")).select("band", "hash", "p.*")
         other = cut(other)
-        rest = open_.select("band", "hash", F.col("id").alias("y"), F.col("class").alias("cy"), F.col("sig").alias("sy"))
-        near = other.join(rest, ["band", "hash"]).where(f"cx != cy and {first} = band and ({agree}) >= {int(least * BANDS * ROWS)}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        rest = open_.select("band", "hash", F.col("id").alias("y"), F.col("class").alias("cy"), F.col("sig").alias("sy"), F.col("bits").alias("by"))
+        near = other.join(rest, ["band", "hash"]).where(f"cx != cy and ({differ}) <= {most_differ} and {first} = band and ({agree}) >= {int(least * BANDS * ROWS)}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         fresh = cut(near.join(done, ["a", "b"], "left_anti"))
         done = done.unionByName(fresh)
         links = _links(fresh, sample, similar)
@@ -208,23 +232,24 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
             ids = merged.select(F.col("a").alias("id")).unionByName(merged.select(F.col("b").alias("id"))).distinct()
             moved = components(ids, merged).select(F.col("id").alias("class"), F.col("class").alias("_to"))
             cls = cut(cls.join(moved, "class", "left").select("id", F.coalesce("_to", "class").alias("class")))
-    per_id = sigs.join(same.select("w1", "w2", "id"), ["w1", "w2"]).groupBy("kid", "id").agg(F.count("*").alias("m")).join(cls, "id")
-    size = per_id.groupBy("class").agg(F.sum("m").alias("class_size"), F.min("kid").alias("least"))
-    return per_id.join(size, "class").select("kid", "class", "m", "class_size", "least")
+    rows = cut(sigs.select("kid", "h", "rid", "w1", "w2").join(same.select("w1", "w2", "id"), ["w1", "w2"]).join(cls, "id").select("kid", "h", "rid", "class"))
+    size = cut(rows.groupBy("class").agg(F.count("*").alias("class_size"), F.min(F.struct("kid", "rid")).alias("least")))
+    return rows.join(size, "class")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row per document: id, class_id (the smallest id of its class), class_size, kept (it is that document)."""
-    out = decide(docs, id_col, text_col, similar).select("*", F.posexplode(F.array_repeat(F.lit(0), F.col("m").cast("int"))).alias("nth", "_"))
     null = lambda c: F.when(F.col(c) < F.lit(NULLS), F.col(c))
-    return out.select(null("kid").alias(id_col), null("least").alias("class_id"), "class_size", ((F.col("kid") == F.col("least")) & (F.col("nth") == 0)).alias("kept"))
+    return decide(docs, id_col, text_col, similar).select(null("kid").alias(id_col), null("least.kid").alias("class_id"), "class_size", (F.struct("kid", "rid") == F.col("least")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """One document of each class, the one with the smallest id, with all columns; of rows that repeat that id one stays."""
-    stay = decide(docs, id_col, text_col, similar).where("kid = least").groupBy("kid").agg(F.sum("m").alias("_m")).withColumnRenamed("kid", "_stay")
-    rows = docs.withColumn("_node", _node_id(id_col, text_col)).join(stay, F.col("_node") == F.col("_stay"))
-    return rows.where("_m = 1").select(docs.columns).unionByName(rows.where("_m > 1").dropDuplicates(["_node"]).select(docs.columns))
+    """One document of each class, the one with the smallest id, with all columns; of equal rows that repeat that id one stays."""
+    found = decide(docs, id_col, text_col, similar).where("kid = least.kid")
+    stay = found.groupBy("kid", "h").agg(F.count("*").alias("_m"), F.max(F.struct("kid", "rid") == F.col("least")).alias("_it")).where("_it")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.withColumns({"_node": _node_id(id_col, text_col), "_hash": F.xxhash64(text)}).join(stay.select(F.col("kid").alias("_node"), F.col("h").alias("_hash"), "_m"), ["_node", "_hash"])
+    return rows.where("_m = 1").select(docs.columns).unionByName(rows.where("_m > 1").dropDuplicates(["_node", "_hash"]).select(docs.columns))
 
 
 def op3_prob_minhash(spark, sf_dir: str) -> DataFrame:
