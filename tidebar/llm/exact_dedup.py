@@ -4,10 +4,11 @@ Texts are equal when they are identical after each run of white space [\\x20\\x0
 task turns its rows into sorted runs of (SHA-256 and length, smallest id, rows), one run for each range of digests, its own copies
 already summed. In round after round the runs of FAN neighbouring tasks meet and one multiway merge keeps, for each digest, the
 smallest identifier and the sum; the length beside the digest is verified at every level. After the last round each range has one
-run. Ranges share no digest, so no task holds more than a range's digests, however many copies a text has.
+run. Ranges share no digest and their number follows that of the digests, so no task holds more than about PER_RANGE of them,
+however many copies a text has; runs travel as rows of bounded blocks.
 
 Null ids come after all others: keep_id is null only where every copy has a null id. Where rows repeat with the id that stays, one
-of them is kept. Empty tables give no rows. Extra columns are carried by `drop_copies` and ignored by `copies`.
+of them is kept. Texts of any length are digested whole. Empty tables give no rows. Extra columns are carried by `drop_copies` and ignored by `copies`.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ _NONE = 2**63 - 1
 _RUN = "range int, node int, keys binary, ids binary, sizes binary"
 _RUN_SCHEMA = pa.schema([("range", pa.int32()), ("node", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
 _KEY = 40
+#: Digests in a range, and in a cell of a run: 56 MB of a range pass a task, and no cell has more than 4 MB.
+PER_RANGE, BLOCK = 1_000_000, 1 << 16
 
 
 def normalised(text: Column) -> Column:
@@ -45,8 +48,10 @@ def merged(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.nda
     return keys, np.minimum.reduceat(ids, head), np.add.reduceat(sizes, head)
 
 
-def _packed(rng: int, node: int, run: tuple) -> tuple:
-    return rng, node, run[0].tobytes(), run[1].tobytes(), run[2].tobytes()
+def _packed(rng: int, node: int, run: tuple) -> list[tuple]:
+    """A run as rows of bounded blocks, in order."""
+    keys, ids, sizes = run
+    return [(rng, node, keys[i : i + BLOCK].tobytes(), ids[i : i + BLOCK].tobytes(), sizes[i : i + BLOCK].tobytes()) for i in range(0, len(keys), BLOCK)]
 
 
 def _unpacked(keys: bytes, ids: bytes, sizes: bytes) -> tuple:
@@ -63,7 +68,7 @@ def _runs(ranges: int):
             keys, ids, sizes = merged(*(np.concatenate(x) for x in zip(*held)))
             which = keys.view("S1").reshape(-1, _KEY)[:, :4].copy().view(">u4").ravel().astype(np.int64) * ranges >> 32
             cuts = np.searchsorted(which, np.arange(ranges + 1))
-            parts = [_packed(r, node, (keys[i:j], ids[i:j], sizes[i:j])) for r, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+            parts = [x for r, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j for x in _packed(r, node, (keys[i:j], ids[i:j], sizes[i:j]))]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*parts), _RUN_SCHEMA)], schema=_RUN_SCHEMA)
 
         for batch in batches:
@@ -85,8 +90,8 @@ def _merge(node: int):
     def run(group: pa.Table) -> pa.Table:
         runs = [_unpacked(*x) for x in zip(*(group.column(c).to_pylist() for c in ("keys", "ids", "sizes")))]
         one = merged(*(np.concatenate(x) for x in zip(*runs)))
-        row = _packed(group.column("range")[0].as_py(), group.column("node")[0].as_py() // node, one)
-        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, _RUN_SCHEMA)], schema=_RUN_SCHEMA)
+        rows = _packed(group.column("range")[0].as_py(), group.column("node")[0].as_py() // node, one)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RUN_SCHEMA)], schema=_RUN_SCHEMA)
 
     return run
 
@@ -111,30 +116,39 @@ def tree_merge(digests: DataFrame, ranges: int, fan: int = FAN) -> DataFrame:
             return runs.mapInArrow(_rows, "key binary, keep_id long, group_size long")
 
 
-def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, rid): each row's id, its text's digest and length, and a number of its own."""
     text = normalised(F.col(text_col))
     key = F.concat(F.unhex(F.sha2(text, 256)), F.unhex(F.lpad(F.hex(F.octet_length(text).cast("long")), 16, "0")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"))
-    return cut(rows.groupBy("doc_id", "key").agg(F.count("*").alias("m")))
+    return cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.monotonically_increasing_id().alias("rid")))
 
 
-def _ranges(docs: DataFrame) -> int:
-    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _digests(keys: DataFrame) -> DataFrame:
+    return cut(keys.groupBy("doc_id", "key").agg(F.count("*").alias("m"), F.min("rid").alias("first")))
+
+
+def _ranges(digests: DataFrame) -> int:
+    """So many ranges that a range's run stays below PER_RANGE digests (they are spread evenly), and the tasks have work."""
+    rows = digests.count()
+    return max(1, int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PER_RANGE))
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256."""
-    digests = _digests(docs, id_col, text_col)
-    groups = tree_merge(digests, _ranges(docs))
-    rows = digests.join(groups, "key").select("doc_id", "keep_id", "group_size", "key", F.posexplode(F.array_repeat(F.lit(0), F.col("m").cast("int"))).alias("nth", "_"))
-    kept = (F.col("nth") == 0) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    keys = _keys(docs, id_col, text_col)
+    digests = _digests(keys)
+    groups = tree_merge(digests, _ranges(digests))
+    # rows that repeat an id with its text: the first of them
+    again = digests.where("m > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "first")
+    rows = keys.join(groups, "key").join(again, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("rid") == F.coalesce("first", "rid"))
     return rows.select(F.col("doc_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    digests = _digests(docs, id_col, text_col)
-    groups = tree_merge(digests, _ranges(docs))
+    digests = _digests(_keys(docs, id_col, text_col))
+    groups = tree_merge(digests, _ranges(digests))
     # only rows of repeated (id, text) need telling apart, and only they are looked at again
     stay = digests.join(groups, "key").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_keep"), F.substring("key", 1, 32).alias("_sha"), F.col("m").alias("_m"))
     rows = docs.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_sha": F.unhex(F.sha2(normalised(F.col(text_col)), 256))})
