@@ -9,7 +9,8 @@ is the very packing that placing the pieces one by one gives. Each piece then fi
 length; ranks are counted in salted parts, so that no length is gathered in one task.
 
 Null texts are empty: one end id. Null ids stay null. Repeated rows are packed like any others. Empty tables give no rows. Texts of
-any length are tokenised whole.
+any length are tokenised whole. Of bins with equal room the one filled last is taken; which of the pieces of one length goes where is
+of no account. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut, rows_of, table
 
 CAPACITY, END = 2048, 0
+#: Parts in which the pieces of a length are ranked, at most; records of a plan that are sent to every task (about 50 bytes each).
+SALTS, RECORDS = 1024, 200_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -124,19 +127,22 @@ def _pieces(capacity: int, end: int, vocabulary: str | None):
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset. vocabulary: a tiktoken file's path on the executors."""
     spark = docs.sparkSession
-    salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = min(SALTS, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = cut(texts.mapInArrow(_pieces(capacity, end, vocabulary), "doc_id long, piece int, start long, length long, ids_crc32 long"))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    pieces = cut(texts.mapInArrow(_pieces(capacity, end, vocabulary), "doc_id long, piece int, start long, length long, ids_crc32 long").withColumn("uid", F.monotonically_increasing_id()))
+    # by a number of its own, so that equal pieces spread as well
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)))
     parts = cut(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).toLocalIterator()}  # at most `capacity` rows
-    plan = spark.createDataFrame(best_fit_decreasing(counts, capacity) or [(0, 0, 0, 0, 1, 0)], "size long, first long, pieces long, bin long, each long, at long")
+    records = best_fit_decreasing(counts, capacity) or [(0, 0, 0, 0, 1, 0)]
+    plan = spark.createDataFrame(records, "size long, first long, pieces long, bin long, each long, at long")
     before = F.expr("sum(n) over (partition by length order by salt rows between unbounded preceding and 1 preceding)")
     parts = parts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = pieces.withColumn("nth", F.expr("row_number() over (partition by length, salt order by doc_id, piece, ids_crc32)"))
-    ranked = ranked.join(parts, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
-    # the plan has a few records for each of at most `capacity` lengths, whatever the input
-    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("pieces")))
+    ranked = pieces.withColumn("nth", F.expr("row_number() over (partition by length, salt order by uid)"))
+    # both sides are dealt by length and salt already
+    ranked = ranked.join(parts.hint("merge"), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
+    # the plan has a few records for each of at most `capacity` lengths, whatever the input; a larger one is not broadcast
+    placed = ranked.join(F.broadcast(plan) if len(records) <= RECORDS else plan.hint("merge"), (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("pieces")))
     return placed.select(
         F.col("doc_id").alias(id_col), "piece", "start", "length", "ids_crc32",
         (F.col("bin") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).cast("long").alias("sequence_id"),
