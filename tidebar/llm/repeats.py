@@ -65,7 +65,8 @@ def occurrences(kids: np.ndarray, ktxs: np.ndarray, raw: bytes, begins: np.ndarr
 def meeting(occ: DataFrame) -> DataFrame:
     """The occurrences of anchors that stand in two places or more."""
     several = cut(occ.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"))
-    return cut(occ.join(several, "h", "left_semi"))
+    # the same plan at every size: a small table of anchors would be broadcast, a larger one not
+    return cut(occ.join(several.hint("merge"), "h", "left_semi"))
 
 
 def classes(occ: DataFrame) -> DataFrame:
@@ -90,9 +91,9 @@ def removed(texts: DataFrame, occ: DataFrame, window: int, hot: int, context: Ca
     cls = cut(classes(occ))
     many = cls.where("n > 1").select("c", "d")
     span = F.col("span")
-    whole = occ.join(many, ["c", "d"], "left_semi").select("kid", "ktx", first(span).cast("int").alias("a"), (last(span) + window).cast("int").alias("b"))
-    # all joins with texts take the same exchange of them
-    cold = texts.join(asked(cls, hot, False), ["kid", "ktx"]).mapInArrow(context, ASKED_DDL)
+    whole = occ.join(many.hint("merge"), ["c", "d"], "left_semi").select("kid", "ktx", first(span).cast("int").alias("a"), (last(span) + window).cast("int").alias("b"))
+    # all joins with texts take the same exchange of them, at every size
+    cold = texts.join(asked(cls, hot, False).hint("merge"), ["kid", "ktx"]).mapInArrow(context, ASKED_DDL)
     found = cold.repartition("h").sortWithinPartitions("h").mapInArrow(in_blocks(compare, window), CUT_DDL)
     cuts = whole.unionByName(found)
     if not cls.where(F.col("n_classes") > hot).isEmpty():
