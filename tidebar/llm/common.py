@@ -57,6 +57,12 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nobody reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(kid, ktx, text): a row's key is its id and its text's 64-bit hash, so repeated rows share a key, and so do their results."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
