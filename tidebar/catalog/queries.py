@@ -1,7 +1,7 @@
 """All queries of the library itself, by name."""
 
-from . import market, more, strategy
+from . import market, models, more, strategy
 
 QUERIES, ORACLE_SQL = strategy.QUERIES, strategy.ORACLE
 
-__all__ = ["ORACLE_SQL", "QUERIES", "market", "more"]
+__all__ = ["ORACLE_SQL", "QUERIES", "market", "models", "more"]
