@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidebar.functions.models import boosting, forest, gaussian, hidden, logit, quantile, recurrence, tail
+from tidebar.functions.models import boosting, forest, gaussian, hidden, logit, quantile, recurrence, reverting, tail
 from tidebar.operators import learned as L
 from tidebar.operators import walkforward as WF
 
@@ -51,6 +51,8 @@ RULES = {
     "quantile_band": lambda b: L.quantile_band(b, rows=100, every=30),
     "tail_fade": lambda b: L.tail_fade(b, rows=200, scale=40, least=8, rare=0.03),
     "recurrence_turn": lambda b: L.recurrence_turn(b, rows=60, limit=0.3),
+    "flow_lags": lambda b: L.flow_lags(b, rows=150, horizon=5, errors=12),
+    "expert_mix": lambda b: L.expert_mix(b, rows=150, ar_rows=60, ou_rows=80, cost=1e-3),
     "isolation_forest": lambda b: L.isolation_forest(b, rows=150, trees=20, contamination=0.05, patience=4),
 }
 
@@ -421,3 +423,94 @@ def test_isolation_forest_bar_by_bar(spark):
             want[s, t] = (score, side)
     assert any(late for *_, late in fits), "no fit was put off"
     assert got.keys() == want.keys() and all(abs(got[k]["score"] - v[0]) < 1e-9 and got[k]["side"] == v[1] for k, v in want.items())
+
+
+# ---- lags of flow, experts
+
+
+def test_levels_are_those_of_a_regression():
+    r = np.random.default_rng(11)
+    x = np.empty(900)
+    x[0] = 5
+    for t in range(1, 900):
+        x[t] = x[t - 1] + 0.05 * (4.6 - x[t - 1]) + 0.01 * r.normal()
+    x[700:720] = np.nan
+    at = np.arange(200, 900, 37)
+    for t, level, deviation, phi in zip(at, *reverting.fits(x, 200, at)):
+        w = x[t - 200 : t]
+        if not np.isfinite(w).all():
+            assert math.isnan(level)
+            continue
+        slope, cut = np.polyfit(w[:-1], w[1:], 1)
+        half = -np.log(2) / np.log(slope) if 0 < slope < 1 else 0
+        if not 3 <= half <= 120:
+            assert math.isnan(level)
+            continue
+        rest = w[1:] - slope * w[:-1] - cut
+        assert np.allclose([level, deviation, phi], [cut / (1 - slope), rest.std() / np.sqrt(1 - slope**2), slope], rtol=1e-6)
+
+
+def test_flow_lags_bar_by_bar(said):
+    want = {}
+    for s, b, x, r, _ in each(bars()):
+        day, share, n = b["ct"] // DAY, b["delta"] / b["v"], len(x)
+        usual = np.array([b["trades"][t - 19 : t + 1].mean() if t > 18 else np.nan for t in range(n)])
+        back = lambda v, k: np.concatenate([np.full(k, np.nan), v[: n - k]])
+        f = np.column_stack([back(share, k) for k in range(10)] + [back(b["trades"] / usual, k) for k in range(10)] + [back(r, k) for k in range(3)])
+        up = down = False
+        for t in range(183, n):
+            if t == 183 or day[t] != day[t - 1]:
+                rows = np.arange(t - 4 - 150, t - 4)
+                m, d = f[rows].mean(0), f[rows].std(0)
+                z, y = (f[rows] - m) / d, x[rows + 5] - x[rows]
+                slopes, base, log = np.linalg.solve(z.T @ z + 10 * np.eye(23), z.T @ (y - y.mean())), y.mean(), []
+                said_here = {}
+            if t - 5 in said_here:
+                log.append((abs(said_here[t - 5] - (x[t] - x[t - 5])), x[t] - x[t - 5]))
+            p = said_here[t] = base + (f[t] - m) / d @ slopes
+            last = np.array(log[-12:])
+            ok = len(last) == 12 and last[:, 0].mean() < last[:, 1].std()
+            now = ok and p > 2e-4, ok and p < -2e-4
+            want[s, t] = (p, int(now[0] and not up) - int(now[1] and not down))
+            up, down = now
+    got = said["flow_lags"]
+    assert got.keys() == want.keys() and all(abs(got[k]["forecast"] - p) < 1e-9 and got[k]["side"] == side for k, (p, side) in want.items())
+
+
+def test_expert_weights_are_the_sequential_ones(spark, said):
+    b = spark.createDataFrame(bars())
+    ar, ou = by_bar(L.autoregressive(b, 60, 10)), by_bar(L.level_return(b, 80, 10))
+    got, seen = said["expert_mix"], 0
+    for s, bar, x, r, day in each(bars()):
+        f, ratio = L.features(bar), bar["atr14"] / bar["c"]
+        for t in (130, 200):  # experts by hand
+            k = t - (t - 74) % 60
+            rows = np.arange(k - 9 - 60, k - 9)
+            lags = lambda at: np.column_stack([np.ones(len(at)), *(r[at - j] for j in range(5))])
+            w = np.linalg.lstsq(lags(rows), x[rows + 10] - x[rows], rcond=None)[0]
+            assert abs(ar[s, t]["forecast"] - (lags(np.array([t])) @ w)[0]) < 1e-9
+        logs, made, model = np.full((2, 3), -np.log(3)), {}, None
+        for t in range(180, len(x)):
+            if t - 10 in made:
+                old, k, v = made[t - 10]
+                logs[k] -= 0.1 * np.clip((old - (x[t] - x[t - 10])) ** 2 / v, 0, 10)
+                logs[k] -= np.log(np.exp(logs[k]).sum())
+            if t == 180 or day[t] != day[t - 1]:
+                rows = np.arange(t - 9 - 150, t - 9)
+                y = x[rows + 10] - x[rows]
+                label = np.where(y > 1e-3, 2, np.where(y < -1e-3, 0, 1))
+                model = None
+                if np.bincount(label, minlength=3).min() >= 10:
+                    m, d = f[rows].mean(0), f[rows].std(0)
+                    model, means, spread = logit.fit((f[rows] - m) / d, label, 3), np.array([y[label == j].mean() for j in range(3)]), y.var()
+            a, o = ar.get((s, t)), ou.get((s, t))
+            if model is None or a is None or o is None or o["forecast"] is None:
+                assert (s, t) not in got
+                continue
+            issued = np.array([a["forecast"], o["forecast"], (logit.probabilities(model, (f[t : t + 1] - m) / d) @ means)[0]])
+            g = int(ratio[t] > np.median(ratio[t - 150 : t]))
+            made[t] = (issued, g, spread)
+            row, seen = got[s, t], seen + 1
+            assert np.allclose([row["w0"], row["w1"], row["w2"]], np.exp(logs[g]), atol=1e-9)
+            assert abs(row["mix"] - issued @ np.exp(logs[g])) < 1e-9 and row["wild"] == bool(g)
+    assert seen == len(got) > 60

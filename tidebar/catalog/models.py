@@ -84,3 +84,13 @@ SELECT o.series_id, ct, round(determinism, 6) AS determinism, CASE WHEN past <=
 @query(_RECURRENCE)
 def rule_recurrence(spark, sf):
     return _out(L.recurrence_turn(model_bars(spark, sf), rows=60, limit=0.3))
+
+
+@query()
+def rule_flow_lags(spark, sf):
+    return _out(L.flow_lags(model_bars(spark, sf), rows=ROWS, horizon=3, errors=8))
+
+
+@query()
+def rule_expert_mix(spark, sf):
+    return _out(L.expert_mix(model_bars(spark, sf), rows=ROWS, ar_rows=120, ou_rows=120, cost=0.2, half_life=(0.05, 120)))

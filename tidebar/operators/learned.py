@@ -18,8 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..core import store
-from ..functions.machines import COST, PROMISE
-from ..functions.models import boosting, forest, gaussian, hidden, logit, quantile, recurrence, tail
+from ..functions.machines import COST, PROMISE, _plain_fit, _ridge_fit
+from ..functions.models import boosting, forest, gaussian, hidden, logit, quantile, recurrence, reverting, tail
 from .walkforward import KEYS, Columns, begins, day_blocks, numbered, row_blocks, sided, walk_forward
 
 #: Classes of a move: falls, stays, rises by more than the cost.
@@ -355,3 +355,116 @@ def isolation_forest(bars: DataFrame, rows: int = 10_080, trees: int = 100, cont
         known, done, todo = store(new), got, store(changed)
         if todo.isEmpty():
             return _spoken(got, "score").select(*KEYS, "i", "ct", "score", sided(F.col("up"), F.col("down")).alias("side"))
+
+
+# ---- lags of flow, and experts that are weighed by what they have cost
+
+
+def flow_lags(bars: DataFrame, rows: int = 10_080, horizon: int = 10, lags: int = 10, weight: float = 10.0, errors: int = 240) -> DataFrame:
+    """The move of `horizon` bars from lags of the flow's share of volume, of activity and of returns, by ridge regression, fitted at a
+    UTC day's first close. It may speak only while the mean error of its latest `errors` forecasts whose outcome is known, all of this
+    fit, is below the deviation of those outcomes."""
+    warm = lags - 1 + 19
+
+    def run(b: Columns, first: int, series: str, block: int) -> dict[str, np.ndarray]:
+        n, t, logs = len(b["i"]), _begin(b, first, rows + horizon + warm), _log(b["c"])
+        out = _empty(n - first, forecast=float, error=float, outcome=float)
+        r = logs - _back(logs)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.where((b["v"] > 0) & (np.abs(b["delta"]) <= b["v"]), b["delta"] / b["v"], np.nan)
+            usual = _mean(b["trades"], 20)
+            activity = np.where(usual > 0, b["trades"] / usual, np.nan)
+        x = np.column_stack([_back(v, k) if k else v for v in (share, activity) for k in range(lags)] + [r, _back(r), _back(r, 2)])
+        y = _labelled(b, horizon)
+        if t >= n:
+            return out
+        own = slice(t - horizon + 1 - rows, t - horizon + 1)
+        fit = _ridge_fit(x[own], y[own], weight)
+        if fit is None:
+            return out
+        said = np.concatenate([np.full(t, np.nan), fit[0] + x[t:] @ fit[1:]])
+        known = _back(np.abs(said - y), horizon), _back(np.where(np.isfinite(said), y, np.nan), horizon)
+        # forecasts of bars without features do not count, so the latest `errors` of those that do
+        have = np.isfinite(known[0])
+        for name, v, how in (("error", known[0], "mean"), ("outcome", known[1], "std")):
+            latest = pd.Series(np.nan, index=range(n))
+            latest[have] = _mean(v[have], errors, how)
+            out[name] = latest.ffill().to_numpy()[first:]
+        out["forecast"] = said[first:]
+        return out
+
+    blocks = day_blocks(numbered(bars), rows + horizon + warm + 1, closing=True)
+    got = walk_forward(blocks, ["i", "c", "v", "trades", "delta"], run, "forecast double, error double, outcome double")
+    trusted = F.col("error") < F.col("outcome")
+    got = got.withColumn("_up", begins(trusted & (F.col("forecast") > PROMISE))).withColumn("_down", begins(trusted & (F.col("forecast") < -PROMISE)))
+    return _spoken(got, "forecast").select(*KEYS, "i", "ct", "forecast", "error", "outcome", sided(F.col("_up"), F.col("_down")).alias("side"))
+
+
+def autoregressive(bars: DataFrame, rows: int = 1_440, horizon: int = 10, lags: int = 5, every: int = 60, fits: int = 8) -> DataFrame:
+    """The move of `horizon` bars from the latest returns by least squares, refitted every so often."""
+    start = lags + rows - 1 + horizon
+
+    def run(b: Columns, first: int, series: str, block: int) -> dict[str, np.ndarray]:
+        n, logs = len(b["i"]), _log(b["c"])
+        r = logs - _back(logs)
+        x, y = np.column_stack([_back(r, k) if k else r for k in range(lags)]), _labelled(b, horizon)
+        out = _empty(n - first, forecast=float)
+        for t in range(first, n, every):
+            own, now = slice(t - horizon + 1 - rows, t - horizon + 1), slice(t, min(n, t + every))
+            fit = _plain_fit(x[own], y[own])
+            if fit is not None:
+                out["forecast"][now.start - first : now.stop - first] = fit[0] + x[now] @ fit[1:]
+        return out
+
+    return walk_forward(row_blocks(numbered(bars), rows + horizon + lags, every * fits, start), ["i", "c"], run, "forecast double")
+
+
+def level_return(bars: DataFrame, rows: int = 720, horizon: int = 10, every: int = 30, fits: int = 16, half_life: tuple[float, float] = reverting.HALF_LIFE) -> DataFrame:
+    """The way back to the level that log prices are drawn to, within `horizon` bars."""
+
+    def run(b: Columns, first: int, series: str, block: int) -> dict[str, np.ndarray]:
+        n, logs = len(b["i"]), _log(b["c"])
+        at = np.arange(first, n, every)
+        level, deviation, phi = (np.repeat(v, every)[: n - first] for v in reverting.fits(logs, rows, at, half_life))
+        with np.errstate(invalid="ignore"):
+            return {"forecast": np.where(deviation > 0, (level - logs[first:]) * (1 - phi**horizon), np.nan)}
+
+    return walk_forward(row_blocks(numbered(bars), rows, every * fits, rows), ["i", "c"], run, "forecast double")
+
+
+def expert_mix(bars: DataFrame, rows: int = 10_080, horizon: int = 10, ar_rows: int = 1_440, ou_rows: int = 720, rate: float = 0.1, worst: float = 10.0, cost: float = COST, half_life: tuple[float, float] = reverting.HALF_LIFE) -> DataFrame:
+    """Three forecasts of the same move - autoregressive, return to a level, and the mean move of the classes by their logit
+    probabilities - mixed by exponential weights, apart for calm and for wild bars (range by price over its median of `rows` bars).
+
+    A forecast's loss is its squared error over the moves' variance when it was made, at most `worst`; it is known `horizon` bars later
+    and counts in the regime of the bar it was made at. Weights are the softmax of -rate times the summed losses, so the recursion is a
+    running sum. A signal where the mix begins to pass the promise with two experts on its side."""
+
+    def regime(b: Columns, first: int) -> dict[str, np.ndarray]:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = b["atr14"] / b["c"]
+        return {"ratio": ratio[first:], "median": _back(_mean(ratio, rows, "median"))[first:]}
+
+    classes = _classes(bars, rows, horizon, 10, cost, lambda x, y: logit.fit(x, y, 3), logit.probabilities, regime, ", ratio double, median double")
+    logits = F.col("p_falls") * F.col("m_falls") + F.col("p_stays") * F.col("m_stays") + F.col("p_rises") * F.col("m_rises")
+    got = classes.select(*KEYS, "i", "ct", logits.alias("e2"), "spread", "ratio", "median")
+    for name, part in (("e0", autoregressive(bars, ar_rows, horizon)), ("e1", level_return(bars, ou_rows, horizon, half_life=half_life))):
+        got = got.join(part.select(*KEYS, "i", F.col("forecast").alias(name)), [*KEYS, "i"], "left")
+    got = got.join(numbered(bars).select(*KEYS, "i", F.log("c").alias("x")), [*KEYS, "i"])
+    w = W.partitionBy(*KEYS).orderBy("i")
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    issued = fine("e0") & fine("e1") & fine("e2") & fine("median") & (F.col("spread") > 0)
+    got = got.withColumn("wild", F.when(issued, F.col("ratio") > F.col("median")))
+    actual = F.col("x") - F.lag("x", horizon).over(w)
+    loss = lambda k: F.least((F.lag(f"e{k}", horizon).over(w) - actual) ** 2 / F.lag("spread", horizon).over(w), F.lit(worst))
+    got = got.withColumns({"known": F.lag("wild", horizon).over(w), **{f"loss{k}": loss(k) for k in range(3)}})
+    run = w.rowsBetween(W.unboundedPreceding, 0)
+    got = got.withColumns({f"s{k}_{g}": F.coalesce(F.sum(F.when(F.col("known") == bool(g), F.col(f"loss{k}"))).over(run), F.lit(0.0)) for k in range(3) for g in (0, 1)})
+    got = got.withColumns({f"s{k}": F.when(F.col("wild"), F.col(f"s{k}_1")).otherwise(F.col(f"s{k}_0")) for k in range(3)})
+    least = F.least("s0", "s1", "s2")
+    got = got.withColumns({f"u{k}": F.exp(-rate * (F.col(f"s{k}") - least)) for k in range(3)})
+    total = F.col("u0") + F.col("u1") + F.col("u2")
+    got = got.withColumns({f"w{k}": F.col(f"u{k}") / total for k in range(3)}).withColumn("mix", F.when(F.col("wild").isNotNull(), sum(F.col(f"w{k}") * F.col(f"e{k}") for k in range(3))))
+    agree = lambda up: sum(F.when((F.col(f"e{k}") > 0) if up else (F.col(f"e{k}") < 0), 1).otherwise(0) for k in range(3)) >= 2
+    got = got.withColumn("_up", begins((F.col("mix") > PROMISE) & agree(True))).withColumn("_down", begins((F.col("mix") < -PROMISE) & agree(False)))
+    return got.where("mix IS NOT NULL").select(*KEYS, "i", "ct", "mix", "w0", "w1", "w2", "wild", sided(F.col("_up"), F.col("_down")).alias("side"))

@@ -27,13 +27,14 @@ def numbered(bars: DataFrame) -> DataFrame:
     return bars.withColumn("i", (F.row_number().over(W.partitionBy(*KEYS).orderBy("ct")) - 1).cast("long"))
 
 
-def day_blocks(bars: DataFrame, look_back: int, since: DataFrame | None = None) -> DataFrame:
-    """Each bar once for every block that needs it: (block, own). bars have i; a bar belongs to the UTC day of its last millisecond.
+def day_blocks(bars: DataFrame, look_back: int, since: DataFrame | None = None, closing: bool = False) -> DataFrame:
+    """Each bar once for every block that needs it: (block, own). bars have i; a bar belongs to the UTC day of its last
+    millisecond, or with `closing` to that of its close.
 
     since: (series_id, segment, block, since), the blocks wanted and a bar of each from which it looks back instead of from its first.
 
     The days' ranges of bars are cut into cells of `look_back` bars, so the join is one on equal keys, whose size per key is bounded."""
-    day = F.floor((F.col("ct") - 1) / DAY)
+    day = F.floor((F.col("ct") - (0 if closing else 1)) / DAY)
     days = bars.groupBy(*KEYS, day.alias("block")).agg(F.min("i").alias("_first"), F.max("i").alias("_last"))
     lowest = F.col("_first") - look_back
     if since is not None:
