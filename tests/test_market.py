@@ -411,64 +411,6 @@ def test_trend_filter_and_change_points_on_a_shift():
     assert (out[600:606] == 1).any() and not out[:241].any()
 
 
-def resting(c, h, low, signals, directions=None, **kw):
-    from tidebar.operators.two_sided import Settings, simulate
-
-    c = np.array(c, float)
-    b = {"c": c, "o": np.concatenate([c[:1], c[:-1]]), "h": np.array(h, float), "l": np.array(low, float)}
-    s = np.zeros((len(c), 2), bool)
-    for i, k in signals:
-        s[i, k] = True
-    fills, summary, trades, daily = simulate(b, s, np.arange(len(c)), Settings(**{"fee": 0.0, **kw}), directions=directions)
-    assert len(trades) == summary["trades"] and daily["equity"].iloc[-1] == summary["ending"]
-    return [(i, side, kind, round(p, 4)) for i, side, kind, p in fills[["i", "side", "kind", "price"]].itertuples(index=False)], summary
-
-
-def test_resting_orders_need_a_trade_through():
-    flat = [100.0] * 6
-    assert resting(flat, flat, flat, [(1, 0)])[0] == []
-    assert resting(flat, flat, [100, 100, 99.99, 100, 100, 100], [(1, 0)])[0] == []  # the order rests at 99.99: a touch does not fill
-    fills, _ = resting(flat, flat, [100, 100, 99.98, 100, 100, 100], [(1, 0)])
-    assert fills == [(2, 1, "first", 99.99)]
-    fills, _ = resting(flat, flat, [100, 100, 100, 99.9, 99.9, 99.9], [(1, 0)])
-    assert fills == [(3, 1, "first", 99.99)]
-    assert resting(flat, flat, [100, 100, 100, 100, 99.9, 99.9], [(1, 0)])[0] == []  # the order has gone after two minutes
-
-
-def test_resting_sizes_follow_equity_and_the_cap():
-    flat, low = [100.0] * 6, [100, 100, 99, 99, 99, 99.0]
-    _, r = resting(flat, flat, low, [(1, 0)], initial=500.0, first_multiple=2.0, target=0.5)
-    assert r["open_long"] == pytest.approx(10.001)  # 1000 / 99.99 in lots
-    _, r = resting(flat, flat, low, [(1, 0)], cap=3.0, target=0.5)
-    assert r["open_long"] == pytest.approx(3.0) and r["capacity_ms"] == 3 * 60_000
-    assert resting(flat, flat, low, [(1, 0)], initial=19.0)[0] == []  # under the least notional
-
-
-def test_resting_target_scale_in_trim_and_timeout():
-    c = [100, 100, 99.9, 100, 100, 100.0]
-    fills, r = resting(c, [100, 100, 100, 102, 100, 100], [100, 100, 99.9, 99.9, 100, 100], [(1, 0)], target=0.01)
-    assert fills == [(2, 1, "first", 99.99), (3, 1, "target", 100.99)] and r["pnl"] == pytest.approx(10.001 * 1.0, abs=0.01)
-    fills, r = resting([100] * 7, [100, 100, 100, 100, 97.9, 100.5, 100], [100, 100, 99.9, 100, 97, 97, 97], [(1, 0)], add_drop=0.02, add_multiple=1.0, target=0.5, fee=0.001)
-    assert fills[:2] == [(2, 1, "first", 99.99), (4, 1, "add", 97.99)] and fills[2][2] == "trim"
-    assert 98.9 < fills[2][3] < 99.4  # what was added goes at the average price that pays both fees
-    fills, r = resting([100, 100, 99.9, 99.9, 99.9, 99.9], [100, 100, 100, 99.9, 99.95, 99.95], [100, 100, 99.8, 99.9, 99.9, 99.9], [(1, 0)], timeout_minutes=1, target=0.5, add_drop=0.5)
-    assert (4, 1, "timeout", 99.91) in fills and r["timeouts"] == 1
-
-
-def test_resting_gap_holds_for_the_account():
-    flat, low, high = [100.0] * 8, [100, 100, 99, 100, 100, 100, 100, 100.0], [100, 100, 100, 101, 101, 101, 101, 101.0]
-    fills, r = resting(flat, high, low, [(1, 0), (2, 1), (3, 1), (4, 1), (5, 1)], gap_minutes=3, target=0.5)
-    assert [(i, s, k) for i, s, k, _ in fills] == [(2, 1, "first"), (6, -1, "first")] and r["least_gap"] == 4
-
-
-def test_resting_follows_the_calendar():
-    flat, low, high = [100.0] * 8, [100, 100, 99, 100, 100, 100, 100, 100.0], [100, 100, 100, 100, 100, 101, 101, 101.0]
-    ways = np.array([1, 1, 1, 1, -1, -1, -1, -1, -1])
-    fills, r = resting(flat, high, low, [(1, 0), (4, 1), (5, 1), (6, 1)], directions=ways, target=0.5)
-    assert fills[0][:3] == (2, 1, "first") and fills[1][:3] == (5, 1, "switch") and r["switches"] == 1
-    assert all(s == -1 for i, s, k, _ in fills[2:]) and r["open_long"] == 0
-
-
 def test_grid_and_ids(spark):
     from itertools import combinations
 
@@ -542,7 +484,6 @@ def test_replays_alike_however_dealt(spark, monkeypatch):
 def test_replays_take_every_series(spark, candles):
     grid = market.QUERIES["replay_configurations"](spark, SF).select("series_id", "config_id").distinct().collect()
     assert {r["series_id"] for r in grid} == candles.keys() and len(grid) == 6 * 12
-    assert {r["series_id"] for r in market.QUERIES["two_sided_seeds"](spark, SF).collect()} == candles.keys()
 
 
 def test_all_stop_definitions():

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from tidebar.catalog.market import HAVE
@@ -349,3 +350,57 @@ def test_family_rules_by_definition(bars):
         assert got.get(r.id, {}) == want, (r, sorted(set(got.get(r.id, {}).items()) ^ set(want.items()))[:6])
         fired |= {r.algorithm} if want else set()
     assert len(seen) == 30 and len(fired) > 20, sorted(seen - fired)
+
+
+def test_run_lengths_by_the_recursion_of_each_run():
+    """Every run's posterior updated value by value, as the model is stated, instead of from running sums."""
+    from math import exp, lgamma, log, pi
+
+    from tidebar.functions import machines as M
+
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(0, 1, 60), r.normal(3, 0.5, 40), r.normal(-1, 2, 30)])
+    runs = [(1.0, 0.0, 1.0, 2.0, 1.0)]  # probability, mean, worth, shape, rate
+    for value, (log_p, lost) in zip(x, M.run_lengths(x, hazard=1 / 50, most=80)):
+        grown, ended = [], 0.0
+        for p, m, k, a, b in runs:
+            s2 = b * (k + 1) / (a * k)
+            like = exp(lgamma(a + 0.5) - lgamma(a) - 0.5 * log(2 * a * pi * s2) - (a + 0.5) * log(1 + (value - m) ** 2 / (2 * a * s2)))
+            ended += p * like / 50
+            grown.append((p * like * 49 / 50, (k * m + value) / (k + 1), k + 1, a + 0.5, b + k * (value - m) ** 2 / (2 * (k + 1))))
+        runs = [(ended, 0.0, 1.0, 2.0, 1.0), *grown]
+        total = sum(q[0] for q in runs)
+        assert abs(sum(q[0] for q in runs[80:]) / total - lost) < 1e-9
+        runs = runs[:80]
+        total = sum(q[0] for q in runs)
+        runs = [(q[0] / total, *q[1:]) for q in runs]
+        assert np.allclose(np.exp(log_p), [q[0] for q in runs], atol=1e-9)
+
+
+def test_reversion_bar_by_bar():
+    from tidebar.functions import machines as M
+
+    r = np.random.default_rng(5)
+    x = np.empty(1500)
+    x[0] = 4.6
+    for t in range(1, 1500):
+        x[t] = x[t - 1] + 0.06 * (4.6 - x[t - 1]) + 0.004 * r.standard_t(4)
+    x[1000] = np.nan
+    want, last = np.zeros(1500, int), (False, False)
+    for t in range(200, 1500):
+        now = (False, False)
+        if (t - 200) % 30 == 0:
+            w, fit = x[t - 200 : t], None
+            if np.isfinite(w).all():
+                slope, cut = np.polyfit(w[:-1], w[1:], 1)
+                if 0 < slope < 1 and 3 <= -np.log(2) / np.log(slope) <= 120:
+                    fit = cut / (1 - slope), (w[1:] - slope * w[:-1] - cut).std() / np.sqrt(1 - slope**2), slope
+        if not np.isfinite(x[t] - x[t - 1]):
+            fit = None
+        if fit:
+            back, step = (fit[0] - x[t]) * (1 - fit[2] ** 10), x[t] - x[t - 1]
+            now = x[t] < fit[0] - 2 * fit[1] and step > 0 and back > 2e-4, x[t] > fit[0] + 2 * fit[1] and step < 0 and back < -2e-4
+        want[t] = int(now[0] and not last[0]) - int(now[1] and not last[1])
+        last = now
+    got = M.reversion({"c": np.exp(x)}, rows=200)
+    assert (got == want).all() and (want == 1).sum() >= 3 and (want == -1).sum() >= 3

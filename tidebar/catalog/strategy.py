@@ -12,7 +12,6 @@ from ..operators.asof import next_true
 from ..operators.calendar import allowed_direction
 from ..operators.exits import Plan, exit_table
 from ..operators.replay import Account, replay_grid
-from ..operators.two_sided import Settings, simulate_seeds
 from ..plans.grid import all_stop_codes
 from ..plans.grid import grid as lazy_grid
 from ..plans.targets import target_catalogue as all_targets
@@ -467,11 +466,3 @@ def calendar_direction(spark, sf):
 @query("""SELECT id AS config_id, CAST(id // 180 % 4 AS INT) AS field, CAST(id // 36 % 5 AS INT) AS session, CAST(id // 6 % 6 AS INT) AS stop, CAST(id % 6 AS INT) AS target FROM (SELECT unnest(range(0, 720)) AS id)""")
 def lazy_configurations(spark, sf):
     return lazy_grid(spark, field=4, session=5, stop=6, target=6)
-
-
-@query()
-def two_sided_seeds(spark, sf):
-    """Resting orders on both sides, long after red and short after green candles, both after flat ones: quantiles over seeds."""
-    b = rule_bars(spark, sf)
-    b = b.select("series_id", "i", "o", "h", "l", "c", (F.col("c") <= F.col("o")).alias("long"), (F.col("c") >= F.col("o")).alias("short"), F.col("i").alias("run"))
-    return S.seed_quantiles(simulate_seeds(b, Settings(target=0.1, add_drop=0.2, add_multiple=1.0, timeout_minutes=1440, bar_ms=HOUR), 8), ["series_id"], "pnl")
