@@ -106,6 +106,25 @@ def _encoder(path: str):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
+def token_ids(encoder, text: str) -> list[int]:
+    """The ids of a text. The library's own splitting gives up on runs of about a million blanks; the pieces of such a text are found
+    here, with the pattern and the special tokens that it uses, and encoded one by one by the library."""
+    try:
+        return encoder.encode(text, allowed_special="all")
+    except ValueError:
+        import regex
+        from public_tokenizers import PATTERN
+
+        pieces, out, marks = regex.compile(PATTERN), [], "|".join(map(regex.escape, SPECIAL))
+        for part in regex.split(f"({marks})", text):
+            if part in SPECIAL:
+                out.append(SPECIAL[part])
+            else:
+                for m in pieces.finditer(part):
+                    out += encoder._encode_single_piece(m.group())
+        return out
+
+
 def _pieces(capacity: int, end: int, vocabulary: str | None):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -116,7 +135,7 @@ def _pieces(capacity: int, end: int, vocabulary: str | None):
         for batch in rows_of(batches):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.array([*encoder.encode(text or "", allowed_special="all"), end], "<u4")
+                ids = np.array([*token_ids(encoder, text or ""), end], "<u4")
                 cuts = [0, *range(len(ids) % capacity or min(capacity, len(ids)), len(ids) + 1, capacity)]
                 out += [(doc_id, k, i, j - i, zlib.crc32(ids[i:j].tobytes())) for k, (i, j) in enumerate(zip(cuts, cuts[1:]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
