@@ -48,11 +48,49 @@ def test_drop_copies(spark):
 
 
 def test_merge_keeps_smallest():
-    keys = np.array([b"b" * 40, b"a" * 40, b"b" * 40], "S40")
-    k, i, n = X.merged(keys, np.array([5, 9, 3]), np.array([1, 1, 2]))
-    assert k.tolist() == [b"a" * 40, b"b" * 40] and i.tolist() == [9, 3] and n.tolist() == [1, 3]
+    f, t = False, True
+    a = X.sorted_run(np.array([b"b" * 40, b"a" * 40, b"b" * 40], "S40"), np.array([5, 9, 3]), np.array([f, f, f]), np.array([1, 1, 2]))
+    assert a[0].tolist() == [b"a" * 40, b"b" * 40] and a[1].tolist() == [9, 3] and a[3].tolist() == [1, 3]
+    b = X.sorted_run(np.array([b"c" * 40, b"b" * 40, b"0" * 40, b"b" * 40], "S40"), np.array([0, 2**63 - 1, -(2**63), 0]), np.array([t, f, f, t]), np.array([1, 1, 1, 1]))
+    m = X.merged(a, b)
+    assert m[0].tolist() == [x * 40 for x in (b"0", b"a", b"b", b"c")] and m[1][:3].tolist() == [-(2**63), 9, 3] and m[2].tolist() == [f, f, f, t] and m[3].tolist() == [1, 1, 5, 1]
     with pytest.raises(ValueError):
-        X.merged(np.array([b"d" * 32 + b"1" * 8, b"d" * 32 + b"2" * 8], "S40"), np.array([1, 2]), np.array([1, 1]))
+        X.sorted_run(np.array([b"d" * 32 + b"1" * 8, b"d" * 32 + b"2" * 8], "S40"), np.array([1, 2]), np.array([f, f]), np.array([1, 1]))
+    x, y = (X.sorted_run(np.array([b"d" * 32 + n * 8], "S40"), np.array([1]), np.array([f]), np.array([1])) for n in (b"1", b"2"))
+    with pytest.raises(ValueError):
+        X.merged(x, y)
+
+
+def test_merge_in_any_order_is_one_sort():
+    r = np.random.default_rng(3)
+    runs, rows = [], []
+    for _ in range(9):
+        n = int(r.integers(0, 200))
+        part = np.array([b"%032d" % k + b"8" * 8 for k in r.integers(0, 150, n)], "S40"), r.integers(-(2**63), 2**63 - 1, n), r.random(n) < 0.3, r.integers(1, 5, n)
+        rows.append(part)
+        runs.append(X.sorted_run(*part) if n else part)
+    want = X.sorted_run(*(np.concatenate(x) for x in zip(*rows)))
+    got = runs[0]
+    for other in runs[1:]:
+        got = X.merged(got, other)
+    assert all((a == b).all() for a, b in zip((got[0], np.where(got[2], 0, got[1]), got[2], got[3]), (want[0], np.where(want[2], 0, want[1]), want[2], want[3])))
+
+
+def test_every_id_is_an_id(spark, monkeypatch):
+    """Both ends of 64 bits, beside rows without an id, in small blocks and small sorts."""
+    monkeypatch.setattr(X, "BLOCK", 3)
+    monkeypatch.setattr(X, "MOST", 5)
+    ids = [-(2**63), -1, 0, 2**62, 2**63 - 1, None]
+    data = [(i, f"text {k % 7 if i is None else k}") for k in range(20) for i in ids[k % 6 :]] + [(2**63 - 1, "end"), (None, "end"), (-(2**63), "start"), (2**63 - 1, "start")]
+    got = {(x["doc_id"], x["text_sha256"]): x for x in X.copies(spark.createDataFrame(data, "doc_id long, text string").repartition(6)).collect()}
+    for text in {t for _, t in data}:
+        own = [i for i, t in data if t == text]
+        keep = min((i for i in own if i is not None), default=None)
+        for i in own:
+            row = got[i, hashlib.sha256(text.encode()).hexdigest()]
+            assert (row["keep_id"], row["group_size"]) == (keep, len(own))
+    stay = sorted(((x["doc_id"], x["text"]) for x in X.drop_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()), key=str)
+    assert {t for _, t in stay} == {t for _, t in data} and len(stay) == len({t for _, t in data})
 
 
 def test_sql(spark, tmp_path):

@@ -2,12 +2,12 @@
 
 Texts are equal when they are identical after each run of white space [\\x20\\x09-\\x0D] became one space; a null text is empty. Each
 task turns its rows into sorted runs of (SHA-256 and length, smallest id, rows), one run for each range of digests, its own copies
-already summed. In round after round the runs of FAN neighbouring tasks meet and one multiway merge keeps, for each digest, the
-smallest identifier and the sum; the length beside the digest is verified at every level. After the last round each range has one
-run. Ranges share no digest and their number follows that of the digests, so no task holds more than about PER_RANGE of them,
+already summed. In round after round the runs of two neighbours meet (binomial rounds: after k rounds a run stands for 2^k tasks) and
+a merge of sorted runs keeps, for each digest, the smallest identifier and the sum; the length beside the digest is verified at every
+level. After the last round each range has one run. Ranges share no digest and their number follows that of the digests, so no task holds more than about PER_RANGE of them,
 however many copies a text has; runs travel as rows of bounded blocks.
 
-Null ids come after all others: keep_id is null only where every copy has a null id. Where rows repeat with the id that stays, one
+Null ids come after all others, by a flag beside the id, so every 64-bit id is an id: keep_id is null only where every copy has a null id. Where rows repeat with the id that stays, one
 of them is kept. Texts of any length are digested whole. Empty tables give no rows. Extra columns are carried by `drop_copies` and ignored by `copies`.
 """
 
@@ -22,76 +22,114 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-FAN = 4
-_NONE = 2**63 - 1
-_RUN = "range int, node int, keys binary, ids binary, sizes binary"
-_RUN_SCHEMA = pa.schema([("range", pa.int32()), ("node", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+FAN = 2
+_NAMES = ("keys", "ids", "without", "sizes")
+_RUN = "range int, node int, at int, keys binary, ids binary, without binary, sizes binary"
+_RUN_SCHEMA = pa.schema([("range", pa.int32()), ("node", pa.int32()), ("at", pa.int32()), *((c, pa.binary()) for c in _NAMES)])
 _KEY = 40
 #: Digests in a range, and in a cell of a run: 56 MB of a range pass a task, and no cell has more than 4 MB.
 PER_RANGE, BLOCK = 1_000_000, 1 << 16
+#: Rows that a task sorts at once; its runs are merged as they come, so that it sends one.
+MOST = 1_000_000
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def merged(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One sorted run of several, in a row: a stable merge, then the smallest id and the sum of each key."""
-    order = np.argsort(keys, kind="stable")
-    keys, ids, sizes = keys[order], ids[order], sizes[order]
-    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    keys = keys[head]
+#: A run: keys in order, none twice; their smallest ids, whether all their rows are without an id (the id says nothing then), their rows.
+Run = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+_HIGHEST = np.iinfo(np.int64).max
+
+
+def _verified(keys: np.ndarray) -> None:
     digest, length = keys.view("S1").reshape(-1, _KEY)[:, :32], keys.view("S1").reshape(-1, _KEY)[:, 32:]
-    same = (digest[1:] == digest[:-1]).all(axis=1) & (length[1:] != length[:-1]).any(axis=1)
-    if same.any():
+    if ((digest[1:] == digest[:-1]).all(axis=1) & (length[1:] != length[:-1]).any(axis=1)).any():
         raise ValueError("two texts of different length share a SHA-256 digest")
-    return keys, np.minimum.reduceat(ids, head), np.add.reduceat(sizes, head)
 
 
-def _packed(rng: int, node: int, run: tuple) -> list[tuple]:
+def sorted_run(keys: np.ndarray, ids: np.ndarray, without: np.ndarray, sizes: np.ndarray) -> Run:
+    """A run of rows in any order."""
+    order = np.argsort(keys, kind="stable")
+    keys, ids, without, sizes = keys[order], np.where(without, _HIGHEST, ids)[order], without[order], sizes[order]
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    out = keys[head], np.minimum.reduceat(ids, head), np.logical_and.reduceat(without, head), np.add.reduceat(sizes, head)
+    _verified(out[0])
+    return out
+
+
+def merged(a: Run, b: Run) -> Run:
+    """Two runs as one: each key of the second finds its place in the first; the smallest id and the sum of what meets."""
+    if not len(a[0]) or not len(b[0]):
+        return a if len(a[0]) else b
+    at = np.searchsorted(a[0], b[0])
+    there = np.minimum(at, len(a[0]) - 1)
+    both = a[0][there] == b[0]
+    k = there[both]
+    ids, without, sizes = a[1].copy(), a[2].copy(), a[3].copy()
+    x, y = np.where(without[k], _HIGHEST, ids[k]), np.where(b[2][both], _HIGHEST, b[1][both])
+    ids[k], without[k], sizes[k] = np.minimum(x, y), without[k] & b[2][both], sizes[k] + b[3][both]
+    new = ~both
+    out = tuple(np.insert(u, at[new], v[new]) for u, v in zip((a[0], ids, without, sizes), b))
+    _verified(out[0])
+    return out
+
+
+def _packed(rng: int, node: int, run: Run) -> list[tuple]:
     """A run as rows of bounded blocks, in order."""
-    keys, ids, sizes = run
-    return [(rng, node, keys[i : i + BLOCK].tobytes(), ids[i : i + BLOCK].tobytes(), sizes[i : i + BLOCK].tobytes()) for i in range(0, len(keys), BLOCK)]
+    return [(rng, node, k, *(x[i : i + BLOCK].tobytes() for x in run)) for k, i in enumerate(range(0, len(run[0]), BLOCK))]
+
 
+def _unpacked(keys: bytes, ids: bytes, without: bytes, sizes: bytes) -> Run:
+    return np.frombuffer(keys, f"S{_KEY}"), np.frombuffer(ids, np.int64), np.frombuffer(without, bool), np.frombuffer(sizes, np.int64)
 
-def _unpacked(keys: bytes, ids: bytes, sizes: bytes) -> tuple:
-    return np.frombuffer(keys, f"S{_KEY}"), np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RUN_SCHEMA)], schema=_RUN_SCHEMA)
 
 
 def _runs(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        node, held, rows = TaskContext.get().partitionId(), [], 0
+        node, whole, held, rows = TaskContext.get().partitionId(), None, [], 0
+
+        def gathered() -> Run:
+            own = sorted_run(*(np.concatenate(x) for x in zip(*held)))
+            return own if whole is None else merged(whole, own)
 
-        def out() -> pa.RecordBatch:
-            keys, ids, sizes = merged(*(np.concatenate(x) for x in zip(*held)))
-            which = keys.view("S1").reshape(-1, _KEY)[:, :4].copy().view(">u4").ravel().astype(np.int64) * ranges >> 32
+        def out(run: Run) -> pa.RecordBatch:
+            which = run[0].view("S1").reshape(-1, _KEY)[:, :4].copy().view(">u4").ravel().astype(np.int64) * ranges >> 32
             cuts = np.searchsorted(which, np.arange(ranges + 1))
-            parts = [x for r, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j for x in _packed(r, node, (keys[i:j], ids[i:j], sizes[i:j]))]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*parts), _RUN_SCHEMA)], schema=_RUN_SCHEMA)
+            return _batch([x for r, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j for x in _packed(r, node, tuple(c[i:j] for c in run))])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.array(batch.column("key").to_pylist(), f"S{_KEY}")
-            held.append((key, batch.column("doc_id").fill_null(_NONE).to_numpy(zero_copy_only=False), batch.column("m").to_numpy()))
+            ids = batch.column("doc_id")
+            held.append((np.array(batch.column("key").to_pylist(), f"S{_KEY}"), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), batch.column("m").to_numpy()))
             rows += batch.num_rows
-            if rows >= 1_000_000:
-                yield out()
-                held, rows = [], 0
+            if rows >= MOST:
+                whole, held, rows = gathered(), [], 0
         if held:
-            yield out()
+            whole = gathered()
+        if whole is not None:
+            yield out(whole)
 
     return run
 
 
-def _merge(node: int):
+def _merge(fan: int):
     def run(group: pa.Table) -> pa.Table:
-        runs = [_unpacked(*x) for x in zip(*(group.column(c).to_pylist() for c in ("keys", "ids", "sizes")))]
-        one = merged(*(np.concatenate(x) for x in zip(*runs)))
-        rows = _packed(group.column("range")[0].as_py(), group.column("node")[0].as_py() // node, one)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RUN_SCHEMA)], schema=_RUN_SCHEMA)
+        group = group.sort_by([("node", "ascending"), ("at", "ascending")])
+        blocks: dict[int, list[Run]] = {}
+        for node, *cells in zip(*(group.column(c).to_pylist() for c in ("node", *_NAMES))):
+            blocks.setdefault(node, []).append(_unpacked(*cells))
+        one = None
+        for parts in blocks.values():
+            own = tuple(np.concatenate(x) for x in zip(*parts))
+            one = own if one is None else merged(one, own)
+        return pa.Table.from_batches([_batch(_packed(group.column("range")[0].as_py(), group.column("node")[0].as_py() // fan, one))])
 
     return run
 
@@ -99,10 +137,10 @@ def _merge(node: int):
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("key", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
     for batch in batches:
-        for x in zip(*(batch.column(c).to_pylist() for c in ("keys", "ids", "sizes"))):
-            keys, ids, sizes = _unpacked(*x)
-            fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_KEY), len(keys), [None, pa.py_buffer(x[0])]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([fixed, pa.array(ids, mask=ids == _NONE), pa.array(sizes)], schema=schema)
+        for cells in zip(*(batch.column(c).to_pylist() for c in _NAMES)):
+            keys, ids, without, sizes = _unpacked(*cells)
+            fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_KEY), len(keys), [None, pa.py_buffer(cells[0])]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([fixed, pa.array(ids, mask=without), pa.array(sizes)], schema=schema)
 
 
 def tree_merge(digests: DataFrame, ranges: int, fan: int = FAN) -> DataFrame:
