@@ -143,3 +143,16 @@ def test_second_signature_estimates():
     j = jaccard(" ".join(base), " ".join(other))
     assert abs((1 - 2 * differ / (64 * N.LONGS)) - j) < 4 * 2 * ((1 + j) * (1 - j) / 4 / (64 * N.LONGS)) ** 0.5
     assert N.DIFFER == int((1 - 0.7469) / 2 * 2048)
+
+
+def test_every_id_is_an_id(spark):
+    """Both ends of 64 bits, hashes as ids, and rows without an id."""
+    words = lambda k, n=30: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(-(2**63), words(1)), (2**62, words(1)), (2**63 - 1, words(2)), (2**63 - 2, words(2) + " more"), (None, words(2)), (None, words(3)), (2**62 + 5, words(3)), (None, words(4)), (None, words(4)), (-1, words(5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(x) for x in N.near_duplicates(df).select("doc_id", "class_id", "class_size", "kept").collect()), key=str)
+    low = -(2**63)
+    want = [(low, low, 2, True), (2**62, low, 2, False), (2**63 - 1, 2**63 - 2, 3, False), (2**63 - 2, 2**63 - 2, 3, True), (None, 2**63 - 2, 3, False), (None, 2**62 + 5, 2, False), (2**62 + 5, 2**62 + 5, 2, True), (-1, -1, 1, True), (None, None, 2, True), (None, None, 2, False)]
+    assert got == sorted(want, key=str)
+    stay = sorted((str(x["doc_id"]) for x in N.drop_near_copies(df).collect()))
+    assert stay == sorted(map(str, (low, 2**63 - 2, 2**62 + 5, None, -1)))

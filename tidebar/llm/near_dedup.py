@@ -41,8 +41,6 @@ ROUNDS = ((4, 0.68), (0, 0.78), (0, 0.68))
 #: The second signature: longs of 64 one-bit registers, and the most that may differ. Registers differ by (1 - similarity) / 2.
 LONGS = 32
 DIFFER = int((1 - (SIMILAR - 4 * 2 * (0.9 * 0.1 / (64 * LONGS)) ** 0.5)) / 2 * 64 * LONGS)
-#: Ids from here on are of rows without an id; real ids are smaller.
-NULLS = 2**62
 _I = pa.int64()
 
 
@@ -170,17 +168,29 @@ def _links(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return cut(pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(similar), "a long, b long"))
 
 
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
 def _node_id(id_col: str, text_col: str) -> Column:
-    """A row without an id stands after all others, under its text's hash."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULLS) + F.xxhash64(text).bitwiseAND(F.lit(NULLS - 1)))
+    """A row's id, or its text's hash where it has none; `_hash` tells the two apart. (Such a hash is some row's id with a probability
+    of 2^-64 a pair; the two would then be of one class.)"""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(_text(text_col)))
+
+
+def _hash(id_col: str, text_col: str) -> Column:
+    """63 bits of the text's hash, and as the lowest bit whether the row has no id."""
+    return F.xxhash64(_text(text_col)).bitwiseAND(F.lit(-2)).bitwiseOR(F.col(id_col).cast("long").isNull().cast("long"))
+
+
+_LESS = "struct(h & 1 as nul, kid, rid)"
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """(kid, h, rid, class, class_size, least): for each row its id, its text's hash, its number, its class with the number of rows
-    there, and id and number of the row that stays."""
-    texts = docs.select(_node_id(id_col, text_col).alias("kid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sigs = cut(texts.select("kid", F.xxhash64("text").alias("h"), "text").mapInArrow(_signatures, "kid long, h long, w1 long, w2 long, sig binary").withColumn("rid", F.monotonically_increasing_id()))
+    """(kid, h, rid, class, class_size, least): for each row its node, its text's hash with the null flag, its number, its class with
+    the number of rows there, and flag, node and number of the row that stays."""
+    texts = docs.select(_node_id(id_col, text_col).alias("kid"), _hash(id_col, text_col).alias("h"), _text(text_col).alias("text"))
+    sigs = cut(texts.select("kid", "h", "text").mapInArrow(_signatures, "kid long, h long, w1 long, w2 long, sig binary").withColumn("rid", F.monotonically_increasing_id()))
     same = cut(sigs.groupBy("w1", "w2").agg(F.min("kid").alias("id"), F.any_value("sig").alias("sig")))
     # several texts may share an id (rows that repeat it): their classes are one
     nodes = same.select("id").distinct()
@@ -233,22 +243,21 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
             moved = components(ids, merged).select(F.col("id").alias("class"), F.col("class").alias("_to"))
             cls = cut(cls.join(moved, "class", "left").select("id", F.coalesce("_to", "class").alias("class")))
     rows = cut(sigs.select("kid", "h", "rid", "w1", "w2").join(same.select("w1", "w2", "id"), ["w1", "w2"]).join(cls, "id").select("kid", "h", "rid", "class"))
-    size = cut(rows.groupBy("class").agg(F.count("*").alias("class_size"), F.min(F.struct("kid", "rid")).alias("least")))
+    size = cut(rows.groupBy("class").agg(F.count("*").alias("class_size"), F.min(F.expr(_LESS)).alias("least")))
     return rows.join(size, "class")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row per document: id, class_id (the smallest id of its class), class_size, kept (it is that document)."""
-    null = lambda c: F.when(F.col(c) < F.lit(NULLS), F.col(c))
-    return decide(docs, id_col, text_col, similar).select(null("kid").alias(id_col), null("least.kid").alias("class_id"), "class_size", (F.struct("kid", "rid") == F.col("least")).alias("kept"))
+    ids = F.expr("if(h & 1 = 0, kid, null)").alias(id_col), F.expr("if(least.nul = 0, least.kid, null)").alias("class_id")
+    return decide(docs, id_col, text_col, similar).select(*ids, "class_size", (F.expr(_LESS) == F.col("least")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One document of each class, the one with the smallest id, with all columns; of equal rows that repeat that id one stays."""
-    found = decide(docs, id_col, text_col, similar).where("kid = least.kid")
-    stay = found.groupBy("kid", "h").agg(F.count("*").alias("_m"), F.max(F.struct("kid", "rid") == F.col("least")).alias("_it")).where("_it")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumns({"_node": _node_id(id_col, text_col), "_hash": F.xxhash64(text)}).join(stay.select(F.col("kid").alias("_node"), F.col("h").alias("_hash"), "_m"), ["_node", "_hash"])
+    found = decide(docs, id_col, text_col, similar).where("kid = least.kid and h & 1 = least.nul")
+    stay = found.groupBy("kid", "h").agg(F.count("*").alias("_m"), F.max(F.expr(_LESS) == F.col("least")).alias("_it")).where("_it")
+    rows = docs.withColumns({"_node": _node_id(id_col, text_col), "_hash": _hash(id_col, text_col)}).join(stay.select(F.col("kid").alias("_node"), F.col("h").alias("_hash"), "_m"), ["_node", "_hash"])
     return rows.where("_m = 1").select(docs.columns).unionByName(rows.where("_m > 1").dropDuplicates(["_node", "_hash"]).select(docs.columns))
 
 
