@@ -72,3 +72,16 @@ def test_pack(spark):
         assert all(a == sum(n for _, n in items[:k]) for k, (a, _) in enumerate(items)) and sum(n for _, n in items) <= 2048
     assert len(by) == len(one_by_one([x[3] for x in want], 2048))
     assert P.pack(df.limit(0)).count() == 0
+
+
+def test_long_runs_of_one_character(spark):
+    """A million equal characters of ten kinds: the ids of the tokenizers library; and a table with such texts."""
+    own, ids = P._encoder(public_tokenizers.path(P.VOCABULARY)), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for c in (" ", "\n", "\t", "\u00a0", "\u3000", "a", "!", "1", "é", "漢"):
+        text = c * 10**6
+        assert P.token_ids(own, text) == ids.encode(text, add_special_tokens=False).ids, repr(c)
+    mixed = "one <|endoftext|>" + " " * 1_100_000 + "two<|endoftext|> three\n"
+    assert P.token_ids(own, mixed) == [*own.encode("one "), 50256, *P.token_ids(own, " " * 1_100_000 + "two"), 50256, *own.encode(" three\n")]
+    rows = spark.createDataFrame([(1, " " * 10**6), (2, "a b"), (3, "\n" * 10**6)], "doc_id long, text string")
+    got = P.pack(rows).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in got} == {1: 10**6 + 1, 2: 3, 3: 500_001}

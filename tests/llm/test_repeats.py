@@ -173,3 +173,15 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert remove_repeated_bytes(empty).count() == 0
     assert remove_repeated_passages(empty).count() == 0
+
+
+def test_every_id_is_an_id(spark):
+    """Both ends of 64 bits beside rows without an id, some with one text."""
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(900)) + " " + " ".join(f"word{i}" for i in range(50))
+    ids = [-(2**63), 2**62, 2**63 - 1, None]
+    rows = [(i, f"{k} " + passage if k % 2 else f"{k} alone") for k, i in enumerate(ids * 2)] + [(i, "one text") for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for found, key in ((remove_repeated_bytes(df), "n_removed"), (remove_repeated_passages(df), "n_removed")):
+        got = sorted(((x["doc_id"], x[key] > 0) for x in found.collect()), key=str)
+        assert got == sorted(((i, "alone" not in t and t != "one text") for i, t in rows), key=str)

@@ -9,13 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Null identifiers take this value inside keys; the text's hash is in the key too.
-NO_ID = -(2**63)
-
-
 #: Rows in an Arrow batch. Texts may have a hundred thousand characters; a task holds a few batches at a time on both sides.
 BATCH_ROWS = "500"
 
@@ -64,13 +60,15 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(kid, ktx, text): a row's key is its id and its text's 64-bit hash, so repeated rows share a key, and so do their results."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("kid"), F.xxhash64(text).alias("ktx"), text.alias("text"))
+    """(kid, ktx, text): a row's key is its id and 63 bits of its text's hash, so repeated rows share a key, and so do their results. The
+    lowest bit of ktx is set where there is no id; kid is a second hash of the text then."""
+    text, ident = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    ktx = F.xxhash64(text).bitwiseAND(F.lit(-2)).bitwiseOR(ident.isNull().cast("long"))
+    return docs.select(F.coalesce(ident, F.xxhash64(F.lit("no id"), text)).alias("kid"), ktx.alias("ktx"), text.alias("text"))
 
 
-def back_to_id(kid: Column) -> Column:
-    return F.when(kid != F.lit(NO_ID), kid)
+def id_of(kid: int, ktx: int) -> int | None:
+    return None if ktx & 1 else kid
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

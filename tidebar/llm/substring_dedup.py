@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import anchors as A
 from . import repeats
-from .common import back_to_id, cut, keyed, mix, rows_of, spans, table, text_bytes, word_hashes, word_places
+from .common import cut, id_of, keyed, mix, rows_of, spans, table, text_bytes, word_hashes, word_places
 
 #: Words of an anchor. Fewer would repeat by chance, the more the larger the corpus: of invented prose a third of all five-word ones on 0.1 GB.
 GRAM = 11
@@ -212,7 +212,8 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, where = text_bytes(batch.column("text"))
         begin, end, words = word_places(data, where)
         out = []
-        for kid, cover, i, j in zip(batch.column("kid").to_pylist(), batch.column("cover").to_pylist(), words.tolist(), words[1:].tolist()):
+        for kid, ktx, cover, i, j in zip(*(batch.column(x).to_pylist() for x in ("kid", "ktx", "cover")), words.tolist(), words[1:].tolist()):
+            kid = id_of(kid, ktx)
             runs = spans([x["a"] for x in cover or ()], [x["b"] for x in cover or ()])
             stay = [(i + a, i + b) for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), j - i]) if a < b]
             kept = b" ".join(b" ".join(data[begin[a] : end[b - 1]].tobytes().split()) for a, b in stay)
@@ -228,7 +229,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     occ = repeats.meeting(cut(texts.mapInArrow(_estimated(bits, window, gram), repeats.OCC_DDL)))
     cover = repeats.removed(texts, occ, window, hot, _contexts(window, False), _contexts(window, True), _count(window))
     rest = texts.join(cover, ["kid", "ktx"], "left").mapInArrow(_rest, "kid long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return rest.select(back_to_id(F.col("kid")).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept")
+    return rest.select(F.col("kid").alias(id_col), "n_words", "n_removed", "kept_sha256", "kept")
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import anchors as A
 from . import repeats
-from .common import back_to_id, cut, keyed, rows_of, spans, table, text_bytes
+from .common import cut, id_of, keyed, rows_of, spans, table, text_bytes
 from .suffix_sort import repeated
 
 GRAM = 32
@@ -78,7 +78,8 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("kid", i), ("n_bytes", i), ("n_removed", i), ("n_spans", i), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(i)))])
     for batch in rows_of(batches):
         out = []
-        for kid, text, cover in zip(*(batch.column(x).to_pylist() for x in ("kid", "text", "cover"))):
+        for kid, ktx, text, cover in zip(*(batch.column(x).to_pylist() for x in ("kid", "ktx", "text", "cover"))):
+            kid = id_of(kid, ktx)
             data = text.encode("utf-8", "surrogatepass")
             runs = spans([x["a"] for x in cover or ()], [x["b"] for x in cover or ()])
             kept = b"".join(data[a:b] for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(data)]))
@@ -92,7 +93,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     occ = repeats.meeting(cut(texts.mapInArrow(_occurrences(window, gram), repeats.OCC_DDL)))
     cover = repeats.removed(texts, occ, window, hot, _contexts(window, False), _contexts(window, True), _sort(window))
     out = texts.join(cover, ["kid", "ktx"], "left").mapInArrow(_rest, "kid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")
-    return out.select(back_to_id(F.col("kid")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")
+    return out.select(F.col("kid").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
