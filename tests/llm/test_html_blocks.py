@@ -106,6 +106,49 @@ def test_every_page_of_a_table(model):
     mark = H._path_ids("article", "")[0]
     want = ["\n".join(b.text for b in H.blocks(p) if mark in b.path) for p in pages]
     assert H.main_texts(model, pages) == want and len(pages) == 250 and all(want)
+    # the element's name is not what decides
+    renamed = [p.replace("<article", "<div").replace("</article", "</div") for p in pages]
+    assert H.main_texts(model, renamed) == want
+
+
+def test_forward_pass_unit_by_unit(model):
+    """The labels of a page by the LSTM's equations, one block and one number after the other; pages of unlike length in one batch."""
+    r = random.Random(7)
+    pages = [H.inputs(H.blocks(H.training_page(r)[0])) for _ in range(3)]
+    sigmoid, p, n = lambda v: 1 / (1 + np.exp(-v)), model.p, H.HIDDEN
+    for page, got in zip(pages, model.predict(pages)):
+        x = []
+        for paths, words, measures in zip(*page):
+            mean = lambda name, ids: sum(p[name][i] for i in ids) / len(ids) if ids else np.zeros(H.WIDTH)
+            x.append(np.concatenate([mean("path", paths), mean("word", words), measures]))
+        z = np.full(len(x), p["bias"][0])
+        for k, way in enumerate("fb"):
+            h, c = np.zeros(n), np.zeros(n)
+            for t in range(len(x)) if way == "f" else reversed(range(len(x))):
+                a = p[f"c{way}"] + x[t] @ p[f"x{way}"] + h @ p[f"h{way}"]
+                c = sigmoid(a[:n]) * c + sigmoid(a[n : 2 * n]) * np.tanh(a[3 * n :])
+                h = sigmoid(a[2 * n : 3 * n]) * np.tanh(c)
+                z[t] += h @ p["out"][k * n : (k + 1) * n]
+        assert np.allclose(got, sigmoid(z), atol=1e-9)
+
+
+def test_container_measures_by_walking_up():
+    page = "<body><div><p>a b c d e f g h i j k l m n o p q r s t</p><p>one</p></div><div><ul><li><a>x y</a></li><li>z</li></ul></div></body>"
+    long, one, x, z = H.blocks(page)
+    total = 24
+    assert np.allclose(long.place[:4], [21 / total, 1, 21 / total, 20 / total]) and np.allclose(x.place[:4], [3 / total, 3 / total, 3 / total, 3 / total])
+    assert one.place[7:] == (0.2, 0.2) and x.place[7:] == (0.4, 0.6) and x.place[4] == 3 / 4 and z.left == 1
+
+
+def test_memory_does_not_follow_a_page(model):
+    import tracemalloc
+
+    page = "<article>" + "<p>word</p>" * 20_000 + "</article>"
+    tracemalloc.start()
+    text = H.main_texts(model, [page])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and text.count("word") > 19_000
 
 
 def foreign_page(r):

@@ -2,10 +2,11 @@
 
 A page is split into blocks, the texts between the tags of block elements. A bidirectional LSTM (numpy) reads the sequence of blocks,
 each as the mean vector of its hashed tag path (elements with class, id and role), the mean vector of its hashed words and some
-measures (length, share of links, punctuation, place), and says of every block, knowing the whole page, whether it belongs to the
+measures (length, share of links, punctuation, place, and of the containers around it their shares of the page's words and of links,
+and how many were left and entered since the block before), and says of every block, knowing the whole page, whether it belongs to the
 article. The labeller is trained here, on pages made by `training_page`: articles among menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments, with varied element names and mostly the same words as the articles, so that markup, place and
-neighbours decide; training takes half a minute and is the same each time.
+neighbours decide; training takes a quarter of a minute in a task and is the same each time.
 
 Null, empty and tag-less html have no main text, or their one block if it reads as one. Broken markup never fails: unclosed elements
 end with their parents, a `<` that begins no tag is text, an unfinished tag or comment at the end is dropped. Only the content of
@@ -16,6 +17,7 @@ Repeated rows get equal results; ties do not arise. An empty table gives an empt
 from __future__ import annotations
 
 import html
+import io
 import random
 import re
 import zlib
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, table
+from .common import cut, rows_of, table
 
 # fixed values: elements that begin and end a block of their own, elements without content, elements whose content is not text
 BLOCKS = frozenset("address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -39,7 +41,9 @@ ENDS_ITSELF = frozenset("p li dt dd option tr td th".split())
 _TOKEN = re.compile(rf"<!--(?:.*?-->|.*\Z)|<({RAW})(?=[\s/>])(?>[^<>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S | re.I)
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
-PATHS, WORDS, WIDTH, HIDDEN, MEASURES = 1 << 12, 1 << 13, 16, 24, 8
+PATHS, WORDS, WIDTH, HIDDEN, MEASURES = 1 << 12, 1 << 13, 16, 24, 17
+#: Blocks whose input is multiplied at once when labelling.
+STEPS = 4096
 
 
 @lru_cache(maxsize=50_000)
@@ -54,10 +58,12 @@ def _path_ids(name: str, attributes: str) -> tuple[int, ...]:
 
 
 class Block:
-    __slots__ = ("text", "path", "links", "name")
+    __slots__ = ("text", "path", "links", "name", "node", "depth", "left", "place")
 
-    def __init__(self, text: str, path: list[int], links: int, name: str):
+    def __init__(self, text: str, path: list[int], links: int, name: str, node: int, depth: int, left: int):
         self.text, self.path, self.links, self.name = text, path, links, name
+        #: number of the element it is in, how many are open, how many were left since the block before, and its containers' measures
+        self.node, self.depth, self.left, self.place = node, depth, left, (0.0,) * 9
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -68,9 +74,14 @@ def blocks(page: str | None) -> list[Block]:
     # how often each id and name is on the stack, so that deep pages take no longer
     held: Counter[int] = Counter()
     opened: Counter[str] = Counter()
+    # the elements in the order they begin: the number of the one around each (0 is the page); how few were open since the last block
+    around, inside, low, deep = [0], [0], 0, 0
 
     def pop() -> str:
+        nonlocal low
         name, ids = stack.pop()
+        inside.pop()
+        low = min(low, len(stack))
         opened[name] -= 1
         for i in ids:
             held[i] -= 1
@@ -79,10 +90,11 @@ def blocks(page: str | None) -> list[Block]:
         return name
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, low, deep
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, sorted(held), min(links, len(text)), stack[-1][0] if stack else ""))
+            out.append(Block(text, sorted(held), min(links, len(text)), stack[-1][0] if stack else "", inside[-1], len(stack) - low, deep - low))
+            low = deep = len(stack)
         parts.clear()
         links = 0
 
@@ -116,22 +128,56 @@ def blocks(page: str | None) -> list[Block]:
             if name in ENDS_ITSELF and stack and stack[-1][0] == name:
                 pop()
             stack.append((name, _path_ids(name, attributes or "")))
+            around.append(inside[-1])
+            inside.append(len(around) - 1)
             opened[name] += 1
             held.update(stack[-1][1])
         anchor = False
     if at < len(page):
         take(page[at:])
     flush()
+    _placed(out, around)
     return out
 
 
+def _placed(found: list[Block], around: list[int]) -> None:
+    """The measures of each block's containers: the share of the page's words in the one around it, in the next one, in the outermost
+    below the body and in the one below that, the share of links in the first two, how deep it is, and how many containers were left and
+    entered since the block before."""
+    words, chars, links = np.zeros(len(around)), np.zeros(len(around)), np.zeros(len(around))
+    for b in found:
+        words[b.node] += len(b.text.split())
+        chars[b.node] += len(b.text)
+        links[b.node] += b.links
+    level = [0] * len(around)
+    for n in range(1, len(around)):
+        level[n] = level[around[n]] + 1
+    for n in range(len(around) - 1, 0, -1):
+        for v in (words, chars, links):
+            v[around[n]] += v[n]
+    total = max(1.0, words[0])
+    # containers that hold nearly all words, from the page inwards, are frames: what is below them counts as outermost
+    frame = [True] * len(around)
+    outer, second = [0] * len(around), [0] * len(around)
+    for n in range(1, len(around)):
+        up = around[n]
+        frame[n] = frame[up] and words[n] >= 0.9 * total and level[n] < 12
+        outer[n] = n if frame[up] else outer[up]
+        second[n] = n if outer[up] == up and not frame[up] else second[up] if second[up] else outer[n]
+    for b in found:
+        a = around[b.node]
+        near = [words[n] / total for n in (a, around[a], outer[b.node], second[b.node])]
+        linked = [links[n] / max(1.0, chars[n]) for n in (a, around[a])]
+        b.place = (*near, *linked, min(level[b.node], 20) / 20, min(b.left, 5) / 5, min(b.depth, 5) / 5)
+
+
 def inputs(found: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
     words, measures = [], np.zeros((len(found), MEASURES))
     for i, b in enumerate(found):
         w = b.text.lower().split()
         words.append(sorted({zlib.crc32(x.strip(".,:;!?()").encode("utf-8", "surrogatepass")) % WORDS for x in set(w)}))
         n = len(b.text)
-        measures[i] = (min(np.log1p(len(w)) / 6, 2), b.links / n, min(sum(map(b.text.count, ".,;")) / len(w), 1), b.name == "p", b.name[:1] == "h" and len(b.name) == 2, b.name in ("li", "td", "dd"), i / max(1, len(found) - 1), 1.0)
+        measures[i] = (min(np.log1p(len(w)) / 6, 2), b.links / n, min(sum(map(b.text.count, ".,;")) / len(w), 1), b.name == "p", b.name[:1] == "h" and len(b.name) == 2, b.name in ("li", "td", "dd"), i / max(1, len(found) - 1), 1.0, *b.place)
     return [b.path for b in found], words, measures
 
 
@@ -163,28 +209,31 @@ class Labeller:
             mask[k, :n] = 1
         return x, mask
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, way: str):
-        """Hidden states in the order of the page, and what the way back needs."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: bool = True):
+        """Hidden states in the order of the page, and what the way back needs (only for training: it grows with the page)."""
         n, t, _ = x.shape
         h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
-        pre = x @ self.p[f"x{way}"] + self.p[f"c{way}"]
-        out, kept = np.zeros((n, t, HIDDEN)), []
+        out, kept, begin = np.zeros((n, t, HIDDEN)), [], -1
         for i in range(t) if way == "f" else range(t - 1, -1, -1):
-            z = pre[:, i] + h @ self.p[f"h{way}"]
+            if i // STEPS != begin:
+                begin = i // STEPS
+                pre = x[:, begin * STEPS : (begin + 1) * STEPS] @ self.p[f"x{way}"] + self.p[f"c{way}"]
+            z = pre[:, i % STEPS] + h @ self.p[f"h{way}"]
             gates = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
             f, g, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             u = np.tanh(z[:, 3 * HIDDEN :])
             c_new = f * c + g * u
             s = np.tanh(c_new)
             m = mask[:, i, None]
-            kept.append((i, h, c, f, g, o, u, s, m))
+            if keep:
+                kept.append((i, h, c, f, g, o, u, s, m))
             h, c = m * (o * s) + (1 - m) * h, m * c_new + (1 - m) * c
             out[:, i] = h
         return out, kept
 
     def predict(self, pages) -> list[np.ndarray]:
         x, mask = self._vectors(pages)
-        z = np.concatenate([self._run(x, mask, w)[0] for w in "fb"], axis=2) @ self.p["out"] + self.p["bias"]
+        z = sum(self._run(x, mask, w, False)[0] @ self.p["out"][k * HIDDEN : (k + 1) * HIDDEN] for k, w in enumerate("fb")) + self.p["bias"]
         return [1 / (1 + np.exp(-z[k, : len(m)])) for k, (*_, m) in enumerate(pages)]
 
     def gradients(self, pages, labels) -> dict[str, np.ndarray]:
@@ -346,10 +395,32 @@ def training_page(r: random.Random) -> tuple[str, list[int]]:
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 800, seed: int = 12) -> Labeller:
+def trained(pages: int = 1600, seed: int = 12, rounds: int = 5) -> Labeller:
     r = random.Random(seed)
     made = [training_page(r) for _ in range(pages)]
-    return Labeller().fit([inputs(blocks(p)) for p, _ in made], [y for _, y in made])
+    return Labeller().fit([inputs(blocks(p)) for p, _ in made], [y for _, y in made], rounds=rounds)
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _ in range(batch.num_rows):
+            held = io.BytesIO()
+            np.savez(held, **trained().p)
+            yield pa.RecordBatch.from_pydict({"weights": pa.array([held.getvalue()], pa.binary())})
+
+
+_models: dict[str, Labeller] = {}
+
+
+def trained_by_task(spark) -> Labeller:
+    """The labeller, fitted in a task and written to the shared folder; its weights, under two megabytes, come to the driver. Once an
+    application."""
+    app = spark.sparkContext.applicationId
+    if app not in _models:
+        row = cut(spark.range(1).mapInArrow(_train, "weights binary")).first()
+        _models[app] = Labeller()
+        _models[app].p = dict(np.load(io.BytesIO(bytes(row["weights"]))))
+    return _models[app]
 
 
 def main_texts(model: Labeller, pages: list[str | None]) -> list[str]:
@@ -379,7 +450,7 @@ def _extract(model):
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Labeller | None = None) -> DataFrame:
     """One row per page: id, url, text, n_chars."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or trained())  # a few hundred thousand weights
+    shared = pages.sparkSession.sparkContext.broadcast(model or trained_by_task(pages.sparkSession))  # a few hundred thousand weights
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extract(shared), "page_id long, url string, text string, n_chars long").withColumnsRenamed({"page_id": id_col, "url": url_col})
 
