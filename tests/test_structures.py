@@ -203,3 +203,47 @@ def test_values_of_a_larger_bar_are_not_read_before_its_close(spark):
                 del rows[k]
         assert a == b and a
     assert (at % DAY >= 0).all()
+
+
+# ---- ranks, limits, coverage, restoring
+
+
+def test_counted_ranks_are_percent_ranks(spark):
+    import random
+
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    from tidebar.operators import selection as Sel
+
+    r = random.Random(6)
+    rows = [(i, r.choice(["a", "a", "a", "b", None]), r.choice([None, 0.0, 0.0, r.gauss(0, 1), float("nan")]), r.randint(0, 5)) for i in range(700)] + [(700, "alone", 1.0, 2)]
+    df = spark.createDataFrame(rows, "id int, k string, x double, y int")
+    for parts in (1, 8):
+        got = Sel.counted_ranks(df, "k", [("x", True), ("y", False)], parts).select("id", "r_x", "r_y").collect()
+        rank = lambda c: F.when(F.count("*").over(W.partitionBy("k")) == 1, 0.5).otherwise(F.percent_rank().over(W.partitionBy("k").orderBy(c)))
+        want = df.select("id", rank(F.asc("x")).alias("r_x"), rank(F.desc("y")).alias("r_y")).collect()
+        assert len(got) == len(rows) and all(abs(a[1] - b[1]) < 1e-12 and abs(a[2] - b[2]) < 1e-12 for a, b in zip(sorted(got), sorted(want)))
+
+
+def test_limits_coverage_and_restoring_on_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tidebar.operators import selection as Sel
+
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(1, 1.0, 5), (2, None, 5), (3, nan, 5), (4, inf, 5), (5, 2.0, None), (6, 2.0, 4), (7, 0.5, 9)], "id int, x double, n int")
+    ok = lambda **limits: [x["id"] for x in df.where(Sel.within_limits(**limits)).sort("id").collect()]
+    assert ok(x=(0.5, 2.0)) == [1, 5, 6, 7] and ok(x=(None, 1.0), n=(5, None)) == [1, 7] and ok(x=(None, None)) == [1, 5, 6, 7] and ok() == [1, 2, 3, 4, 5, 6, 7]
+
+    options = spark.createDataFrame([("size", "1", "done"), ("size", "1", "queued"), ("size", "2", "queued"), ("size", "x", "done"), ("stop", "S1", "failed")], "key string, option string, state string")
+    universe = spark.createDataFrame([("size", "1"), ("size", "2"), ("size", "3"), ("stop", "S1"), ("stop", "S1"), ("none", "a")], "key string, option string")
+    got = {x["key"]: tuple(x)[1:] for x in Sel.coverage(options, universe, F.col("state") == "done").collect()}
+    assert got == {"size": (3, 2, ["2"], ["3"]), "stop": (1, 0, ["S1"], []), "none": (1, 0, [], ["a"])}
+
+    rows = spark.createDataFrame([(5, 1, "a"), (3, 1, "a"), (9, 2, None)], "id int, p int, q string").withColumn("fp", Sel.fingerprint("p", "q"))
+    fps = {x["id"]: x["fp"] for x in rows.collect()}
+    text = spark.createDataFrame([(f"{fps[5].upper()}\n{fps[9]}, 0000000000000000 and not g{fps[3]} {fps[3]}0",), (None,), ("",)], "t string")
+    wanted = Sel.wanted_fingerprints(text, "t")
+    got = {x["fingerprint"]: tuple(x)[1:] for x in Sel.restored(wanted, {"best": rows, "worst": rows.where("id = 3")}, ["p", "q"], "id").collect()}
+    assert got == {fps[5]: (3, 1, "a", 3, ["best", "worst"], False), fps[9]: (9, 2, None, 1, ["best"], False), "0" * 16: (None, None, None, 0, [], False)}

@@ -466,3 +466,101 @@ def calendar_direction(spark, sf):
 @query("""SELECT id AS config_id, CAST(id // 180 % 4 AS INT) AS field, CAST(id // 36 % 5 AS INT) AS session, CAST(id // 6 % 6 AS INT) AS stop, CAST(id % 6 AS INT) AS target FROM (SELECT unnest(range(0, 720)) AS id)""")
 def lazy_configurations(spark, sf):
     return lazy_grid(spark, field=4, session=5, stop=6, target=6)
+
+
+# ---- limits, coverage, restoring
+
+
+@query("WITH " + ACCOUNTS + """ SELECT config_id, category, rank FROM (SELECT config_id, category, row_number() OVER (PARTITION BY category ORDER BY profit_factor DESC, max_drawdown, config_id) AS rank FROM metrics
+WHERE isfinite(std_ret) AND std_ret <= 0.04 AND isfinite(max_drawdown) AND max_drawdown <= 0.36 AND trades >= 20 AND win_rate BETWEEN 0.3 AND 0.8) WHERE rank <= 25""")
+def ranking_limits(spark, sf):
+    """The first of each category among rows within the limits; a missing or non-finite metric fails its limit."""
+    m = metrics(spark, sf).where(S.within_limits(std_ret=(None, 0.04), max_drawdown=(None, 0.36), trades=(20, None), win_rate=(0.3, 0.8)))
+    return S.top_k(m, 25, S.ranking_order("profit_factor", "config_id"), "category").select("config_id", "category", "rank")
+
+
+@query("""WITH o AS (SELECT 'nation' AS key, n_name AS opt, o_orderstatus = 'F' AS done FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+  UNION ALL SELECT 'segment', c_mktsegment, o_orderstatus = 'F' FROM orders JOIN customer ON c_custkey = o_custkey
+  UNION ALL SELECT 'part', p_name, o_orderstatus = 'F' FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+u AS (SELECT 'nation' AS key, n_name AS opt FROM nation UNION SELECT 'segment', c_mktsegment FROM customer UNION SELECT 'part', p_name FROM part),
+h AS (SELECT key, opt, bool_or(done) AS finished FROM o GROUP BY ALL),
+m AS (SELECT coalesce(u.key, h.key) AS key, coalesce(u.opt, h.opt) AS opt, u.opt IS NOT NULL AS defined, finished FROM u FULL JOIN h ON h.key = u.key AND h.opt = u.opt)
+SELECT key, count_if(defined) AS defined, count_if(coalesce(finished, false)) AS completed, array_to_string(list_sort(coalesce(list(opt) FILTER (WHERE NOT finished), [])), ',') AS assigned_not_completed, array_to_string(list_sort(coalesce(list(opt) FILTER (WHERE defined AND finished IS NULL), [])), ',') AS not_assigned FROM m GROUP BY key""")
+def campaign_coverage(spark, sf):
+    """Orders as jobs, done when their status is F; the options are nations, segments and parts."""
+    t = lambda name: table(spark, sf, name)
+    jobs = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    of = jobs.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    parts = t("lineitem").select("l_orderkey", "l_partkey").join(jobs, F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    option = lambda df, key, c: df.select(F.lit(key).alias("key"), F.col(c).alias("option"), "o_orderstatus")
+    options = option(of, "nation", "n_name").unionByName(option(of, "segment", "c_mktsegment")).unionByName(option(parts, "part", "p_name"))
+    defined = lambda name, key, c: t(name).select(F.lit(key).alias("key"), F.col(c).alias("option"))
+    universe = defined("nation", "nation", "n_name").unionByName(defined("customer", "segment", "c_mktsegment")).unionByName(defined("part", "part", "p_name"))
+    got = S.coverage(options, universe, F.col("o_orderstatus") == "F")
+    return got.withColumns({c: F.array_join(c, ",") for c in ("assigned_not_completed", "not_assigned")})
+
+
+@query("""WITH r AS (SELECT 'sold' AS src, l_orderkey * 10 + l_linenumber AS id, CAST(round(l_discount * 100) AS BIGINT) AS d, l_returnflag AS f, CAST(round(l_tax * 100) AS BIGINT) AS t FROM lineitem WHERE l_linestatus = 'F'
+  UNION ALL SELECT 'open', l_orderkey * 10 + l_linenumber, CAST(round(l_discount * 100) AS BIGINT), l_returnflag, CAST(round(l_tax * 100) AS BIGINT) FROM lineitem WHERE l_linestatus = 'O'),
+p AS (SELECT *, substr(sha256('l_discount=' || d || '|l_returnflag=' || f || '|l_tax=' || t), 1, 16) AS fp FROM r),
+w AS (SELECT DISTINCT substr(sha256('l_discount=' || p_size % 14 || '|l_returnflag=' || CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END || '|l_tax=' || p_partkey % 11), 1, 16) AS fp FROM part),
+g AS (SELECT fp, min(id) AS id, any_value(d) AS d, any_value(f) AS f, any_value(t) AS t, count(*) AS n, string_agg(DISTINCT src, ',' ORDER BY src) AS rankings FROM p GROUP BY fp)
+SELECT w.fp AS fingerprint, id, d AS l_discount, f AS l_returnflag, t AS l_tax, coalesce(n, 0) AS rows, coalesce(rankings, '') AS rankings, false AS ambiguous FROM w LEFT JOIN g USING (fp)""")
+def restored_configurations(spark, sf):
+    """Fingerprints named in texts (one for each part, some of configurations that never were) looked up in two rankings."""
+    li = table(spark, sf, "lineitem").select("l_linestatus", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.round(F.col("l_discount") * 100).cast("long").alias("l_discount"), "l_returnflag", F.round(F.col("l_tax") * 100).cast("long").alias("l_tax"))
+    part = table(spark, sf, "part").select((F.col("p_size") % 14).alias("l_discount"), F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("l_returnflag"), (F.col("p_partkey") % 11).alias("l_tax"))
+    named = part.select(F.concat(F.lit("see #"), F.upper(S.fingerprint("l_discount", "l_returnflag", "l_tax")), F.lit(", not 0123456789abcdef0")).alias("text"))
+    rankings = {"sold": li.where("l_linestatus = 'F'"), "open": li.where("l_linestatus = 'O'")}
+    got = S.restored(S.wanted_fingerprints(named, "text"), rankings, ["l_discount", "l_returnflag", "l_tax"], "id")
+    return got.withColumn("rankings", F.array_join("rankings", ","))
+
+
+# ---- exits on structures and sequences
+
+_STRUCTURED = [Plan(1, "sequence"), Plan(2, "pivot", 0.01), Plan(3, "structure", 0.01), Plan(4, "deviation", 10, 0.1, c=1), Plan(5, "deviation", 20, 0.2, c=2)]
+
+
+def _next(mask: str) -> str:
+    return f"min(CASE WHEN {mask} THEN i END) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+def _away_sql(n: int, least: float, bars: int) -> str:
+    """Marks of a deviation from the average of n closes, for both sides."""
+    near = lambda s: " AND ".join(f"lag(a{s}, {k}) OVER w < lag(a{s}, {k + 1}) OVER w" if k else f"a{s} < lag(a{s}) OVER w" for k in range(bars))
+    rolled = f"CASE WHEN i >= {n - 1} THEN avg(c) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END"
+    return f"""v{n}a AS (SELECT series_id, i, c / ({rolled}) - 1 AS ap, -(c / ({rolled}) - 1) AS am FROM bb),
+v{n}b AS (SELECT *, sum(CASE WHEN coalesce(ap > 0, false) THEN 0 ELSE 1 END) OVER w AS gp, sum(CASE WHEN coalesce(am > 0, false) THEN 0 ELSE 1 END) OVER w AS gm, coalesce({near('p')}, false) AS np, coalesce({near('m')}, false) AS nm FROM v{n}a WINDOW w AS (PARTITION BY series_id ORDER BY i)),
+v{n} AS (SELECT series_id, i, coalesce(ap > 0, false) AND np AND max(ap) OVER (PARTITION BY series_id, gp ORDER BY i) >= {least} AS up, coalesce(am > 0, false) AND nm AND max(am) OVER (PARTITION BY series_id, gm ORDER BY i) >= {least} AS dn FROM v{n}b)"""
+
+
+_EXITS_MORE = RULE_BARS + f""", bb AS (SELECT series_id, CAST(i AS BIGINT) AS i, o, h, l, c, dir, dif - dea AS gap, abs(hist) < abs(lag(hist) OVER w) AS shrinks, lag(dir) OVER w AS pdir, lag(l) OVER w AS pl, lag(h) OVER w AS ph FROM rb WINDOW w AS (PARTITION BY series_id ORDER BY i)),
+pv AS (SELECT *, last_value(CASE WHEN dir <> pdir AND pdir = -1 THEN pl END IGNORE NULLS) OVER w AS trough, last_value(CASE WHEN dir <> pdir AND pdir = 1 THEN ph END IGNORE NULLS) OVER w AS peak FROM bb WINDOW w AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+nx AS (SELECT series_id, i, {_next('dir = -1')} AS f1, {_next('dir = 1')} AS f_1, {_next('gap < 0')} AS lo, {_next('gap > 0')} AS hi, {_next('shrinks')} AS sh FROM bb),
+{_away_sql(10, 0.1, 1)}, {_away_sql(20, 0.2, 2)},
+e AS (SELECT *, CASE WHEN c > o THEN 1 ELSE -1 END AS side, c AS px FROM pv WHERE c <> o),
+lv AS (SELECT *, CASE side WHEN 1 THEN trough * (1 - 0.01::DOUBLE) ELSE peak * (1 + 0.01::DOUBLE) END AS stop, CASE side WHEN 1 THEN peak * (1 - 0.01::DOUBLE) ELSE trough * (1 + 0.01::DOUBLE) END AS goal FROM e),
+sq AS (SELECT e.series_id, e.i, CASE WHEN n3.sh IS NOT NULL THEN n3.sh END AS x1 FROM e JOIN nx n0 ON n0.series_id = e.series_id AND n0.i = e.i + 1
+  JOIN nx n1 ON n1.series_id = e.series_id AND n1.i = CASE side WHEN 1 THEN n0.f1 ELSE n0.f_1 END
+  JOIN nx n2 ON n2.series_id = e.series_id AND n2.i = CASE side WHEN 1 THEN n1.lo ELSE n1.hi END
+  JOIN nx n3 ON n3.series_id = e.series_id AND n3.i = CASE side WHEN 1 THEN n2.hi ELSE n2.lo END),
+x AS (SELECT e.series_id, e.i,
+    min(CASE WHEN (px - stop) * side > 0 AND CASE side WHEN 1 THEN b.l <= stop ELSE b.h >= stop END THEN b.i END) AS x2,
+    min(CASE WHEN (goal - px) * side > 0 AND CASE side WHEN 1 THEN b.h >= goal ELSE b.l <= goal END THEN b.i END) AS x3,
+    min(CASE WHEN (b.c - px) * side > 0 AND CASE side WHEN 1 THEN v10.up ELSE v10.dn END THEN b.i END) AS x4,
+    min(CASE WHEN (b.c - px) * side > 0 AND CASE side WHEN 1 THEN v20.up ELSE v20.dn END THEN b.i END) AS x5
+  FROM lv e JOIN bb b ON b.series_id = e.series_id AND b.i > e.i JOIN v10 ON v10.series_id = b.series_id AND v10.i = b.i JOIN v20 ON v20.series_id = b.series_id AND v20.i = b.i GROUP BY ALL),
+y AS (SELECT e.series_id, e.i, e.side, p.plan_id, CASE p.plan_id WHEN 1 THEN x1 WHEN 2 THEN x2 WHEN 3 THEN x3 WHEN 4 THEN x4 ELSE x5 END AS exit_i, stop, goal
+  FROM lv e LEFT JOIN x USING (series_id, i) LEFT JOIN sq USING (series_id, i), (SELECT unnest(range(1, 6)) AS plan_id) p)
+SELECT y.series_id, y.i, y.side, CAST(plan_id AS INT) AS plan_id, exit_i, round(CASE WHEN exit_i IS NULL THEN NULL WHEN plan_id = 2 THEN stop WHEN plan_id = 3 THEN goal ELSE b.c END, 6) AS exit_px FROM y LEFT JOIN bb b ON b.series_id = y.series_id AND b.i = y.exit_i"""
+
+
+@query(_EXITS_MORE)
+def exit_structures(spark, sf):
+    """Stops on pivots and on the sequence of turns, targets on structures and deviations, for every entry of every series."""
+    from ..operators import state
+
+    b = rule_bars(spark, sf).withColumns({"low": F.col("l"), "high": F.col("h")})
+    b = state.pivots(b, ["series_id"]).select("series_id", "i", "ct", "o", "h", "l", "c", "v", "atr14", "dir", "dif", "dea", "hist", "trough", "peak")
+    e = b.where("c <> o").select("series_id", "i", F.when(F.col("c") > F.col("o"), 1).otherwise(-1).alias("side"))
+    return exit_table(e, b, _STRUCTURED).select("series_id", "i", "side", "plan_id", "exit_i", F.round("exit_px", 6).alias("exit_px"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..core import store
+
 
 def account_rows(results: DataFrame, packed: str = "accounts") -> DataFrame:
     """One row per account from results with an array of per-leverage structs."""
@@ -78,14 +80,80 @@ def cost_metrics(rows: DataFrame, applied: float, p95: float, extreme: float) ->
 SCORED = (("max_drawdown", False, 0.35), ("p95_net", True, 0.25), ("worst_year", True, 0.20), ("capacity", False, 0.10), ("profit_factor", True, 0.10))
 
 
-def percentile_score(rows: DataFrame, category: str, metrics: Sequence[tuple[str, bool, float]] = SCORED, clip: float = 0.025) -> DataFrame:
+def counted_ranks(rows: DataFrame, category: str, orders: Sequence[tuple[str, bool]], parts: int = 64) -> DataFrame:
+    """rows with r_<metric>: the share of its category's other rows that come before a row, in order of each metric (larger: ascending,
+    missing values first; else descending, missing ones last), as percent_rank has it; 0.5 for a row that is alone.
+
+    Values are counted first. Counts are summed in ranges of values, the same for all categories, so a category of any size is dealt
+    over `parts` tasks, and equal values are one row. All shuffles are of counts but for the joins back, whose keys may be split."""
+    rows = base = store(rows)  # read once more for each metric
+    edges = rows.approxQuantile([m for m, _ in orders], [k / parts for k in range(1, parts)], 1 / (2 * parts)) if parts > 1 else [[]] * len(orders)
+    keep = rows.columns
+    for (m, larger), cuts in zip(orders, edges):
+        cuts = sorted(set(cuts))
+        part = F.coalesce(sum(((F.col("_v") > e).cast("int") for e in cuts), F.lit(0)), F.lit(-1))
+        counts = base.groupBy(F.col(category).alias("_c"), F.col(m).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_b", part if larger else -part)
+        sums = counts.groupBy("_c", "_b").agg(F.sum("_n").alias("_s"))
+        w = W.partitionBy("_c").orderBy("_b")  # at most parts + 1 rows a category
+        sums = sums.select("_c", "_b", (F.sum("_s").over(w) - F.col("_s")).alias("_before"), F.sum("_s").over(W.partitionBy("_c")).alias("_all"))
+        inside = W.partitionBy("_c", "_b").orderBy(F.asc("_v") if larger else F.desc("_v"))
+        met = counts.join(sums.select(F.col("_c").alias("_d"), F.col("_b").alias("_e"), "_before", "_all"), F.col("_c").eqNullSafe(F.col("_d")) & (F.col("_b") == F.col("_e")))
+        rank = (F.col("_before") + F.sum("_n").over(inside) - F.col("_n")) / (F.col("_all") - 1)
+        met = met.select("_c", "_v", F.when(F.col("_all") == 1, 0.5).otherwise(rank).alias(f"r_{m}"))
+        rows = rows.join(met, F.col(category).eqNullSafe(F.col("_c")) & F.col(m).eqNullSafe(F.col("_v")))
+        keep = [*keep, f"r_{m}"]
+        rows = rows.select(*keep)
+    return rows
+
+
+def percentile_score(rows: DataFrame, category: str, metrics: Sequence[tuple[str, bool, float]] = SCORED, clip: float = 0.025, parts: int = 64) -> DataFrame:
     """score, 0 to 100: weighted percentile ranks within the category, clipped and stretched again; a category of one row ranks 0.5."""
-    alone = F.count("*").over(W.partitionBy(category)) == 1
-    parts = []
-    for m, larger, w in metrics:
-        rank = F.percent_rank().over(W.partitionBy(category).orderBy(F.asc(m) if larger else F.desc(m)))
-        parts.append(F.lit(w) * ((F.least(F.greatest(F.when(alone, 0.5).otherwise(rank), F.lit(clip)), F.lit(1 - clip)) - clip) / (1 - 2 * clip)))
-    return rows.withColumn("score", 100 * sum(parts[1:], parts[0]))
+    ranked = counted_ranks(rows, category, [(m, larger) for m, larger, _ in metrics], parts)
+    each = [F.lit(w) * ((F.least(F.greatest(F.col(f"r_{m}"), F.lit(clip)), F.lit(1 - clip)) - clip) / (1 - 2 * clip)) for m, _, w in metrics]
+    return ranked.withColumn("score", 100 * sum(each[1:], each[0])).select(*rows.columns, "score")
+
+
+def within_limits(**limits: tuple[float | None, float | None]) -> Column:
+    """Whether a row may enter a ranking: each limited metric is there, finite, and between its least and most (ends included)."""
+    ok = F.lit(True)
+    for metric, (least, most) in limits.items():
+        x = F.col(metric).cast("double")
+        there = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+        ok = ok & there & (F.lit(True) if least is None else x >= least) & (F.lit(True) if most is None else x <= most)
+    return F.coalesce(ok, F.lit(False))
+
+
+def coverage(options: DataFrame, universe: DataFrame, done: Column) -> DataFrame:
+    """Per kind of option (key): how many are defined, how many a finished job has had, which have only been assigned, and which never.
+
+    options: (key, option) of jobs, with what `done` needs; universe: (key, option). Options are summed to one row each before they
+    meet; what jobs have had beyond the universe counts as had but is not listed as missing."""
+    had = options.groupBy("key", "option").agg(F.max(done).alias("finished"))
+    met = universe.distinct().withColumn("defined", F.lit(True)).join(had, ["key", "option"], "full")
+    listed = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("option"))))
+    return met.groupBy("key").agg(
+        F.count_if("defined").alias("defined"), F.count_if("finished").alias("completed"),
+        listed(~F.col("finished")).alias("assigned_not_completed"), listed(F.col("defined") & F.col("finished").isNull()).alias("not_assigned"),
+    )
+
+
+def wanted_fingerprints(texts: DataFrame, text: str) -> DataFrame:
+    """(fingerprint, times): every run of exactly 16 hexadecimal digits in the texts, in lower case."""
+    found = texts.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?<![0-9a-z])([0-9a-f]{16})(?![0-9a-z])"), F.lit(1))).alias("fingerprint"))
+    return found.groupBy("fingerprint").agg(F.count("*").alias("times"))
+
+
+def restored(wanted: DataFrame, rankings: dict[str, DataFrame], fields: Sequence[str], id_col: str) -> DataFrame:
+    """The configurations behind 16-digit fingerprints: for each one wanted, its fields, the first id, how many rows had it and in which
+    rankings it stands. Fingerprints are computed again from the fields, never read, so a row that was altered is not found; one whose
+    rows disagree in their fields (a collision of 64 bits) is marked. Wanted ones that are nowhere have no fields."""
+    rows = None
+    for name, r in rankings.items():
+        part = r.select(F.lit(name).alias("_in"), id_col, *fields).withColumn("fingerprint", fingerprint(*fields)).join(wanted.select("fingerprint"), "fingerprint", "left_semi")
+        rows = part if rows is None else rows.unionByName(part)
+    same = F.struct(*fields)
+    found = rows.groupBy("fingerprint").agg(F.min_by(same, id_col).alias("_f"), F.min(id_col).alias(id_col), F.count("*").alias("rows"), F.array_sort(F.collect_set("_in")).alias("rankings"), (F.min(same) != F.max(same)).alias("ambiguous"))
+    return wanted.join(found, "fingerprint", "left").select("fingerprint", id_col, "_f.*", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("rankings", F.array().cast("array<string>")).alias("rankings"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
 def research_candidates(rows: DataFrame, category: str, cluster: str, id_col: str, most: int = 50) -> DataFrame:
