@@ -53,6 +53,7 @@ RULES = {
     "recurrence_turn": lambda b: L.recurrence_turn(b, rows=60, limit=0.3),
     "flow_lags": lambda b: L.flow_lags(b, rows=150, horizon=5, errors=12),
     "expert_mix": lambda b: L.expert_mix(b, rows=150, ar_rows=60, ou_rows=80, cost=1e-3),
+    "partial_bucket": lambda b: L.partial_bucket(b, STEP, 6, 2, rows=30, usual=4, still=5.0, buckets=7),
     "isolation_forest": lambda b: L.isolation_forest(b, rows=150, trees=20, contamination=0.05, patience=4),
 }
 
@@ -68,7 +69,7 @@ def test_no_bar_changes_when_later_bars_come(spark, said, name):
     n = 431  # in the middle of a day
     short = by_bar(RULES[name](spark.createDataFrame(bars().groupby("series_id").head(n))))
     long = {k: v for k, v in said[name].items() if k[1] < n}
-    assert short.keys() == long.keys() and len(short) > 30
+    assert short.keys() == long.keys() and len(short) > (30 if name != "partial_bucket" else 15)
     for k, row in short.items():
         for c, x in row.items():
             assert x == long[k][c] or (isinstance(x, float) and (abs(x - long[k][c]) < 1e-9 or math.isnan(x) and math.isnan(long[k][c]))), (k, c)
@@ -514,3 +515,38 @@ def test_expert_weights_are_the_sequential_ones(spark, said):
             assert np.allclose([row["w0"], row["w1"], row["w2"]], np.exp(logs[g]), atol=1e-9)
             assert abs(row["mix"] - issued @ np.exp(logs[g])) < 1e-9 and row["wild"] == bool(g)
     assert seen == len(got) > 60
+
+
+def test_partial_bucket_by_bucket(said):
+    want = {}
+    for s, b, *_ in each(bars()):
+        groups = {}
+        for t, ct in enumerate(b["ct"]):
+            groups.setdefault((ct - STEP) // (6 * STEP), []).append(t)
+        volumes, taught, ranges, past = [], [], [], None
+        for k, rows in sorted(groups.items()):
+            if b["ct"][rows[0]] - STEP != k * 6 * STEP or len(rows) < 2:
+                continue
+            two, at = rows[:2], rows[1]
+            base = np.mean(volumes[-4:]) if len(volumes) >= 4 else np.nan
+            x = np.array([np.log(b["c"][at] / b["o"][rows[0]]), (b["h"][two].max() - b["l"][two].min()) / b["o"][rows[0]], b["v"][two].sum() / base])
+            if len(taught) >= 30 and np.isfinite(x).all():
+                f, y = np.array([v for v, _ in taught[-30:]]), np.array([v for _, v in taught[-30:]])
+                m, d = f.mean(0), f.std(0)
+                w = np.linalg.solve(((f - m) / d).T @ ((f - m) / d) + np.eye(3), ((f - m) / d).T @ (y - y.mean()))
+                p = y.mean() + (x - m) / d @ w
+                scale = np.mean(ranges[:14]) if len(ranges) >= 14 else np.nan
+                for v in ranges[14:]:
+                    scale = (13 * scale + v) / 14
+                quiet = abs(b["c"][at] - b["o"][rows[0]]) < 5 * scale
+                want[s, at] = (p, (int(p > 2e-4) - int(p < -2e-4)) if quiet else 0)
+            if len(rows) == 6:
+                if np.isfinite(x).all():
+                    taught.append((x, np.log(b["c"][rows[-1]] / b["c"][at])))
+                volumes.append(b["v"][two].sum())
+                high, low = b["h"][rows].max(), b["l"][rows].min()
+                ranges.append(high - low if past is None else max(high - low, abs(high - past), abs(low - past)))
+                past = b["c"][rows[-1]]
+    got = said["partial_bucket"]
+    assert got.keys() == want.keys() and len(want) > 60
+    assert all(abs(got[k]["forecast"] - p) < 1e-9 and got[k]["side"] == side for k, (p, side) in want.items())

@@ -170,3 +170,9 @@ s AS (
 @query(_FIGURE)
 def rule_point_and_figure(spark, sf):
     return _out(S.point_and_figure(_numbered(spark, sf), bars_a_day=24, of_range=0.1))
+
+
+@query()
+def rule_partial_bucket(spark, sf):
+    """The rest of each half day from its first four hours."""
+    return _out(L.partial_bucket(model_bars(spark, sf), HOUR, 12, 4, rows=24, usual=5))

@@ -468,3 +468,71 @@ def expert_mix(bars: DataFrame, rows: int = 10_080, horizon: int = 10, ar_rows:
     agree = lambda up: sum(F.when((F.col(f"e{k}") > 0) if up else (F.col(f"e{k}") < 0), 1).otherwise(0) for k in range(3)) >= 2
     got = got.withColumn("_up", begins((F.col("mix") > PROMISE) & agree(True))).withColumn("_down", begins((F.col("mix") < -PROMISE) & agree(False)))
     return got.where("mix IS NOT NULL").select(*KEYS, "i", "ct", "mix", "w0", "w1", "w2", "wild", sided(F.col("_up"), F.col("_down")).alias("side"))
+
+
+# ---- a larger bar that is still open
+
+
+def open_buckets(bars: DataFrame, step: int, size: int, first: int) -> DataFrame:
+    """One row for each aligned bucket of `size` bars of `step` milliseconds that has at least `first` bars: what is known at the close
+    of bar number `first` (i, ct, o, c, h5, l5, v5), and, where the bucket is whole, what its close adds (close, high, low, volume).
+
+    i counts the whole buckets before it, all of which had closed by then."""
+    span = size * step
+    b = numbered(bars).withColumn("bucket", F.floor((F.col("ct") - step) / span))
+    b = b.withColumn("n", F.row_number().over(W.partitionBy(*KEYS, "bucket").orderBy("ct")))
+    early = F.col("n") <= first
+    at = lambda c, n: F.max(F.when(F.col("n") == n, F.col(c)))
+    rows = b.groupBy(*KEYS, "bucket").agg(
+        at("i", first).alias("bar"), at("ct", first).alias("ct"), at("o", 1).alias("o"), at("c", first).alias("c"), F.max(F.when(early, F.col("h"))).alias("h5"), F.min(F.when(early, F.col("l"))).alias("l5"), F.sum(F.when(early, F.col("v"))).alias("v5"),
+        F.min("ct").alias("_from"), F.max("ct").alias("_to"), F.count("*").alias("_n"), F.max_by("c", "n").alias("close"), F.max("h").alias("high"), F.min("l").alias("low"), F.sum("v").alias("volume"),
+    ).where((F.col("_from") == F.col("bucket") * span + step) & (F.col("_n") >= first))
+    whole = (F.col("_n") == size) & (F.col("_to") == (F.col("bucket") + 1) * span)
+    before = W.partitionBy(*KEYS).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("whole", whole).withColumn("i", F.coalesce(F.sum(F.col("whole").cast("long")).over(before), F.lit(0)))
+    return rows.drop("_from", "_to", "_n")
+
+
+def partial_bucket(bars: DataFrame, step: int, size: int = 15, first: int = 5, rows: int = 1_000, usual: int = 20, still: float = 0.5, weight: float = 1.0, buckets: int = 64, spare: int = 100) -> DataFrame:
+    """The rest of a bucket's move from its first bars (their move, their range, and their volume by that of the same bars of the `usual`
+    whole buckets before), by ridge regression on the latest `rows` whole buckets; a signal where the forecast passes the promise while
+    the bucket has moved less than `still` ranges of the whole buckets before it.
+
+    A task has `buckets` of them and the whole buckets they look back to, with `spare` for such as had no volume."""
+    from ..functions.folds import with_folds
+
+    made = open_buckets(bars, step, size, first)
+    folded = made.where("whole").select(*KEYS, (F.col("i") + 1).alias("i"), "ct", "o", F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"))
+    made = made.join(with_folds(folded).select(*KEYS, "i", F.col("atr14").alias("scale")), [*KEYS, "i"], "left")
+
+    def run(b: Columns, begin: int, series: str, block: int) -> dict[str, np.ndarray]:
+        whole, n = b["whole"] > 0, len(b["whole"])
+        sums = np.concatenate([[0.0], np.cumsum(np.where(whole, b["v5"], 0.0))])
+        # places of the whole buckets, and how many of those here lie before each row
+        places = np.flatnonzero(whole)
+        behind = np.searchsorted(places, np.arange(n))
+        base = np.full(n, np.nan)
+        for t in np.flatnonzero(behind >= usual):
+            own = places[behind[t] - usual : behind[t]]
+            base[t] = (sums[own[-1] + 1] - sums[own[0]]) / usual
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = np.column_stack([np.log(b["c"] / b["o"]), (b["h5"] - b["l5"]) / b["o"], np.where(base > 0, b["v5"] / base, np.nan)])
+            y = np.log(b["close"] / b["c"])
+        fine = np.isfinite(x).all(axis=1)
+        taught = np.flatnonzero(whole & fine)
+        out = _empty(n - begin, forecast=float)
+        for t in range(begin, n):
+            k = int(np.searchsorted(taught, t))
+            if k < rows or not fine[t]:
+                continue
+            own = taught[k - rows : k]
+            fit = _ridge_fit(x[own], y[own], weight)
+            if fit is not None:
+                out["forecast"][t - begin] = fit[0] + x[t] @ fit[1:]
+        return out | {c: b[c][begin:] for c in ("o", "c", "scale", "bar")}
+
+    blocks = row_blocks(made.withColumn("whole", F.col("whole").cast("double")), rows + usual + spare, buckets, rows + usual)
+    got = walk_forward(blocks, ["whole", "o", "c", "h5", "l5", "v5", "close", "scale", "bar"], run, "forecast double, o double, c double, scale double, bar double")
+    quiet = F.coalesce(F.abs(F.col("c") - F.col("o")) < still * F.col("scale"), F.lit(False))
+    side = F.when(quiet & (F.col("forecast") > PROMISE), 1).when(quiet & (F.col("forecast") < -PROMISE), -1).otherwise(0)
+    return _spoken(got, "forecast").select(*KEYS, F.col("bar").cast("long").alias("i"), "ct", "forecast", side.alias("side"))

@@ -66,7 +66,7 @@ def walk_forward(blocks: DataFrame, columns: list[str], run: Callable[[Columns,
     names = [x.split()[0] for x in schema.split(", ")]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", kind="stable")
+        pdf = pdf.sort_values(["i", "ct"], kind="stable")
         own = pdf["own"].to_numpy(bool)
         first = int(own.argmax()) if own.any() else len(own)
         tail = pdf.iloc[first:]
