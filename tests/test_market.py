@@ -24,7 +24,7 @@ SLOW = {"rules_single", "rules_family"}
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in "lineitem orders events part".split():
+    for t in "lineitem orders events part customer nation".split():
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 

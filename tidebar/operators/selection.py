@@ -220,12 +220,13 @@ def diverse(rows: DataFrame, cluster: str, id_col: str) -> DataFrame:
     return b.where("_n = 1 or _m = 1").drop("_n", "_m")
 
 
-def average_rank(rows: DataFrame, column: str, out: str, larger: bool = True, parts: int = 64) -> DataFrame:
-    """The average rank of ties as a share of all rows. Values are counted first; counts are summed in ranges of values between
+def average_rank(rows: DataFrame, column: str, out: str, larger: bool = True, parts: int = 64, base: DataFrame | None = None) -> DataFrame:
+    """The average rank of ties as a share of all rows (of `base`, where rows have been joined to others since). Values are counted first; counts are summed in ranges of values between
     approximate quantiles, so no task sorts them all and only `parts` sums meet in one."""
     c = F.col(column) if larger else -F.col(column)
-    counts = rows.groupBy(c.alias("_v")).agg(F.count("*").alias("_n"))
-    edges = sorted(set(rows.select(c.cast("double").alias("_v")).approxQuantile("_v", [k / parts for k in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
+    base = rows if base is None else base
+    counts = base.groupBy(c.alias("_v")).agg(F.count("*").alias("_n"))
+    edges = sorted(set(base.select(c.cast("double").alias("_v")).approxQuantile("_v", [k / parts for k in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
     bucket = sum(((F.col("_v") > e).cast("int") for e in edges), F.lit(0))
     counts = counts.withColumn("_b", bucket)
     sums = counts.groupBy("_b").agg(F.sum("_n").alias("_s"))  # at most `parts` rows
@@ -249,8 +250,9 @@ def regimes(rows: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def scored_by_ranks(agg: DataFrame) -> DataFrame:
     """stress, 0 to 100: weighted average-rank percentiles of regimes(), less where the regime with the fewest trades has under 20."""
+    agg = base = store(agg)  # read once more for each metric
     for m, larger, _ in STRESS:
-        agg = average_rank(agg, m, f"_p_{m}", larger)
+        agg = average_rank(agg, m, f"_p_{m}", larger, base=base)
     score = sum((w * F.col(f"_p_{m}") for m, _, w in STRESS), F.lit(0.0))
     penalty = F.least(F.lit(1.0), F.sqrt(F.greatest(F.col("least_trades"), F.lit(0)) / 20))
     return agg.withColumn("stress", 100 * score * penalty).drop(*(f"_p_{m}" for m, *_ in STRESS))
