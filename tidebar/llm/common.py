@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -45,11 +46,27 @@ def shared_dir(spark: SparkSession) -> str:
 _announced: set[str] = set()
 
 
+#: Tables written between two collections of the driver's garbage.
+TIDY = 8
+_written = 0
+
+
+def tidy(spark: SparkSession) -> None:
+    """Drop the plans of tables that are done with. An operator of many rounds makes dozens, and the driver's JVM, which sees none of the
+    Python objects that hold them, would otherwise take its whole heap before it looks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    global _written
+    _written += 1
+    if _written % TIDY == 0:
+        tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
