@@ -151,13 +151,7 @@ def ranking_metrics(spark, sf):
         "total_return": F.col("sum_ret"), "t_stat": F.when(F.col("std_ret") > 0, F.round(F.col("mean_ret") / (F.col("std_ret") / F.sqrt(n)), 4)), "orders_per_day": 2 * F.col("trades_per_day"), "executed": n,
         "open_quantity": F.round(F.col("final_equity") / 100, 6), "mean_hold": F.round(F.col("hold_minutes") / n, 6), "stopped": F.col("stopped").cast("int"),
     })
-    out = None
-    for metric in S.RANKINGS:  # five rows each, taken with partial orders in every task
-        top = m.orderBy(*S.ranking_order(metric, "config_id")).limit(5).select(F.lit(metric).alias("metric"), "config_id", F.col(metric).cast("double").alias("value"), "max_drawdown")
-        place = F.row_number().over(W.partitionBy("metric").orderBy(F.desc_nulls_last("value") if S.RANKINGS[metric] else F.asc_nulls_last("value"), "max_drawdown", "config_id"))
-        top = top.select("metric", "config_id", "value", place.alias("place"))
-        out = top if out is None else out.unionByName(top)
-    return out
+    return S.first_of_rankings(m, 5, "config_id").select("metric", "config_id", "value", "place")
 
 
 @query("WITH " + ACCOUNTS + " SELECT * FROM (SELECT config_id, category, final_equity, row_number() OVER (PARTITION BY category ORDER BY final_equity DESC, max_drawdown, config_id) AS rank FROM metrics) WHERE rank <= 10")

@@ -188,6 +188,16 @@ def ranking_order(metric: str, id_col: str) -> list[Column]:
     return [F.desc_nulls_last(metric) if RANKINGS[metric] else F.asc_nulls_last(metric), F.asc("max_drawdown"), F.asc(id_col)]
 
 
+def first_of_rankings(rows: DataFrame, k: int, id_col: str) -> DataFrame:
+    """(metric, id, value, place): the first k rows by each metric of RANKINGS, in one pass over the rows. Every task keeps its own first
+    k of each metric, so that is all that a task of the last step reads."""
+    value = lambda m: F.struct(F.lit(m).alias("metric"), F.lit(RANKINGS[m]).alias("_larger"), F.col(m).cast("double").alias("value"))
+    each = rows.select(id_col, "max_drawdown", F.explode(F.array(*(value(m) for m in RANKINGS))).alias("_x")).select(id_col, "max_drawdown", "_x.*")
+    each = each.withColumns({"_desc": F.when(F.col("_larger"), F.col("value")), "_asc": F.when(~F.col("_larger"), F.col("value"))})
+    w = W.partitionBy("metric").orderBy(F.desc_nulls_last("_desc"), F.asc_nulls_last("_asc"), F.asc("max_drawdown"), F.asc(id_col))
+    return each.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("metric", id_col, "value", "place")
+
+
 def evenly_spaced(n: int, k: int) -> list[int]:
     """k places of n that lie evenly, the first and the last among them."""
     return list(range(n)) if k >= n else sorted({round(i * (n - 1) / max(1, k - 1)) for i in range(k)})
