@@ -14,6 +14,9 @@ from ..plans import rules as R
 from ..sources import bars as B
 from .base import FEED, HOUR, HOURLY, MS, PRINTS, RULE_BARS, feed, hourly, prints, rule_bars, table
 
+#: Rows that a task of a large join or window should get.
+TASK_ROWS = 250_000
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -96,9 +99,15 @@ def asof_lineitem_order(spark, sf):
     """Each line's ship date with the customer's latest order placed by then."""
     o = table(spark, sf, "orders")
     ms = lambda c: F.expr(MS.format(c))
-    lines = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey", "l_linenumber", F.col("o_custkey").cast("string").alias("series_id"), ms("l_shipdate").alias("ct")).agg(F.count("*").alias("n_lines"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", ms("l_shipdate").alias("ct"))
+    n_lines, n_orders = li.count(), o.count()
+    # dealt out once, by order, for the join and the counts
+    parts = max(8, -(-n_lines // TASK_ROWS), -(-n_orders // TASK_ROWS))
+    owner = o.select("o_orderkey", F.col("o_custkey").cast("string").alias("series_id"))
+    met = li.repartition(parts, "l_orderkey").join(owner.repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = met.groupBy("l_orderkey", "l_linenumber", "series_id", "ct").agg(F.count("*").alias("n_lines"))
     events = o.select(F.col("o_custkey").cast("string").alias("series_id"), ms("o_orderdate").alias("ts_ms"), F.col("o_orderkey").alias("asof_order"), F.col("o_orderdate").alias("asof_date"))
-    return A.asof(lines, events, ["asof_order", "asof_date"], order=["asof_order"]).select("l_orderkey", "l_linenumber", "n_lines", "asof_order", "asof_date")
+    return A.asof(lines, events, ["asof_order", "asof_date"], order=["asof_order"], parts=max(8, -(-(n_lines + n_orders) // TASK_ROWS))).select("l_orderkey", "l_linenumber", "n_lines", "asof_order", "asof_date")
 
 
 @query("WITH " + HOURLY.strip() + """ SELECT series_id, count(*) AS n_bars, min(open_ms) AS first_ms, max(open_ms) AS last_ms, CAST((max(open_ms) - min(open_ms)) / 3600000 + 1 - count(*) AS BIGINT) AS n_missing,
