@@ -21,7 +21,9 @@ where their names clash with those used inside.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -98,115 +100,149 @@ def canonical(e: str, k: str) -> str:
         when 'name' then concat({_gender(e)}, ' ', lower(regexp_replace({e}, {_lit(f'^{_TITLE} ')}, ''))) else {e} end"""
 
 
-def _seed(key: str, *parts: str) -> str:
+def _held(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+# What follows is built of columns: as SQL these expressions, nested as they are, leave the driver's parser with tens of megabytes of states.
+
+
+def _seed(key: str, *parts: Column) -> Column:
     """240 hexadecimal digits that follow from the key and the parts."""
-    said = f"concat_ws('|', {_lit(key)}, {', '.join(parts)})"
-    return f"concat(sha2({said}, 512), sha2(concat({said}, '|more'), 512))"
+    said = F.concat_ws("|", F.lit(key), *parts)
+    return F.concat(F.sha2(said, 512), F.sha2(F.concat(said, F.lit("|more")), 512))
 
 
-def _byte(s: str, i: str) -> str:
-    return f"cast(conv(substring({s}, 1 + 2 * pmod({i}, 120), 2), 16, 10) as int)"
+def _byte(s: Column, i: Column) -> Column:
+    return F.conv(F.substring(s, 1 + 2 * F.pmod(i, F.lit(120)), F.lit(2)), 16, 10).cast("int")
 
 
-def _shape(x: str, s: str) -> str:
-    """x with every letter and digit replaced by one of its kind; s: hexadecimal digits."""
-    b, c = _byte(s, "i"), f"substring({x}, i, 1)"
-    one = f"""case when c between '1' and '9' then cast(1 + pmod(b, 9) as string) when c = '0' then cast(pmod(b, 10) as string)
-        when c between 'a' and 'z' then char(97 + pmod(b, 26)) when c between 'A' and 'Z' then char(65 + pmod(b, 26))
-        when c between 'а' and 'я' then substring('абвгдежзиклмнопрстуфхцчшэюя', 1 + pmod(b, 27), 1) when c between 'А' and 'Я' then substring('АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ', 1 + pmod(b, 27), 1)
-        when c between 'α' and 'ω' then substring('αβγδεζηθικλμνξοπρστυφχψω', 1 + pmod(b, 24), 1) when c between 'Α' and 'Ω' then substring('ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ', 1 + pmod(b, 24), 1)
-        when c rlike {_lit(r'^\p{Ll}')} then char(97 + pmod(b, 26)) when c rlike {_lit(r'^\p{Lu}')} then char(65 + pmod(b, 26))
-        when c rlike {_lit(r'^\p{IsHan}')} then substring('安白成大方高光海和华江金林明平青山文新星雪阳永云', 1 + pmod(b, 24), 1) when c rlike {_lit(r'^\p{L}')} then char(97 + pmod(b, 26)) else c end"""
-    return f"array_join(transform(sequence(1, greatest(length({x}), 1)), i -> element_at(transform(array(named_struct('c', {c}, 'b', {b})), q -> {re_names(one)}), 1)), '')"
+def _nth(letters: str, b: Column) -> Column:
+    return F.substring(F.lit(letters), 1 + F.pmod(b, F.lit(len(letters))), F.lit(1))
 
 
-def re_names(sql: str) -> str:
-    """The short names c and b of a template as fields of q."""
-    import re
+def _shape(x: Column, s: Column) -> Column:
+    """x with every letter and digit replaced by one of its kind; s: hexadecimal digits."""
+
+    def one(q: Column) -> Column:
+        c, b = q["c"], q["b"]
+        small, large = (F.char(F.lit(at) + F.pmod(b, F.lit(26))) for at in (97, 65))
+        return (
+            F.when(c.between("1", "9"), (1 + F.pmod(b, F.lit(9))).cast("string")).when(c == "0", F.pmod(b, F.lit(10)).cast("string"))
+            .when(c.between("a", "z"), small).when(c.between("A", "Z"), large)
+            .when(c.between("а", "я"), _nth("абвгдежзиклмнопрстуфхцчшэюя", b)).when(c.between("А", "Я"), _nth("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", b))
+            .when(c.between("α", "ω"), _nth("αβγδεζηθικλμνξοπρστυφχψω", b)).when(c.between("Α", "Ω"), _nth("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", b))
+            .when(c.rlike(r"^\p{Ll}"), small).when(c.rlike(r"^\p{Lu}"), large)
+            .when(c.rlike(r"^\p{IsHan}"), _nth("安白成大方高光海和华江金林明平青山文新星雪阳永云", b)).when(c.rlike(r"^\p{L}"), small).otherwise(c)
+        )
 
-    return re.sub(r"(?<![\w'а-яα-ωА-ЯΑ-Ω])([cb])(?![\w'(])", r"q.\1", sql)
+    letter = lambda i: _held(F.struct(F.substring(x, i, F.lit(1)).alias("c"), _byte(s, i).alias("b")), one)
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), letter), "")
 
 
-def _digits(s: str, old: str) -> str:
+def _digits(s: Column, old: Column) -> Column:
     """Digits for digits, as many as old has; a digit that is not 0 stays so."""
-    return f"array_join(transform(sequence(1, length({old})), i -> case when substring({old}, i, 1) = '0' then cast(pmod({_byte(s, 'i')}, 10) as string) else cast(1 + pmod({_byte(s, 'i')}, 9) as string) end), '')"
+    digit = lambda i: F.when(F.substring(old, i, F.lit(1)) == "0", F.pmod(_byte(s, i), F.lit(10)).cast("string")).otherwise((1 + F.pmod(_byte(s, i), F.lit(9))).cast("string"))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(old)), digit), "")
 
 
-def _luhn(d: str, n: str, upto: str) -> str:
+def _luhn(d: Column, n: Column, upto: Column) -> Column:
     """The check sum of the first `upto` digits of a number of n digits."""
-    x = f"cast(substring({d}, i, 1) as int)"
-    return f"aggregate(sequence(1, {upto}), 0, (sum, i) -> sum + case when pmod({n} - i, 2) = 1 then 2 * {x} - case when {x} > 4 then 9 else 0 end else {x} end)"
 
+    def add(total: Column, i: Column) -> Column:
+        x = F.substring(d, i, F.lit(1)).cast("int")
+        return total + F.when(F.pmod(n - i, F.lit(2)) == 1, 2 * x - F.when(x > 4, 9).otherwise(0)).otherwise(x)
 
-def _card(s: str, c: str) -> str:
-    new = f"concat(substring({c}, 1, 1), substring({_digits(s, c)}, 2))"
-    fixed = f"concat(substring(d, 1, length({c}) - 1), cast(pmod(10 - pmod({_luhn('d', f'length({c})', f'length({c}) - 1')}, 10), 10) as string))"
-    return _let("d", new, f"case when pmod({_luhn(c, f'length({c})', f'length({c})')}, 10) = 0 then {fixed} else d end")
+    return F.aggregate(F.sequence(F.lit(1), upto), F.lit(0), add)
 
 
-def _mod97(x: str) -> str:
+def _card(s: Column, c: Column) -> Column:
+    new, n = F.concat(F.substring(c, 1, 1), F.substring(_digits(s, c), F.lit(2), F.length(c))), F.length(c)
+    fixed = lambda d: F.concat(F.substring(d, F.lit(1), n - 1), F.pmod(10 - F.pmod(_luhn(d, n, n - 1), F.lit(10)), F.lit(10)).cast("string"))
+    return _held(new, lambda d: F.when(F.pmod(_luhn(c, n, n), F.lit(10)) == 0, fixed(d)).otherwise(d))
+
+
+def _mod97(x: Column) -> Column:
     """The remainder by 97 of a string of digits and capitals, capitals counting 10 to 35."""
-    c = f"substring({x}, i, 1)"
-    return f"aggregate(sequence(1, length({x})), 0, (sum, i) -> case when {c} between '0' and '9' then pmod(sum * 10 + cast({c} as int), 97) else pmod(sum * 100 + ascii({c}) - 55, 97) end)"
+
+    def add(total: Column, i: Column) -> Column:
+        c = F.substring(x, i, F.lit(1))
+        return F.when(c.between("0", "9"), F.pmod(total * 10 + c.cast("int"), F.lit(97))).otherwise(F.pmod(total * 100 + F.ascii(c) - 55, F.lit(97)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(x)), F.lit(0), add)
 
 
-def _iban_of(s: str, c: str) -> str:
+def _from(c: Column, at: int) -> Column:
+    return F.substring(c, F.lit(at), F.length(c))
+
+
+def _iban_of(s: Column, c: Column) -> Column:
     """Country, check digits that are right, and letters and digits for letters and digits."""
-    body = _shape(f"substring({c}, 5)", s)
-    return _let("d", body, f"concat(substring({c}, 1, 2), lpad(cast(98 - {_mod97(f'concat(d, substring({c}, 1, 2), {_lit("00")})')} as string), 2, '0'), d)")
+    land = F.substring(c, 1, 2)
+    return _held(_shape(_from(c, 5), s), lambda d: F.concat(land, F.lpad((98 - _mod97(F.concat(d, land, F.lit("00")))).cast("string"), 2, "0"), d))
 
 
 #: From this attempt on addresses, domains and surnames grow by a letter every so many attempts: short forms run out of surrogates.
 GROW = 8
 
 
-def _more(s: str, n: str) -> str:
-    return f"case when {n} >= {GROW} then {_shape(f'repeat({_lit("a")}, cast({n} div {GROW} as int))', s)} else '' end"
+def _more(s: Column, n: Column) -> Column:
+    letter = lambda i: F.char(97 + F.pmod(_byte(s, i), F.lit(26)))
+    return F.when(n >= GROW, F.array_join(F.transform(F.sequence(F.lit(1), F.floor(n / GROW).cast("int")), letter), "")).otherwise("")
 
 
-def _domain(key: str, domain: str, n: str) -> str:
+def _domain(key: str, domain: Column, n: Column) -> Column:
     """The n-th surrogate of a domain; what follows the last dot stays."""
-    labels = f"substring({domain}, 1, length({domain}) - length(substring_index({domain}, '.', -1)) - 1)"
-    return f"concat({_let('t', _seed(key, _lit('domain'), domain, f'cast({n} as string)'), f"concat({_shape(labels, 't')}, {_more('t', n)})")}, '.', substring_index({domain}, '.', -1))"
+    last = F.substring_index(domain, ".", -1)
+    labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(last) - 1)
+    return F.concat(_held(_seed(key, F.lit("domain"), domain, n.cast("string")), lambda t: F.concat(_shape(labels, t), _more(t, n))), F.lit("."), last)
 
 
-def _spoken(s: str, at: int, name: str, gender: str, surname: bool) -> str:
+def _spoken(s: Column, at: int, name: Column, gender: Column, surname: bool) -> Column:
     """A name of two or three syllables in the script of the old one, with an ending of the gender."""
-    syllables = lambda text, one: f"concat({', '.join(f'substring({_lit(text)}, 1 + {one} * pmod({_byte(s, str(at + j))}, {len(text) // one}), {one})' for j in range(3))})"
+    byte = lambda i: _byte(s, F.lit(i))
+    syllables = lambda text, one: F.concat(*(F.substring(F.lit(text), 1 + one * F.pmod(byte(at + j), F.lit(len(text) // one)), F.lit(one)) for j in range(3)))
     latin = syllables("barecidofugahalejikolumanepiqorusatevixowuyazebolera", 2)
     cyrillic = syllables("бавегидожузаикалемонупареситуфохацечишолюмя", 2)
-    end = f"case {gender} when 'f' then {{}} when 'm' then {{}} else {{}} end"
-    latin_end = end.format("'a'", "'n'", "'s'") if not surname else "substring('nrsl', 1 + pmod(" + _byte(s, str(at + 4)) + ", 4), 1)"
-    cyrillic_end = end.format("'на'", "'н'", "'ль'") if not surname else end.format("'ва'", "'в'", "'ко'")
-    return f"initcap(case when {name} rlike {_lit(r'\p{IsCyrillic}')} then concat({cyrillic}, {cyrillic_end}) else concat({latin}, {latin_end}) end)"
-
-
-def surrogate(key: str, k: str, c: str, n: str, dn: str) -> str:
-    """SQL: the n-th canonical surrogate of canonical form c of type k; dn: the attempt of an address's domain."""
-    own = _seed(key, k, c, f"cast({n} as string)")
-    domain = f"substring_index({c}, '@', -1)"
-    email = f"concat({_shape(f'substring_index({c}, {_lit("@")}, 1)', 's')}, {_more('s', n)}, '@', {_domain(key, domain, dn)})"
-    ip = "concat_ws('.', " + ", ".join(f"cast(1 + pmod({_byte('s', str(i))}, 254) as string)" for i in range(1, 5)) + ")"
-    hexed = f"array_join(transform(sequence(1, length({c})), i -> lower(hex(pmod({_byte('s', 'i')}, 16)))), '')"
-    phone = _digits("s", c)
-    words = f"split(substring({c}, 3), ' ')"
-    gender = f"substring({c}, 1, 1)"
-    surname_seed = _seed(key, _lit("surname"), f"element_at({words}, -1)", f"cast({n} as string)")
-    surname = _let("t", surname_seed, f"concat({_spoken('t', 1, f'element_at({words}, -1)', gender, True)}, {_more('t', n)})")
-    name = f"concat_ws(' ', case when size({words}) > 1 then {_spoken('s', 1, f'element_at({words}, 1)', gender, False)} end, {surname})"
-    body = f"""case {k} when 'email' then {email} when 'ip' then {ip} when 'phone' then {phone} when 'card' then {_card('s', c)} when 'ssn' then {_shape(c, 's')}
-        when 'iban' then {_iban_of('s', c)} when 'domain' then {_domain(key, c, n)} when 'key' then concat(substring({c}, 1, 4), {_shape(f'substring({c}, 5)', 's')})
-        when 'secret' then case when length(regexp_replace({c}, {_lit(r'[^\p{L}\p{N}]')}, '')) < 8 then substring(s, 1, 12) when {c} rlike '^[0-9a-f]+$' then {hexed} else {_shape(c, 's')} end else {name} end"""
-    return _let("s", own, body)
-
-
-def as_written(e: str, k: str, c: str, new: str) -> str:
-    """SQL: the canonical surrogate in the spelling of entity e."""
+    end = lambda f, m, n: F.when(gender == "f", f).when(gender == "m", m).otherwise(n)
+    latin_end = end("a", "n", "s") if not surname else _nth("nrsl", byte(at + 4))
+    cyrillic_end = end("на", "н", "ль") if not surname else end("ва", "в", "ко")
+    return F.initcap(F.when(name.rlike(r"\p{IsCyrillic}"), F.concat(cyrillic, cyrillic_end)).otherwise(F.concat(latin, latin_end)))
+
+
+def surrogate(key: str, k: Column, c: Column, n: Column, dn: Column) -> Column:
+    """The n-th canonical surrogate of canonical form c of type k; dn: the attempt of an address's domain."""
+    words, gender = F.split(_from(c, 3), " "), F.substring(c, 1, 1)
+    last = F.element_at(words, -1)
+    surname = _held(_seed(key, F.lit("surname"), last, n.cast("string")), lambda t: F.concat(_spoken(t, 1, last, gender, True), _more(t, n)))
+
+    def body(s: Column) -> Column:
+        shaped = _shape(c, s)
+        email = F.concat(_shape(F.substring_index(c, "@", 1), s), _more(s, n), F.lit("@"), _domain(key, F.substring_index(c, "@", -1), dn))
+        ip = F.concat_ws(".", *((1 + F.pmod(_byte(s, F.lit(i)), F.lit(254))).cast("string") for i in range(1, 5)))
+        hexed = F.array_join(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.lower(F.hex(F.pmod(_byte(s, i), F.lit(16))))), "")
+        secret = F.when(F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", "")) < 8, F.substring(s, 1, 12)).when(c.rlike("^[0-9a-f]+$"), hexed).otherwise(shaped)
+        name = F.concat_ws(" ", F.when(F.size(words) > 1, _spoken(s, 1, F.element_at(words, 1), gender, False)), surname)
+        return (
+            F.when(k == "email", email).when(k == "ip", ip).when(k == "phone", _digits(s, c)).when(k == "card", _card(s, c)).when(k == "ssn", shaped).when(k == "iban", _iban_of(s, c))
+            .when(k == "domain", _domain(key, c, n)).when(k == "key", F.concat(F.substring(c, 1, 4), _shape(_from(c, 5), s))).when(k == "secret", secret).otherwise(name)
+        )
+
+    return _held(_seed(key, k, c, n.cast("string")), body)
+
+
+def as_written(e: Column, k: Column, c: Column, new: Column) -> Column:
+    """The canonical surrogate in the spelling of entity e."""
     # a number written with its country code keeps it
-    whole = f"concat(substring(regexp_replace({e}, '[^0-9]', ''), 1, case {k} when 'phone' then greatest(length(regexp_replace({e}, '[^0-9]', '')) - {NATIONAL}, 0) else 0 end), {new})"
-    placed = f"array_join(transform(sequence(1, length({e})), i -> case when substring({e}, i, 1) rlike '[0-9A-Za-z]' then substring(w2, length(regexp_replace(substring({e}, 1, i), '[^0-9A-Za-z]', '')), 1) else substring({e}, i, 1) end), '')"
-    return f"""case when {k} in ('phone', 'card', 'iban') then {_let('w2', whole, placed)} when {k} = 'secret' then concat(substring({e}, 1, length({e}) - length({c})), {new})
-        when {k} = 'name' then concat(regexp_extract({e}, {_lit(f'^{_TITLE} ')}, 0), {new}) else {new} end"""
+    digits = F.regexp_replace(e, "[^0-9]", "")
+    whole = F.concat(F.substring(digits, F.lit(1), F.when(k == "phone", F.greatest(F.length(digits) - NATIONAL, F.lit(0))).otherwise(0)), new)
+    sign = lambda i: F.substring(e, i, F.lit(1))
+    placed = lambda w: F.array_join(F.transform(F.sequence(F.lit(1), F.length(e)), lambda i: F.when(sign(i).rlike("[0-9A-Za-z]"), F.substring(w, F.length(F.regexp_replace(F.substring(e, F.lit(1), i), "[^0-9A-Za-z]", "")), F.lit(1))).otherwise(sign(i))), "")
+    return (
+        F.when(k.isin("phone", "card", "iban"), _held(whole, placed)).when(k == "secret", F.concat(F.substring(e, F.lit(1), F.length(e) - F.length(c)), new))
+        .when(k == "name", F.concat(F.regexp_extract(e, f"^{_TITLE} ", 0), new)).otherwise(new)
+    )
 
 
 def entities(text: str) -> str:
@@ -215,8 +251,8 @@ def entities(text: str) -> str:
     return f"transform({found}, e -> {_let('k', kind('e'), f'named_struct({_lit("e")}, e, {_lit("k")}, k, {_lit("c")}, {canonical("e", "k")})')})"
 
 
-def _settled(all_: DataFrame, key: str) -> DataFrame | None:
-    """(k, c, n) of the entities of all_ (k, c, dn, n, new) that take another attempt than the first."""
+def _settled(all_: DataFrame, nth: Column) -> DataFrame | None:
+    """(k, c, n) of the entities of all_ (k, c, dn, n, new) that take another attempt than the first; nth: the surrogate of a row."""
     said = lambda k, c: F.when(F.col(k) == "name", F.substring(c, 3, 10_000)).otherwise(F.col(c))  # noqa: E731  a name without its gender
     taken = all_.select("k", said("k", "c").alias("own")).distinct()
     moved = None
@@ -229,22 +265,23 @@ def _settled(all_: DataFrame, key: str) -> DataFrame | None:
         clash = cut(same.unionByName(own).distinct())
         if clash.isEmpty():
             return moved
-        again = clash.withColumn("n", F.col("n") + 1).withColumn("new", F.expr(surrogate(key, "k", "c", "n", "dn")))
+        again = clash.withColumn("n", F.col("n") + 1).withColumn("new", nth)
         moved = cut(again if moved is None else moved.join(again, ["k", "c"], "left_anti").unionByName(again))
 
 
 def _attempts(found: DataFrame, key: str) -> DataFrame | None:
     """(k, c, n) of the entities, domains among them, that take another attempt than the first."""
-    first = lambda df: cut(df.withColumn("n", F.lit(0)).withColumn("new", F.expr(surrogate(key, "k", "c", "0", "dn"))).select("k", "c", "dn", "n", "new"))
+    nth = surrogate(key, F.col("k"), F.col("c"), F.col("n"), F.col("dn"))
+    first = lambda df: cut(df.withColumn("n", F.lit(0)).withColumn("new", nth).select("k", "c", "dn", "n", "new"))
     each = cut(found.select("k", "c").distinct())
     domain = F.when(F.col("k") == "email", F.substring_index("c", "@", -1))
-    domains = _settled(first(each.where("k = 'email'").select(F.lit("domain").alias("k"), domain.alias("c"), F.lit(0).alias("dn")).distinct()), key)
+    domains = _settled(first(each.where("k = 'email'").select(F.lit("domain").alias("k"), domain.alias("c"), F.lit(0).alias("dn")).distinct()), nth)
     if domains is None:
         each = each.withColumn("dn", F.lit(0))
     else:
         of = domains.select(F.col("c").alias("_domain"), F.col("n").alias("_n"))
         each = each.withColumn("_domain", domain).join(of, "_domain", "left").select("k", "c", F.coalesce("_n", F.lit(0)).alias("dn"))
-    rest = _settled(first(each), key)
+    rest = _settled(first(each), nth)
     parts = [d.select("k", "c", "n") for d in (domains, rest) if d is not None]
     return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else None
 
@@ -268,12 +305,15 @@ def replace_personal_data(docs: DataFrame, text_col: str = "text", key: str = KE
         mine = mine.unionByName(mine.where("k = 'email'").select("_id", F.lit("domain").alias("k"), F.substring_index("c", "@", -1).alias("c"))).distinct().join(moved, ["k", "c"])
         mine = mine.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "k", "c"), "n"))).alias("_again"))
         rows = rows.join(mine, "_id", "left")
-    attempt = "coalesce(element_at(_again, concat_ws('|', x.k, x.c)), 0)"
-    of_domain = "coalesce(element_at(_again, concat('domain|', substring_index(x.c, '@', -1))), 0)"
-    new = f"transform(_found, x -> {_let('w', surrogate(key, 'x.k', 'x.c', attempt, of_domain), as_written('x.e', 'x.k', 'x.c', 'w'))})"
-    text = f"""case when size(_found) > 0 then {_let('parts', f"named_struct('gap', split(_text, {_lit(PATTERN)}, -1), 'new', {new})",
-        "array_join(transform(parts.gap, (g, i) -> concat(g, coalesce(get(parts.new, i), ''))), '')")} else _text end"""
-    rows = rows.withColumn("_new", F.expr(text))
+    attempt = lambda kind, c: F.coalesce(F.element_at("_again", F.concat_ws("|", kind, c)), F.lit(0))
+
+    def replaced(x: Column) -> Column:
+        own, of_domain = attempt(x["k"], x["c"]), attempt(F.lit("domain"), F.substring_index(x["c"], "@", -1))
+        return _held(surrogate(key, x["k"], x["c"], own, of_domain), lambda w: as_written(x["e"], x["k"], x["c"], w))
+
+    parts = F.struct(F.split("_text", PATTERN, -1).alias("gap"), F.transform("_found", replaced).alias("new"))
+    joined = _held(parts, lambda p: F.array_join(F.transform(p["gap"], lambda g, i: F.concat(g, F.coalesce(F.get(p["new"], i), F.lit("")))), ""))
+    rows = rows.withColumn("_new", F.when(F.size("_found") > 0, joined).otherwise(F.col("_text")))
     out = [F.col("_new").alias(c) if c == text_col else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in names]
     if counts:
         out += [F.coalesce(F.size("_found"), F.lit(0)).alias("n_entities"), *(F.expr(f"coalesce(size(filter(_found, x -> x.k = '{k}')), 0)").alias(f"n_{k}") for k in TYPES)]
